@@ -52,9 +52,13 @@ def train(labels: DataFrame, features: list[str], params: dict, seed: int = 42)
     Training data is a bounded labelled set; it is put in one partition so
     the forest is reproducible for a given seed.
     """
-    data = labels.select(*features, F.col("match").cast("double").alias("label")).dropna()
-    rf = RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed, **params)
-    return Pipeline(stages=[assembler(features), rf]).fit(data.repartition(1))
+    data = labels.select(*features, F.col("match").cast("double").alias("label")).dropna().repartition(1)
+    data.persist()  # the forest makes several passes; the labelled set is small
+    try:
+        rf = RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed, **params)
+        return Pipeline(stages=[assembler(features), rf]).fit(data)
+    finally:
+        data.unpersist()
 
 
 def classify(unlabelled: DataFrame, model: PipelineModel) -> DataFrame:

@@ -7,9 +7,6 @@ tables; keys without a twin are checked by row count only.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -23,19 +20,7 @@ from ..operators import rollup as RU
 from . import inputs as I
 from .fixtures import fixture
 
-Builder = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Builder] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(key: str, oracle: str | None = None):
-    def deco(fn: Builder) -> Builder:
-        QUERIES[key] = fn
-        if oracle is not None:
-            ORACLES[key] = I.sql(oracle)
-        return fn
-    return deco
+from .registry import ORACLES, QUERIES, register  # noqa: F401
 
 
 # --- 2.3 projections and filters ----------------------------------------------
@@ -122,8 +107,9 @@ register("pair_complete", """SELECT * FROM f_software_labels WHERE vendor_X IS N
 
 # --- 2.5 scalar functions ---------------------------------------------------------
 
-register("norm_name", "SELECT Publisher0, lower(replace(Publisher0, ' ', '_')) AS publisher0 FROM f_inventory")(
-    lambda s, d: fixture(s, d, "f_inventory").select("Publisher0", N.norm_name("Publisher0").alias("publisher0")))
+register("norm_name", "SELECT ResourceID, DisplayName0, lower(replace(Publisher0, ' ', '_')) AS publisher0 FROM f_inventory")(
+    lambda s, d: fixture(s, d, "f_inventory").select("ResourceID", "DisplayName0",
+                                                     N.norm_name("Publisher0").alias("publisher0")))
 
 _PUB_TOKS = "list_filter(string_split_regex(trim(translate(publisher0, '_.,()+!', '       ')), '\\s+'), lambda t: t <> '')"
 _VEN_TOKS = "list_filter(string_split_regex(trim(translate(vendor_X, '-_', '  ')), '\\s+'), lambda t: t <> '')"
@@ -157,8 +143,8 @@ def _clean_tokens_vendor(s, d):
     return CA.prepare_vendors(I.catalogue(s, d)).select("vendor_X", "ven_cln")
 
 
-register("lower_publisher", "SELECT Publisher0, lower(Publisher0) AS publisher0 FROM inv")(
-    lambda s, d: I.inventory(s, d).select("Publisher0", F.lower("Publisher0").alias("publisher0")))
+register("lower_publisher", "SELECT ResourceID, DisplayName0, lower(Publisher0) AS publisher0 FROM inv")(
+    lambda s, d: I.inventory(s, d).select("ResourceID", "DisplayName0", F.lower("Publisher0").alias("publisher0")))
 
 register("cpe_parse", f"""SELECT cpe23, {I._cpe_part('cpe23', 1)} AS vendor_X, {I._cpe_part('cpe23', 2)} AS software_X,
  {I._cpe_part('cpe23', 3)} AS release_X FROM f_cpe""")(
@@ -312,3 +298,7 @@ register("sample_rows")(lambda s, d: R.sample_rows(I.vulns(s, d), 20, ["Resource
 
 register("custom_reports", _pivot_sql("HostFn_X"))(
     lambda s, d: E.custom_reports(I.vulns(s, d))["host_vuln_by_fn"])
+
+
+from . import catalog_io  # noqa: E402,F401  (registers source / sink / nested keys)
+from . import catalog_match  # noqa: E402,F401  (registers scoring / candidate / model keys)

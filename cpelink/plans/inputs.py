@@ -134,3 +134,61 @@ def prelude() -> str:
 
 def sql(body: str) -> str:
     return prelude() + body
+
+
+# --- original nested shapes (as the XML sources yield them) --------------------
+
+def cpe_xml_shape(spark: SparkSession, d: str) -> DataFrame:
+    """Fixture catalogue in the XML row shape: attributes, title list, nested 2.3 name.
+
+    Titles: some entries carry a French and an English title, some only an
+    English one, some only a German one.
+    """
+    f = fixture(spark, d, "f_cpe")
+    t = F.col("title")
+    en = F.struct(t.alias("_VALUE"), F.lit("en-US").alias("_xml:lang"))
+    fr = F.struct(F.concat(t, F.lit(" (fr)")).alias("_VALUE"), F.lit("fr-FR").alias("_xml:lang"))
+    de = F.struct(F.concat(t, F.lit(" (de)")).alias("_VALUE"), F.lit("de-DE").alias("_xml:lang"))
+    sel = F.char_length("name") % 3
+    title = F.when(sel == 0, F.array(fr, en)).when(sel == 1, F.array(en)).otherwise(F.array(de))
+    return f.select(
+        F.col("name").alias("_name"), F.col("deprecated").alias("_deprecated"),
+        F.when(F.col("deprecated").isNotNull(), F.lit("2017-01-01T00:00:00.000Z")).alias("_deprecation_date"),
+        title.alias("title"), F.struct(F.col("cpe23").alias("_name")).alias("cpe-23:cpe23-item"))
+
+
+def cve_xml_shape(spark: SparkSession, d: str) -> DataFrame:
+    """Fixture feed in the XML row shape.
+
+    Entries without a score have no CVSS element; entries without a
+    complexity have no product list; LOCAL entries list a second product.
+    """
+    f = fixture(spark, d, "f_cve")
+    prods = (F.when(F.col("complexity").isNull(), F.lit(None))
+             .when(F.col("vector") == "LOCAL", F.array("product", F.concat("product", F.lit(":sp1"))))
+             .otherwise(F.array("product")))
+    metrics = F.struct(
+        F.col("score").alias("cvss:score"), F.col("vector").alias("cvss:access-vector"),
+        F.col("complexity").alias("cvss:access-complexity"), F.lit("NONE").alias("cvss:authentication"),
+        F.lit("PARTIAL").alias("cvss:confidentiality-impact"), F.lit("PARTIAL").alias("cvss:integrity-impact"),
+        F.lit("NONE").alias("cvss:availability-impact"), F.lit("nvd").alias("cvss:source"))
+    cvss = F.when(F.col("score").isNotNull(), F.struct(metrics.alias("cvss:base_metrics")))
+    return f.select(
+        F.col("cve_id").alias("_id"), F.col("cve_id").alias("vuln:cve-id"),
+        F.lit("2017-05-01T10:00:00.000-04:00").alias("vuln:last-modified-datetime"),
+        F.struct(prods.alias("vuln:product")).alias("vuln:vulnerable-software-list"),
+        cvss.alias("vuln:cvss"),
+        (F.lit(2000) + F.col("score").isNull().cast("int")).alias("_feed"),
+    )
+
+
+DERIVED.update({
+    "cpe_x": """SELECT name AS name, cpe23, CASE length(name) % 3 WHEN 2 THEN title || ' (de)' ELSE title END AS title,
+ deprecated FROM f_cpe""",
+    "cve_x": """SELECT cve_id, product, score, vector, complexity, 'NONE' AS authentication, 'PARTIAL' AS confidentiality,
+ 'PARTIAL' AS integrity, 'NONE' AS availability, 'nvd' AS cvss_src
+ FROM f_cve WHERE score IS NOT NULL AND complexity IS NOT NULL
+ UNION ALL
+ SELECT cve_id, product || ':sp1', score, vector, complexity, 'NONE', 'PARTIAL', 'PARTIAL', 'NONE', 'nvd'
+ FROM f_cve WHERE score IS NOT NULL AND complexity IS NOT NULL AND vector = 'LOCAL'""",
+})
