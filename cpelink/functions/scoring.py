@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,6 +36,7 @@ def intr(x: float) -> int:
     return int(math.floor(x + 0.5))
 
 
+@lru_cache(maxsize=1 << 16)
 def lcs_len(a: str, b: str) -> int:
     """Length of the longest common subsequence (bit-parallel, O(|a|*|b|/w))."""
     if not a or not b:
@@ -130,12 +132,30 @@ def weighted(a: str, b: str) -> int:
 
 
 def all_scores(a, b) -> tuple:
+    """All seven scores of one pair; shared intermediate strings are built once."""
     if a is None or b is None:
         return (None,) * len(SCORE_FIELDS)
-    return (
-        ratio(a, b), partial_ratio(a, b), token_set(a, b), partial_token_set(a, b),
-        token_sort(a, b), partial_token_sort(a, b), weighted(a, b),
-    )
+    p1, p2 = proc(a), proc(b)
+    s1, s2 = _sorted_tokens(p1), _sorted_tokens(p2)
+    tsort, ptsort = ratio(s1, s2), partial_ratio(s1, s2)
+    if p1 and p2:
+        t1, t2 = set(p1.split()), set(p2.split())
+        sect = " ".join(sorted(t1 & t2))
+        c12 = (sect + " " + " ".join(sorted(t1 - t2))).strip()
+        c21 = (sect + " " + " ".join(sorted(t2 - t1))).strip()
+        tset = max(ratio(sect, c12), ratio(sect, c21), ratio(c12, c21))
+        ptset = max(partial_ratio(sect, c12), partial_ratio(sect, c21), partial_ratio(c12, c21))
+        base = ratio(p1, p2)
+        len_ratio = float(max(len(p1), len(p2))) / min(len(p1), len(p2))
+        if len_ratio < 1.5:
+            w = intr(max(base, tsort * 0.95, (100 if p1 == p2 else tset) * 0.95))
+        else:
+            scale = 0.6 if len_ratio > 8 else 0.9
+            w = intr(max(base, partial_ratio(p1, p2) * scale, ptsort * 0.95 * scale,
+                         (100 if p1 == p2 else ptset) * 0.95 * scale))
+    else:
+        tset = ptset = w = 0
+    return (ratio(a, b), partial_ratio(a, b), tset, ptset, tsort, ptsort, w)
 
 
 @F.pandas_udf(SCORE_SCHEMA)

@@ -27,6 +27,17 @@ from ..functions import scoring as S
 Q = 3
 
 
+def score_partitions(df: DataFrame) -> int:
+    """Partition count for a Python-scored stage.
+
+    Scoring is CPU-bound while the rows are small, so runtime coalescing
+    would squeeze the work into a few tasks; an explicit count keeps every
+    core busy (at least the shuffle partition count).
+    """
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 # --- shared helpers ---------------------------------------------------------
 
 def _grams(s: Column, q: Column) -> Column:
@@ -118,6 +129,7 @@ def vendor_candidates(software: DataFrame, cpe: DataFrame, stop: list[str] | Non
         pairs.join(pubs, "publisher0").join(vens, "vendor_X")
         .where(F.char_length("ven_cln") <= F.char_length("pub0_cln"))
     )
+    cand = cand.repartition(score_partitions(cand), "publisher0", "vendor_X")
     scored = cand.select(
         "publisher0", "pub0_cln", "vendor_X", "ven_cln",
         S.pair_scores(F.col("ven_cln"), F.col("pub0_cln")).alias("s"),
@@ -208,15 +220,22 @@ def software_pairs(products: DataFrame, cpe: DataFrame) -> DataFrame:
 
 
 def software_candidates(products: DataFrame, cpe: DataFrame) -> DataFrame:
-    """Scored product x CPE candidates passing the version and title gates."""
-    pairs = software_pairs(pair_skip_rules(products), cpe).where(F.col("title_X").isNotNull())
-    t = N.strip_vendor("title_X", "vendor_X")
-    d = N.strip_vendor("DisplayName0", "vendor_X")
-    scored = pairs.select(
-        "*",
-        S.pair_scores(t, d).alias("s"),
-        S.pair_ratio(F.col("rel_tmp"), F.col("Version0")).alias("r"),
-    ).where(F.col("s.ptl_token_set") >= K.TITLE_GATE)
+    """Scored product x CPE candidates passing the version and title gates.
+
+    Scores depend only on the strings, so each distinct (title, display name)
+    and (release, version) string pair is scored once -- many versions of a
+    product share them -- and the results are joined back to the pairs.
+    """
+    pairs = (software_pairs(pair_skip_rules(products), cpe).where(F.col("title_X").isNotNull())
+             .withColumn("ta", N.strip_vendor("title_X", "vendor_X"))
+             .withColumn("tb", N.strip_vendor("DisplayName0", "vendor_X")))
+    titles = pairs.select("ta", "tb").distinct()
+    titles = titles.repartition(score_partitions(titles), "ta", "tb")
+    t_scored = titles.select("ta", "tb", S.pair_scores(F.col("ta"), F.col("tb")).alias("s")) \
+        .where(F.col("s.ptl_token_set") >= K.TITLE_GATE)
+    vers = pairs.select("rel_tmp", "Version0").distinct()
+    v_scored = vers.select("rel_tmp", "Version0", S.pair_ratio(F.col("rel_tmp"), F.col("Version0")).alias("r"))
+    scored = pairs.join(t_scored, ["ta", "tb"]).join(v_scored, ["rel_tmp", "Version0"])
     return scored.select(
         "vendor_X", "software_X", "title_X", "DisplayName0", "release_X", "Version0",
         F.col("s.ratio").alias("fz_ratio"),
