@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import normalize as N
 from ..functions import scoring as S
+from ..session import materialize
 
 Q = 3
 
@@ -122,8 +123,9 @@ def vendor_gate_pairs(pubs: DataFrame, vens: DataFrame) -> DataFrame:
 
 def vendor_candidates(software: DataFrame, cpe: DataFrame, stop: list[str] | None = None) -> DataFrame:
     """Scored publisher x vendor candidates (length and token gates applied)."""
-    pubs = prepare_publishers(software, stop)
-    vens = prepare_vendors(cpe, stop).where(F.char_length("ven_cln") >= K.VENDOR_MIN_CLEAN_LEN)
+    # distinct names are small but feed five joins: compute each once
+    pubs = materialize(prepare_publishers(software, stop))
+    vens = materialize(prepare_vendors(cpe, stop).where(F.char_length("ven_cln") >= K.VENDOR_MIN_CLEAN_LEN))
     pairs = vendor_gate_pairs(pubs, vens)
     cand = (
         pairs.join(pubs, "publisher0").join(vens, "vendor_X")
@@ -196,6 +198,9 @@ def software_pairs(products: DataFrame, cpe: DataFrame) -> DataFrame:
     """(product, CPE row) pairs of one vendor that pass the version gate."""
     c = cpe.withColumn(
         "rel_tmp", N.java_release("vendor_X", "software_X", "cpe23", "release_X"))
+    # both inputs feed three join branches: compute each once
+    products = materialize(products)
+    c = materialize(c)
     nv = F.lit(K.NO_VERSION)
     # Path 1: both sides versioned -> join on (vendor, version key)
     pv = products.where(F.col("Version0") != nv).select(

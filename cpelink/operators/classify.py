@@ -134,3 +134,78 @@ def software_match(cands: DataFrame, labels: DataFrame, model: PipelineModel) ->
     ml_best = best_match(positive_only(classify(unl, model)))
     lab_best = best_match(positive_only(lab))
     return match_project_software(finalise_matches(ml_best, lab_best, keys))
+
+
+def random_param_maps(rf, n: int, seed: int = 42) -> list:
+    """``n`` random forest settings drawn like the original randomised search
+    (trees 20-100, depth 3 or unlimited, 1-6 features per split, 1-6 rows per
+    leaf, bootstrap on/off, gini/entropy). The draws are configuration, made
+    on the driver; every fit runs on the cluster."""
+    import random
+    rnd = random.Random(seed)
+    maps = []
+    for _ in range(n):
+        maps.append({
+            rf.numTrees: rnd.randint(20, 100),
+            rf.maxDepth: rnd.choice([3, 30]),
+            rf.featureSubsetStrategy: str(rnd.randint(1, 6)),
+            rf.minInstancesPerNode: rnd.randint(1, 6),
+            rf.bootstrap: rnd.choice([True, False]),
+            rf.impurity: rnd.choice(["gini", "entropy"]),
+        })
+    return maps
+
+
+def tune(labels: DataFrame, features: list[str], n_candidates: int = 40, folds: int = 3,
+         seed: int = 42, parallelism: int = 8):
+    """Randomised search with k-fold cross-validation; returns the fitted CrossValidatorModel."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator
+    data = labels.select(*features, F.col("match").cast("double").alias("label")).dropna().repartition(1)
+    rf = RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed)
+    pipe = Pipeline(stages=[assembler(features), rf])
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=random_param_maps(rf, n_candidates, seed),
+                        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
+                        numFolds=folds, seed=seed, parallelism=parallelism)
+    data.persist()
+    try:
+        return cv.fit(data)
+    finally:
+        data.unpersist()
+
+
+def compare_models(labels: DataFrame, features: list[str], folds: int = 5, seed: int = 42) -> list[tuple[str, float]]:
+    """k-fold accuracy of the classifier families Spark ML offers."""
+    from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
+                                           NaiveBayes)
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    data = labels.select(*features, F.col("match").cast("double").alias("label")).dropna().repartition(1)
+    models = {
+        "random_forest": RandomForestClassifier(seed=seed),
+        "logistic_regression": LogisticRegression(maxIter=50),
+        "linear_svc": LinearSVC(maxIter=50),
+        "naive_bayes": NaiveBayes(),
+        "mlp": MultilayerPerceptronClassifier(layers=[len(features), 5, 2], seed=seed, maxIter=100),
+    }
+    ev = MulticlassClassificationEvaluator(metricName="accuracy")
+    out = []
+    data.persist()
+    try:
+        for name, est in models.items():
+            cv = CrossValidator(estimator=Pipeline(stages=[assembler(features), est]),
+                                estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
+                                numFolds=folds, seed=seed)
+            out.append((name, float(cv.fit(data).avgMetrics[0])))
+    finally:
+        data.unpersist()
+    return out
+
+
+def save_model(model: PipelineModel, path: str) -> str:
+    model.write().overwrite().save(path)
+    return path
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

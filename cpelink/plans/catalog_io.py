@@ -183,3 +183,37 @@ register("cve_product_cvss", "SELECT cve_id, product, score, vector, complexity
 def _worst_from_feeds(s, d):
     from ..operators import rollup as RU
     return RU.worst_case(C.cve_from_xml(I.cve_xml_shape(s, d))).drop("crit_X_cat")
+
+
+# --- 2.12 incremental refresh ---------------------------------------------------------
+
+def _manifest(cve):
+    """Per feed year: a digest of the year's entries (the stored feed metadata)."""
+    year = F.regexp_extract("cve_id", r"^CVE-([0-9]+)-", 1).cast("int")
+    digest = F.concat_ws(":", F.count("*").cast("string"), F.max("cve_id"), F.min("cve_id"))
+    return cve.groupBy(year.alias("year")).agg(F.sha2(digest, 256).alias("sha256"))
+
+
+_MANIFEST_SQL = ("SELECT CAST(regexp_extract(cve_id, '^CVE-([0-9]+)-', 1) AS INTEGER) AS year, "
+                 "sha256(concat_ws(':', CAST(count(*) AS VARCHAR), max(cve_id), min(cve_id))) AS sha256 FROM {src} GROUP BY 1")
+
+
+@register("feeds_changed", f""", mnew AS ({_MANIFEST_SQL.format(src='f_cve')}),
+ mold AS ({_MANIFEST_SQL.format(src='(SELECT * FROM f_cve WHERE score IS NOT NULL)')})
+SELECT * FROM mnew WHERE NOT EXISTS (SELECT 1 FROM mold WHERE mold.year = mnew.year AND mold.sha256 = mnew.sha256)""")
+def _feeds_changed(s, d):
+    from ..streaming import incremental as INC
+    cve = I.cve(s, d)
+    # the stored manifest predates the entries that had no score yet
+    return INC.feeds_changed(_manifest(cve), _manifest(cve.where(F.col("score").isNotNull())))
+
+
+@register("refresh", f"""SELECT *, {I.CRIT_SQL} AS crit_X_cat FROM (SELECT product AS cpe_prod, max(try_cast(score AS DOUBLE)) AS cvss_score,
+ ['HIGH', 'MEDIUM', 'LOW'][max(list_position(['HIGH', 'MEDIUM', 'LOW'], complexity))] AS cvss_acc_cmpl_cat,
+ ['LOCAL', 'ADJACENT_NETWORK', 'NETWORK'][max(list_position(['LOCAL', 'ADJACENT_NETWORK', 'NETWORK'], vector))] AS cvss_acc_vect_cat
+ FROM cve_x WHERE NOT coalesce(regexp_matches(product, '(?i)cpe:/[oh]:'), false) GROUP BY product) w""")
+def _refresh(s, d):
+    from ..streaming import incremental as INC
+    landing = _land_feeds(s, d)
+    base = scratch_path(s, "refresh")
+    return INC.refresh(s, landing, os.path.join(base, "state"), os.path.join(base, "checkpoint"))

@@ -17,7 +17,8 @@ from ..operators import classify as CL
 from . import inputs as I
 from . import sql_scores as Q
 from .catalog import _PUB_TOKS, _VEN_TOKS, _clean_sql
-from .registry import register
+from ..session import materialize, scratch_path
+from .registry import QUERIES, register
 
 _SCORE_COLS = {
     "score_ratio": "ratio", "score_partial_ratio": "partial", "score_token_set": "token_set",
@@ -174,8 +175,7 @@ register("pair_project")(lambda s, d: software_candidates(s, d).select(*K.SOFTWA
 # --- classification (rows-only checks) -------------------------------------------------
 
 def vendor_model(s, d):
-    looked = CL.pair_complete(_vendor_looked(s, d), K.VENDOR_KEYS + K.VENDOR_FEATURES)
-    return CL.train(CL.split_labelled(looked)[1], K.VENDOR_FEATURES, K.VENDOR_FOREST)
+    return CL.train(_vendor_training(s, d), K.VENDOR_FEATURES, K.VENDOR_FOREST)
 
 
 def software_model(s, d):
@@ -219,3 +219,31 @@ def _union_matches(s, d):
 def _software_match(s, d):
     cands = software_candidates(s, d)
     return CL.software_match(cands, I.software_labels(s, d), software_model(s, d))
+
+
+def _vendor_training(s, d):
+    looked = CL.pair_complete(_vendor_looked(s, d), K.VENDOR_KEYS + K.VENDOR_FEATURES)
+    return materialize(CL.split_labelled(looked)[1])
+
+
+@register("tune")
+def _tune(s, d):
+    cvm = CL.tune(_vendor_training(s, d), K.VENDOR_FEATURES, n_candidates=40, folds=3)
+    return s.createDataFrame([(i, float(m)) for i, m in enumerate(cvm.avgMetrics)],
+                             "candidate int, accuracy double")
+
+
+@register("compare_models")
+def _compare_models(s, d):
+    res = CL.compare_models(label_features_software(s, d), K.SOFTWARE_FEATURES)
+    return s.createDataFrame(res, "model string, accuracy double")
+
+
+@register("save_model")
+def _save_model(s, d):
+    path = CL.save_model(vendor_model(s, d), scratch_path(s, "vendor_model"))
+    unl, _ = CL.split_labelled(CL.pair_complete(_vendor_looked(s, d), K.VENDOR_KEYS + K.VENDOR_FEATURES))
+    return CL.classify(unl, CL.load_model(path)).select("publisher0", "vendor_X", "match")
+
+
+register("load_model")(QUERIES["save_model"])

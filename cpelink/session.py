@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "cpelink") -> SparkSession:
@@ -54,3 +54,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path below the shared folder (never reused)."""
     base = shared_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage of a reused intermediate with a reliable checkpoint.
+
+    The rows are written once to the session's shared checkpoint folder and
+    every later use reads them back, so the source (e.g. a large inventory)
+    is scanned once even when the result feeds several joins, and a lost
+    executor does not force recomputation from the raw inputs.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
