@@ -22,6 +22,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
 SCORE_FIELDS = [
     "ratio", "partial", "token_set", "ptl_token_set",
     "token_sort", "ptl_token_sort", "weighted",
@@ -172,13 +174,22 @@ def _pair_ratio_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["ratio", "partial"]).astype("Int32")
 
 
+# Scores are pure functions, but they are declared non-deterministic so the
+# optimizer never pushes a filter on a score below the de-duplication of
+# string pairs (it would re-run the scorer on every pre-distinct row).
+_pair_scores_udf = _pair_scores_udf.asNondeterministic()
+_pair_ratio_udf = _pair_ratio_udf.asNondeterministic()
+
+
 def pair_scores(a, b) -> Column:
     """struct<ratio, partial, token_set, ptl_token_set, token_sort, ptl_token_sort, weighted>."""
+    ship_package()
     return _pair_scores_udf(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
 
 
 def pair_ratio(a, b) -> Column:
     """struct<ratio, partial> only (for version strings)."""
+    ship_package()
     return _pair_ratio_udf(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
 
 

@@ -234,6 +234,8 @@ def software_candidates(products: DataFrame, cpe: DataFrame) -> DataFrame:
     pairs = (software_pairs(pair_skip_rules(products), cpe).where(F.col("title_X").isNotNull())
              .withColumn("ta", N.strip_vendor("title_X", "vendor_X"))
              .withColumn("tb", N.strip_vendor("DisplayName0", "vendor_X")))
+    # the pair table feeds three branches (two distinct-and-score, one join back)
+    pairs = materialize(pairs)
     titles = pairs.select("ta", "tb").distinct()
     titles = titles.repartition(score_partitions(titles), "ta", "tb")
     t_scored = titles.select("ta", "tb", S.pair_scores(F.col("ta"), F.col("tb")).alias("s")) \

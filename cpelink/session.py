@@ -56,13 +56,45 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage of a reused intermediate with a reliable checkpoint.
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage of a reused intermediate by writing it as a Parquet table.
 
-    The rows are written once to the session's shared checkpoint folder and
-    every later use reads them back, so the source (e.g. a large inventory)
-    is scanned once even when the result feeds several joins, and a lost
-    executor does not force recomputation from the raw inputs.
+    The rows are computed once, written below the session's shared
+    checkpoint folder and read back, so the source (e.g. a large inventory)
+    is scanned once even when the result feeds several joins; the planner
+    then sees the real file size for its broadcast decision, and a lost
+    executor re-reads the table instead of recomputing from raw inputs.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Make ``cpelink`` importable in the Python workers (once per application).
+
+    The package is zipped on the driver and registered with ``addPyFile``,
+    which distributes it to every executor like ``--py-files`` would.
+    """
+    import zipfile
+
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    zpath = os.path.join(tempfile.mkdtemp(prefix="cpelink-pyfiles-"), "cpelink.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("cpelink", os.path.relpath(full, pkg)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
