@@ -122,7 +122,8 @@ _VLAB = ", vl AS (SELECT publisher0, vendor_X, max(match) AS match FROM f_vendor
 
 
 def _vendor_looked(s, d):
-    c = CA.name_lengths_vendor(vendor_candidates(s, d))
+    # scored candidates feed training and classification: write them once
+    c = materialize(CA.name_lengths_vendor(vendor_candidates(s, d)), "vendor_candidates")
     return CL.label_lookup(c, I.vendor_labels(s, d), K.VENDOR_KEYS)
 
 
@@ -206,7 +207,8 @@ def _classify(s, d):
 
 @register("finalise_matches")
 def _finalise(s, d):
-    return CL.vendor_match(CA.name_lengths_vendor(vendor_candidates(s, d)), I.vendor_labels(s, d), vendor_model(s, d))
+    cands = materialize(CA.name_lengths_vendor(vendor_candidates(s, d)), "vendor_candidates")
+    return CL.vendor_match(cands, I.vendor_labels(s, d), vendor_model(s, d))
 
 
 @register("union_matches")
@@ -217,7 +219,8 @@ def _union_matches(s, d):
 
 @register("software_match")
 def _software_match(s, d):
-    cands = software_candidates(s, d)
+    # scored candidates feed the labelled and the classified branch: write them once
+    cands = materialize(software_candidates(s, d), "software_candidates")
     return CL.software_match(cands, I.software_labels(s, d), software_model(s, d))
 
 
