@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -74,14 +74,26 @@ def union_matches(classified: DataFrame, labelled: DataFrame) -> DataFrame:
             .unionByName(labelled.withColumn("_src", F.lit(1)), allowMissingColumns=True))
 
 
+def _first_per_group(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """One row per key: the smallest by ``order`` (a list of columns compared in turn).
+
+    Written as a ``min_by`` aggregation, which combines map-side: a hot key
+    is reduced inside every task before the shuffle instead of being sorted
+    as one window partition by a single task.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    picked = F.min_by(F.struct(*[F.col(c) for c in rest]), F.struct(*order)).alias("_row")
+    return df.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest]) \
+        .select(*df.columns)
+
+
 def dedup_pairs(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """Drop duplicates on the key list keeping the first row (by ``_src`` then ``order``)."""
     order_cols = [F.col("_src")] if "_src" in df.columns else []
     order_cols += [F.col(c) for c in (order or [])]
     if not order_cols:
         order_cols = [F.col(keys[0])]
-    w = Window.partitionBy(*keys).orderBy(*order_cols)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return _first_per_group(df, keys, order_cols)
 
 
 def finalise_matches(classified: DataFrame, labelled: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,9 +106,8 @@ def finalise_matches(classified: DataFrame, labelled: DataFrame, keys: list[str]
 def best_match(df: DataFrame, group: list[str] | None = None) -> DataFrame:
     """Per installed product keep the highest weighted score; ties by catalogue keys."""
     group = group or ["vendor_X", "DisplayName0", "Version0"]
-    w = Window.partitionBy(*group).orderBy(
-        F.col("fz_uwratio").desc(), "software_X", "title_X", "release_X", "t_cve_name")
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    order = [-F.col("fz_uwratio"), F.col("software_X"), F.col("title_X"), F.col("release_X"), F.col("t_cve_name")]
+    return _first_per_group(df, group, order)
 
 
 def match_project_vendor(df: DataFrame) -> DataFrame:

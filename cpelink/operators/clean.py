@@ -143,10 +143,17 @@ def cve_from_xml(xml: DataFrame, latest_only: bool = True) -> DataFrame:
 
 
 def dedup_latest(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:
-    """Keep one row per key: the greatest ``order_col`` (ties: smallest full row)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc_nulls_last())
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """Keep one row per key: the greatest ``order_col`` (null last; ties: smallest row).
+
+    A ``max_by`` aggregation (combines map-side, so a repeated key never
+    forms one large group in a single task).
+    """
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(c) for c in rest])
+    rank = F.struct(F.col(order_col).isNotNull(), F.col(order_col), row)
+    picked = F.max_by(row, rank).alias("_row")
+    return df.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest]) \
+        .select(*df.columns)
 
 
 def cve_apps_only(cve: DataFrame, col: str = "product") -> DataFrame:

@@ -91,6 +91,7 @@ register("pair_skip_webex", """SELECT * FROM products WHERE vendor_X <> 'microso
 
 register("match_project_vendor", "SELECT * FROM vmatch")(I.labelled_vendor_match)
 register("match_project_software", "SELECT * FROM lmatch")(I.labelled_software_match)
+register("match_project", "SELECT * FROM lmatch")(I.labelled_software_match)
 
 register("only_vip", "SELECT * FROM vulns WHERE VIP_X IS NOT NULL")(lambda s, d: E.only_vip(I.vulns(s, d)))
 register("only_server", "SELECT * FROM vulns WHERE HostFn_X = 'server'")(
@@ -150,6 +151,27 @@ register("cpe_parse", f"""SELECT cpe23, {I._cpe_part('cpe23', 1)} AS vendor_X, {
  {I._cpe_part('cpe23', 3)} AS release_X FROM f_cpe""")(
     lambda s, d: C.cpe_parse(fixture(s, d, "f_cpe")).select("cpe23", "vendor_X", "software_X", "release_X"))
 
+_JU = "(?i)cpe:2.3:a:(oracle|sun):(jdk|jre):1.([0-9.]*):update[_]*([0-9]*)"
+_JR = "(?i)cpe:2.3:a:(oracle|sun):(jdk|jre):1.([0-9._]*):"
+
+
+@register("java_release", f"""SELECT id, cpe23, release_X, CASE WHEN vendor_X IN ('oracle', 'sun') AND software_X IN ('jre', 'jdk') THEN
+  CASE WHEN NOT (CASE WHEN hu THEN regexp_matches(cpe23, '{_JU}') ELSE regexp_matches(cpe23, '{_JR}') END) THEN '-'
+   WHEN contains(rel, '_') THEN '1.' || rel WHEN sft = 'jre' THEN tmp WHEN starts_with(rel, '8.') THEN tmp
+   ELSE '1.' || tmp END
+ ELSE release_X END AS rel_fixed FROM (
+ SELECT *, CASE WHEN hu THEN regexp_extract(cpe23, '{_JU}', 2) ELSE regexp_extract(cpe23, '{_JR}', 2) END AS sft,
+  CASE WHEN hu THEN regexp_extract(cpe23, '{_JU}', 3) ELSE regexp_extract(cpe23, '{_JR}', 3) END AS rel,
+  CASE WHEN hu THEN regexp_extract(cpe23, '{_JU}', 3) || '.' || regexp_extract(cpe23, '{_JU}', 4) || '0'
+   ELSE regexp_extract(cpe23, '{_JR}', 3) END AS tmp FROM (
+  SELECT id, cpe23, contains(cpe23, 'update') AS hu, {I._cpe_part('cpe23', 1)} AS vendor_X,
+   {I._cpe_part('cpe23', 2)} AS software_X, {I._cpe_part('cpe23', 3)} AS release_X FROM f_java) a) b""")
+def _java_release(s, d):
+    df = C.cpe_parse(fixture(s, d, "f_java"))
+    return df.select("id", "cpe23", "release_X",
+                     N.java_release("vendor_X", "software_X", "cpe23", "release_X").alias("rel_fixed"))
+
+
 register("strip_vendor", """SELECT vendor_X, title_X, DisplayName0, replace(lower(title_X), vendor_X, ' ') AS title_tmp,
  replace(lower(DisplayName0), vendor_X, ' ') AS dsply_tmp FROM f_software_labels""")(
     lambda s, d: I.software_labels(s, d).select(

@@ -104,6 +104,18 @@ SW_APPS = """sw AS (SELECT DISTINCT lower(replace(p_brand, '#', '')) AS v, repla
  FROM {part} WHERE p_type NOT IN ('PROMO', 'LARGE') AND p_size <> 50)"""
 F_SOFTWARE_LABELS = "WITH " + SW_APPS + F_SOFTWARE_LABELS
 
+# JDK / JRE catalogue names covering the release rules: update_NN, bare
+# "update", two-digit update glued to the keyword, old releases with '_',
+# plain releases; vendor and product alternate between oracle/sun, jdk/jre.
+F_JAVA = """
+SELECT p_partkey AS id, 'cpe:2.3:a:' || CASE WHEN p_size % 2 = 0 THEN 'oracle' ELSE 'sun' END || ':'
+ || CASE WHEN p_partkey % 2 = 0 THEN 'jdk' ELSE 'jre' END || ':1.' || CAST(p_size % 9 AS STRING)
+ || CASE p_partkey % 5 WHEN 0 THEN '.0:update_' || CAST(p_partkey % 60 AS STRING) WHEN 1 THEN '.2_'
+ || CAST(p_partkey % 30 AS STRING) || ':' WHEN 2 THEN '.0:' WHEN 3 THEN '.0:update' ELSE '.1:update'
+ || CAST(p_partkey % 40 AS STRING) END || ':*:*:*:*:*:*' AS cpe23
+FROM {part}
+"""
+
 FIXTURES = {
     "f_hosts": (F_HOSTS, ["customer", "nation", "region"]),
     "f_inventory": (F_INVENTORY, ["lineitem", "orders", "part"]),
@@ -113,6 +125,7 @@ FIXTURES = {
     "f_site_regions": (F_SITE_REGIONS, ["nation", "region"]),
     "f_vendor_labels": (F_VENDOR_LABELS, ["part"]),
     "f_software_labels": (F_SOFTWARE_LABELS, ["part"]),
+    "f_java": (F_JAVA, ["part"]),
 }
 
 

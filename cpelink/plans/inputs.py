@@ -121,7 +121,7 @@ DERIVED = {
 }
 
 FIXTURE_NAMES = ["f_hosts", "f_inventory", "f_cpe", "f_cve", "f_ad_group", "f_site_regions",
-                 "f_vendor_labels", "f_software_labels"]
+                 "f_vendor_labels", "f_software_labels", "f_java"]
 
 
 def prelude() -> str:

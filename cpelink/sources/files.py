@@ -102,6 +102,15 @@ def read_dump(spark: SparkSession, path: str, schema: T.StructType, sep: str = S
     last = schema.fields[-1].name
     if isinstance(schema.fields[-1].dataType, T.StringType):
         df = df.withColumn(last, F.nullif(F.regexp_replace(F.col(last), "\r$", ""), F.lit("")))
+    # A header preceded by a comment line is read as data (the first line is
+    # the one skipped as header, and a byte-order mark hides its '#'): drop rows
+    # that repeat the column names.
+    names = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
+    if names:
+        is_header = F.lit(True)
+        for n in names:
+            is_header = is_header & F.coalesce(F.col(n) == F.lit(n), F.lit(False))
+        df = df.where(~is_header)
     return _strip_nul(df, schema)
 
 

@@ -122,3 +122,12 @@ def test_stage_roundtrip(spark):
     S.save_stage(df, d, "t", ["s"])
     back = S.load_stage(spark, d, "t")
     assert sorted((r.id, r.s, r.arch_X) for r in back.collect()) == [(1, "a", True), (2, "b", False)]
+
+
+def test_ad_group_unquoted_header(spark):
+    d = _tmp()
+    p = os.path.join(d, "vip2.csv")
+    # an unquoted DN splits into three fields: an over-long row, skipped
+    _write_utf16(p, ["#TYPE x", "distinguishedName", "CN=b,OU=x,DC=y", '"CN=c,OU=x,DC=y"', "plain"])
+    assert sorted(r.distinguishedName for r in S.scan_ad_group(spark, p).collect()) == [
+        "CN=c,OU=x,DC=y", "plain"]
