@@ -194,55 +194,93 @@ def _version_keys(v: Column) -> Column:
     )
 
 
-def software_pairs(products: DataFrame, cpe: DataFrame) -> DataFrame:
-    """(product, CPE row) pairs of one vendor that pass the version gate."""
-    c = cpe.withColumn(
-        "rel_tmp", N.java_release("vendor_X", "software_X", "cpe23", "release_X"))
-    # both inputs feed three join branches: compute each once
-    products = materialize(products)
-    c = materialize(c)
+def _with_release(cpe: DataFrame) -> DataFrame:
+    return cpe.withColumn("rel_tmp", N.java_release("vendor_X", "software_X", "cpe23", "release_X"))
+
+
+def _versioned_pairs(products: DataFrame, c: DataFrame) -> DataFrame:
+    """Both sides versioned: join on (vendor, version key), then the exact gate."""
     nv = F.lit(K.NO_VERSION)
-    # Path 1: both sides versioned -> join on (vendor, version key)
     pv = products.where(F.col("Version0") != nv).select(
         "*", F.explode(_version_keys(F.col("Version0"))).alias("vk"))
     cv = c.where(F.col("rel_tmp") != nv).select(
         "*", F.explode(_version_keys(F.col("rel_tmp"))).alias("vk"))
-    p1 = (
+    pairs = (
         pv.alias("p").join(cv.alias("c"), (F.col("p.vendor_X") == F.col("c.vendor_X"))
                            & (F.col("p.vk.k") == F.col("c.vk.k"))
                            & ((F.col("p.vk.role") + F.col("c.vk.role")) < 2))
         .select("p.vendor_X", "p.DisplayName0", "p.Version0", "c.software_X", "c.release_X",
                 "c.rel_tmp", "c.title_X", "c.cpe23", "c.cpe_name")
     )
-    # Path 2: a '-' on either side -> vendor equi-join, no version gate
+    return pairs.where(S.version_gate("rel_tmp", "Version0"))
+
+
+def software_pairs(products: DataFrame, cpe: DataFrame) -> DataFrame:
+    """(product, CPE row) pairs of one vendor that pass the version gate."""
+    # both inputs feed three join branches: compute each once
+    products = materialize(products)
+    c = materialize(_with_release(cpe))
+    nv = F.lit(K.NO_VERSION)
+    p1 = _versioned_pairs(products, c)
+    # a '-' on either side: vendor equi-join, no version gate
     base_p = products.select("vendor_X", "DisplayName0", "Version0")
     base_c = c.select("vendor_X", "software_X", "release_X", "rel_tmp", "title_X", "cpe23", "cpe_name")
     p2a = base_p.where(F.col("Version0") == nv).join(base_c, "vendor_X")
-    p2b = base_p.where(F.col("Version0") != nv).join(
-        base_c.where(F.col("rel_tmp") == nv), "vendor_X")
-    pairs = p1.unionByName(p2a).unionByName(p2b)
-    return pairs.where(S.version_gate("rel_tmp", "Version0"))
+    p2b = base_p.where(F.col("Version0") != nv).join(base_c.where(F.col("rel_tmp") == nv), "vendor_X")
+    return p1.unionByName(p2a).unionByName(p2b)
 
 
 def software_candidates(products: DataFrame, cpe: DataFrame) -> DataFrame:
     """Scored product x CPE candidates passing the version and title gates.
 
-    Scores depend only on the strings, so each distinct (title, display name)
-    and (release, version) string pair is scored once -- many versions of a
-    product share them -- and the results are joined back to the pairs.
+    The title gate and the title scores depend only on (vendor, catalogue
+    title, display name), the release scores only on (release, version). So:
+
+    1. versioned pairs come from the blocked version join;
+    2. the (vendor, display name, title) combinations to judge are those of
+       step 1 plus, for unversioned products, every distinct title of the
+       vendor and, for unversioned catalogue rows, every distinct display
+       name of the vendor -- distinct strings, not product x catalogue rows;
+    3. each distinct (title, display name) string pair is scored once;
+    4. only passing combinations are expanded back to product x catalogue
+       pairs, so the product x catalogue explosion is output-sized.
     """
-    pairs = (software_pairs(pair_skip_rules(products), cpe).where(F.col("title_X").isNotNull())
-             .withColumn("ta", N.strip_vendor("title_X", "vendor_X"))
-             .withColumn("tb", N.strip_vendor("DisplayName0", "vendor_X")))
-    # the pair table feeds three branches (two distinct-and-score, one join back)
-    pairs = materialize(pairs)
-    titles = pairs.select("ta", "tb").distinct()
-    titles = titles.repartition(score_partitions(titles), "ta", "tb")
-    t_scored = titles.select("ta", "tb", S.pair_scores(F.col("ta"), F.col("tb")).alias("s")) \
+    nv = F.lit(K.NO_VERSION)
+    products = materialize(pair_skip_rules(products), "products")
+    c = materialize(_with_release(cpe).where(F.col("title_X").isNotNull()), "catalogue")
+    p1 = materialize(_versioned_pairs(products, c), "versioned_pairs")
+
+    disp_u = products.where(F.col("Version0") == nv).select("vendor_X", "DisplayName0").distinct()
+    disp_v = products.where(F.col("Version0") != nv).select("vendor_X", "DisplayName0").distinct()
+    titles_all = c.select("vendor_X", "title_X").distinct()
+    titles_dash = c.where(F.col("rel_tmp") == nv).select("vendor_X", "title_X").distinct()
+    combos = (p1.select("vendor_X", "DisplayName0", "title_X")
+              .unionByName(disp_u.join(titles_all, "vendor_X"))
+              .unionByName(disp_v.join(titles_dash, "vendor_X"))
+              .distinct()
+              .withColumn("ta", N.strip_vendor("title_X", "vendor_X"))
+              .withColumn("tb", N.strip_vendor("DisplayName0", "vendor_X")))
+    combos = materialize(combos, "title_combos")
+
+    strings = combos.select("ta", "tb").distinct()
+    strings = strings.repartition(score_partitions(strings), "ta", "tb")
+    t_scored = strings.select("ta", "tb", S.pair_scores(F.col("ta"), F.col("tb")).alias("s")) \
         .where(F.col("s.ptl_token_set") >= K.TITLE_GATE)
+    passing = materialize(combos.join(t_scored, ["ta", "tb"]).select(
+        "vendor_X", "DisplayName0", "title_X", "s"), "passing_titles")
+
+    prod = products.select("vendor_X", "DisplayName0", "Version0")
+    cat = c.select("vendor_X", "software_X", "release_X", "rel_tmp", "title_X", "cpe23", "cpe_name")
+    e1 = p1.join(passing, ["vendor_X", "DisplayName0", "title_X"])
+    e2a = prod.where(F.col("Version0") == nv).join(passing, ["vendor_X", "DisplayName0"]) \
+        .join(cat, ["vendor_X", "title_X"])
+    e2b = prod.where(F.col("Version0") != nv).join(passing, ["vendor_X", "DisplayName0"]) \
+        .join(cat.where(F.col("rel_tmp") == nv), ["vendor_X", "title_X"])
+    pairs = e1.unionByName(e2a).unionByName(e2b)
+
     vers = pairs.select("rel_tmp", "Version0").distinct()
     v_scored = vers.select("rel_tmp", "Version0", S.pair_ratio(F.col("rel_tmp"), F.col("Version0")).alias("r"))
-    scored = pairs.join(t_scored, ["ta", "tb"]).join(v_scored, ["rel_tmp", "Version0"])
+    scored = pairs.join(v_scored, ["rel_tmp", "Version0"])
     return scored.select(
         "vendor_X", "software_X", "title_X", "DisplayName0", "release_X", "Version0",
         F.col("s.ratio").alias("fz_ratio"),
