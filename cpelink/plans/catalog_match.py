@@ -16,7 +16,7 @@ from ..operators import candidates as CA
 from ..operators import classify as CL
 from . import inputs as I
 from . import sql_scores as Q
-from .catalog import _PUB_TOKS, _VEN_TOKS, _clean_sql
+from .catalog import _JR, _JU, _PUB_TOKS, _VEN_TOKS, _clean_sql
 from ..session import materialize, scratch_path
 from .registry import QUERIES, register
 
@@ -169,8 +169,49 @@ def software_candidates(s, d):
     return CA.software_candidates(I.products(s, d), I.catalogue(s, d))
 
 
-register("software_candidates")(software_candidates)
-register("pair_project")(lambda s, d: software_candidates(s, d).select(*K.SOFTWARE_KEYS, "t_cve_name"))
+def _java_sql(cpe23: str, vendor: str, software: str, release: str) -> str:
+    """SQL twin of the JDK/JRE release rule (expression form)."""
+    ju, jr = _JU, _JR
+    hu = f"contains({cpe23}, 'update')"
+    sft = f"(CASE WHEN {hu} THEN regexp_extract({cpe23}, '{ju}', 2) ELSE regexp_extract({cpe23}, '{jr}', 2) END)"
+    rel = f"(CASE WHEN {hu} THEN regexp_extract({cpe23}, '{ju}', 3) ELSE regexp_extract({cpe23}, '{jr}', 3) END)"
+    tmp = (f"(CASE WHEN {hu} THEN regexp_extract({cpe23}, '{ju}', 3) || '.' || regexp_extract({cpe23}, '{ju}', 4) || '0' "
+           f"ELSE regexp_extract({cpe23}, '{jr}', 3) END)")
+    ok = f"(CASE WHEN {hu} THEN regexp_matches({cpe23}, '{ju}') ELSE regexp_matches({cpe23}, '{jr}') END)"
+    return (f"(CASE WHEN {vendor} IN ('oracle', 'sun') AND {software} IN ('jre', 'jdk') THEN "
+            f"CASE WHEN NOT {ok} THEN '-' WHEN contains({rel}, '_') THEN '1.' || {rel} WHEN {sft} = 'jre' THEN {tmp} "
+            f"WHEN starts_with({rel}, '8.') THEN {tmp} ELSE '1.' || {tmp} END ELSE {release} END)")
+
+
+# brute force: every same-vendor pair, the version gate as a predicate, the
+# title gate by the SQL scorer over the distinct (title, display) strings
+_SC_SQL = (f""", sp AS (SELECT * FROM products WHERE vendor_X <> 'microsoft' AND NOT (vendor_X = 'cisco'
+  AND Version0 = '-' AND contains(lower(DisplayName0), 'webex'))),
+ sc AS (SELECT *, {_java_sql('cpe23', 'vendor_X', 'software_X', 'release_X')} AS rel_tmp FROM cpe WHERE title_X IS NOT NULL),
+ pr AS (SELECT p.vendor_X, p.DisplayName0, p.Version0, c.software_X, c.release_X, c.rel_tmp, c.title_X, c.cpe_name,
+   replace(lower(c.title_X), c.vendor_X, ' ') AS ta, replace(lower(p.DisplayName0), c.vendor_X, ' ') AS tb
+  FROM sp p JOIN sc c ON p.vendor_X = c.vendor_X
+  WHERE c.rel_tmp = '-' OR p.Version0 = '-' OR c.rel_tmp = p.Version0 OR (least(length(c.rel_tmp), length(p.Version0)) > 0
+   AND (CASE WHEN length(c.rel_tmp) <= length(p.Version0) THEN contains(p.Version0, c.rel_tmp) ELSE contains(c.rel_tmp, p.Version0) END)
+   AND floor(100.0 * (2.0 * least(length(c.rel_tmp), length(p.Version0))
+    / (least(length(c.rel_tmp), length(p.Version0)) + greatest(length(c.rel_tmp), length(p.Version0)))) + 0.5) >= 90)),
+ tt AS (SELECT DISTINCT ta, tb FROM pr)
+""" + _staged("tt", "ta", "tb", "w_"))
+_WSC = Q.scores("ta", "tb", "w_")
+_SC_SQL += f""", ts AS (SELECT ta, tb, {_WSC['ratio']} AS fz_ratio, {_WSC['partial']} AS fz_ptl_ratio,
+ {_WSC['ptl_token_set']} AS fz_tok_set_ratio, {_WSC['token_sort']} AS fz_ptl_tok_sort_ratio,
+ {_WSC['weighted']} AS fz_uwratio FROM w_s2),
+ sw AS (SELECT pr.vendor_X, pr.software_X, pr.title_X, pr.DisplayName0, pr.release_X, pr.Version0, ts.fz_ratio,
+  ts.fz_ptl_ratio, ts.fz_tok_set_ratio, ts.fz_ptl_tok_sort_ratio, ts.fz_uwratio,
+  {Q.ratio('pr.rel_tmp', 'pr.Version0')} AS fz_rel_ratio, {Q.partial_ratio('pr.rel_tmp', 'pr.Version0')} AS fz_rel_ptl_ratio,
+  pr.cpe_name AS t_cve_name, CAST(length(pr.title_X) AS INTEGER) AS titlX_len,
+  CAST(length(pr.DisplayName0) AS INTEGER) AS DsplyNm0_len
+  FROM pr JOIN ts ON pr.ta = ts.ta AND pr.tb = ts.tb WHERE ts.fz_tok_set_ratio >= 70)
+"""
+
+register("software_candidates", _SC_SQL + "SELECT * FROM sw")(software_candidates)
+register("pair_project", _SC_SQL + f"SELECT {', '.join(K.SOFTWARE_KEYS)}, t_cve_name FROM sw")(
+    lambda s, d: software_candidates(s, d).select(*K.SOFTWARE_KEYS, "t_cve_name"))
 
 
 # --- classification (rows-only checks) -------------------------------------------------
