@@ -43,8 +43,8 @@ def _hadoop_fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _latest_version(spark: SparkSession, table_dir: str) -> int | None:
-    """Highest committed version number of a versioned table (``v<N>/_SUCCESS``)."""
+def _latest_version(spark: SparkSession, table_dir: str, before: int | None = None) -> int | None:
+    """Highest committed version number (``v<N>/_SUCCESS``), optionally below ``before``."""
     fs, p = _hadoop_fs(spark, table_dir)
     if not fs.exists(p):
         return None
@@ -52,14 +52,14 @@ def _latest_version(spark: SparkSession, table_dir: str) -> int | None:
     for st in fs.listStatus(p):
         name = st.getPath().getName()
         if name.startswith("v") and name[1:].isdigit():
-            if fs.exists(st.getPath().suffix("/_SUCCESS")):
-                n = int(name[1:])
+            n = int(name[1:])
+            if (before is None or n < before) and fs.exists(st.getPath().suffix("/_SUCCESS")):
                 best = n if best is None or n > best else best
     return best
 
 
-def read_versioned(spark: SparkSession, table_dir: str) -> DataFrame | None:
-    v = _latest_version(spark, table_dir)
+def read_versioned(spark: SparkSession, table_dir: str, before: int | None = None) -> DataFrame | None:
+    v = _latest_version(spark, table_dir, before)
     return None if v is None else spark.read.parquet(os.path.join(table_dir, f"v{v}"))
 
 
@@ -83,7 +83,9 @@ def merge_batch(spark: SparkSession, batch_xml: DataFrame, state_dir: str, epoch
     entries = C.dedup_latest(entries, ["cve_id"], "modified")
     new_rows = entries.select("cve_id", "modified", F.explode("products").alias("product"),
                               "score", "vector", "complexity")
-    old = read_versioned(spark, cve_dir)
+    # state as of the previous batch: a re-run of this epoch after a failure
+    # starts from the same input and rewrites the same version (idempotent)
+    old = read_versioned(spark, cve_dir, before=epoch)
     touched = new_rows.select(F.col("product").alias("cpe_prod"))
     if old is None:
         merged = new_rows
@@ -99,7 +101,7 @@ def merge_batch(spark: SparkSession, batch_xml: DataFrame, state_dir: str, epoch
     _write_version(merged.select(*CVE_STATE_COLS), cve_dir, epoch)
     merged_now = spark.read.parquet(os.path.join(cve_dir, f"v{epoch}"))
     fresh = RU.worst_case(merged_now.join(touched.withColumnRenamed("cpe_prod", "product"), "product", "left_semi"))
-    old_worst = read_versioned(spark, worst_dir)
+    old_worst = read_versioned(spark, worst_dir, before=epoch)
     worst = fresh if old_worst is None else old_worst.join(touched, "cpe_prod", "left_anti").unionByName(fresh)
     _write_version(worst, worst_dir, epoch)
 
