@@ -149,7 +149,7 @@ def software_match(cands: DataFrame, labels: DataFrame, model: PipelineModel) ->
 
 def random_param_maps(rf, n: int, seed: int = 42) -> list:
     """``n`` random forest settings drawn like the original randomised search
-    (trees 20-100, depth 3 or unlimited, 1-6 features per split, 1-6 rows per
+    (trees 20-99, depth 3 or unlimited, 1-6 features per split, 1-6 rows per
     leaf, bootstrap on/off, gini/entropy). The draws are configuration, made
     on the driver; every fit runs on the cluster."""
     import random
@@ -157,7 +157,7 @@ def random_param_maps(rf, n: int, seed: int = 42) -> list:
     maps = []
     for _ in range(n):
         maps.append({
-            rf.numTrees: rnd.randint(20, 100),
+            rf.numTrees: rnd.randint(20, 99),
             rf.maxDepth: rnd.choice([3, 30]),
             rf.featureSubsetStrategy: str(rnd.randint(1, 6)),
             rf.minInstancesPerNode: rnd.randint(1, 6),

@@ -67,5 +67,7 @@ def profile_distinct(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
-    """Reproducible pseudo-random sample of ``n`` rows (hash order of the keys)."""
-    return df.orderBy(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), *keys).limit(n)
+    """Reproducible pseudo-random sample of ``n`` rows: the rows whose seeded
+    MD5 of the keys is smallest (top-k, so each task keeps only ``n`` rows)."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    return df.orderBy(h, *keys).limit(n)
