@@ -313,7 +313,7 @@ register("top_high_servers_region", _top_sql(
     lambda s, d: R.top_high(E.only_server(I.vulns(s, d)), where=F.col("Region_X") == "Region_A"))
 register("top_sites", _pivot_sql("Site_X") + " ORDER BY High DESC, Medium DESC, Site_X LIMIT 10")(
     lambda s, d: R.top_sites(I.vulns(s, d)))
-_SAMPLE_KEYS = ["ResourceID", "t_cve_name", "DisplayName0", "Version0", "arch_X"]
+_SAMPLE_KEYS = ["ResourceID", "t_cve_name", "DisplayName0", "Version0", "arch_X", "Publisher0"]
 register("sample_rows", f"""SELECT * FROM vulns ORDER BY md5(concat_ws('|', '42',
  {", ".join(f"CAST({k} AS VARCHAR)" for k in _SAMPLE_KEYS)})), {", ".join(_SAMPLE_KEYS)} LIMIT 20""")(
     lambda s, d: R.sample_rows(I.vulns(s, d), 20, _SAMPLE_KEYS))
