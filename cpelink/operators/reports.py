@@ -28,18 +28,23 @@ def top_high(df: DataFrame, k: int = K.TOP_HIGH_K, where: Column | None = None)
     return top_counts(df, "t_cve_name", k, cond)
 
 
-def by_criticality(df: DataFrame, dim: str) -> DataFrame:
+def by_criticality(df: DataFrame, dim: str, all_values: DataFrame | None = None) -> DataFrame:
     """Row counts by (dim, criticality) pivoted to High / Low / Medium columns, missing -> 0.
 
-    Null ``dim`` values are dropped (as a group-by on them would).
+    Null ``dim`` values are dropped (as a group-by on them would). With
+    ``all_values`` (one column named ``dim``), values without any row are
+    kept with zero counts.
     """
-    return (df.where(F.col(dim).isNotNull()).groupBy(dim).pivot("crit_X_cat", K.CRIT_PIVOT)
-            .count().na.fill(0, K.CRIT_PIVOT))
+    out = (df.where(F.col(dim).isNotNull()).groupBy(dim).pivot("crit_X_cat", K.CRIT_PIVOT)
+           .count().na.fill(0, K.CRIT_PIVOT))
+    if all_values is not None:
+        out = all_values.select(dim).dropna().distinct().join(out, dim, "left").na.fill(0, K.CRIT_PIVOT)
+    return out
 
 
-def top_sites(df: DataFrame, k: int = K.TOP_SITES_K) -> DataFrame:
-    """Sites with most High, then most Medium installs."""
-    return by_criticality(df, "Site_X").orderBy(
+def top_sites(df: DataFrame, k: int = K.TOP_SITES_K, all_sites: DataFrame | None = None) -> DataFrame:
+    """Sites with most High, then most Medium installs (``all_sites`` keeps empty sites)."""
+    return by_criticality(df, "Site_X", all_sites).orderBy(
         F.col("High").desc(), F.col("Medium").desc(), F.col("Site_X")).limit(k)
 
 

@@ -257,6 +257,10 @@ def _pivot_sql(dim: str) -> str:
 
 
 register("site_by_criticality", _pivot_sql("Site_X"))(lambda s, d: R.by_criticality(I.vulns(s, d), "Site_X"))
+register("site_by_criticality_all_sites", """SELECT s.Site_X, coalesce(c.High, 0) AS High, coalesce(c.Low, 0) AS Low,
+ coalesce(c.Medium, 0) AS Medium FROM (SELECT DISTINCT Site_X FROM hosts) s LEFT JOIN (""" + _pivot_sql("Site_X")
+         + ") c ON s.Site_X = c.Site_X")(
+    lambda s, d: R.by_criticality(I.vulns(s, d), "Site_X", I.hosts(s, d).select("Site_X")))
 register("fn_by_criticality", _pivot_sql("HostFn_X"))(lambda s, d: R.by_criticality(I.vulns(s, d), "HostFn_X"))
 register("vip_counts", "SELECT VIP_X, count(*) AS n FROM vulns WHERE VIP_X IS NOT NULL GROUP BY VIP_X")(
     lambda s, d: R.value_counts(I.vulns(s, d), "VIP_X"))

@@ -291,3 +291,18 @@ def _save_model(s, d):
 
 
 register("load_model")(QUERIES["save_model"])
+
+
+@register("pipeline_run")
+def _pipeline_run(s, d):
+    """The whole batch run (fuzzy matching with the trained forests) -> top 25 High."""
+    from ..operators import enrich as E
+    from .fixtures import fixture
+    from .pipeline import Inputs, run
+    inp = Inputs(hosts=fixture(s, d, "f_hosts"), software=fixture(s, d, "f_inventory"),
+                 cpe=fixture(s, d, "f_cpe"), cve=fixture(s, d, "f_cve"),
+                 vendor_labels=I.vendor_labels(s, d), software_labels=I.software_labels(s, d))
+    regions, group = fixture(s, d, "f_site_regions"), fixture(s, d, "f_ad_group")
+    out = run(s, inp, scratch_path(s, "pipeline"), enrich=lambda h: E.enrich_hosts(h, regions, group),
+              reports=E.custom_reports)
+    return out["top25_sft_high"]
