@@ -35,44 +35,68 @@ class Inputs:
     stop_words: list[str] = field(default_factory=lambda: list(K.STOP_WORDS))
 
 
-def _stage(spark: SparkSession, df: DataFrame, stage_dir: str, name: str,
-           partition_by: list[str] | None = None) -> DataFrame:
-    S.save_stage(df, stage_dir, name, partition_by)
+def _committed(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _stage(spark: SparkSession, df, stage_dir: str, name: str,
+           partition_by: list[str] | None = None, resume: bool = False) -> DataFrame:
+    """Write a stage table and continue from the written copy.
+
+    With ``resume`` a stage that was already committed by an earlier
+    (interrupted) run is loaded instead of recomputed, so a restarted run
+    continues after the last completed stage.
+    """
+    import os
+    if not (resume and _committed(spark, os.path.join(stage_dir, name))):
+        S.save_stage(df() if callable(df) else df, stage_dir, name, partition_by)
     return S.load_stage(spark, stage_dir, name)
 
 
 def run(spark: SparkSession, inp: Inputs, stage_dir: str,
         enrich: E.EnrichHook | None = None, reports: E.ReportHook | None = None,
         vendor_model: PipelineModel | None = None, software_model: PipelineModel | None = None,
-        publisher_key: str = "normalized", fill_version_on_join: bool = False) -> dict[str, DataFrame]:
-    """Run all stages; returns the final table and the report frames."""
+        publisher_key: str = "normalized", fill_version_on_join: bool = False,
+        resume: bool = False) -> dict[str, DataFrame]:
+    """Run all stages; returns the final table and the report frames.
+
+    ``resume=True`` reuses stage tables committed under ``stage_dir`` by an
+    earlier run (restart after a failure without redoing finished stages).
+    """
+    import os
+    from functools import partial
+    stage = partial(_stage, resume=resume)
     hosts = C.clean_hosts(inp.hosts)
     if enrich is not None:
         hosts = hosts.transform(enrich)
-    hosts = _stage(spark, hosts, stage_dir, "hosts")
-    software = _stage(spark, C.clean_inventory(inp.software), stage_dir, "software", ["arch_X"])
-    cpe = _stage(spark, C.clean_cpe(inp.cpe), stage_dir, "cpe")
-    worst = _stage(spark, RU.worst_case(inp.cve), stage_dir, "worst_case")
+    hosts = stage(spark, hosts, stage_dir, "hosts")
+    software = stage(spark, C.clean_inventory(inp.software), stage_dir, "software", ["arch_X"])
+    cpe = stage(spark, C.clean_cpe(inp.cpe), stage_dir, "cpe")
+    worst = stage(spark, RU.worst_case(inp.cve), stage_dir, "worst_case")
 
     # vendor stage
-    vcands = _stage(spark, CA.name_lengths_vendor(CA.vendor_candidates(software, cpe, inp.stop_words)),
-                    stage_dir, "vendor_candidates")
-    if vendor_model is None:
+    vcands = stage(spark, lambda: CA.name_lengths_vendor(CA.vendor_candidates(software, cpe, inp.stop_words)),
+                   stage_dir, "vendor_candidates")
+    done = lambda name: resume and _committed(spark, os.path.join(stage_dir, name))
+    if vendor_model is None and not done("vendor_match"):
         looked = CL.pair_complete(CL.label_lookup(vcands, inp.vendor_labels, K.VENDOR_KEYS),
                                   K.VENDOR_KEYS + K.VENDOR_FEATURES)
         vendor_model = CL.train(CL.split_labelled(looked)[1], K.VENDOR_FEATURES, K.VENDOR_FOREST)
-    vmatch = _stage(spark, CL.vendor_match(vcands, inp.vendor_labels, vendor_model), stage_dir, "vendor_match")
+    vmatch = stage(spark, lambda: CL.vendor_match(vcands, inp.vendor_labels, vendor_model),
+                   stage_dir, "vendor_match")
 
     # software stage
     products = CA.distinct_products(CA.inv_with_vendor(software, vmatch, publisher_key))
-    scands = _stage(spark, CA.software_candidates(products, cpe), stage_dir, "software_candidates")
-    if software_model is None:
+    scands = stage(spark, lambda: CA.software_candidates(products, cpe), stage_dir, "software_candidates")
+    if software_model is None and not done("software_match"):
         lab = CL.split_labelled(CL.label_lookup(scands, inp.software_labels, K.SOFTWARE_KEYS))[1]
         software_model = CL.train(lab, K.SOFTWARE_FEATURES, K.SOFTWARE_FOREST)
-    smatch = _stage(spark, CL.software_match(scands, inp.software_labels, software_model),
-                    stage_dir, "software_match")
+    smatch = stage(spark, lambda: CL.software_match(scands, inp.software_labels, software_model),
+                   stage_dir, "software_match")
 
-    vulns = _stage(spark, RU.hosts_with_vulns(hosts, software, smatch, worst, fill_version_on_join),
+    vulns = stage(spark, RU.hosts_with_vulns(hosts, software, smatch, worst, fill_version_on_join),
                    stage_dir, "sft_vuln")
     out = {
         "sft_vuln": vulns,

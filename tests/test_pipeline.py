@@ -42,3 +42,20 @@ def test_pipeline_end_to_end(spark, sf_dir):
     assert v.count() > 0
     assert out["top25_sft_high"].count() <= 25
     assert "host_vuln_by_fn" in out
+
+
+def test_pipeline_resume_skips_committed_stages(spark, sf_dir):
+    inp = Inputs(
+        hosts=fixture(spark, sf_dir, "f_hosts"),
+        software=fixture(spark, sf_dir, "f_inventory"),
+        cpe=fixture(spark, sf_dir, "f_cpe"),
+        cve=fixture(spark, sf_dir, "f_cve"),
+        vendor_labels=I.vendor_labels(spark, sf_dir),
+        software_labels=I.software_labels(spark, sf_dir),
+    )
+    d = tempfile.mkdtemp(prefix="cpelink-resume-")
+    first = run(spark, inp, d, resume=True)
+    a = sorted(tuple(r) for r in first["top25_sft_high"].collect())
+    # a second run finds every stage committed and trains nothing
+    second = run(spark, inp, d, resume=True)
+    assert sorted(tuple(r) for r in second["top25_sft_high"].collect()) == a
