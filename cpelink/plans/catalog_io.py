@@ -21,10 +21,6 @@ from . import inputs as I
 from .registry import register
 from .fixtures import fixture
 
-_CVE_COLS = ["cve_id", "product", "score", "vector", "complexity", "authentication", "confidentiality",
-             "integrity", "availability", "cvss_src"]
-
-
 # --- 2.1 scans ------------------------------------------------------------------
 
 @register("scan_hosts", "SELECT * FROM f_hosts")
