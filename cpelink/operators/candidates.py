@@ -12,7 +12,12 @@ are *implied* by the gates, so no qualifying pair is lost:
   the version gate, which implies that one version string contains the other
   and their lengths are close; the join key is the version itself or one of
   its near-full-length substrings. Pairs where either side has no version
-  ('-') are not gated on versions and join on the vendor alone.
+  ('-') are not gated on versions; their title gate (a fuzzy 70-point
+  threshold) is judged on distinct (display name, title) strings of the
+  vendor and only passing combinations are expanded to product x catalogue
+  pairs. (An exact q-gram bound exists -- with at most d = 0.61 m indels a
+  piece of length ~m/(d+1) survives -- but such 1-2 character pieces block
+  almost nothing, so it is not used.)
 """
 
 from __future__ import annotations
