@@ -262,7 +262,11 @@ def _union_matches(s, d):
 def _software_match(s, d):
     # scored candidates feed the labelled and the classified branch: write them once
     cands = materialize(software_candidates(s, d), "software_candidates")
-    return CL.software_match(cands, I.software_labels(s, d), software_model(s, d))
+    labels = I.software_labels(s, d)
+    # train on the labelled candidates (their features are already computed)
+    lab = CL.split_labelled(CL.label_lookup(cands, labels, K.SOFTWARE_KEYS))[1]
+    model = CL.train(lab, K.SOFTWARE_FEATURES, K.SOFTWARE_FOREST)
+    return CL.software_match(cands, labels, model)
 
 
 def _vendor_training(s, d):

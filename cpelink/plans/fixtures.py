@@ -129,10 +129,23 @@ FIXTURES = {
 }
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    cols = TABLE_COLUMNS.get(name)
-    return df.select(*cols) if cols else df
+    """A driver table, pruned to the columns the fixtures use.
+
+    The relation is resolved once per application and path (file listing and
+    footer reads cost ~0.2 s each on the driver); DataFrames are immutable, so
+    reusing the same one in several plans is safe.
+    """
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _TABLES:
+        df = spark.read.parquet(path)
+        cols = TABLE_COLUMNS.get(name)
+        _TABLES[key] = df.select(*cols) if cols else df
+    return _TABLES[key]
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
