@@ -89,6 +89,8 @@ def ship_package(spark: SparkSession | None = None) -> None:
     if sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
+    # Code staging on the driver (like --py-files), not data: Spark serves the
+    # file to every executor from the driver, so no executor reads this path.
     zpath = os.path.join(tempfile.mkdtemp(prefix="cpelink-pyfiles-"), "cpelink.zip")
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, files in os.walk(pkg):
