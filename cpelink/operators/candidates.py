@@ -87,6 +87,43 @@ def containment_pairs(small: DataFrame, large: DataFrame, key: str = "t") -> Dat
         F.col("s.id").alias("small_id"), F.col("l.id").alias("large_id"))
 
 
+def containment_both(a: DataFrame, b: DataFrame, key: str = "t") -> DataFrame:
+    """Pairs (a_id, b_id) where one side's string is a substring of the other's.
+
+    One pass serves both directions: the q-grams of both sides are exploded
+    once, counted per side, and every string probes the *other* side with its
+    rarest gram there (same exact blocking as :func:`containment_pairs`).
+    """
+    strs = (a.select(F.lit(0).alias("side"), "id", key)
+            .unionByName(b.select(F.lit(1).alias("side"), "id", key))
+            .where(F.char_length(key) > 0))
+    n = F.char_length(key)
+    grams = strs.select(
+        "side", "id", key, n.alias("n"),
+        F.explode(F.flatten(F.transform(
+            F.sequence(F.lit(1), F.least(F.lit(Q), n)),
+            lambda q: F.transform(_grams(F.col(key), q), lambda g: F.struct(q.alias("q"), g.alias("g")))
+        ))).alias("qg"),
+    ).select("side", "id", key, "n", F.col("qg.q").alias("q"), F.col("qg.g").alias("g"))
+    freq = grams.groupBy("side", "q", "g").agg(F.count("*").alias("df"))
+    # a string's probe grams have q = min(3, length); rarity is counted on the other side
+    probes = grams.where(F.col("q") == F.least(F.lit(Q), F.col("n"))).withColumn("other", 1 - F.col("side"))
+    rarest = (
+        probes.join(freq.withColumnRenamed("side", "other"), ["other", "q", "g"], "left")
+        .withColumn("df", F.coalesce("df", F.lit(0)))
+        .groupBy("side", "other", "id", key)
+        .agg(F.min_by(F.struct("q", "g"), F.struct("df", "g")).alias("pick"))
+        .select("side", "other", "id", key, F.col("pick.q").alias("q"), F.col("pick.g").alias("g"))
+    )
+    hits = rarest.alias("s").join(
+        grams.alias("l"),
+        (F.col("s.other") == F.col("l.side")) & (F.col("s.q") == F.col("l.q")) & (F.col("s.g") == F.col("l.g")))
+    hits = hits.where(F.col(f"l.{key}").contains(F.col(f"s.{key}")))
+    s_is_a = F.col("s.side") == 0
+    return hits.select(F.when(s_is_a, F.col("s.id")).otherwise(F.col("l.id")).alias("a_id"),
+                       F.when(s_is_a, F.col("l.id")).otherwise(F.col("s.id")).alias("b_id"))
+
+
 # --- vendor stage -------------------------------------------------------------
 
 def prepare_publishers(software: DataFrame, stop: list[str] | None = None) -> DataFrame:
@@ -119,11 +156,9 @@ def vendor_gate_pairs(pubs: DataFrame, vens: DataFrame) -> DataFrame:
     )
     v_t = vens.select(F.col("vendor_X").alias("id"), N.sorted_token_string("ven_cln").alias("t"))
     p_t = pubs.select(F.col("publisher0").alias("id"), N.sorted_token_string("pub0_cln").alias("t"))
-    v_in_p = containment_pairs(v_t, p_t).select(
-        F.col("large_id").alias("publisher0"), F.col("small_id").alias("vendor_X"))
-    p_in_v = containment_pairs(p_t, v_t).select(
-        F.col("small_id").alias("publisher0"), F.col("large_id").alias("vendor_X"))
-    return shared.unionByName(v_in_p).unionByName(p_in_v).distinct()
+    contained = containment_both(v_t, p_t).select(
+        F.col("b_id").alias("publisher0"), F.col("a_id").alias("vendor_X"))
+    return shared.unionByName(contained).distinct()
 
 
 def vendor_candidates(software: DataFrame, cpe: DataFrame, stop: list[str] | None = None) -> DataFrame:

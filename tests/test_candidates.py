@@ -82,3 +82,14 @@ def test_vendor_candidates_has_no_nested_loop(spark, sf_dir):
     plan = c._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert c.where(F.col("fz_tok_set_ratio").isNull()).count() == 0
+
+
+def test_containment_both_brute_force(spark):
+    random.seed(12)
+    a = ["".join(random.choice("abc ") for _ in range(random.randint(1, 7))).strip() or "b" for _ in range(50)]
+    b = ["".join(random.choice("abc ") for _ in range(random.randint(1, 9))).strip() or "c" for _ in range(50)]
+    da = spark.createDataFrame(list(enumerate(a)), "id int, t string")
+    db = spark.createDataFrame(list(enumerate(b)), "id int, t string")
+    got = {(r.a_id, r.b_id) for r in CA.containment_both(da, db).collect()}
+    exp = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x in y or y in x}
+    assert got == exp
