@@ -1,12 +1,13 @@
 """Session and shared-storage helpers.
 
 Every job reads its shared scratch location from the session
-(``spark.checkpoint.dir``). A local directory is created only when the
-setting is absent, which happens in tests and local benches.
+(``spark.checkpoint.dir``). A local directory is created only under a local
+master without that setting, which happens in tests and local benches.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -37,26 +38,67 @@ def local_session(cores: int | str = "*", app: str = "cpelink") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Cluster-shared folder for written intermediate tables.
 
-    Uses the session's ``spark.checkpoint.dir``; only when it is unset (local
-    tests) a fresh private directory is created and registered.
+    Reads the session's ``spark.checkpoint.dir``. Only a local master (tests,
+    benches: driver and tasks share one machine) gets a private folder when
+    the setting is absent; on any other master an unset folder is an error,
+    because a machine-local folder would scatter the rows over the executors.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = spark.sparkContext.getCheckpointDir()
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not conf_dir:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="cpelink-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
         spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique path below the shared folder (never reused)."""
-    base = shared_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    """A new, unique path below the shared folder (never reused).
+
+    The path is remembered until ``release_scratch`` or the end of the
+    application removes it.
+    """
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    app = spark.sparkContext.applicationId
+    if app not in _WRITTEN:
+        atexit.register(_release_at_exit, spark, app)
+    _WRITTEN.setdefault(app, []).append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder through Spark's own file system layer."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Remove every intermediate table this application has written.
+
+    Call it once the DataFrames built on them have been written out; returns
+    the number of folders removed.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        delete_path(spark, path)
+    return len(paths)
+
+
+def _release_at_exit(spark: SparkSession, app: str) -> None:
+    try:
+        if spark.sparkContext.applicationId == app and spark.sparkContext._jsc is not None:
+            release_scratch(spark)
+    except Exception:  # the JVM may be gone already; its folder then stays for the cluster's own clean-up
+        _WRITTEN.pop(app, None)
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", compression: str = "snappy") -> DataFrame:
     """Cut lineage of a reused intermediate by writing it as a Parquet table.
 
     The rows are computed once, written below the session's shared
@@ -67,8 +109,8 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set[str] = set()
