@@ -6,9 +6,9 @@ of a language is the mean histogram of all its documents with enough words
 (every document weighs the same, so a few long ones cannot set it); languages
 without a word list, and a null language, use the references of all documents.
 A document is kept unless a base rule fails or the Jensen-Shannon distance of
-either histogram to its reference is over the limit. Short texts have noisy
-histograms, so a limit widens with 1 / sqrt(words) and divergence is judged only
-from ``min_words`` words on.
+either histogram to its reference, or their sum, is over its limit. Short texts
+have noisy histograms, so a limit widens with 1 / sqrt(words), and texts under
+``min_words`` words are left to the base rule.
 
 Only one small row per document is written between the two steps; the reference
 table has one row per listed language and one for the rest.
@@ -47,10 +47,10 @@ class Limits:
     """Limits of the rules; distances are Jensen-Shannon distances in 0..1."""
     min_words: int = 50
     max_repeat_percent: int = 50
-    class_distance: float = 0.20
-    word_distance: float = 0.50
-    #: Added to a distance limit, divided by the square root of the words.
-    noise: float = 1.0
+    #: A limit is (level, noise): the distance must not be over level + noise / sqrt(words).
+    class_distance: tuple[float, float] = (0.22, 0.5)
+    word_distance: tuple[float, float] = (0.13, 2.2)
+    both: tuple[float, float] = (0.42, 0.8)
 
 
 def _repeat_words(words: Column) -> Column:
@@ -169,9 +169,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         "word_distance": distance(_shares(F.col("common")), ref_common),
         "base_failed": (F.col("n_words") < limits.min_words)
         | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))})
-    slack = limits.noise / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
-    far = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > limits.class_distance + slack * 0.5) \
-        | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > limits.word_distance + slack)
+    by_chars, by_words = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("word_distance", F.lit(0.0))
+    root = F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
+    far = F.lit(False)
+    for found, (level, noise) in ((by_chars, limits.class_distance), (by_words, limits.word_distance),
+                                  (by_chars + by_words, limits.both)):
+        far = far | (found > level + noise / root)
     return scored.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
