@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, linededup, quality
+from . import chat, decontam, lengths, license_markup, linededup, packing, quality, styletree, superminhash, warc
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -16,9 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 QUERIES: dict[str, Builder] = {
+    "op1_packing": lambda s, d: packing.pack(table(s, d, "documents")),
     "op2_decontamination": lambda s, d: decontam.contamination_report(table(s, d, "documents"), table(s, d, "benchmark")),
     "op3_line_dedup": lambda s, d: linededup.line_dedup_report(table(s, d, "documents")),
+    "op4_minhash_near_dup": lambda s, d: superminhash.near_dup_report(table(s, d, "documents")),
+    "op5_html_extraction": lambda s, d: styletree.extraction_report(table(s, d, "pages")),
+    "op6_license_scan": lambda s, d: license_markup.license_report(table(s, d, "documents")),
+    "op7_warc_transactions": lambda s, d: warc.warc_report(table(s, d, "pages")),
     "op8_quality_divergence": lambda s, d: quality.quality_report(table(s, d, "documents")),
+    "op9_token_histogram": lambda s, d: lengths.token_histogram_report(table(s, d, "documents")),
     "op10_chat_format": lambda s, d: chat.chat_report(table(s, d, "conversations")),
 }
 
