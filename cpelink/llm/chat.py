@@ -62,7 +62,7 @@ CHATML = Template()
 
 def escape(text: Column, t: Template = CHATML) -> Column:
     pattern = "|".join(rf"(?<={k})(?=\\*(?:{v}))" for k, v in t.heads().items())
-    return F.regexp_replace(text, pattern, r"\\\\")
+    return F.regexp_replace(text, pattern, r"\\")
 
 
 def unescape(text: Column, t: Template = CHATML) -> Column:
@@ -150,3 +150,29 @@ def chat_report(conversations: DataFrame, t: Template = CHATML) -> DataFrame:
                256).alias("turns_sha256"),
         F.char_length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"), "valid", "bad_turn")
+
+
+ORACLE = r"""
+WITH raw AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+turns AS (
+  SELECT *, row_number() OVER w AS k, lag(role) OVER w AS before FROM raw
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+marked AS (
+  SELECT *, CASE WHEN before IS NULL THEN role IN ('system', 'user')
+                 WHEN before = 'system' THEN role = 'user'
+                 WHEN before = 'user' THEN role = 'assistant'
+                 WHEN before = 'assistant' THEN role = 'user' ELSE false END AS ok,
+    regexp_replace(regexp_replace(text,
+      '(<)(\\*(?:\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|<SYS>>|</SYS>>))', '\1\\\2', 'g'),
+      '(\[)(\\*(?:INST\]|/INST\]))', '\1\\\2', 'g') AS safe FROM turns)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(12 + length(role) + 1 + length(safe) + 11)::BIGINT AS formatted_chars,
+  (bool_and(ok) AND arg_max(role, k) = 'assistant') AS valid,
+  (min(k) FILTER (NOT ok) - 1)::INTEGER AS bad_turn
+FROM marked GROUP BY conv_id
+"""

@@ -31,4 +31,7 @@ QUERIES: dict[str, Builder] = {
 ORACLES: dict[str, str] = {
     "op2_decontamination": decontam.ORACLE,
     "op3_line_dedup": linededup.ORACLE,
+    "op4_minhash_near_dup": superminhash.ORACLE,
+    "op7_warc_transactions": warc.ORACLE,
+    "op10_chat_format": chat.ORACLE,
 }

@@ -58,6 +58,10 @@ class NearDup:
     batch: int = 100_000
 
 
+def _salt(k: int) -> np.uint64:
+    return np.uint64(k * int(_STEP) % 2 ** 64)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX1
     x = (x ^ (x >> np.uint64(27))) * _MIX2
@@ -70,7 +74,7 @@ def signatures(values: np.ndarray, owner: np.ndarray, n: int, m: int) -> np.ndar
     sig = np.full(n * m, np.iinfo(np.uint64).max, np.uint64)
     perm = first = None
     for level in range(m):
-        r = _mix(values + _STEP * np.uint64(2 * level + 1))
+        r = _mix(values + _salt(2 * level + 1))
         swap = level + (((r >> np.uint64(32)) * np.uint64(m - level)) >> np.uint64(32)).astype(np.int64)
         if level == 0:
             rank_of, first = swap, swap
@@ -79,7 +83,7 @@ def signatures(values: np.ndarray, owner: np.ndarray, n: int, m: int) -> np.ndar
             rank_of = perm[at, swap].astype(np.int64)
             perm[at, swap] = perm[:, level]
             perm[:, level] = rank_of
-        value = (_mix(values + _STEP * np.uint64(2 * level + 2)) & low) | np.uint64(level << _LEVEL_SHIFT)
+        value = (_mix(values + _salt(2 * level + 2)) & low) | np.uint64(level << _LEVEL_SHIFT)
         np.minimum.at(sig, owner * m + rank_of, value)
         open_ = sig.reshape(n, m).max(axis=1) >= np.uint64((level + 1) << _LEVEL_SHIFT)
         if not open_.any():
@@ -245,3 +249,26 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                        .select("__id", "__th").distinct(), "near_duplicates")
     keyed = docs.withColumns(dict(zip(("__id", "__th"), row_key(id_col, text_of(text_col)))))
     return keyed.join(gone, ["__id", "__th"], "left_anti").drop("__id", "__th")
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT rn, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM (SELECT row_number() OVER () AS rn, * FROM documents)),
+sets AS (
+  SELECT rn, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+         ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+classes AS (SELECT list_sort(s) AS s, min(rn) AS c FROM sets WHERE len(s) > 0 GROUP BY 1),
+of_row AS (SELECT rn, doc_id, len(sets.s) AS n, c FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.s),
+shingles AS (SELECT c, len(s) AS n, unnest(s) AS x FROM classes),
+pairs AS (
+  SELECT a.c AS a, b.c AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.c <> b.c
+  AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT c AS a, c AS b FROM classes UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+least_id AS (SELECT r.a AS c, min(o.doc_id) AS component_id FROM reach r JOIN of_row o ON o.c = r.b GROUP BY r.a)
+SELECT doc_id, n::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+       doc_id = coalesce(component_id, doc_id) AS kept
+FROM of_row LEFT JOIN least_id USING (c)
+"""

@@ -203,3 +203,13 @@ def warc_report(pages: DataFrame) -> DataFrame:
         .join(flat.select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("of")), "refers_to")
     return flat.join(named.select("refers_to", "of"), "refers_to", "left").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", F.col("of").alias("refers_to"))
+
+
+ORACLE = r"""
+WITH p AS (SELECT DISTINCT page_id, url, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, max(page_id) AS top FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN top > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top > page_id THEN top END AS refers_to
+FROM p LEFT JOIN f USING (html)
+"""
