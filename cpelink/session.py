@@ -78,13 +78,19 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release_scratch(spark: SparkSession) -> int:
-    """Remove every intermediate table this application has written.
+def scratch_count(spark: SparkSession) -> int:
+    """How many intermediate folders this application holds; a mark for ``release_scratch``."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def release_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Remove the intermediate tables this application has written (from the mark ``since`` on).
 
     Call it once the DataFrames built on them have been written out; returns
     the number of folders removed.
     """
-    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    held = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    paths, held[since:] = held[since:], []
     for path in paths:
         delete_path(spark, path)
     return len(paths)
