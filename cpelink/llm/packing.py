@@ -49,7 +49,7 @@ class Packing:
     size: int = 2048
     sentence_cost: float = 4.0
     hard_cost: float = 24.0
-    max_sentence: int = 256
+    max_sentence: int = 32
     block_windows: int = 256
 
 
