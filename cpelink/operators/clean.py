@@ -123,23 +123,34 @@ def cve_has_cvss(xml: DataFrame) -> DataFrame:
     return xml.where(F.col("`vuln:cvss`").isNotNull())
 
 
-def cve_from_xml(xml: DataFrame, latest_only: bool = True) -> DataFrame:
-    """One row per (cve, product) with the flattened CVSS metrics.
-
-    Entries without CVSS are dropped; the product list is exploded (a
-    missing list gives no rows). The same CVE id seen in several feed files
-    is kept once, newest ``last-modified`` first.
-    """
-    df = cve_has_cvss(xml).select(
+def entry_columns() -> list:
+    """Columns of a feed entry: its id, time, product list and flattened CVSS metrics."""
+    return [
         F.col("`vuln:cve-id`").alias("cve_id"),
         F.col("`vuln:last-modified-datetime`").alias("modified"),
         F.col("`vuln:vulnerable-software-list`.`vuln:product`").alias("products"),
+        F.col("`vuln:cvss`").isNotNull().alias("has_cvss"),
         *[F.col(f"{CVSS}.`{k}`").cast("string").alias(v) for k, v in CVSS_FIELDS.items()],
-    )
-    if latest_only:
-        df = dedup_latest(df, ["cve_id"], "modified")
-    return df.select("cve_id", F.explode("products").alias("product"),
-                     *CVSS_FIELDS.values())
+    ]
+
+
+def cve_entries(xml: DataFrame) -> DataFrame:
+    """One row per feed entry, entries without products or CVSS included."""
+    return xml.select(*entry_columns())
+
+
+def cve_products(entries: DataFrame, latest_only: bool = True) -> DataFrame:
+    """One row per (cve, product). The same CVE id seen in several feed files is
+    kept once, newest ``last-modified`` first; only then entries without CVSS are
+    dropped and the product list exploded, so an entry whose newest version lost
+    either does not come back with an older one."""
+    df = dedup_latest(entries, ["cve_id"], "modified") if latest_only else entries
+    return df.where("has_cvss").select("cve_id", F.explode("products").alias("product"), *CVSS_FIELDS.values())
+
+
+def cve_from_xml(xml: DataFrame, latest_only: bool = True) -> DataFrame:
+    """One row per (cve, product) with the flattened CVSS metrics; see :func:`cve_products`."""
+    return cve_products(cve_entries(xml), latest_only)
 
 
 def dedup_latest(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:

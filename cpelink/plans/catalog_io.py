@@ -23,9 +23,17 @@ from .fixtures import fixture
 
 # --- 2.1 scans ------------------------------------------------------------------
 
+def _wide(df, columns: list[str]):
+    """A dump as the original tool writes it: every column of its view, in the view's order."""
+    names = columns[::-1]
+    return df.select(F.lit("x").alias("View_Column0"), *names, F.lit(None).cast("string").alias("Unused0"),
+                     F.col(names[0]).cast("string").alias("Copy0"))
+
+
 @register("scan_hosts", "SELECT * FROM f_hosts")
 def _scan_hosts(s, d):
-    path = S.write_dump(fixture(s, d, "f_hosts"), scratch_path(s, "hosts_dump"))
+    cols = [f.name for f in S.HOSTS_SCHEMA.fields]
+    path = S.write_dump(_wide(fixture(s, d, "f_hosts"), cols), scratch_path(s, "hosts_dump"))
     return S.scan_hosts(s, path)
 
 
@@ -37,8 +45,8 @@ def _scan_software(s, d):
     cols = [f.name for f in S.SOFTWARE_SCHEMA.fields]
 
     def dump(arch: bool, name: str) -> str:
-        part = inv.where(F.col("arch_X") == arch).select("*", *extra).select(*cols)
-        return S.write_dump(part, scratch_path(s, name))
+        part = inv.where(F.col("arch_X") == arch).select("*", *extra)
+        return S.write_dump(_wide(part, cols), scratch_path(s, name))
 
     sw = S.scan_software(s, dump(False, "sw_x86"), dump(True, "sw_x64"))
     return sw.select("ResourceID", "DisplayName0", "Publisher0", "Version0", "arch_X")
@@ -46,7 +54,9 @@ def _scan_software(s, d):
 
 @register("scan_ad_group", "SELECT * FROM f_ad_group")
 def _scan_ad_group(s, d):
-    path = S.write_dump(fixture(s, d, "f_ad_group"), scratch_path(s, "ad_group"), sep=",")
+    path = S.write_dump(fixture(s, d, "f_ad_group").select(
+        F.lit("user").alias("objectClass"), "distinguishedName", F.lit(None).cast("string").alias("mail")),
+        scratch_path(s, "ad_group"), sep=",")
     return S.scan_ad_group(s, path)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..operators import clean as C
 
 SEP = "|"
-EXTRA = "_extra_field"
+RAW = "_raw_row"
 
 HOSTS_SCHEMA = T.StructType([
     T.StructField("ResourceID", T.LongType()),
@@ -74,44 +74,67 @@ CVE_XML_SCHEMA = T.StructType([
 ])
 
 
-def _strip_nul(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Remove NUL characters left by the dump tooling from string columns."""
-    return df.select(*[
-        F.translate(F.col(f.name), "\u0000", "").alias(f.name) if isinstance(f.dataType, T.StringType)
-        else F.col(f.name) for f in schema.fields])
+def _typed(schema: T.StructType) -> list:
+    """The columns of a dump read as strings, without the NUL characters and carriage returns of the dump
+    tooling (a CRLF line end stays on the last field of a row, also of a short one), in their types."""
+    def clean(f: T.StructField):
+        text = F.nullif(F.regexp_replace(F.translate(F.col(f.name), "\u0000", ""), "\r$", ""), F.lit(""))
+        return (text if isinstance(f.dataType, T.StringType) else text.try_cast(f.dataType)).alias(f.name)
+    return [clean(f) for f in schema.fields]
+
+
+def _header(reader, path: str, comment: str | None) -> list[str]:
+    """Column names of a dump in file order: its first line that is not a comment."""
+    for row in reader.option("header", False).csv(path).head(8):  # a look at the first lines only
+        names = [(v or "").strip("\ufeff\u0000\r\n ") for v in row]
+        if any(names) and not (comment and names[0].startswith(comment)):
+            return [n.strip('"') for n in names]
+    raise ValueError(f"no header line in {path}")
 
 
 def read_dump(spark: SparkSession, path: str, schema: T.StructType, sep: str = SEP,
               comment: str | None = None, encoding: str = "UTF-16LE") -> DataFrame:
-    """Delimited UTF-16 dump with a header line.
+    """Delimited dump with a header line; columns are taken by name.
+
+    The header is read first and gives the width and order of the file, so a
+    dump may hold more columns than ``schema`` and in any order; a column that
+    is missing is an error. Short rows are padded with nulls. Rows with more
+    fields than the header are dropped, whether or not the surplus is empty
+    (quoted separators do not count).
 
     ``UTF-16LE`` with ``lineSep='\\n'`` keeps the file splittable (plain
-    ``UTF-16`` needs the unsplittable multi-line reader). Short rows are
-    padded with nulls. Rows with more fields than the schema are dropped:
-    the schema carries one extra trailing column, filled only by such rows
-    (the CSV parser splits quote-aware, so quoted separators do not count).
+    ``UTF-16`` needs the unsplittable multi-line reader).
     """
-    full = T.StructType(schema.fields + [T.StructField(EXTRA, T.StringType())])
-    reader = (spark.read.schema(full).option("header", True).option("sep", sep).option("quote", '"')
-              .option("encoding", encoding).option("lineSep", "\n").option("mode", "PERMISSIVE"))
+    plain = (spark.read.option("sep", sep).option("quote", '"').option("encoding", encoding).option("lineSep", "\n")
+             .option("mode", "PERMISSIVE"))
+    names = _header(plain, path, comment)
+    missing = [f.name for f in schema.fields if f.name not in names]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}; it has {names}")
+    # the first column of a name counts; a second one, and unnamed ones, get names of their own
+    slots = [n if n and n not in names[:i] else f"__column_{i}" for i, n in enumerate(names)]
+    full = T.StructType([T.StructField(n, T.StringType()) for n in [*slots, RAW]])
+    # without column pruning every query sees the whole row and its width
+    reader = (plain.schema(full).option("header", True).option("columnNameOfCorruptRecord", RAW)
+              .option("columnPruning", False))
     if comment:
         reader = reader.option("comment", comment)
     df = reader.csv(path)
-    df = df.where(F.col(EXTRA).isNull()).drop(EXTRA)
-    # a CRLF line end leaves '\r' on the last field
-    last = schema.fields[-1].name
-    if isinstance(schema.fields[-1].dataType, T.StringType):
-        df = df.withColumn(last, F.nullif(F.regexp_replace(F.col(last), "\r$", ""), F.lit("")))
+    # the raw row is there only if its width is not the header's
+    unquoted = F.regexp_replace(RAW, '"[^"]*"', "")
+    width = F.char_length(unquoted) - F.char_length(F.replace(unquoted, F.lit(sep), F.lit(""))) + 1
+    df = df.where(F.col(RAW).isNull() | (width <= len(names)))
+    df = df.select(*_typed(schema))
     # A header preceded by a comment line is read as data (the first line is
     # the one skipped as header, and a byte-order mark hides its '#'): drop rows
     # that repeat the column names.
-    names = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
-    if names:
+    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
+    if texts:
         is_header = F.lit(True)
-        for n in names:
+        for n in texts:
             is_header = is_header & F.coalesce(F.col(n) == F.lit(n), F.lit(False))
         df = df.where(~is_header)
-    return _strip_nul(df, schema)
+    return df
 
 
 def scan_hosts(spark: SparkSession, path: str) -> DataFrame:
@@ -140,14 +163,11 @@ def scan_cve_xml(spark: SparkSession, directory: str, prefix: str = "nvdcve-2.0-
 
 def scan_labels(spark: SparkSession, path: str, keys: list[str], features: list[str],
                 extra: list[str] | None = None) -> DataFrame:
-    """Labelled pairs CSV (UTF-8, header, first column is a row index)."""
-    fields = [T.StructField("_idx", T.StringType())]
-    fields += [T.StructField(k, T.StringType()) for k in keys]
-    fields += [T.StructField("match", T.IntegerType())]
-    fields += [T.StructField(f, T.IntegerType()) for f in features]
-    fields += [T.StructField(e, T.StringType()) for e in (extra or [])]
-    df = spark.read.schema(T.StructType(fields)).option("header", True).csv(path)
-    return df.drop("_idx")
+    """Labelled pairs CSV (UTF-8, header); columns are taken by name, an unnamed row index is ignored."""
+    wanted = [T.StructField(k, T.StringType()) for k in keys] + [T.StructField("match", T.IntegerType())]
+    wanted += [T.StructField(f, T.IntegerType()) for f in features]
+    wanted += [T.StructField(e, T.StringType()) for e in (extra or [])]
+    return read_dump(spark, path, T.StructType(wanted), sep=",", encoding="UTF-8")
 
 
 def scan_stop_words(spark: SparkSession, path: str) -> list[str]:

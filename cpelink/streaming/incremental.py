@@ -1,22 +1,29 @@
-"""Incremental refresh when new vulnerability feed files land.
+"""Incremental refresh when vulnerability feed files land or are published again.
 
-* :func:`feeds_changed` -- which yearly feeds must be re-read: a manifest
-  row (year, sha256) that is new or differs from the stored one (anti-join);
+* :func:`feeds_changed` -- which yearly feeds must be re-read: a manifest row
+  (year, sha256) that is new or differs from the stored one (anti-join);
+  :func:`scan_feed_meta` reads the feeds' metadata text into such a manifest, and
   the catalogue is re-read when older than ``max_age_days``.
-* :func:`refresh` -- a Structured Streaming file source over the landing
-  folder with ``trigger(availableNow=True)``: each micro-batch of new feed
-  files is parsed, merged into the CVE state by ``cve_id`` (newest
-  modification wins) and the worst case is recomputed only for the products
-  the batch touched. State lives in versioned Parquet tables in a shared
-  folder; the stream's checkpoint records which files were consumed, so a
-  restarted job continues where it stopped.
+* :func:`refresh` -- digests every feed in the landing folder by its content, puts
+  each new or changed version into an inbox under a name made of feed and digest,
+  and runs a Structured Streaming file source with ``trigger(availableNow=True)``
+  over the inbox. Each micro-batch replaces the state of the feeds it holds, so
+  entries that a feed has lost are gone; entries without products or CVSS stay in
+  the state as tombstones, because the newest version of an entry counts whatever
+  it holds. The worst case is recomputed only for the products that the batch
+  touched. A re-published feed has a new digest and is therefore read again.
+
+State tables are split into parts (feeds; hash buckets of products); a batch
+writes new versions of the parts it touches and keeps the version before, so a
+repeated batch after a failure starts from the same input and rewrites the same
+version. The stream's checkpoint records which inbox files were consumed.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -24,12 +31,28 @@ from ..operators import clean as C
 from ..operators import rollup as RU
 from ..sources import files as S
 
+WORST_BUCKETS = 32
+_NAME_SEP = "~"
+
 
 def feeds_changed(new_manifest: DataFrame, stored_manifest: DataFrame) -> DataFrame:
     """Years whose (year, sha256) is not in the stored manifest."""
     return new_manifest.join(stored_manifest.select("year", "sha256"), ["year", "sha256"], "left_anti")
 
 
+def scan_feed_meta(spark: SparkSession, path: str) -> DataFrame:
+    """(feed, lastModifiedDate, size, sha256): one row per metadata file of ``key:value`` lines."""
+    lines = spark.read.text(path).select(
+        F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1).alias("feed"),
+        F.split(F.regexp_replace("value", "\r$", ""), ":", 2).alias("kv"))
+
+    def field(name: str):
+        return F.max(F.when(F.col("kv")[0] == name, F.col("kv")[1])).alias(name)
+
+    return (lines.where(F.size("kv") == 2).groupBy("feed").agg(field("lastModifiedDate"), field("size"), field("sha256"))
+            .withColumn("size", F.col("size").cast("long")).withColumn("sha256", F.lower("sha256")))
+
+
 def catalogue_stale(manifest: DataFrame, now_col: str = "now", ts_col: str = "fetched",
                     max_age_days: int = K.CPE_MAX_AGE_DAYS) -> DataFrame:
     """Rows whose fetch time is older than ``max_age_days`` (or unknown)."""
@@ -37,87 +60,142 @@ def catalogue_stale(manifest: DataFrame, now_col: str = "now", ts_col: str = "fe
     return manifest.where(F.col(ts_col).isNull() | (age > max_age_days))
 
 
-def _hadoop_fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+# --- versioned parts ------------------------------------------------------------------
+
+class _Folder:
+    """The few file operations the state needs, through Spark's file system layer."""
+
+    def __init__(self, spark: SparkSession):
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def path(self, p: str):
+        return self.jvm.org.apache.hadoop.fs.Path(p)
+
+    def fs(self, p: str):
+        return self.path(p).getFileSystem(self.conf)
+
+    def names(self, p: str) -> list[str]:
+        fs = self.fs(p)
+        return [x.getPath().getName() for x in fs.listStatus(self.path(p))] if fs.exists(self.path(p)) else []
+
+    def exists(self, p: str) -> bool:
+        return self.fs(p).exists(self.path(p))
+
+    def delete(self, p: str) -> None:
+        self.fs(p).delete(self.path(p), True)
+
+    def copy(self, source: str, target: str) -> None:
+        """Complete or absent under the target name."""
+        self.jvm.org.apache.hadoop.fs.FileUtil.copy(self.fs(source), self.path(source), self.fs(target),
+                                                    self.path(target), False, True, self.conf)
+
+
+def _versions(folder: _Folder, part_dir: str) -> list[int]:
+    found = [int(n[1:]) for n in folder.names(part_dir) if n.startswith("v") and n[1:].isdigit()]
+    return sorted(v for v in found if folder.exists(os.path.join(part_dir, f"v{v}", "_SUCCESS")))
+
+
+def read_parts(spark: SparkSession, table_dir: str, before: int | None = None,
+               only: list[str] | None = None) -> DataFrame | None:
+    """The newest committed version of each part (older than version ``before``)."""
+    folder, paths = _Folder(spark), []
+    for part in folder.names(table_dir):
+        if only is None or part in only:
+            held = [v for v in _versions(folder, os.path.join(table_dir, part)) if before is None or v < before]
+            paths += [os.path.join(table_dir, part, f"v{held[-1]}")] if held else []
+    return spark.read.parquet(*paths) if paths else None
+
+
+def _write_part(df: DataFrame, table_dir: str, part: str, version: int) -> None:
+    """Writes one version of a part and keeps the one before it."""
+    folder, part_dir = _Folder(df.sparkSession), os.path.join(table_dir, part)
+    df.write.mode("overwrite").parquet(os.path.join(part_dir, f"v{version}"))
+    for old in [v for v in _versions(folder, part_dir) if v < version][:-1]:
+        folder.delete(os.path.join(part_dir, f"v{old}"))
 
 
-def _latest_version(spark: SparkSession, table_dir: str, before: int | None = None) -> int | None:
-    """Highest committed version number (``v<N>/_SUCCESS``), optionally below ``before``."""
-    fs, p = _hadoop_fs(spark, table_dir)
-    if not fs.exists(p):
-        return None
-    best = None
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v") and name[1:].isdigit():
-            n = int(name[1:])
-            if (before is None or n < before) and fs.exists(st.getPath().suffix("/_SUCCESS")):
-                best = n if best is None or n > best else best
-    return best
+# --- refresh --------------------------------------------------------------------------
 
+def feed_digests(spark: SparkSession, landing_dir: str, prefix: str = K.CVE_FILE_PREFIX) -> DataFrame:
+    """(feed, digest): each feed file or folder of the landing folder with a digest of its lines.
 
-def read_versioned(spark: SparkSession, table_dir: str, before: int | None = None) -> DataFrame | None:
-    v = _latest_version(spark, table_dir, before)
-    return None if v is None else spark.read.parquet(os.path.join(table_dir, f"v{v}"))
+    The digest sums line hashes, so it combines map-side and does not depend on
+    how a feed is split over files.
+    """
+    name = F.regexp_extract(F.input_file_name(), rf"/({prefix}[^/]*)(?:/[^/]*)?$", 1)
+    lines = spark.read.text(os.path.join(landing_dir, f"{prefix}*")).select(name.alias("feed"), "value")
 
+    def total(column):
+        return F.sum(column.cast("decimal(38,0)")).cast("string")
 
-def _write_version(df: DataFrame, table_dir: str, version: int) -> None:
-    df.write.mode("overwrite").parquet(os.path.join(table_dir, f"v{version}"))
+    text = F.concat_ws(":", F.count(F.lit(1)).cast("string"), total(F.xxhash64("value")),
+                       total(F.xxhash64(F.lit(1), F.col("value"))))
+    return lines.groupBy("feed").agg(F.md5(text).alias("digest"))
 
 
-CVE_STATE_COLS = ["cve_id", "modified", "product", "score", "vector", "complexity"]
+def _latest_entries(entries: DataFrame) -> DataFrame:
+    return C.dedup_latest(entries, ["cve_id"], "modified")
 
 
 def merge_batch(spark: SparkSession, batch_xml: DataFrame, state_dir: str, epoch: int) -> None:
-    """Merge one micro-batch of parsed feed entries into the CVE and worst-case state."""
+    """Replace the state of the feeds in one micro-batch and the worst case of the products they touch."""
     cve_dir, worst_dir = os.path.join(state_dir, "cve"), os.path.join(state_dir, "worst_case")
-    entries = C.cve_has_cvss(batch_xml).select(
-        F.col("`vuln:cve-id`").alias("cve_id"),
-        F.col("`vuln:last-modified-datetime`").alias("modified"),
-        F.col("`vuln:vulnerable-software-list`.`vuln:product`").alias("products"),
-        *[F.col(f"{C.CVSS}.`{k}`").alias(v) for k, v in C.CVSS_FIELDS.items()
-          if v in ("score", "vector", "complexity")],
-    )
-    entries = C.dedup_latest(entries, ["cve_id"], "modified")
-    new_rows = entries.select("cve_id", "modified", F.explode("products").alias("product"),
-                              "score", "vector", "complexity")
-    # state as of the previous batch: a re-run of this epoch after a failure
-    # starts from the same input and rewrites the same version (idempotent)
-    old = read_versioned(spark, cve_dir, before=epoch)
-    touched = new_rows.select(F.col("product").alias("cpe_prod"))
-    if old is None:
-        merged = new_rows
-    else:
-        # per cve_id keep the newest version; on equal times the incoming batch wins
-        both = old.withColumn("_src", F.lit(0)).unionByName(new_rows.withColumn("_src", F.lit(1)))
-        key = F.struct("modified", "_src")
-        merged = (both.withColumn("_best", F.max(key).over(Window.partitionBy("cve_id")))
-                  .where(key == F.col("_best")).drop("_best", "_src"))
-        replaced = old.join(entries.select("cve_id"), "cve_id", "left_semi")
-        touched = touched.unionByName(replaced.select(F.col("product").alias("cpe_prod")))
-    touched = touched.distinct()
-    _write_version(merged.select(*CVE_STATE_COLS), cve_dir, epoch)
-    merged_now = spark.read.parquet(os.path.join(cve_dir, f"v{epoch}"))
-    fresh = RU.worst_case(merged_now.join(touched.withColumnRenamed("cpe_prod", "product"), "product", "left_semi"))
-    old_worst = read_versioned(spark, worst_dir, before=epoch)
-    worst = fresh if old_worst is None else old_worst.join(touched, "cpe_prod", "left_anti").unionByName(fresh)
-    _write_version(worst, worst_dir, epoch)
+    named = batch_xml.select("*", F.input_file_name().alias("__file"))
+    versioned = rf"/([^/{_NAME_SEP}]*){_NAME_SEP}([0-9]+){_NAME_SEP}[^/]*(?:/[^/]*)?$"
+    tag, order = F.regexp_extract("__file", versioned, 1), F.regexp_extract("__file", versioned, 2)
+    entries = named.select(tag.alias("feed"), order.cast("long").alias("turn"), *C.entry_columns()).persist()
+    # two versions of a feed in one batch (a stream that had stopped): the later one counts
+    turns = {r["feed"]: r["turn"] for r in entries.groupBy("feed").agg(F.max("turn").alias("turn")).collect()}
+    old = read_parts(spark, cve_dir, before=epoch, only=list(turns))
+    for feed, turn in sorted(turns.items()):  # one per yearly feed
+        mine = (F.col("feed") == feed) & (F.col("turn") == turn)
+        _write_part(_latest_entries(entries.where(mine).drop("turn", "feed")).withColumn("feed", F.lit(feed)),
+                    cve_dir, feed, epoch)
+    entries.unpersist()
+    now = read_parts(spark, cve_dir, before=epoch + 1)
+    # products named by any old or new version of the entries that these feeds hold or held
+    changed = now.where(F.col("feed").isin(list(turns))).select("cve_id")
+    if old is not None:
+        changed = changed.union(old.select("cve_id"))
+    changed = changed.distinct()
+    versions = now.select("cve_id", "products") if old is None else \
+        now.select("cve_id", "products").union(old.select("cve_id", "products"))
+    touched = versions.join(changed, "cve_id", "left_semi").select(F.explode("products").alias("product")).distinct()
+    current = C.cve_products(now.drop("feed"))
+    fresh = RU.worst_case(current.join(touched, "product", "left_semi"))
+    bucket = F.pmod(F.xxhash64("cpe_prod"), F.lit(WORST_BUCKETS)).cast("string")
+    hit = [r[0] for r in touched.select(F.col("product").alias("cpe_prod")).select(bucket.alias("b")).distinct().collect()]
+    kept = read_parts(spark, worst_dir, before=epoch, only=hit)
+    worst = fresh if kept is None else kept.join(
+        touched.withColumnRenamed("product", "cpe_prod"), "cpe_prod", "left_anti").unionByName(fresh)
+    worst = worst.withColumn("__b", bucket).persist()
+    for b in sorted(hit):  # WORST_BUCKETS at most
+        _write_part(worst.where(F.col("__b") == b).drop("__b"), worst_dir, b, epoch)
+    worst.unpersist()
 
 
 def refresh(spark: SparkSession, landing_dir: str, state_dir: str, checkpoint_dir: str,
-            prefix: str = K.CVE_FILE_PREFIX, timeout_s: int = 600) -> DataFrame:
-    """Consume all feed files currently in ``landing_dir`` and return the updated worst-case table."""
-    stream = (spark.readStream.format("xml").option("rowTag", "entry").schema(S.CVE_XML_SCHEMA)
-              .load(os.path.join(landing_dir, f"{prefix}*")))
-    q = (stream.writeStream.foreachBatch(lambda df, epoch: merge_batch(spark, df, state_dir, epoch))
-         .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("refresh did not finish in time")
-    worst = read_versioned(spark, os.path.join(state_dir, "worst_case"))
+            prefix: str = K.CVE_FILE_PREFIX) -> DataFrame:
+    """Take in all new and changed feeds of ``landing_dir`` and return the updated worst-case table."""
+    folder, inbox = _Folder(spark), os.path.join(state_dir, "inbox")
+    seen = folder.names(inbox)
+    latest: dict[str, tuple[int, str]] = {}
+    for name in seen:
+        if name.count(_NAME_SEP) == 2:
+            feed, turn, digest = name.removesuffix(".xml").split(_NAME_SEP)
+            latest[feed] = max(latest.get(feed, (-1, "")), (int(turn), digest))
+    for r in feed_digests(spark, landing_dir, prefix).collect():  # one row per feed file
+        turn, digest = latest.get(r["feed"], (-1, ""))
+        if digest != r["digest"]:
+            folder.copy(os.path.join(landing_dir, r["feed"]),
+                        os.path.join(inbox, _NAME_SEP.join((r["feed"], str(turn + 1), r["digest"])) + ".xml"))
+    if folder.names(inbox):
+        stream = (spark.readStream.format("xml").option("rowTag", "entry").schema(S.CVE_XML_SCHEMA)
+                  .option("maxFileAge", "36500d").load(os.path.join(inbox, f"{prefix}*")))
+        q = (stream.writeStream.foreachBatch(lambda df, epoch: merge_batch(spark, df, state_dir, epoch))
+             .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+        q.awaitTermination()
+    worst = read_parts(spark, os.path.join(state_dir, "worst_case"))
     if worst is None:
         return spark.createDataFrame([], RU.worst_case(spark.createDataFrame(
             [], "cve_id string, product string, score string, complexity string, vector string")).schema)

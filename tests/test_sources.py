@@ -1,6 +1,8 @@
 import os
 import tempfile
 
+import pytest
+
 from cpelink.operators import clean as C
 from cpelink.sources import files as S
 
@@ -36,6 +38,43 @@ def test_utf16_dump_rows(spark):
     assert {r.ResourceID for r in hosts.collect()} == {1, 3, 5}
 
 
+def test_dump_columns_by_name(spark):
+    d = _tmp()
+    p = os.path.join(d, "hosts.csv")
+    _write_utf16(p, [
+        "Client0|Active0|ResourceID|Resource_Domain_OR_Workgr0|AD_Site_Name0|Distinguished_Name0|Build0",
+        "c|1|1|CORP|NTH|CN=a|10",
+        "c|0|2|CORP|STH|CN=b|",
+        "c|1|3|CORP|EST",
+        "c|1|4|CORP|WST|CN=d|10|surplus",
+        "c|1|5|CORP|WST|CN=e|10||x",
+        "c|1|6|CORP|WST|CN=f|10|",
+        'c|1|7|CORP|WST|"CN=g|h"|10',
+    ])
+    df = S.scan_hosts(spark, p)
+    rows = {r.ResourceID: r for r in df.collect()}
+    assert set(rows) == {1, 2, 3, 7}
+    assert df.select("ResourceID").count() == 4  # the width counts whatever is selected
+    assert (rows[1].Active0, rows[1].AD_Site_Name0, rows[1].Distinguished_Name0) == (1, "NTH", "CN=a")
+    assert rows[3].AD_Site_Name0 == "EST" and rows[3].Distinguished_Name0 is None
+    assert rows[7].Distinguished_Name0 == "CN=g|h"
+
+
+def test_dump_without_a_column_fails(spark):
+    p = os.path.join(_tmp(), "hosts.csv")
+    _write_utf16(p, ["ResourceID|Active0|AD_Site_Name0|Distinguished_Name0", "1|1|NTH|CN=a"])
+    with pytest.raises(ValueError, match="Resource_Domain_OR_Workgr0"):
+        S.scan_hosts(spark, p)
+
+
+def test_labels_by_name(spark):
+    p = os.path.join(_tmp(), "labels.csv")
+    with open(p, "w") as f:
+        f.write(",match,vendor_X,note,publisher0\n0,1,acme,x,acme_inc\n1,0,beta,y,acme_inc\n")
+    rows = S.scan_labels(spark, p, ["publisher0", "vendor_X"], []).collect()
+    assert [tuple(r) for r in rows] == [("acme_inc", "acme", 1), ("acme_inc", "beta", 0)]
+
+
 def test_empty_dump_keeps_schema(spark):
     d = _tmp()
     p = os.path.join(d, "x86.csv")
