@@ -60,7 +60,8 @@ CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset fo
 SCOPE = frozenset(("ul", "ol", "dl", "table", "article", "main", "section", "div", "nav", "aside", "footer", "header", "body"))
 
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
+                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)|([^<]+|<)", re.S)
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in RAW}
 _NAMING = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
@@ -103,14 +104,11 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool, str]]:
             flush()
         del stack[k:]
 
-    raw_end = ""
-    for m in _PIECE.finditer(page or ""):
+    page, pos = page or "", 0
+    while pos < len(page):
+        m = _PIECE.match(page, pos)
+        pos = m.end()
         close, tag, attributes, chars = m.groups()
-        if raw_end:
-            if close and tag.lower() == raw_end:
-                raw_end = ""
-            else:
-                continue
         if chars is not None:
             if not text:
                 at = next(x for x in reversed(stack) if x[0] not in INLINE)
@@ -148,7 +146,8 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool, str]]:
                 step = f"{path}>{tag}.{names}" if names else f"{path}>{tag}"
                 stack.append((tag, step, in_main or tag in MAIN, aside or _set_aside(tag.rstrip("*"), names, in_main)))
             if tag in RAW and not attributes.rstrip().endswith("/"):
-                raw_end = tag
+                end = _RAW_END[tag].search(page, pos)
+                pos = end.start() if end else len(page)
     flush()
     return out
 
