@@ -40,8 +40,12 @@ def clean_tokens(tokens, stop: list[str] | None = None) -> Column:
 
 
 def proc(c) -> Column:
-    """Non-word characters -> blank, lower-case, trim (scorer preprocessing)."""
-    return F.trim(F.lower(F.regexp_replace(_col(c), r"(?U)\W", " ")))
+    """Non-word characters -> blank, lower-case, trim (scorer preprocessing).
+
+    Word characters are letters, numbers and the underscore, by Unicode
+    category, as Python's ``\\w`` has them; combining marks are not.
+    """
+    return F.trim(F.lower(F.regexp_replace(_col(c), r"[^\p{L}\p{N}_]", " ")))
 
 
 def sorted_token_string(c) -> Column:

@@ -31,6 +31,7 @@ SCORE_FIELDS = [
 SCORE_SCHEMA = T.StructType([T.StructField(f, T.IntegerType()) for f in SCORE_FIELDS])
 RATIO_SCHEMA = T.StructType([T.StructField(f, T.IntegerType()) for f in ("ratio", "partial")])
 
+# letters, digits and the underscore of any script; the same class as normalize.proc and the SQL twin
 _NON_WORD = re.compile(r"\W", re.UNICODE)
 
 
@@ -57,18 +58,18 @@ def lcs_len(a: str, b: str) -> int:
 
 
 def ratio(a: str, b: str) -> int:
-    if a == b:
-        return 100
     if not a or not b:
         return 0
+    if a == b:
+        return 100
     return intr(100 * (2.0 * lcs_len(a, b) / (len(a) + len(b))))
 
 
 def partial_ratio(a: str, b: str) -> int:
-    if a == b:
-        return 100
     if not a or not b:
         return 0
+    if a == b:
+        return 100
     s, l = (a, b) if len(a) <= len(b) else (b, a)
     n = len(s)
     if s in l:
@@ -89,48 +90,24 @@ def _sorted_tokens(p: str) -> str:
     return " ".join(sorted(p.split())).strip()
 
 
-def _token_set(p1: str, p2: str, f) -> int:
-    if not p1 or not p2:
-        return 0
-    t1, t2 = set(p1.split()), set(p2.split())
-    sect = " ".join(sorted(t1 & t2))
-    c12 = (sect + " " + " ".join(sorted(t1 - t2))).strip()
-    c21 = (sect + " " + " ".join(sorted(t2 - t1))).strip()
-    sect = sect.strip()
-    return max(f(sect, c12), f(sect, c21), f(c12, c21))
-
-
 def token_set(a: str, b: str) -> int:
-    return _token_set(proc(a), proc(b), ratio)
+    return all_scores(a, b)[2]
 
 
 def partial_token_set(a: str, b: str) -> int:
-    return _token_set(proc(a), proc(b), partial_ratio)
+    return all_scores(a, b)[3]
 
 
 def token_sort(a: str, b: str) -> int:
-    return ratio(_sorted_tokens(proc(a)), _sorted_tokens(proc(b)))
+    return all_scores(a, b)[4]
 
 
 def partial_token_sort(a: str, b: str) -> int:
-    return partial_ratio(_sorted_tokens(proc(a)), _sorted_tokens(proc(b)))
+    return all_scores(a, b)[5]
 
 
 def weighted(a: str, b: str) -> int:
-    p1, p2 = proc(a), proc(b)
-    if not p1 or not p2:
-        return 0
-    base = ratio(p1, p2)
-    len_ratio = float(max(len(p1), len(p2))) / min(len(p1), len(p2))
-    if len_ratio < 1.5:
-        tsor = ratio(_sorted_tokens(p1), _sorted_tokens(p2)) * 0.95
-        tser = (100 if p1 == p2 else _token_set(p1, p2, ratio)) * 0.95
-        return intr(max(base, tsor, tser))
-    scale = 0.6 if len_ratio > 8 else 0.9
-    partial = partial_ratio(p1, p2) * scale
-    ptsor = partial_ratio(_sorted_tokens(p1), _sorted_tokens(p2)) * 0.95 * scale
-    ptser = (100 if p1 == p2 else _token_set(p1, p2, partial_ratio)) * 0.95 * scale
-    return intr(max(base, partial, ptsor, ptser))
+    return all_scores(a, b)[6]
 
 
 def all_scores(a, b) -> tuple:

@@ -4,10 +4,12 @@ Neither stage forms a Cartesian product. Both use equi-joins on keys that
 are *implied* by the gates, so no qualifying pair is lost:
 
 * vendor stage -- the gate ``partial_token_set(ven, pub) == 100`` holds
-  exactly when the processed token sets share a token, or when one sorted
-  distinct-token string is a substring of the other. Pairs come from (a) an
-  equi-join on shared tokens and (b) a containment join blocked on the
-  globally rarest q-gram of the contained string.
+  when the processed token sets share a token, or when one sorted
+  distinct-token string is a substring of the other, or, since scores are
+  rounded, when both have 200 characters and more and differ by one character
+  in 200. Pairs come from (a) an equi-join on shared tokens, (b) a containment
+  join blocked on the globally rarest q-gram of the contained string and (c) an
+  equi-join of long strings on pieces that the differences cannot all touch.
 * software stage -- pairs must share the vendor. Versioned pairs must pass
   the version gate, which implies that one version string contains the other
   and their lengths are close; the join key is the version itself or one of
@@ -142,6 +144,42 @@ def prepare_vendors(cpe: DataFrame, stop: list[str] | None = None) -> DataFrame:
         "vendor_X", "vend_toks", N.clean_tokens("vend_toks", stop).alias("ven_cln"))
 
 
+#: From this length on a score of 99.5 and more, one edit in 200 characters, rounds to 100.
+LONG = 200
+LONG_GRAM = 32
+
+
+def near_contained_long(vens: DataFrame, pubs: DataFrame) -> DataFrame:
+    """(publisher0, vendor_X) pairs of token strings of ``LONG`` characters and more that score 100 without containment.
+
+    The shorter string, of n characters, then matches a window of the other one
+    but for d = n // 200 characters on each side. Of 2 d + 1 equal pieces of it
+    at least one is untouched, so its first ``LONG_GRAM`` characters stand in the
+    longer string: pairs come from that equi-join and the score decides.
+    """
+    def long_side(df: DataFrame, id_col: str, cln: str) -> DataFrame:
+        t = N.sorted_token_string(cln)
+        return df.select(F.col(id_col).alias("id"), F.col(cln).alias("cln"), t.alias("t")).where(F.char_length(t) >= LONG)
+
+    n = F.char_length("t")
+    pieces = 2 * F.floor(n / LONG).cast("int") + 1
+    probes = F.array_distinct(F.transform(F.sequence(F.lit(0), pieces - 1), lambda k: F.substr(
+        F.col("t"), F.floor(k * n / pieces).cast("int") + 1, F.lit(LONG_GRAM))))
+    v, p = long_side(vens, "vendor_X", "ven_cln"), long_side(pubs, "publisher0", "pub0_cln")
+
+    def met(short: DataFrame, long: DataFrame) -> DataFrame:
+        s = short.select(F.col("id").alias("s_id"), F.col("cln").alias("s_cln"), n.alias("s_n"), F.explode(probes).alias("g"))
+        g = long.select(F.col("id").alias("l_id"), F.col("cln").alias("l_cln"), n.alias("l_n"),
+                        F.explode(_grams(F.col("t"), F.lit(LONG_GRAM))).alias("g"))
+        return s.join(g, "g").where(F.col("s_n") <= F.col("l_n")).drop("g").distinct()
+
+    pairs = (met(v, p).select(F.col("l_id").alias("publisher0"), F.col("s_id").alias("vendor_X"),
+                              F.col("l_cln").alias("pc"), F.col("s_cln").alias("vc"))
+             .unionByName(met(p, v).select(F.col("s_id").alias("publisher0"), F.col("l_id").alias("vendor_X"),
+                                           F.col("s_cln").alias("pc"), F.col("l_cln").alias("vc"))).distinct())
+    return pairs.where(S.pair_scores(F.col("vc"), F.col("pc"))["ptl_token_set"] == 100).select("publisher0", "vendor_X")
+
+
 def _token_rows(df: DataFrame, id_col: str, cln: str) -> DataFrame:
     toks = F.array_distinct(F.filter(F.split(N.proc(cln), r"\s+"), lambda t: t != ""))
     return df.select(F.col(id_col).alias("id"), F.explode(toks).alias("tok"))
@@ -158,7 +196,7 @@ def vendor_gate_pairs(pubs: DataFrame, vens: DataFrame) -> DataFrame:
     p_t = pubs.select(F.col("publisher0").alias("id"), N.sorted_token_string("pub0_cln").alias("t"))
     contained = containment_both(v_t, p_t).select(
         F.col("b_id").alias("publisher0"), F.col("a_id").alias("vendor_X"))
-    return shared.unionByName(contained).distinct()
+    return shared.unionByName(contained).unionByName(near_contained_long(vens, pubs)).distinct()
 
 
 def vendor_candidates(software: DataFrame, cpe: DataFrame, stop: list[str] | None = None) -> DataFrame:
@@ -195,12 +233,28 @@ def name_lengths_vendor(df: DataFrame) -> DataFrame:
 
 def inv_with_vendor(software: DataFrame, vendor_match: DataFrame,
                     publisher_key: str = "normalized") -> DataFrame:
-    """Inventory rows that carry a matched vendor (inner: unmatched publishers drop out)."""
+    """Inventory rows that carry a matched vendor (inner: unmatched publishers drop out).
+
+    ``publisher_key``: "normalized" joins the normalised publisher, "faithful" the
+    merely lower-cased one, with which only one-word publishers meet their match.
+    """
+    if publisher_key not in ("normalized", "faithful"):
+        raise ValueError(f"publisher_key must be 'normalized' or 'faithful', not {publisher_key!r}")
     key = N.norm_name("Publisher0") if publisher_key == "normalized" else F.lower("Publisher0")
     inv = software.select(key.alias("publisher0"), "DisplayName0", "Version0")
     return inv.join(vendor_match.select("publisher0", "vendor_X"), "publisher0", "inner")
 
 
+def products_of(software: DataFrame, vendor_match: DataFrame, publisher_key: str = "normalized") -> DataFrame:
+    """Distinct installed products of matched vendors.
+
+    The inventory is reduced to its distinct (publisher, name, version) before
+    the join, so the large side is shuffled once and already combined map-side.
+    """
+    installed = software.select("Publisher0", "DisplayName0", "Version0").distinct()
+    return distinct_products(inv_with_vendor(installed, vendor_match, publisher_key))
+
+
 def distinct_products(inv_vendor: DataFrame) -> DataFrame:
     """Distinct (vendor_X, DisplayName0, Version0); missing version -> '-'."""
     return (
@@ -209,11 +263,15 @@ def distinct_products(inv_vendor: DataFrame) -> DataFrame:
     )
 
 
+def pair_skip_microsoft(products: DataFrame) -> DataFrame:
+    return products.where(F.col("vendor_X") != K.SKIP_VENDOR)
+
+
 def pair_skip_rules(products: DataFrame) -> DataFrame:
     """Never match Microsoft; drop unversioned Cisco WebEx entries."""
     webex = ((F.col("vendor_X") == K.WEBEX_VENDOR) & (F.col("Version0") == K.NO_VERSION)
              & F.lower("DisplayName0").contains(K.WEBEX_TOKEN))
-    return products.where((F.col("vendor_X") != K.SKIP_VENDOR) & ~webex)
+    return pair_skip_microsoft(products).where(~webex)
 
 
 def _close_lengths(n: Column) -> Column:
@@ -255,19 +313,20 @@ def _versioned_pairs(products: DataFrame, c: DataFrame) -> DataFrame:
     return pairs.where(S.version_gate("rel_tmp", "Version0"))
 
 
-def software_pairs(products: DataFrame, cpe: DataFrame) -> DataFrame:
-    """(product, CPE row) pairs of one vendor that pass the version gate."""
-    # both inputs feed three join branches: compute each once
-    products = materialize(products)
-    c = materialize(_with_release(cpe))
+def versioned_pairs(products: DataFrame, cpe: DataFrame) -> DataFrame:
+    """(product, CPE row) pairs of one vendor, both with a version, that pass the version gate."""
+    return _versioned_pairs(products, _with_release(cpe))
+
+
+def ungated_counts(products: DataFrame, cpe: DataFrame) -> DataFrame:
+    """(vendor_X, n): how many pairs of a vendor the version gate lets through because one side has no version.
+
+    Counted, not formed: such pairs are all products times all catalogue rows of the vendor.
+    """
     nv = F.lit(K.NO_VERSION)
-    p1 = _versioned_pairs(products, c)
-    # a '-' on either side: vendor equi-join, no version gate
-    base_p = products.select("vendor_X", "DisplayName0", "Version0")
-    base_c = c.select("vendor_X", "software_X", "release_X", "rel_tmp", "title_X", "cpe23", "cpe_name")
-    p2a = base_p.where(F.col("Version0") == nv).join(base_c, "vendor_X")
-    p2b = base_p.where(F.col("Version0") != nv).join(base_c.where(F.col("rel_tmp") == nv), "vendor_X")
-    return p1.unionByName(p2a).unionByName(p2b)
+    p = products.groupBy("vendor_X").agg(F.count_if(F.col("Version0") == nv).alias("pu"), F.count_if(F.col("Version0") != nv).alias("pv"))
+    c = _with_release(cpe).groupBy("vendor_X").agg(F.count("*").alias("c"), F.count_if(F.col("rel_tmp") == nv).alias("cu"))
+    return p.join(c, "vendor_X").select("vendor_X", (F.col("pu") * F.col("c") + F.col("pv") * F.col("cu")).alias("n"))
 
 
 def software_candidates(products: DataFrame, cpe: DataFrame) -> DataFrame:

@@ -46,14 +46,33 @@ def assembler(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
 
 
-def train(labels: DataFrame, features: list[str], params: dict, seed: int = 42) -> PipelineModel:
+TRAINING_PARTITIONS = 8
+
+
+def training_rows(labels: DataFrame, features: list[str], max_rows: int | None, seed: int) -> DataFrame:
+    """Feature rows with their label, placed so that a fit is repeatable for a seed.
+
+    Rows go to a fixed number of partitions by their hash and are sorted inside
+    each, so neither the plan nor the cluster's size changes what a task sees.
+    ``max_rows`` bounds the labelled sample: the rows with the smallest seeded
+    hashes are taken. By default all labelled rows are used.
+    """
+    cols = [*features, F.col("match").cast("double").alias("label")]
+    rows = labels.select(*cols).dropna()
+    mark = F.xxhash64(F.lit(seed), *rows.columns)
+    if max_rows is not None:
+        rows = rows.orderBy(mark, *rows.columns).limit(max_rows)
+    return rows.repartition(TRAINING_PARTITIONS, mark).sortWithinPartitions(*rows.columns)
+
+
+def train(labels: DataFrame, features: list[str], params: dict, seed: int = 42,
+          max_rows: int | None = None) -> PipelineModel:
     """Random forest on labelled feature rows.
 
-    Training data is a bounded labelled set; it is put in one partition so
-    the forest is reproducible for a given seed.
+    See :func:`training_rows` for the partitions and the optional bound.
     """
-    data = labels.select(*features, F.col("match").cast("double").alias("label")).dropna().repartition(1)
-    data.persist()  # the forest makes several passes; the labelled set is small
+    data = training_rows(labels, features, max_rows, seed)
+    data.persist()  # the forest makes several passes
     try:
         rf = RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed, **params)
         return Pipeline(stages=[assembler(features), rf]).fit(data)
@@ -88,11 +107,14 @@ def _first_per_group(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def dedup_pairs(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """Drop duplicates on the key list keeping the first row (by ``_src`` then ``order``)."""
+    """Drop duplicates on the key list keeping the first row (by ``_src`` then ``order``).
+
+    Without ``_src`` an order is required: which row of a group comes first must not depend on the plan.
+    """
     order_cols = [F.col("_src")] if "_src" in df.columns else []
     order_cols += [F.col(c) for c in (order or [])]
     if not order_cols:
-        order_cols = [F.col(keys[0])]
+        raise ValueError("dedup_pairs needs an order: rows of a key have no other ranking")
     return _first_per_group(df, keys, order_cols)
 
 
@@ -104,7 +126,7 @@ def finalise_matches(classified: DataFrame, labelled: DataFrame, keys: list[str]
 
 
 def best_match(df: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """Per installed product keep the highest weighted score; ties by catalogue keys."""
+    """Per installed product keep the (positive) pair with the highest weighted score; ties by catalogue keys."""
     group = group or ["vendor_X", "DisplayName0", "Version0"]
     order = [-F.col("fz_uwratio"), F.col("software_X"), F.col("title_X"), F.col("release_X"), F.col("t_cve_name")]
     return _first_per_group(df, group, order)
@@ -149,7 +171,7 @@ def software_match(cands: DataFrame, labels: DataFrame, model: PipelineModel) ->
 
 def random_param_maps(rf, n: int, seed: int = 42) -> list:
     """``n`` random forest settings drawn like the original randomised search
-    (trees 20-99, depth 3 or unlimited, 1-6 features per split, 1-6 rows per
+    (trees 20-99, depth 3 or unlimited, which is 30 here, the most Spark grows, 1-6 features per split, 1-6 rows per
     leaf, bootstrap on/off, gini/entropy). The draws are configuration, made
     on the driver; every fit runs on the cluster."""
     import random
@@ -168,11 +190,11 @@ def random_param_maps(rf, n: int, seed: int = 42) -> list:
 
 
 def tune(labels: DataFrame, features: list[str], n_candidates: int = 40, folds: int = 3,
-         seed: int = 42, parallelism: int = 8):
+         seed: int = 42, parallelism: int = 8, max_rows: int | None = None):
     """Randomised search with k-fold cross-validation; returns the fitted CrossValidatorModel."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator
-    data = labels.select(*features, F.col("match").cast("double").alias("label")).dropna().repartition(1)
+    data = training_rows(labels, features, max_rows, seed)
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed)
     pipe = Pipeline(stages=[assembler(features), rf])
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=random_param_maps(rf, n_candidates, seed),
@@ -185,13 +207,14 @@ def tune(labels: DataFrame, features: list[str], n_candidates: int = 40, folds:
         data.unpersist()
 
 
-def compare_models(labels: DataFrame, features: list[str], folds: int = 5, seed: int = 42) -> list[tuple[str, float]]:
+def compare_models(labels: DataFrame, features: list[str], folds: int = 5, seed: int = 42,
+                   max_rows: int | None = None) -> list[tuple[str, float]]:
     """k-fold accuracy of the classifier families Spark ML offers."""
     from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
                                            NaiveBayes)
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    data = labels.select(*features, F.col("match").cast("double").alias("label")).dropna().repartition(1)
+    data = training_rows(labels, features, max_rows, seed)
     models = {
         "random_forest": RandomForestClassifier(seed=seed),
         "logistic_regression": LogisticRegression(maxIter=50),

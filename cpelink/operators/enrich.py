@@ -24,11 +24,10 @@ def default_site_regions(spark: SparkSession) -> DataFrame:
 def region_of_site(hosts: DataFrame, site_regions: DataFrame) -> DataFrame:
     """Add ``Region_X`` by a lookup join on the site; unknown sites -> 'Unknown'.
 
-    The lookup table is one row per site (a configuration table, bounded by
-    the number of sites), so it is broadcast.
+    A site listed in several regions belongs to the first of them by name. The
+    planner broadcasts the lookup table if its measured size allows it.
     """
-    lk = F.broadcast(site_regions.select(F.col("site").alias("_site"), F.col("region").alias("_region"))
-                     .dropDuplicates(["_site"]))
+    lk = site_regions.groupBy(F.col("site").alias("_site")).agg(F.min("region").alias("_region"))
     return (hosts.join(lk, hosts["Site_X"] == lk["_site"], "left")
             .withColumn("Region_X", F.coalesce(F.col("_region"), F.lit(K.REGION_UNKNOWN)))
             .drop("_site", "_region"))
@@ -63,6 +62,23 @@ def only_server(df: DataFrame) -> DataFrame:
     return df.where(F.col("HostFn_X").isNotNull() & (F.col("HostFn_X") == "server"))
 
 
+REPORT_SCHEMA = "report string, item string, n long, High long, Low long, Medium long"
+
+
+def report_rows(reports: dict[str, DataFrame]) -> DataFrame:
+    """Reports of one dimension as one long table: report, item, n or High / Low / Medium."""
+    def tagged(name: str, df: DataFrame) -> DataFrame:
+        dim = next(c for c in df.columns if c not in ("n", "High", "Low", "Medium"))
+        cells = [(F.col(c) if c in df.columns else F.lit(None)).cast("long").alias(c) for c in ("n", "High", "Low", "Medium")]
+        return df.select(F.lit(name).alias("report"), F.col(dim).cast("string").alias("item"), *cells)
+
+    frames = [tagged(k, v) for k, v in reports.items()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def custom_reports(vulns: DataFrame, region: str = "Region_A") -> dict[str, DataFrame]:
     """The sample extra reports over the host x vulnerability table."""
     return {

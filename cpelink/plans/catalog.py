@@ -32,11 +32,11 @@ register("host_project", "SELECT ResourceID, Active0, AD_Site_Name0, Distinguish
 register("host_active", "SELECT * FROM hosts")(I.hosts)
 
 
-@register("inv_arch_tag", "SELECT ResourceID, DisplayName0, Publisher0, Version0, true AS arch_X "
-          "FROM f_inventory WHERE arch_X")
+@register("inv_arch_tag", "SELECT ResourceID, DisplayName0, Publisher0, Version0, arch_X FROM f_inventory")
 def _inv_arch_tag(s, d):
-    x64 = fixture(s, d, "f_inventory").where("arch_X").drop("arch_X")
-    return C.inv_arch_tag(x64, True)
+    inv = fixture(s, d, "f_inventory")
+    x86, x64 = (inv.where(F.col("arch_X") == b).drop("arch_X") for b in (False, True))
+    return C.inv_arch_tag(x86, False).unionByName(C.inv_arch_tag(x64, True))
 
 
 @register("union_arch", "SELECT * FROM f_inventory")
@@ -82,16 +82,26 @@ register("inv_project", "SELECT vendor_X, DisplayName0, Version0 FROM invv")(
     lambda s, d: CA.inv_with_vendor(I.inventory(s, d), I.labelled_vendor_match(s, d))
     .select("vendor_X", "DisplayName0", "Version0"))
 
-register("pair_skip_microsoft", "SELECT * FROM products WHERE vendor_X <> 'microsoft'")(
-    lambda s, d: I.products(s, d).where(F.col("vendor_X") != K.SKIP_VENDOR))
+_ODD_PRODUCTS = """SELECT CASE length(DisplayName0) % 5 WHEN 0 THEN 'microsoft' WHEN 1 THEN 'cisco' ELSE vendor_X END AS vendor_X,
+ CASE length(DisplayName0) % 3 WHEN 0 THEN DisplayName0 || ' WebEx' ELSE DisplayName0 END AS DisplayName0, Version0 FROM {p}"""
+
+
+def _odd_products(s, d):
+    """Products of which some belong to the vendors and titles that the pair rules know."""
+    return s.sql(_ODD_PRODUCTS.format(p="{p}"), p=I.products(s, d))
 
-register("pair_skip_webex", """SELECT * FROM products WHERE vendor_X <> 'microsoft' AND NOT (vendor_X = 'cisco'
- AND Version0 = '-' AND contains(lower(DisplayName0), 'webex'))""")(
-    lambda s, d: CA.pair_skip_rules(I.products(s, d)))
+
+register("pair_skip_microsoft", f"SELECT * FROM ({_ODD_PRODUCTS.format(p='products')}) o WHERE vendor_X <> 'microsoft'")(
+    lambda s, d: CA.pair_skip_microsoft(_odd_products(s, d)))
+
+register("pair_skip_webex", f"""SELECT * FROM ({_ODD_PRODUCTS.format(p='products')}) o WHERE vendor_X <> 'microsoft'
+ AND NOT (vendor_X = 'cisco' AND Version0 = '-' AND contains(lower(DisplayName0), 'webex'))""")(
+    lambda s, d: CA.pair_skip_rules(_odd_products(s, d)))
 
 register("match_project_vendor", "SELECT * FROM vmatch")(I.labelled_vendor_match)
 register("match_project_software", "SELECT * FROM lmatch")(I.labelled_software_match)
-register("match_project", "SELECT * FROM lmatch")(I.labelled_software_match)
+register("match_project", "SELECT vendor_X, DisplayName0, Version0, t_cve_name FROM f_software_labels")(
+    lambda s, d: CL.match_project_software(I.software_labels(s, d)))
 
 register("only_vip", "SELECT * FROM vulns WHERE VIP_X IS NOT NULL")(lambda s, d: E.only_vip(I.vulns(s, d)))
 register("only_server", "SELECT * FROM vulns WHERE HostFn_X = 'server'")(
@@ -100,10 +110,17 @@ register("only_server", "SELECT * FROM vulns WHERE HostFn_X = 'server'")(
 register("positive_only", "SELECT * FROM f_software_labels WHERE match = 1")(
     lambda s, d: CL.positive_only(I.software_labels(s, d)))
 
-register("pair_complete", """SELECT * FROM f_software_labels WHERE vendor_X IS NOT NULL AND software_X IS NOT NULL
- AND title_X IS NOT NULL AND DisplayName0 IS NOT NULL AND release_X IS NOT NULL AND Version0 IS NOT NULL
- AND t_cve_name IS NOT NULL""")(
-    lambda s, d: CL.pair_complete(I.software_labels(s, d), K.SOFTWARE_KEYS + ["t_cve_name"]))
+@register("pair_complete", """SELECT * FROM (SELECT vendor_X, software_X, CASE WHEN length(software_X) % 7 <> 0 THEN title_X END AS title_X,
+ DisplayName0, CASE WHEN length(title_X) % 5 <> 0 THEN release_X END AS release_X, Version0, match,
+ CASE WHEN length(title_X) % 3 <> 0 THEN t_cve_name END AS t_cve_name FROM f_software_labels) l
+ WHERE title_X IS NOT NULL AND release_X IS NOT NULL AND t_cve_name IS NOT NULL""")
+def _pair_complete(s, d):
+    """Labels with gaps in three columns."""
+    n = F.char_length("title_X")
+    gaps = I.software_labels(s, d).withColumns({
+        "title_X": F.when(F.char_length("software_X") % 7 != 0, F.col("title_X")),
+        "release_X": F.when(n % 5 != 0, F.col("release_X")), "t_cve_name": F.when(n % 3 != 0, F.col("t_cve_name"))})
+    return CL.pair_complete(gaps, K.SOFTWARE_KEYS + ["t_cve_name"])
 
 
 # --- 2.5 scalar functions ---------------------------------------------------------
@@ -325,8 +342,30 @@ register("sample_rows", f"""SELECT * FROM vulns ORDER BY md5(concat_ws('|', '42'
 
 # --- 2.12 hooks ----------------------------------------------------------------------
 
-register("custom_reports", _pivot_sql("HostFn_X"))(
-    lambda s, d: E.custom_reports(I.vulns(s, d))["host_vuln_by_fn"])
+def _counted(report: str, item: str, n: str, rest: str) -> str:
+    return (f"SELECT * FROM (SELECT '{report}' AS report, {item} AS item, {n} AS n, CAST(NULL AS BIGINT) AS High, "
+            f"CAST(NULL AS BIGINT) AS Low, CAST(NULL AS BIGINT) AS Medium {rest}) q_{report}")
+
+
+def _pivoted(report: str, dim: str, rest: str = "") -> str:
+    return (f"SELECT '{report}' AS report, {dim} AS item, CAST(NULL AS BIGINT) AS n, High, Low, Medium "
+            f"FROM ({_pivot_sql(dim)} {rest}) q_{report}")
+
+
+def _top_report(report: str, where: str) -> str:
+    return _counted(report, "t_cve_name", "count(*)", f"FROM vulns WHERE crit_X_cat = 'High' AND t_cve_name IS NOT NULL "
+                    f"AND ({where}) GROUP BY t_cve_name ORDER BY n DESC, t_cve_name LIMIT 25")
+
+
+CUSTOM_REPORTS_SQL = " UNION ALL ".join([
+    _pivoted("host_vuln_by_fn", "HostFn_X"),
+    _counted("num_hosts_AD_gps", "VIP_X", "count(*)", "FROM vulns WHERE VIP_X IS NOT NULL GROUP BY VIP_X"),
+    _top_report("VIP_high", "VIP_X IS NOT NULL"),
+    _top_report("servers_high", "HostFn_X = 'server' AND Region_X = 'Region_A'")])
+SITE_REPORT_SQL = _pivoted("site_by_criticality", "Site_X", "ORDER BY High DESC, Medium DESC, Site_X LIMIT 10")
+TOP_REPORT_SQL = _top_report("top25_sft_high", "true")
+
+register("custom_reports", CUSTOM_REPORTS_SQL)(lambda s, d: E.report_rows(E.custom_reports(I.vulns(s, d))))
 
 
 from . import catalog_io  # noqa: E402,F401  (registers source / sink / nested keys)

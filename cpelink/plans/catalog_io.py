@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import clean as C
+from ..operators import enrich as E
 from ..operators import reports as R
 from ..session import scratch_path
 from ..sources import files as S
+from . import catalog as CAT
 from . import inputs as I
 from .registry import register
 from .fixtures import fixture
@@ -86,10 +88,12 @@ def _scan_cve_xml(s, d):
     return C.cve_from_xml(S.scan_cve_xml(s, _land_feeds(s, d)))
 
 
-@register("union_feeds", "SELECT count(*) AS n_rows, count(DISTINCT cve_id) AS n_cves FROM cve_x")
+@register("union_feeds", """SELECT cve_id, coalesce(score, '') AS score, n FROM (
+ SELECT cve_id, score, 1 + CAST(score IS NOT NULL AND vector = 'NETWORK' AS INTEGER) AS n FROM f_cve) f""")
 def _union_feeds(s, d):
-    df = C.cve_from_xml(S.scan_cve_xml(s, _land_feeds(s, d)))
-    return df.agg(F.count("*").alias("n_rows"), F.count_distinct("cve_id").alias("n_cves"))
+    """Every entry of both feed files, those that both hold twice."""
+    df = S.scan_cve_xml(s, _land_feeds(s, d)).select(*C.entry_columns())
+    return df.groupBy("cve_id", F.coalesce("score", F.lit("")).alias("score")).agg(F.count("*").cast("int").alias("n"))
 
 
 @register("scan_labels", "SELECT * FROM f_software_labels")
@@ -125,11 +129,12 @@ def _load_stage(s, d):
     return S.load_stage(s, base, "sft_vuln")
 
 
-@register("save_stage", "SELECT count(*) AS n FROM inv")
+@register("save_stage", "SELECT * FROM inv")
 def _save_stage(s, d):
     base = scratch_path(s, "stages")
-    S.save_stage(I.inventory(s, d), base, "add_rem", partition_by=["arch_X"])
-    return S.load_stage(s, base, "add_rem").agg(F.count("*").alias("n"))
+    inv = I.inventory(s, d)
+    S.save_stage(inv, base, "add_rem", partition_by=["arch_X"])
+    return S.load_stage(s, base, "add_rem", inv.schema)
 
 
 @register("export_raw_csv", "SELECT * FROM vulns")
@@ -140,13 +145,14 @@ def _export_raw_csv(s, d):
     return s.read.schema(v.schema).option("header", True).option("sep", S.SEP).csv(out)
 
 
-@register("export_json_reports", """SELECT t_cve_name, count(*) AS n FROM vulns WHERE crit_X_cat = 'High'
- AND t_cve_name IS NOT NULL GROUP BY t_cve_name ORDER BY n DESC, t_cve_name LIMIT 25""")
+@register("export_json_reports", " UNION ALL ".join([
+    CAT.TOP_REPORT_SQL, CAT.SITE_REPORT_SQL, CAT.CUSTOM_REPORTS_SQL]))
 def _export_json(s, d):
+    """All report files, written and read back."""
     v = I.vulns(s, d)
-    out = scratch_path(s, "reports")
-    paths = S.export_json_reports({"top25_sft_high": R.top_high(v), "site_by_criticality": R.top_sites(v)}, out)
-    return s.read.schema("t_cve_name string, n long").json(paths["top25_sft_high"])
+    made = {"top25_sft_high": R.top_high(v), "site_by_criticality": R.top_sites(v)} | E.custom_reports(v)
+    paths = S.export_json_reports(made, scratch_path(s, "reports"))
+    return E.report_rows({k: s.read.schema(made[k].schema).json(p) for k, p in paths.items()})
 
 
 # --- 2.3 / 2.4 nested data --------------------------------------------------------
@@ -193,33 +199,103 @@ def _worst_from_feeds(s, d):
 
 # --- 2.12 incremental refresh ---------------------------------------------------------
 
+_YEAR = r"^CVE-([0-9]+)-"
+
+
 def _manifest(cve):
-    """Per feed year: a digest of the year's entries (the stored feed metadata)."""
-    year = F.regexp_extract("cve_id", r"^CVE-([0-9]+)-", 1).cast("int")
-    digest = F.concat_ws(":", F.count("*").cast("string"), F.max("cve_id"), F.min("cve_id"))
+    """Per feed year: an order-free digest of the year's rows (sums of row hashes, combined map-side)."""
+    row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in ("cve_id", "product", "score", "complexity", "vector")]))
+    half = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
+    digest = F.concat_ws(":", F.count("*").cast("string"), F.sum(half).cast("string"))
+    year = F.regexp_extract("cve_id", _YEAR, 1).cast("int")
     return cve.groupBy(year.alias("year")).agg(F.sha2(digest, 256).alias("sha256"))
 
 
-_MANIFEST_SQL = ("SELECT CAST(regexp_extract(cve_id, '^CVE-([0-9]+)-', 1) AS INTEGER) AS year, "
-                 "sha256(concat_ws(':', CAST(count(*) AS VARCHAR), max(cve_id), min(cve_id))) AS sha256 FROM {src} GROUP BY 1")
+_MANIFEST_SQL = """SELECT CAST(regexp_extract(cve_id, '^CVE-([0-9]+)-', 1) AS INTEGER) AS year,
+ sha256(CAST(count(*) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(md5(concat_ws('|', cve_id, coalesce(product, ''),
+  coalesce(score, ''), coalesce(complexity, ''), coalesce(vector, ''))), 1, 15) AS HUGEINT)) AS VARCHAR)) AS sha256
+ FROM {src} GROUP BY 1"""
 
 
 @register("feeds_changed", f""", mnew AS ({_MANIFEST_SQL.format(src='f_cve')}),
- mold AS ({_MANIFEST_SQL.format(src='(SELECT * FROM f_cve WHERE score IS NOT NULL)')})
+ mold AS ({_MANIFEST_SQL.format(src="(SELECT cve_id, product, CASE WHEN cve_id LIKE '%9' THEN '0.0' ELSE score END AS score, complexity, vector FROM f_cve)")})
 SELECT * FROM mnew WHERE NOT EXISTS (SELECT 1 FROM mold WHERE mold.year = mnew.year AND mold.sha256 = mnew.sha256)""")
 def _feeds_changed(s, d):
+    """The stored manifest is of an earlier state with other scores for some entries; both pass through metadata text."""
     from ..streaming import incremental as INC
     cve = I.cve(s, d)
-    # the stored manifest predates the entries that had no score yet
-    return INC.feeds_changed(_manifest(cve), _manifest(cve.where(F.col("score").isNotNull())))
+    before = cve.withColumn("score", F.when(F.col("cve_id").endswith("9"), "0.0").otherwise(F.col("score")))
+    new, old = (_land_meta(s, _manifest(x)) for x in (cve, before))
+    return INC.feeds_changed(*[INC.scan_feed_meta(s, p).select(
+        F.regexp_extract(F.col("lastModifiedDate"), "^([0-9]+)", 1).cast("int").alias("year"), "sha256") for p in (new, old)])
+
+
+def _land_meta(s, manifest) -> str:
+    """One metadata text per feed year: key:value lines."""
+    out = scratch_path(s, "feed_meta")
+    lines = manifest.select(F.explode(F.array(
+        F.concat(F.lit("lastModifiedDate:"), F.col("year").cast("string"), F.lit("-05-01T03:00:00-04:00")),
+        F.concat(F.lit("size:"), F.col("year").cast("string")),
+        F.concat(F.lit("sha256:"), F.upper("sha256")))).alias("value"), "year")
+    lines.repartition("year").write.partitionBy("year").option("lineSep", "\r\n").text(out)
+    return out
+
+
+@register("scan_feed_meta", f"""SELECT CAST(year AS VARCHAR) || '-05-01T03:00:00-04:00' AS "lastModifiedDate",
+ CAST(year AS BIGINT) AS size, sha256 FROM ({_MANIFEST_SQL.format(src='f_cve')}) m""")
+def _scan_feed_meta(s, d):
+    from ..streaming import incremental as INC
+    return INC.scan_feed_meta(s, _land_meta(s, _manifest(I.cve(s, d)))).drop("feed")
 
 
-@register("refresh", f"""SELECT *, {I.CRIT_SQL} AS crit_X_cat FROM (SELECT product AS cpe_prod, max(try_cast(score AS DOUBLE)) AS cvss_score,
+@register("catalogue_stale", """SELECT name, CAST(fetched AS VARCHAR) AS fetched FROM (SELECT name, CASE WHEN length(name) % 11 <> 0
+ THEN DATE '2017-05-20' - CAST(length(name) % 15 AS INTEGER) END AS fetched FROM f_cpe) c
+ WHERE fetched IS NULL OR date_diff('day', fetched, DATE '2017-05-20') > 7""")
+def _catalogue_stale(s, d):
+    """The seven-day rule, over catalogue rows with a fetch date each."""
+    from ..streaming import incremental as INC
+    n = F.char_length("name")
+    rows = fixture(s, d, "f_cpe").select("name", F.lit("2017-05-20").cast("date").alias("now"), F.when(
+        n % 11 != 0, F.date_sub(F.lit("2017-05-20").cast("date"), n % 15)).alias("fetched"))
+    return INC.catalogue_stale(rows).select("name", F.col("fetched").cast("string").alias("fetched"))
+
+
+# entries before and after their feeds are published again: some scores change, some entries lose their
+# products, some their CVSS, some vanish
+_AGAIN = """again AS (SELECT cve_id, product, CASE WHEN cve_id LIKE '%3' THEN '9.9' WHEN cve_id LIKE '%5' THEN NULL
+ ELSE score END AS score, complexity, vector FROM f_cve WHERE score IS NOT NULL AND complexity IS NOT NULL
+ AND cve_id NOT LIKE '%7' AND cve_id NOT LIKE '%1')"""
+
+
+def _land_again(s, d, landing: str) -> None:
+    shape = I.cve_xml_shape(s, d).where(F.col("_feed") == 2000).drop("_feed")
+    cid, cvss = F.col("`vuln:cve-id`"), F.col("`vuln:cvss`")
+    base = cvss["cvss:base_metrics"].withField("`cvss:score`", F.when(
+        cid.endswith("3"), "9.9").otherwise(cvss["cvss:base_metrics"]["cvss:score"]))
+    lists = "vuln:vulnerable-software-list"
+    changed = (shape.where(~cid.endswith("7"))
+               .withColumn("vuln:cvss", F.when(cvss.isNotNull() & ~cid.endswith("5"), F.struct(base.alias("cvss:base_metrics"))))
+               .withColumn(lists, F.when(cid.endswith("1"), F.struct(F.lit(None).cast("array<string>").alias("vuln:product")))
+                           .otherwise(F.col(f"`{lists}`")))
+               .withColumn("vuln:last-modified-datetime", F.lit("2018-01-01T00:00:00.000-04:00")))
+    S.write_cve_xml(changed, os.path.join(landing, f"{K.CVE_FILE_PREFIX}2000.xml"))
+    # the other feed loses the entries it had repeated
+    second = I.cve_xml_shape(s, d).where(F.col("_feed") == 2001).drop("_feed")
+    S.write_cve_xml(second, os.path.join(landing, f"{K.CVE_FILE_PREFIX}2001.xml"))
+
+
+@register("refresh", f""", {_AGAIN}, exploded AS (SELECT cve_id, product, score, complexity, vector FROM again WHERE score IS NOT NULL
+ UNION ALL SELECT cve_id, product || ':sp1', score, complexity, vector FROM again WHERE score IS NOT NULL AND vector = 'LOCAL')
+SELECT *, {I.CRIT_SQL} AS crit_X_cat FROM (SELECT product AS cpe_prod, max(try_cast(score AS DOUBLE)) AS cvss_score,
  ['HIGH', 'MEDIUM', 'LOW'][max(list_position(['HIGH', 'MEDIUM', 'LOW'], complexity))] AS cvss_acc_cmpl_cat,
  ['LOCAL', 'ADJACENT_NETWORK', 'NETWORK'][max(list_position(['LOCAL', 'ADJACENT_NETWORK', 'NETWORK'], vector))] AS cvss_acc_vect_cat
- FROM cve_x WHERE NOT coalesce(regexp_matches(product, '(?i)cpe:/[oh]:'), false) GROUP BY product) w""")
+ FROM exploded WHERE NOT coalesce(regexp_matches(product, '(?i)cpe:/[oh]:'), false) GROUP BY product) w""")
 def _refresh(s, d):
+    """A first load, then the same feeds published again with other content under the same names."""
     from ..streaming import incremental as INC
     landing = _land_feeds(s, d)
     base = scratch_path(s, "refresh")
-    return INC.refresh(s, landing, os.path.join(base, "state"), os.path.join(base, "checkpoint"))
+    state, checkpoint = os.path.join(base, "state"), os.path.join(base, "checkpoint")
+    INC.refresh(s, landing, state, checkpoint)
+    _land_again(s, d, landing)
+    return INC.refresh(s, landing, state, checkpoint)

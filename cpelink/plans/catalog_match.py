@@ -18,7 +18,7 @@ from . import inputs as I
 from . import sql_scores as Q
 from .catalog import _JR, _JU, _PUB_TOKS, _VEN_TOKS, _clean_sql
 from ..session import materialize, scratch_path
-from .registry import QUERIES, register
+from .registry import register
 
 _SCORE_COLS = {
     "score_ratio": "ratio", "score_partial_ratio": "partial", "score_token_set": "token_set",
@@ -88,9 +88,9 @@ register("features_software", _FEAT_SW_SQL)(label_features_software)
 @register("best_match", ", feat AS (" + _FEAT_SW_SQL.lstrip(", ").replace("lp AS", "WITH lp AS", 1) + """)
 SELECT vendor_X, DisplayName0, Version0, t_cve_name FROM (
  SELECT *, row_number() OVER (PARTITION BY vendor_X, DisplayName0, Version0
-  ORDER BY fz_uwratio DESC, software_X, title_X, release_X, t_cve_name) AS rn FROM feat) b WHERE rn = 1""")
+  ORDER BY fz_uwratio DESC, software_X, title_X, release_X, t_cve_name) AS rn FROM feat WHERE match = 1) b WHERE rn = 1""")
 def _best_match(s, d):
-    return CL.match_project_software(CL.best_match(label_features_software(s, d)))
+    return CL.match_project_software(CL.best_match(CL.positive_only(label_features_software(s, d))))
 
 
 # --- vendor stage: candidates vs brute force -----------------------------------------
@@ -147,22 +147,28 @@ register("features_vendor", _VEN_CANDS + """SELECT publisher0, vendor_X, fz_ptl_
 
 # --- software stage --------------------------------------------------------------------
 
+_NO_VERSION = "(rel_tmp = '-' OR Version0 = '-')"
 _VG_BRUTE = (
     """, cj AS (SELECT p.vendor_X, p.DisplayName0, p.Version0, c.software_X, c.release_X, c.title_X, c.cpe_name,
   c.release_X AS rel_tmp FROM products p JOIN cpe c ON p.vendor_X = c.vendor_X
   WHERE p.vendor_X <> 'microsoft' AND NOT (p.vendor_X = 'cisco' AND p.Version0 = '-'
    AND contains(lower(p.DisplayName0), 'webex')))
-SELECT vendor_X, DisplayName0, Version0, software_X, release_X, cpe_name FROM cj
- WHERE rel_tmp = '-' OR Version0 = '-' OR rel_tmp = Version0 OR (least(length(rel_tmp), length(Version0)) > 0
+SELECT vendor_X, DisplayName0, Version0, software_X, release_X, cpe_name, CAST(1 AS BIGINT) AS n FROM cj
+ WHERE NOT """ + _NO_VERSION + """ AND (rel_tmp = Version0 OR (least(length(rel_tmp), length(Version0)) > 0
   AND (CASE WHEN length(rel_tmp) <= length(Version0) THEN contains(Version0, rel_tmp) ELSE contains(rel_tmp, Version0) END)
   AND floor(100.0 * (2.0 * least(length(rel_tmp), length(Version0))
-   / (least(length(rel_tmp), length(Version0)) + greatest(length(rel_tmp), length(Version0)))) + 0.5) >= 90)""")
+   / (least(length(rel_tmp), length(Version0)) + greatest(length(rel_tmp), length(Version0)))) + 0.5) >= 90))
+ UNION ALL SELECT vendor_X, NULL, NULL, NULL, NULL, NULL, count(*) FILTER (WHERE """ + _NO_VERSION + """)
+ FROM cj GROUP BY vendor_X""")
 
 
 @register("version_gate", _VG_BRUTE)
 def _version_gate(s, d):
-    pairs = CA.software_pairs(CA.pair_skip_rules(I.products(s, d)), I.catalogue(s, d))
-    return pairs.select("vendor_X", "DisplayName0", "Version0", "software_X", "release_X", "cpe_name")
+    """Versioned pairs that pass, and per vendor the number of pairs that pass for want of a version."""
+    products, cpe = CA.pair_skip_rules(I.products(s, d)), I.catalogue(s, d)
+    pairs = CA.versioned_pairs(products, cpe).select(
+        "vendor_X", "DisplayName0", "Version0", "software_X", "release_X", "cpe_name", F.lit(1).cast("long").alias("n"))
+    return pairs.unionByName(CA.ungated_counts(products, cpe), allowMissingColumns=True)
 
 
 def software_candidates(s, d):
@@ -221,7 +227,10 @@ def vendor_model(s, d):
 
 
 def software_model(s, d):
-    return CL.train(label_features_software(s, d), K.SOFTWARE_FEATURES, K.SOFTWARE_FOREST)
+    """Trained on the labelled candidates, whose features are those that ``classify`` sees (JDK / JRE releases fixed)."""
+    cands = materialize(software_candidates(s, d), "software_candidates")
+    lab = CL.split_labelled(CL.label_lookup(cands, I.software_labels(s, d), K.SOFTWARE_KEYS))[1]
+    return CL.train(lab, K.SOFTWARE_FEATURES, K.SOFTWARE_FOREST)
 
 
 @register("train_vendor")
@@ -240,22 +249,46 @@ def _train_software(s, d):
                              "feature_idx int, importance double")
 
 
-@register("classify")
+def _vendor_unlabelled(s, d):
+    return CL.split_labelled(CL.pair_complete(_vendor_looked(s, d), K.VENDOR_KEYS + K.VENDOR_FEATURES))
+
+
+_UNL_SQL = _VEN_CANDS + _VLAB + """, unl AS (SELECT vc.* FROM vc LEFT JOIN vl ON vc.publisher0 = vl.publisher0
+ AND vc.vendor_X = vl.vendor_X WHERE vl.match IS NULL), lab AS (SELECT vc.publisher0, vc.vendor_X, vl.match
+ FROM vc JOIN vl ON vc.publisher0 = vl.publisher0 AND vc.vendor_X = vl.vendor_X)\n"""
+_RULE_SQL = "CASE WHEN fz_uwratio >= 80 THEN 1 ELSE 0 END"
+
+
+def _by_rule(unl):
+    """A match column by a fixed rule in place of the forest's, so that SQL can follow."""
+    return unl.withColumn("match", F.when(F.col("fz_uwratio") >= 80, 1).otherwise(0))
+
+
+# the forest's verdicts are not SQL; what must hold of them is: every unlabelled pair gets one of two classes
+@register("classify", _UNL_SQL + "SELECT publisher0, vendor_X, true AS judged FROM unl")
 def _classify(s, d):
-    unl, _ = CL.split_labelled(CL.pair_complete(_vendor_looked(s, d), K.VENDOR_KEYS + K.VENDOR_FEATURES))
-    return CL.classify(unl, vendor_model(s, d)).select("publisher0", "vendor_X", "match")
+    out = CL.classify(_vendor_unlabelled(s, d)[0], vendor_model(s, d))
+    return out.select("publisher0", "vendor_X", F.col("match").isin(0, 1).alias("judged"))
+
+
+@register("union_matches", _UNL_SQL + f"""SELECT publisher0, vendor_X, {_RULE_SQL} AS match, 0 AS src FROM unl
+ UNION ALL SELECT publisher0, vendor_X, match, 1 FROM lab""")
+def _union_matches(s, d):
+    unl, lab = _vendor_unlabelled(s, d)
+    return CL.union_matches(_by_rule(unl), lab).select("publisher0", "vendor_X", "match", F.col("_src").alias("src"))
 
 
-@register("finalise_matches")
+@register("finalise_matches", _UNL_SQL + f"""SELECT publisher0, vendor_X FROM unl WHERE {_RULE_SQL} = 1
+ UNION SELECT publisher0, vendor_X FROM lab WHERE match = 1""")
 def _finalise(s, d):
-    cands = materialize(CA.name_lengths_vendor(vendor_candidates(s, d)), "vendor_candidates")
-    return CL.vendor_match(cands, I.vendor_labels(s, d), vendor_model(s, d))
+    unl, lab = _vendor_unlabelled(s, d)
+    return CL.match_project_vendor(CL.finalise_matches(_by_rule(unl), lab, K.VENDOR_KEYS))
 
 
-@register("union_matches")
-def _union_matches(s, d):
-    unl, lab = CL.split_labelled(CL.pair_complete(_vendor_looked(s, d), K.VENDOR_KEYS + K.VENDOR_FEATURES))
-    return CL.union_matches(CL.classify(unl, vendor_model(s, d)), lab).select("publisher0", "vendor_X", "match")
+@register("vendor_match")
+def _vendor_match(s, d):
+    cands = materialize(CA.name_lengths_vendor(vendor_candidates(s, d)), "vendor_candidates")
+    return CL.vendor_match(cands, I.vendor_labels(s, d), vendor_model(s, d))
 
 
 @register("software_match")
@@ -287,14 +320,24 @@ def _compare_models(s, d):
     return s.createDataFrame(res, "model string, accuracy double")
 
 
-@register("save_model")
+@register("save_model", f"SELECT CAST(feature_idx AS INTEGER) AS feature_idx, true AS same FROM range({len(K.VENDOR_FEATURES)}) "
+          "t(feature_idx) WHERE EXISTS (SELECT 1 FROM part)")
 def _save_model(s, d):
-    path = CL.save_model(vendor_model(s, d), scratch_path(s, "vendor_model"))
-    unl, _ = CL.split_labelled(CL.pair_complete(_vendor_looked(s, d), K.VENDOR_KEYS + K.VENDOR_FEATURES))
-    return CL.classify(unl, CL.load_model(path)).select("publisher0", "vendor_X", "match")
-
-
-register("load_model")(QUERIES["save_model"])
+    """The stored forest holds the importances of the one in memory."""
+    model = vendor_model(s, d)
+    stored = CL.load_model(CL.save_model(model, scratch_path(s, "vendor_model")))
+    pairs = zip(model.stages[-1].featureImportances.toArray(), stored.stages[-1].featureImportances.toArray())
+    return s.createDataFrame([(i, bool(a == b)) for i, (a, b) in enumerate(pairs)], "feature_idx int, same boolean")
+
+
+@register("load_model", _UNL_SQL + "SELECT publisher0, vendor_X, true AS same FROM unl")
+def _load_model(s, d):
+    """Every unlabelled pair gets the same verdict from the model in memory and from the stored one."""
+    model, unl = vendor_model(s, d), _vendor_unlabelled(s, d)[0]
+    stored = CL.load_model(CL.save_model(model, scratch_path(s, "vendor_model")))
+    keys = ["publisher0", "vendor_X"]
+    a, b = (CL.classify(unl, m).select(*keys, F.col("match").alias(n)) for m, n in ((model, "a"), (stored, "b")))
+    return a.join(b, keys).select(*keys, (F.col("a") == F.col("b")).alias("same"))
 
 
 @register("pipeline_run")

@@ -65,7 +65,7 @@ def vulns(spark: SparkSession, d: str) -> DataFrame:
 def products(spark: SparkSession, d: str) -> DataFrame:
     """Distinct installed products of matched vendors."""
     from ..operators import candidates as CA
-    return CA.distinct_products(CA.inv_with_vendor(inventory(spark, d), labelled_vendor_match(spark, d)))
+    return CA.products_of(inventory(spark, d), labelled_vendor_match(spark, d))
 
 
 # --- DuckDB twins -------------------------------------------------------------

@@ -29,7 +29,7 @@ def _sim(m: str, la: str, lb: str) -> str:
 
 
 def ratio(a: str, b: str) -> str:
-    return (f"(CASE WHEN {a} = {b} THEN 100 WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 "
+    return (f"(CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 WHEN {a} = {b} THEN 100 "
             f"ELSE {_intr(_sim(lcs(a, b), f'length({a})', f'length({b})'))} END)")
 
 
@@ -42,12 +42,12 @@ def partial_ratio(a: str, b: str) -> str:
     best = (f"(CASE WHEN length({a}) <= length({b}) THEN {_best_window(a, b)} "
             f"ELSE {_best_window(b, a)} END)")
     n = f"least(length({a}), length({b}))"
-    return (f"(CASE WHEN {a} = {b} THEN 100 WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 "
+    return (f"(CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 WHEN {a} = {b} THEN 100 "
             f"ELSE {_intr(_sim(best, n, n))} END)")
 
 
 def proc(x: str) -> str:
-    return f"trim(lower(regexp_replace({x}, '\\W', ' ', 'g')))"
+    return f"trim(lower(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_]', ' ', 'g')))"
 
 
 def _toks(p: str) -> str:

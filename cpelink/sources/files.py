@@ -187,8 +187,10 @@ def save_stage(df: DataFrame, directory: str, name: str, partition_by: list[str]
     return path
 
 
-def load_stage(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(directory, name))
+def load_stage(spark: SparkSession, directory: str, name: str, schema: T.StructType | None = None) -> DataFrame:
+    """A stage table; its schema keeps the types of columns that it is partitioned by (and their order)."""
+    path = os.path.join(directory, name)
+    return spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path).select(schema.names)
 
 
 def export_raw_csv(df: DataFrame, path: str) -> None:
@@ -197,11 +199,11 @@ def export_raw_csv(df: DataFrame, path: str) -> None:
 
 
 def export_json_reports(reports: dict[str, DataFrame], directory: str) -> dict[str, str]:
-    """Each report as JSON lines in one file (reports are bounded: <= k rows or <= sites)."""
+    """Each report as JSON lines, written by as many tasks as Spark gives it."""
     out = {}
     for name, df in reports.items():
         path = os.path.join(directory, name)
-        df.coalesce(1).write.mode("overwrite").json(path)
+        df.write.mode("overwrite").json(path)
         out[name] = path
     return out
 

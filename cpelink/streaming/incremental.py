@@ -42,15 +42,16 @@ def feeds_changed(new_manifest: DataFrame, stored_manifest: DataFrame) -> DataFr
 
 def scan_feed_meta(spark: SparkSession, path: str) -> DataFrame:
     """(feed, lastModifiedDate, size, sha256): one row per metadata file of ``key:value`` lines."""
-    lines = spark.read.text(path).select(
-        F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1).alias("feed"),
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.input_file_name().alias("file"),
         F.split(F.regexp_replace("value", "\r$", ""), ":", 2).alias("kv"))
 
     def field(name: str):
         return F.max(F.when(F.col("kv")[0] == name, F.col("kv")[1])).alias(name)
 
-    return (lines.where(F.size("kv") == 2).groupBy("feed").agg(field("lastModifiedDate"), field("size"), field("sha256"))
-            .withColumn("size", F.col("size").cast("long")).withColumn("sha256", F.lower("sha256")))
+    return (lines.where(F.size("kv") == 2).groupBy("file").agg(field("lastModifiedDate"), field("size"), field("sha256"))
+            .select(F.regexp_extract("file", r"([^/]*)$", 1).alias("feed"), "lastModifiedDate",
+                    F.col("size").cast("long").alias("size"), F.lower("sha256").alias("sha256")))
 
 
 def catalogue_stale(manifest: DataFrame, now_col: str = "now", ts_col: str = "fetched",
@@ -84,34 +85,49 @@ class _Folder:
     def delete(self, p: str) -> None:
         self.fs(p).delete(self.path(p), True)
 
+    def make(self, p: str) -> None:
+        self.fs(p).mkdirs(self.path(p))
+
     def copy(self, source: str, target: str) -> None:
         """Complete or absent under the target name."""
         self.jvm.org.apache.hadoop.fs.FileUtil.copy(self.fs(source), self.path(source), self.fs(target),
                                                     self.path(target), False, True, self.conf)
 
 
-def _versions(folder: _Folder, part_dir: str) -> list[int]:
-    found = [int(n[1:]) for n in folder.names(part_dir) if n.startswith("v") and n[1:].isdigit()]
-    return sorted(v for v in found if folder.exists(os.path.join(part_dir, f"v{v}", "_SUCCESS")))
+def _newest(folder: _Folder, table_dir: str, before: int | None) -> dict[str, list[int]]:
+    """Part -> the committed versions (older than ``before``) that wrote it, newest first."""
+    held = [int(n[1:]) for n in folder.names(table_dir) if n.startswith("v") and n[1:].isdigit()]
+    found: dict[str, list[int]] = {}
+    for v in sorted(held, reverse=True):
+        if (before is None or v < before) and folder.exists(os.path.join(table_dir, f"v{v}", "_SUCCESS")):
+            for part in folder.names(os.path.join(table_dir, "_touched", f"v{v}")):
+                found.setdefault(part, []).append(v)
+    return found
+
+
+def _part_path(table_dir: str, part: str, version: int) -> str:
+    return os.path.join(table_dir, f"v{version}", f"part={part}")
 
 
 def read_parts(spark: SparkSession, table_dir: str, before: int | None = None,
                only: list[str] | None = None) -> DataFrame | None:
     """The newest committed version of each part (older than version ``before``)."""
-    folder, paths = _Folder(spark), []
-    for part in folder.names(table_dir):
-        if only is None or part in only:
-            held = [v for v in _versions(folder, os.path.join(table_dir, part)) if before is None or v < before]
-            paths += [os.path.join(table_dir, part, f"v{held[-1]}")] if held else []
+    folder = _Folder(spark)
+    newest = {p: v[0] for p, v in _newest(folder, table_dir, before).items() if only is None or p in only}
+    # a part whose rows have all gone has a version without a folder
+    paths = [x for p, v in sorted(newest.items()) if folder.exists(x := _part_path(table_dir, p, v))]
     return spark.read.parquet(*paths) if paths else None
 
 
-def _write_part(df: DataFrame, table_dir: str, part: str, version: int) -> None:
-    """Writes one version of a part and keeps the one before it."""
-    folder, part_dir = _Folder(df.sparkSession), os.path.join(table_dir, part)
-    df.write.mode("overwrite").parquet(os.path.join(part_dir, f"v{version}"))
-    for old in [v for v in _versions(folder, part_dir) if v < version][:-1]:
-        folder.delete(os.path.join(part_dir, f"v{old}"))
+def _write_parts(df: DataFrame, part, table_dir: str, parts: list[str], version: int) -> None:
+    """Writes a new version of the given parts in one job and keeps the version before it of each."""
+    folder = _Folder(df.sparkSession)
+    for p in parts:
+        folder.make(os.path.join(table_dir, "_touched", f"v{version}", p))
+    df.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(os.path.join(table_dir, f"v{version}"))
+    for p, held in _newest(folder, table_dir, version + 1).items():
+        for old in held[2:] if p in parts else []:
+            folder.delete(_part_path(table_dir, p, old))
 
 
 # --- refresh --------------------------------------------------------------------------
@@ -133,10 +149,6 @@ def feed_digests(spark: SparkSession, landing_dir: str, prefix: str = K.CVE_FILE
     return lines.groupBy("feed").agg(F.md5(text).alias("digest"))
 
 
-def _latest_entries(entries: DataFrame) -> DataFrame:
-    return C.dedup_latest(entries, ["cve_id"], "modified")
-
-
 def merge_batch(spark: SparkSession, batch_xml: DataFrame, state_dir: str, epoch: int) -> None:
     """Replace the state of the feeds in one micro-batch and the worst case of the products they touch."""
     cve_dir, worst_dir = os.path.join(state_dir, "cve"), os.path.join(state_dir, "worst_case")
@@ -147,12 +159,16 @@ def merge_batch(spark: SparkSession, batch_xml: DataFrame, state_dir: str, epoch
     # two versions of a feed in one batch (a stream that had stopped): the later one counts
     turns = {r["feed"]: r["turn"] for r in entries.groupBy("feed").agg(F.max("turn").alias("turn")).collect()}
     old = read_parts(spark, cve_dir, before=epoch, only=list(turns))
-    for feed, turn in sorted(turns.items()):  # one per yearly feed
-        mine = (F.col("feed") == feed) & (F.col("turn") == turn)
-        _write_part(_latest_entries(entries.where(mine).drop("turn", "feed")).withColumn("feed", F.lit(feed)),
-                    cve_dir, feed, epoch)
+    if not turns:
+        entries.unpersist()
+        return
+    latest = F.create_map(*[F.lit(x) for kv in sorted(turns.items()) for x in kv])
+    mine = C.dedup_latest(entries.where(F.col("turn") == latest[F.col("feed")]).drop("turn"), ["feed", "cve_id"], "modified")
+    _write_parts(mine, F.col("feed"), cve_dir, list(turns), epoch)
     entries.unpersist()
     now = read_parts(spark, cve_dir, before=epoch + 1)
+    if now is None:
+        now = mine.limit(0)
     # products named by any old or new version of the entries that these feeds hold or held
     changed = now.where(F.col("feed").isin(list(turns))).select("cve_id")
     if old is not None:
@@ -168,10 +184,7 @@ def merge_batch(spark: SparkSession, batch_xml: DataFrame, state_dir: str, epoch
     kept = read_parts(spark, worst_dir, before=epoch, only=hit)
     worst = fresh if kept is None else kept.join(
         touched.withColumnRenamed("product", "cpe_prod"), "cpe_prod", "left_anti").unionByName(fresh)
-    worst = worst.withColumn("__b", bucket).persist()
-    for b in sorted(hit):  # WORST_BUCKETS at most
-        _write_part(worst.where(F.col("__b") == b).drop("__b"), worst_dir, b, epoch)
-    worst.unpersist()
+    _write_parts(worst, bucket, worst_dir, hit, epoch)
 
 
 def refresh(spark: SparkSession, landing_dir: str, state_dir: str, checkpoint_dir: str,

@@ -11,9 +11,10 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from cpelink.session import local_session
+    from cpelink.session import local_session, release_scratch
     s = local_session(4, app="cpelink-tests")
     yield s
+    release_scratch(s)
     s.stop()
 
 

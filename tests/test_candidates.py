@@ -35,6 +35,24 @@ def test_vendor_gate_brute_force(spark):
     assert got == exp
 
 
+def test_vendor_gate_unicode_and_long_names(spark):
+    random.seed(5)
+    long = "".join(random.choice("abcdefghij") for _ in range(450))
+    cut = lambda s, k: s[:k] + s[k + 1:]
+    swap = lambda s, k: s[:k] + "z" + s[k + 1:]
+    vens = ["cafe_moon", "stra\u00dfe", "\u0645\u062f_\u064e\u0646\u0629", "na\u0308ive", long[:210], long[:405], "x\u0301y", "\u0e01\u0e34\u0e19"]
+    pubs = ["x cafe\u0301 zed", "STRASSE gmbh", "Stra\u00dfe AG", "\u0645\u062f\u064e\u0646\u0629 co", "na ive", "x y", swap(long[:211], 100),
+            swap(swap(long[:211], 100), 30), "q" + swap(long[:405], 17), swap(swap(long[:405], 17), 390), cut(long[:405], 200),
+            swap(long[:199], 50), "\u0e01\u0e19 \u0e01\u0e34"]
+    p = CA.prepare_publishers(spark.createDataFrame([(x,) for x in pubs], "Publisher0 string"))
+    v = CA.prepare_vendors(spark.createDataFrame([(x,) for x in vens], "vendor_X string"))
+    got = {(r.publisher0, r.vendor_X) for r in CA.vendor_gate_pairs(p, v).collect()}
+    pc, vc = {r.publisher0: r.pub0_cln for r in p.collect()}, {r.vendor_X: r.ven_cln for r in v.collect()}
+    exp = {(a, b) for a in pc for b in vc if S.partial_token_set(vc[b], pc[a]) == 100}
+    assert got == exp
+    assert any(len(a) > 200 and len(b) > 200 for a, b in exp)
+
+
 def _brute_software(products, cpe):
     """All same-vendor pairs, gated like the original nested loop."""
     out = set()
@@ -72,7 +90,7 @@ def test_software_candidates_brute_force(spark, sf_dir):
 
 
 def test_software_pairs_has_no_nested_loop(spark, sf_dir):
-    pairs = CA.software_pairs(I.products(spark, sf_dir), I.catalogue(spark, sf_dir))
+    pairs = CA.versioned_pairs(I.products(spark, sf_dir), I.catalogue(spark, sf_dir))
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 

@@ -59,3 +59,7 @@ def test_pipeline_resume_skips_committed_stages(spark, sf_dir):
     # a second run finds every stage committed and trains nothing
     second = run(spark, inp, d, resume=True)
     assert sorted(tuple(r) for r in second["top25_sft_high"].collect()) == a
+    # other inputs: the stages are computed again
+    inp.cve = inp.cve.withColumn("score", F.lit("0.1"))
+    third = run(spark, inp, d, resume=True)
+    assert third["top25_sft_high"].count() == 0 and a
