@@ -6,16 +6,16 @@ Scores are defined on insert/delete similarity: ``ratio(a, b)`` is
 The token variants work on ``proc``-essed strings (non-word chars -> blank,
 lower-case, trimmed). ``weighted`` combines them like the usual "WRatio".
 
-All scores of a pair come from one Arrow-batched pandas UDF so each pair
-crosses the JVM/Python boundary once. The per-pair kernel is a small helper:
-a bit-parallel LCS on Python integers.
+The scores that a query asks for come from one Arrow-batched pandas UDF so each
+pair crosses the JVM/Python boundary once and no other score is computed. The
+per-pair kernel is a small helper: a bit-parallel LCS on Python integers.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,7 +28,6 @@ SCORE_FIELDS = [
     "ratio", "partial", "token_set", "ptl_token_set",
     "token_sort", "ptl_token_sort", "weighted",
 ]
-SCORE_SCHEMA = T.StructType([T.StructField(f, T.IntegerType()) for f in SCORE_FIELDS])
 RATIO_SCHEMA = T.StructType([T.StructField(f, T.IntegerType()) for f in ("ratio", "partial")])
 
 # letters, digits and the underscore of any script; the same class as normalize.proc and the SQL twin
@@ -90,58 +89,117 @@ def _sorted_tokens(p: str) -> str:
     return " ".join(sorted(p.split())).strip()
 
 
+class PairScores:
+    """The scores of one pair; each is computed when asked for, on shared intermediate strings."""
+
+    def __init__(self, a: str, b: str):
+        self.a, self.b = a, b
+
+    @cached_property
+    def processed(self) -> tuple[str, str]:
+        return proc(self.a), proc(self.b)
+
+    @cached_property
+    def ordered(self) -> tuple[str, str]:
+        p1, p2 = self.processed
+        return _sorted_tokens(p1), _sorted_tokens(p2)
+
+    @cached_property
+    def sets(self) -> tuple[str, str, str]:
+        """Shared tokens; shared and only the first's; shared and only the second's."""
+        p1, p2 = self.processed
+        t1, t2 = set(p1.split()), set(p2.split())
+        both = " ".join(sorted(t1 & t2))
+        return both, f"{both} {' '.join(sorted(t1 - t2))}".strip(), f"{both} {' '.join(sorted(t2 - t1))}".strip()
+
+    def _over_sets(self, f) -> int:
+        if not all(self.processed):
+            return 0
+        both, c12, c21 = self.sets
+        return max(f(both, c12), f(both, c21), f(c12, c21))
+
+    @cached_property
+    def ratio(self) -> int:
+        return ratio(self.a, self.b)
+
+    @cached_property
+    def partial(self) -> int:
+        return partial_ratio(self.a, self.b)
+
+    @cached_property
+    def token_set(self) -> int:
+        return self._over_sets(ratio)
+
+    @cached_property
+    def ptl_token_set(self) -> int:
+        if all(self.processed) and self.sets[0]:
+            return 100  # the shared tokens stand in either string
+        return self._over_sets(partial_ratio)
+
+    @cached_property
+    def token_sort(self) -> int:
+        return ratio(*self.ordered)
+
+    @cached_property
+    def ptl_token_sort(self) -> int:
+        return partial_ratio(*self.ordered)
+
+    @cached_property
+    def weighted(self) -> int:
+        p1, p2 = self.processed
+        if not p1 or not p2:
+            return 0
+        base, same = ratio(p1, p2), p1 == p2
+        longer = float(max(len(p1), len(p2))) / min(len(p1), len(p2))
+        if longer < 1.5:
+            return intr(max(base, self.token_sort * 0.95, (100 if same else self.token_set) * 0.95))
+        scale = 0.6 if longer > 8 else 0.9
+        return intr(max(base, partial_ratio(p1, p2) * scale, self.ptl_token_sort * 0.95 * scale,
+                        (100 if same else self.ptl_token_set) * 0.95 * scale))
+
+
+def all_scores(a, b) -> tuple:
+    """All scores of a pair in the order of SCORE_FIELDS; nulls for a null side."""
+    if a is None or b is None:
+        return (None,) * len(SCORE_FIELDS)
+    s = PairScores(a, b)
+    return tuple(getattr(s, f) for f in SCORE_FIELDS)
+
+
 def token_set(a: str, b: str) -> int:
-    return all_scores(a, b)[2]
+    return PairScores(a, b).token_set
 
 
 def partial_token_set(a: str, b: str) -> int:
-    return all_scores(a, b)[3]
+    return PairScores(a, b).ptl_token_set
 
 
 def token_sort(a: str, b: str) -> int:
-    return all_scores(a, b)[4]
+    return PairScores(a, b).token_sort
 
 
 def partial_token_sort(a: str, b: str) -> int:
-    return all_scores(a, b)[5]
+    return PairScores(a, b).ptl_token_sort
 
 
 def weighted(a: str, b: str) -> int:
-    return all_scores(a, b)[6]
+    return PairScores(a, b).weighted
 
 
-def all_scores(a, b) -> tuple:
-    """All seven scores of one pair; shared intermediate strings are built once."""
-    if a is None or b is None:
-        return (None,) * len(SCORE_FIELDS)
-    p1, p2 = proc(a), proc(b)
-    s1, s2 = _sorted_tokens(p1), _sorted_tokens(p2)
-    tsort, ptsort = ratio(s1, s2), partial_ratio(s1, s2)
-    if p1 and p2:
-        t1, t2 = set(p1.split()), set(p2.split())
-        sect = " ".join(sorted(t1 & t2))
-        c12 = (sect + " " + " ".join(sorted(t1 - t2))).strip()
-        c21 = (sect + " " + " ".join(sorted(t2 - t1))).strip()
-        tset = max(ratio(sect, c12), ratio(sect, c21), ratio(c12, c21))
-        ptset = max(partial_ratio(sect, c12), partial_ratio(sect, c21), partial_ratio(c12, c21))
-        base = ratio(p1, p2)
-        len_ratio = float(max(len(p1), len(p2))) / min(len(p1), len(p2))
-        if len_ratio < 1.5:
-            w = intr(max(base, tsort * 0.95, (100 if p1 == p2 else tset) * 0.95))
-        else:
-            scale = 0.6 if len_ratio > 8 else 0.9
-            w = intr(max(base, partial_ratio(p1, p2) * scale, ptsort * 0.95 * scale,
-                         (100 if p1 == p2 else ptset) * 0.95 * scale))
-    else:
-        tset = ptset = w = 0
-    return (ratio(a, b), partial_ratio(a, b), tset, ptset, tsort, ptsort, w)
-
-
-@F.pandas_udf(SCORE_SCHEMA)
-def _pair_scores_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    rows = [all_scores(x, y) for x, y in zip(a, b)]
-    out = pd.DataFrame(rows, columns=SCORE_FIELDS)
-    return out.astype("Int32")
+@lru_cache(maxsize=None)
+def _pair_scores_udf(fields: tuple[str, ...]):
+    """A UDF that computes the named scores only."""
+    schema = T.StructType([T.StructField(f, T.IntegerType()) for f in fields])
+
+    @F.pandas_udf(schema)
+    def udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        found = [None if x is None or y is None else PairScores(x, y) for x, y in zip(a, b)]
+        return pd.DataFrame({f: pd.array([None if s is None else getattr(s, f) for s in found], "Int32") for f in fields})
+
+    # Scores are pure functions, but they are declared non-deterministic so the
+    # optimizer never pushes a filter on a score below the de-duplication of
+    # string pairs (it would re-run the scorer on every pre-distinct row).
+    return udf.asNondeterministic()
 
 
 @F.pandas_udf(RATIO_SCHEMA)
@@ -151,17 +209,14 @@ def _pair_ratio_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["ratio", "partial"]).astype("Int32")
 
 
-# Scores are pure functions, but they are declared non-deterministic so the
-# optimizer never pushes a filter on a score below the de-duplication of
-# string pairs (it would re-run the scorer on every pre-distinct row).
-_pair_scores_udf = _pair_scores_udf.asNondeterministic()
 _pair_ratio_udf = _pair_ratio_udf.asNondeterministic()
 
 
-def pair_scores(a, b) -> Column:
-    """struct<ratio, partial, token_set, ptl_token_set, token_sort, ptl_token_sort, weighted>."""
+def pair_scores(a, b, fields: list[str] | None = None) -> Column:
+    """struct of the named scores, all of SCORE_FIELDS by default."""
     ship_package()
-    return _pair_scores_udf(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
+    udf = _pair_scores_udf(tuple(fields or SCORE_FIELDS))
+    return udf(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
 
 
 def pair_ratio(a, b) -> Column:

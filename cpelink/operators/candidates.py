@@ -177,7 +177,7 @@ def near_contained_long(vens: DataFrame, pubs: DataFrame) -> DataFrame:
                               F.col("l_cln").alias("pc"), F.col("s_cln").alias("vc"))
              .unionByName(met(p, v).select(F.col("s_id").alias("publisher0"), F.col("l_id").alias("vendor_X"),
                                            F.col("s_cln").alias("pc"), F.col("l_cln").alias("vc"))).distinct())
-    return pairs.where(S.pair_scores(F.col("vc"), F.col("pc"))["ptl_token_set"] == 100).select("publisher0", "vendor_X")
+    return pairs.where(S.pair_scores(F.col("vc"), F.col("pc"), ["ptl_token_set"])["ptl_token_set"] == 100).select("publisher0", "vendor_X")
 
 
 def _token_rows(df: DataFrame, id_col: str, cln: str) -> DataFrame:
@@ -212,7 +212,8 @@ def vendor_candidates(software: DataFrame, cpe: DataFrame, stop: list[str] | Non
     cand = cand.repartition(score_partitions(cand), "publisher0", "vendor_X")
     scored = cand.select(
         "publisher0", "pub0_cln", "vendor_X", "ven_cln",
-        S.pair_scores(F.col("ven_cln"), F.col("pub0_cln")).alias("s"),
+        S.pair_scores(F.col("ven_cln"), F.col("pub0_cln"),
+                      ["ratio", "partial", "token_set", "ptl_token_sort", "weighted"]).alias("s"),
     )
     return scored.select(
         "publisher0", "pub0_cln", "vendor_X", "ven_cln",
@@ -340,7 +341,9 @@ def software_candidates(products: DataFrame, cpe: DataFrame) -> DataFrame:
        step 1 plus, for unversioned products, every distinct title of the
        vendor and, for unversioned catalogue rows, every distinct display
        name of the vendor -- distinct strings, not product x catalogue rows;
-    3. each distinct (title, display name) string pair is scored once;
+    3. of the distinct (title, display name) string pairs those with a shared
+       token pass the title gate natively, the others get the gate's score; the
+       remaining scores are computed once for each pair that passes;
     4. only passing combinations are expanded back to product x catalogue
        pairs, so the product x catalogue explosion is output-sized.
     """
@@ -361,10 +364,20 @@ def software_candidates(products: DataFrame, cpe: DataFrame) -> DataFrame:
               .withColumn("tb", N.strip_vendor("DisplayName0", "vendor_X")))
     combos = materialize(combos, "title_combos")
 
+    # a shared token alone scores 100: those pairs pass natively, the others get the gate's score only
+    def tokens(c: str) -> Column:
+        return F.filter(F.split(N.proc(c), " "), lambda t: t != "")
+
     strings = combos.select("ta", "tb").distinct()
-    strings = strings.repartition(score_partitions(strings), "ta", "tb")
-    t_scored = strings.select("ta", "tb", S.pair_scores(F.col("ta"), F.col("tb")).alias("s")) \
-        .where(F.col("s.ptl_token_set") >= K.TITLE_GATE)
+    strings = strings.repartition(score_partitions(strings), "ta", "tb") \
+        .withColumn("shared", F.arrays_overlap(tokens("ta"), tokens("tb")))
+    gated = strings.where(~F.col("shared")).select(
+        "ta", "tb", S.pair_scores(F.col("ta"), F.col("tb"), ["ptl_token_set"])["ptl_token_set"].alias("gate")) \
+        .where(F.col("gate") >= K.TITLE_GATE).select("ta", "tb")
+    through = materialize(strings.where("shared").select("ta", "tb").union(gated), "gated_titles")
+    through = through.repartition(score_partitions(through), "ta", "tb")
+    t_scored = through.select("ta", "tb", S.pair_scores(
+        F.col("ta"), F.col("tb"), ["ratio", "partial", "ptl_token_set", "token_sort", "weighted"]).alias("s"))
     passing = materialize(combos.join(t_scored, ["ta", "tb"]).select(
         "vendor_X", "DisplayName0", "title_X", "s"), "passing_titles")
 

@@ -50,7 +50,7 @@ def _label_pairs(s, d):
 def _make_score_query(field: str):
     def q(s, d):
         p = _label_pairs(s, d)
-        return p.select(*K.SOFTWARE_KEYS, S.pair_scores(F.col("ta"), F.col("tb"))[field].alias("score"))
+        return p.select(*K.SOFTWARE_KEYS, S.pair_scores(F.col("ta"), F.col("tb"), [field])[field].alias("score"))
     return q
 
 
@@ -71,7 +71,7 @@ _FEAT_SW_SQL = _LP + f"""SELECT {', '.join(K.SOFTWARE_KEYS)}, match, t_cve_name,
 def label_features_software(s, d):
     """Labelled software pairs with the nine model features."""
     p = _label_pairs(s, d).select(
-        "*", S.pair_scores(F.col("ta"), F.col("tb")).alias("s"),
+        "*", S.pair_scores(F.col("ta"), F.col("tb"), ["ratio", "partial", "ptl_token_set", "token_sort", "weighted"]).alias("s"),
         S.pair_ratio(F.col("release_X"), F.col("Version0")).alias("r"))
     return p.select(
         *K.SOFTWARE_KEYS, "match", "t_cve_name",
