@@ -147,10 +147,24 @@ register("features_vendor", _VEN_CANDS + """SELECT publisher0, vendor_X, fz_ptl_
 
 # --- software stage --------------------------------------------------------------------
 
+def _java_sql(cpe23: str, vendor: str, software: str, release: str) -> str:
+    """SQL twin of the JDK/JRE release rule (expression form)."""
+    ju, jr = _JU, _JR
+    hu = f"contains({cpe23}, 'update')"
+    sft = f"(CASE WHEN {hu} THEN regexp_extract({cpe23}, '{ju}', 2) ELSE regexp_extract({cpe23}, '{jr}', 2) END)"
+    rel = f"(CASE WHEN {hu} THEN regexp_extract({cpe23}, '{ju}', 3) ELSE regexp_extract({cpe23}, '{jr}', 3) END)"
+    tmp = (f"(CASE WHEN {hu} THEN regexp_extract({cpe23}, '{ju}', 3) || '.' || regexp_extract({cpe23}, '{ju}', 4) || '0' "
+           f"ELSE regexp_extract({cpe23}, '{jr}', 3) END)")
+    ok = f"(CASE WHEN {hu} THEN regexp_matches({cpe23}, '{ju}') ELSE regexp_matches({cpe23}, '{jr}') END)"
+    return (f"(CASE WHEN {vendor} IN ('oracle', 'sun') AND {software} IN ('jre', 'jdk') THEN "
+            f"CASE WHEN NOT {ok} THEN '-' WHEN contains({rel}, '_') THEN '1.' || {rel} WHEN {sft} = 'jre' THEN {tmp} "
+            f"WHEN starts_with({rel}, '8.') THEN {tmp} ELSE '1.' || {tmp} END ELSE {release} END)")
+
+
 _NO_VERSION = "(rel_tmp = '-' OR Version0 = '-')"
 _VG_BRUTE = (
-    """, cj AS (SELECT p.vendor_X, p.DisplayName0, p.Version0, c.software_X, c.release_X, c.title_X, c.cpe_name,
-  c.release_X AS rel_tmp FROM products p JOIN cpe c ON p.vendor_X = c.vendor_X
+    f""", cj AS (SELECT p.vendor_X, p.DisplayName0, p.Version0, c.software_X, c.release_X, c.title_X, c.cpe_name,
+  {_java_sql('c.cpe23', 'c.vendor_X', 'c.software_X', 'c.release_X')} AS rel_tmp FROM products p JOIN cpe c ON p.vendor_X = c.vendor_X
   WHERE p.vendor_X <> 'microsoft' AND NOT (p.vendor_X = 'cisco' AND p.Version0 = '-'
    AND contains(lower(p.DisplayName0), 'webex')))
 SELECT vendor_X, DisplayName0, Version0, software_X, release_X, cpe_name, CAST(1 AS BIGINT) AS n FROM cj
@@ -175,20 +189,6 @@ def software_candidates(s, d):
     return CA.software_candidates(I.products(s, d), I.catalogue(s, d))
 
 
-def _java_sql(cpe23: str, vendor: str, software: str, release: str) -> str:
-    """SQL twin of the JDK/JRE release rule (expression form)."""
-    ju, jr = _JU, _JR
-    hu = f"contains({cpe23}, 'update')"
-    sft = f"(CASE WHEN {hu} THEN regexp_extract({cpe23}, '{ju}', 2) ELSE regexp_extract({cpe23}, '{jr}', 2) END)"
-    rel = f"(CASE WHEN {hu} THEN regexp_extract({cpe23}, '{ju}', 3) ELSE regexp_extract({cpe23}, '{jr}', 3) END)"
-    tmp = (f"(CASE WHEN {hu} THEN regexp_extract({cpe23}, '{ju}', 3) || '.' || regexp_extract({cpe23}, '{ju}', 4) || '0' "
-           f"ELSE regexp_extract({cpe23}, '{jr}', 3) END)")
-    ok = f"(CASE WHEN {hu} THEN regexp_matches({cpe23}, '{ju}') ELSE regexp_matches({cpe23}, '{jr}') END)"
-    return (f"(CASE WHEN {vendor} IN ('oracle', 'sun') AND {software} IN ('jre', 'jdk') THEN "
-            f"CASE WHEN NOT {ok} THEN '-' WHEN contains({rel}, '_') THEN '1.' || {rel} WHEN {sft} = 'jre' THEN {tmp} "
-            f"WHEN starts_with({rel}, '8.') THEN {tmp} ELSE '1.' || {tmp} END ELSE {release} END)")
-
-
 # brute force: every same-vendor pair, the version gate as a predicate, the
 # title gate by the SQL scorer over the distinct (title, display) strings
 _SC_SQL = (f""", sp AS (SELECT * FROM products WHERE vendor_X <> 'microsoft' AND NOT (vendor_X = 'cisco'

@@ -29,11 +29,18 @@ SELECT c_custkey AS ResourceID, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS Act
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
 """
 
+# Parts of one brand in two also stand for installed JDKs; one part in 31 has a
+# long version, close to but not equal to the catalogue's.
 F_INVENTORY = """
-SELECT o_custkey AS ResourceID, p_name AS DisplayName0,
+SELECT o_custkey AS ResourceID,
+ CASE WHEN p_brand = 'Brand#5' AND p_partkey % 2 = 0 THEN 'Oracle JDK 1.' || CAST(p_size % 9 AS STRING) || ' Update '
+   || CAST(p_partkey % 60 AS STRING) ELSE p_name END AS DisplayName0,
  CASE WHEN l_linenumber = 7 THEN NULL WHEN p_brand = 'Brand#1' THEN 'Microsoft Corporation'
       ELSE replace(p_brand, '#', '') || ' Inc' END AS Publisher0,
  CASE WHEN l_linenumber = 6 THEN NULL
+      WHEN p_brand = 'Brand#5' AND p_partkey % 2 = 0 THEN '1.' || CAST(p_size % 9 AS STRING) || '.0.'
+       || CAST(p_partkey % 60 AS STRING) || '0'
+      WHEN p_partkey % 31 = 5 THEN CAST(p_size % 5 AS STRING) || '.' || CAST(p_partkey % 3 AS STRING) || '.20170412'
       ELSE CAST(p_size % 5 AS STRING) || '.' || CAST(p_partkey % 3 AS STRING) END AS Version0,
  l_linestatus = 'F' AS arch_X
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey
@@ -44,9 +51,13 @@ SELECT 'cpe:/' || k || ':' || v || ':' || s || ':' || r AS name,
  'cpe:2.3:' || k || ':' || v || ':' || s || ':' || r || ':*:*:*:*:*:*:*' AS cpe23, title, deprecated
 FROM (SELECT DISTINCT CASE WHEN p_type = 'PROMO' THEN 'o' WHEN p_type = 'LARGE' THEN 'h' ELSE 'a' END AS k,
   lower(replace(p_brand, '#', '')) AS v, replace(p_name, ' ', '_') AS s,
-  CAST(p_size % 5 AS STRING) || '.' || CAST(p_partkey % 3 AS STRING) AS r,
-  replace(p_brand, '#', '') || ' ' || p_name AS title,
-  CASE WHEN p_size = 50 THEN 'true' END AS deprecated FROM {part}) d
+  CASE WHEN p_partkey % 29 = 3 THEN '-' ELSE CAST(p_size % 5 AS STRING) || '.' || CAST(p_partkey % 3 AS STRING)
+   || CASE WHEN p_partkey % 31 = 5 THEN '.20170412.1' ELSE '' END END AS r,
+  CASE WHEN p_partkey % 37 <> 2 THEN replace(p_brand, '#', '') || ' ' || p_name END AS title,
+  CASE WHEN p_size = 50 THEN 'true' END AS deprecated FROM {part}
+ UNION SELECT 'a', 'oracle', 'jdk', '1.' || CAST(p_size % 9 AS STRING) || '.0:update_' || CAST(p_partkey % 60 AS STRING),
+  'Oracle JDK 1.' || CAST(p_size % 9 AS STRING) || ' Update ' || CAST(p_partkey % 60 AS STRING), NULL
+  FROM {part} WHERE p_brand = 'Brand#5') d
 """
 
 F_CVE = """
@@ -84,6 +95,8 @@ SELECT DISTINCT lower(replace(p_brand, '#', '')) || '_inc' AS publisher0, lower(
 UNION ALL
 SELECT DISTINCT lower(replace(p_brand, '#', '')) || '_inc' AS publisher0, 'brand1' AS vendor_X, 0 AS match
 FROM {part} WHERE p_brand LIKE 'Brand#1_'
+UNION ALL
+SELECT DISTINCT 'brand5_inc', 'oracle', 1 FROM {part} WHERE p_brand = 'Brand#5'
 """
 
 # Software: each application catalogue row is a positive for the installed
