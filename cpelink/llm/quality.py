@@ -181,7 +181,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def quality_report(docs: DataFrame) -> DataFrame:
     return judge(docs.select("doc_id", "text", "lang")).select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", "class_distance", "word_distance")
+        "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"),
+        F.round("word_distance", 6).alias("word_distance"))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -191,3 +192,51 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                       .select("__id", "__th").distinct(), "rejected")
     keyed = docs.withColumns(dict(zip(("__id", "__th"), row_key(id_col, text_of(text_col)))))
     return keyed.join(bad, ["__id", "__th"], "left_anti").drop("__id", "__th")
+
+
+def _oracle(limits: Limits = Limits()) -> str:
+    listed = {k: "[" + ", ".join(f"'{x}'" for x in v) + "]" for k, v in COMMON_WORDS.items()}
+    common = " ".join(
+        f"WHEN '{k}' THEN list_append(list_transform({v}, lambda x: len(list_filter(w, lambda y: y = x))), "
+        f"len(list_filter(w, lambda y: NOT list_contains({v}, y))))" for k, v in listed.items())
+    over = " OR ".join(f"{d} > {level} + {noise} / sqrt(greatest(n_words, 1))" for d, (level, noise) in (
+        ("cd", limits.class_distance), ("wd", limits.word_distance), ("cd + wd", limits.both)))
+    spread = """sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END
+  + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))"""
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t,
+         CASE WHEN lang IN ({", ".join(f"'{k}'" for k in COMMON_WORDS)}) THEN lang ELSE '{REST}' END AS lang FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+grams AS (SELECT rn, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+          FROM (SELECT rn, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM w)),
+often AS (SELECT rn, g FROM grams GROUP BY rn, g HAVING count(*) > 1),
+rep AS (SELECT rn, count(DISTINCT i + k) AS n FROM grams JOIN often USING (rn, g), range(3) r(k) GROUP BY rn),
+m AS (
+  SELECT rn, doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) AS n_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+         coalesce(rep.n, 0) AS n_repeat_words, length(regexp_replace(t, '[^a-z]+', '', 'g')) AS lo,
+         length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS up, length(regexp_replace(t, '[^0-9]+', '', 'g')) AS dg,
+         length(regexp_replace(t, '[\x00-\x7F]+', '', 'g')) AS ot, CASE lang {common} END AS common
+  FROM w LEFT JOIN rep USING (rn)),
+c AS (SELECT rn, lang, n_words, generate_subscripts(v, 1) AS i, unnest(v) / nullif(n_chars, 0) AS p FROM (
+  SELECT *, [lo, up, dg, ot, n_symbols, n_chars - word_chars, word_chars - lo - up - dg - ot - n_symbols] AS v FROM m)),
+k AS (SELECT rn, lang, n_words, generate_subscripts(common, 1) AS i, unnest(common) / nullif(n_words, 0) AS p FROM m
+      WHERE common IS NOT NULL),
+cr AS (SELECT lang, i, avg(p) AS q FROM c WHERE n_words >= {limits.min_words} AND lang <> '{REST}' GROUP BY lang, i
+       UNION ALL SELECT '{REST}', i, avg(p) FROM c WHERE n_words >= {limits.min_words} GROUP BY i),
+kr AS (SELECT lang, i, avg(p) AS q FROM k WHERE n_words >= {limits.min_words} GROUP BY lang, i),
+cd AS (SELECT rn, {spread} AS cd FROM (SELECT rn, coalesce(p, 0) AS p, q FROM c JOIN cr USING (lang, i)) GROUP BY rn),
+wd AS (SELECT rn, {spread} AS wd FROM (SELECT rn, coalesce(p, 0) AS p, q FROM k JOIN kr USING (lang, i)) GROUP BY rn),
+j AS (SELECT m.*, cd, coalesce(wd, 0) AS wd, wd AS shown,
+             n_words < {limits.min_words} OR 100 * n_repeat_words > {limits.max_repeat_percent} * n_words AS base_failed
+      FROM m LEFT JOIN cd USING (rn) LEFT JOIN wd USING (rn))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT (base_failed OR {over}) AS kept, round(cd, 6) AS class_distance, round(shown, 6) AS word_distance
+FROM j
+"""
+
+
+ORACLE = _oracle()

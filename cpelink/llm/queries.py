@@ -33,5 +33,6 @@ ORACLES: dict[str, str] = {
     "op3_line_dedup": linededup.ORACLE,
     "op4_minhash_near_dup": superminhash.ORACLE,
     "op7_warc_transactions": warc.ORACLE,
+    "op8_quality_divergence": quality.ORACLE,
     "op10_chat_format": chat.ORACLE,
 }
