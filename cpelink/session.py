@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +55,13 @@ def shared_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
-_WRITTEN: dict[str, list[str]] = {}
+#: Application -> thread -> intermediate folders in the order they were made.
+_WRITTEN: dict[str, dict[int, list[str]]] = {}
+
+
+def _held(spark: SparkSession) -> list[str]:
+    """Folders that this thread has made in this application."""
+    return _WRITTEN.setdefault(spark.sparkContext.applicationId, {}).setdefault(threading.get_ident(), [])
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -67,7 +74,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     app = spark.sparkContext.applicationId
     if app not in _WRITTEN:
         atexit.register(_release_at_exit, spark, app)
-    _WRITTEN.setdefault(app, []).append(path)
+    _held(spark).append(path)
     return path
 
 
@@ -79,18 +86,22 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def scratch_count(spark: SparkSession) -> int:
-    """How many intermediate folders this application holds; a mark for ``release_scratch``."""
-    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+    """How many intermediate folders this thread holds; a mark for ``release_scratch``."""
+    return len(_held(spark))
 
 
-def release_scratch(spark: SparkSession, since: int = 0) -> int:
-    """Remove the intermediate tables this application has written (from the mark ``since`` on).
+def release_scratch(spark: SparkSession, since: int | None = None, keep: int = 0) -> int:
+    """Remove intermediate tables, once the DataFrames built on them have been written out.
 
-    Call it once the DataFrames built on them have been written out; returns
-    the number of folders removed.
+    Without ``since`` all of the application go; with it those that this thread
+    has made from the mark on, but for the newest ``keep``. Returns how many.
     """
-    held = _WRITTEN.get(spark.sparkContext.applicationId, [])
-    paths, held[since:] = held[since:], []
+    if since is None:
+        paths = [p for held in _WRITTEN.pop(spark.sparkContext.applicationId, {}).values() for p in held]
+    else:
+        held = _held(spark)
+        end = max(since, len(held) - keep)
+        paths, held[since:end] = held[since:end], []
     for path in paths:
         delete_path(spark, path)
     return len(paths)

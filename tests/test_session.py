@@ -10,10 +10,13 @@ def test_scratch_is_released(spark):
     mark = S.scratch_count(spark)
     gone = S.materialize(df.where("x > 3"), "gone")
     assert gone.count() == 6
-    path = S._WRITTEN[spark.sparkContext.applicationId][mark]
+    path = S._held(spark)[mark]
     assert os.path.isdir(path)
     assert S.release_scratch(spark, since=mark) == 1 and not os.path.exists(path)
     assert df.count() == 10 and S.scratch_count(spark) == mark
+    for name in ("a", "b", "c"):
+        last = S.materialize(df, name)
+    assert S.release_scratch(spark, since=mark, keep=1) == 2 and last.count() == 10
 
 
 class _Unset:
