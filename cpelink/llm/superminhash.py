@@ -10,15 +10,24 @@ levels cannot lower it. A document with many more shingles than components needs
 two or three levels.
 
 Grouping. Documents with equal shingle sets form one class. Class signatures are
-cut into bands; classes that agree in a band share a bucket. In each bucket the
-smallest class is the centre, and every other member is compared with it alone:
-one pair per member, not one per pair of members. Pairs are verified on full
-shingle sets and links grouped by union-find. What a star can miss is a link
+cut into bands; classes that agree in a band share a bucket. The centre of a
+bucket is the member with the most company over all its buckets, in a group of
+near copies the least edited one, and every other member is compared with it
+alone: one pair per member, not one per pair of members. Pairs are verified on
+full shingle sets and links grouped by union-find. What a star can miss is a link
 between two members of one bucket that still lie in different components. Those
-pairs are compared too, except those that cannot link: Jaccard distance is a
-metric, so two members whose distances to the centre differ by more than the
-limit are further apart than it. All candidates of the bands are thus decided,
-with no cap on buckets or partners.
+pairs are compared too, except those that cannot link:
+- shingles are counted over the members of such buckets. One that nobody else has
+  cannot be in an intersection, and with too many of them a member has no partner.
+  Pairs that share a rare shingle (at most ``rare`` holders) come from an equi-join
+  on it, at most ``rare`` rows each; any other pair intersects in its common
+  shingles only, which the edits of a near copy soon leave too few of;
+- Jaccard distance is a metric, so two members whose distances to the centre
+  differ by more than the limit are further apart than it;
+- two bits of each signature component must agree about as often as at the limit
+  (6.5 standard deviations of slack, a miss in 1e9), which keeps texts that merely
+  share a passage from being compared one by one.
+All other candidates of the bands are verified, with no cap on buckets or partners.
 
 With 40 bands of 5 a pair at similarity 0.8 fails to share a bucket with
 probability 1e-7, at 0.9 with 1e-16.
@@ -40,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship_package
+from ..session import materialize, release_scratch, scratch_count, ship_package
 from .components import connected_components
 from .textcols import NULL_ID, ascii_lower, let, row_key, space_words, text_of, upto
 
@@ -54,8 +63,21 @@ class NearDup:
     percent: int = 80
     bands: int = 40
     rows: int = 5
+    #: Holders up to which a shingle counts as rare among possible partners.
+    rare: int = 16
     #: Shingles whose signatures are computed together.
-    batch: int = 100_000
+    batch: int = 50_000
+
+    @property
+    def longs(self) -> int:
+        """64-bit words of one bit plane of the signature."""
+        return -(-self.bands * self.rows // 64)
+
+    @property
+    def most_unlike(self) -> int:
+        """Components that may differ in their two bits between texts that could link."""
+        m, q = self.bands * self.rows, (1 - self.percent / 100) * 0.75
+        return int(m * q + 6.5 * (m * q * (1 - q)) ** 0.5)
 
 
 def _salt(k: int) -> np.uint64:
@@ -91,7 +113,7 @@ def signatures(values: np.ndarray, owner: np.ndarray, n: int, m: int) -> np.ndar
         go = open_[owner]
         if level == 0:
             values, owner, first = values[go], owner[go], first[go]
-            perm = np.tile(np.arange(m, dtype=np.uint16), (len(values), 1))
+            perm = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(values), 1))
             at = np.arange(len(values))
             perm[at, first] = 0
             perm[:, 0] = first
@@ -111,12 +133,19 @@ def shingle_set(text: Column, k: int) -> Column:
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, p: NearDup) -> DataFrame:
-    """(__id, __th, n, k1, k2, bands): set size, 128-bit key of the set, one bucket number per band."""
+    """(__id, __th, n, k1, k2, bands, bits): set size, 128-bit key of the set, one bucket number per band, and two
+    bit planes of the signature."""
     ship_package(docs.sparkSession)
     m = p.bands * p.rows
     text = text_of(text_col)
     sets = docs.select(*row_key(id_col, text), shingle_set(text, p.words).alias("set"))
-    names = ["__id", "__th", "n", "k1", "k2", "bands"]
+    names = ["__id", "__th", "n", "k1", "k2", "bands", "bits"]
+
+    def lists(rows: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+        """One list per document: a row of ``rows`` for those with shingles, else empty."""
+        ends = np.cumsum(np.where(sizes > 0, rows.shape[1], 0))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()),
+                                        pa.array(np.ascontiguousarray(rows).reshape(-1).view(np.int64)))
 
     def part(b: pa.RecordBatch, lo: int, hi: int, offsets: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
         sizes = np.diff(offsets[lo:hi + 1])
@@ -124,21 +153,24 @@ def sign(docs: DataFrame, id_col: str, text_col: str, p: NearDup) -> DataFrame:
         full = np.flatnonzero(sizes)
         owner = np.repeat(np.arange(len(full)), sizes[full])
         keys = np.zeros((2, hi - lo), np.uint64)
-        buckets = np.zeros((0, p.bands), np.uint64)
+        buckets, bits = np.zeros((0, p.bands), np.uint64), np.zeros((0, 2 * p.longs), np.uint64)
         if len(full):
             begin = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
             for i, salt in enumerate((np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))):
                 keys[i, full] = np.add.reduceat(_mix(values ^ salt), begin)
-            sig = signatures(values, owner, len(full), m).reshape(len(full), p.bands, p.rows)
+            sig = signatures(values, owner, len(full), m)
+            planes = np.zeros((len(full), 2, p.longs * 64), np.uint8)
+            for plane in (0, 1):
+                planes[:, plane, :m] = (sig >> np.uint64(plane)) & np.uint64(1)
+            bits = np.packbits(planes, axis=2).reshape(len(full), -1).view(np.uint64)
+            sig = sig.reshape(len(full), p.bands, p.rows)
             buckets = np.broadcast_to(_mix(np.arange(1, p.bands + 1, dtype=np.uint64)), (len(full), p.bands))
             for row in range(p.rows):
                 buckets = _mix(buckets * _STEP + sig[:, :, row])
-        lengths = np.where(sizes > 0, p.bands, 0)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()),
-                                         pa.array(buckets.reshape(-1).view(np.int64)))
         return pa.RecordBatch.from_arrays([
             b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(sizes, pa.int64()),
-            pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists], names=names)
+            pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists(buckets, sizes),
+            lists(bits, sizes)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,7 +183,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, p: NearDup) -> DataFrame:
                 yield part(b, lo, min(hi, b.num_rows), offsets, flat)
                 lo = hi
 
-    return sets.mapInArrow(run, "__id long, __th long, n long, k1 long, k2 long, bands array<long>")
+    return sets.mapInArrow(run, "__id long, __th long, n long, k1 long, k2 long, bands array<long>, bits array<long>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
@@ -178,7 +210,32 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, node
     return keyed.join(wanted, ["__id", "__th"]).dropDuplicates(["node"]).select("node", "text")
 
 
-def _cross_pairs(rows: DataFrame, tested: DataFrame, labels: DataFrame, p: NearDup) -> DataFrame:
+def _unlike(x: str, y: str, longs: int) -> Column:
+    """Signature components whose two bits differ."""
+    parts = [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i))).bitwiseOR(
+        F.get(x, F.lit(i + longs)).bitwiseXOR(F.get(y, F.lit(i + longs))))) for i in range(longs)]
+    total = parts[0]
+    for q in parts[1:]:
+        total = total + q
+    return total
+
+
+def _crowded(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than their centre's component."""
+    odd = rows.groupBy("bucket").agg(F.count_if(F.col("label") != F.col("core")).alias("odd"), F.count("*").alias("all"))
+    return rows.join(odd.where((F.col("odd") > 0) & (F.col("all") > 1)).select("bucket"), "bucket", "left_semi")
+
+
+def _rare_shingles(nodes: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
+    """(node, g, c): the shingles that at most ``p.rare`` of ``nodes`` have, with their number of holders."""
+    each = materialize(texts.join(nodes, "node", "left_semi").select(
+        "node", F.explode(shingle_set(F.col("text"), p.words)).alias("g")), "crowded_shingles")
+    counts = each.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") <= p.rare)
+    return materialize(each.join(materialize(counts, "rare_counts"), "g").select("node", "g", "c"), "rare_shingles")
+
+
+def _cross_pairs(rows: DataFrame, tested: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame,
+                 p: NearDup) -> DataFrame:
     """Pairs that share a bucket, lie in different components and could link; none of them holds the centre."""
     reach = 1.0 - p.percent / 100.0
     union = F.col("na") + F.col("nb") - F.col("inter")
@@ -189,38 +246,64 @@ def _cross_pairs(rows: DataFrame, tested: DataFrame, labels: DataFrame, p: NearD
     centres = labels.select(F.col("node").alias("centre"), F.col("label").alias("core"))
     labelled = (labelled.join(centres, "centre", "left").withColumn("core", F.coalesce("core", "centre"))
                 .withColumn("bin", F.floor(F.col("dist") / reach)))
+    labelled = materialize(_crowded(labelled), "crowded_rows")
+    rare = _rare_shingles(labelled.select("node").distinct(), texts, p)
+    held = rare.groupBy("node").agg(F.count("*").alias("rare"), F.count_if(F.col("c") == 1).alias("own"))
+    labelled = labelled.join(materialize(held, "rare_held"), "node", "left").na.fill(0, ["rare", "own"]) \
+        .where(100 * (F.col("n") - F.col("own")) >= p.percent * F.col("n")) \
+        .withColumn("common", F.col("n") - F.col("rare"))
+    labelled = materialize(_crowded(labelled).join(classes.select("node", "bits"), "node"), "open_rows")
     odd = labelled.where(F.col("label") != F.col("core"))
-    crowded = odd.select("bucket").distinct()
-    y = labelled.join(crowded, "bucket", "left_semi").select(
+    y = labelled.select(
         "bucket", "bin", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("mb"),
-        F.col("dist").alias("db"), (F.col("label") == F.col("core")).alias("cb"))
+        F.col("common").alias("sb"), F.col("dist").alias("db"), (F.col("label") == F.col("core")).alias("cb"),
+        F.col("bits").alias("yb"))
     x = odd.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("ma"),
-                   F.col("dist").alias("da"), F.explode(F.array(*[F.col("bin") + i for i in (-1, 0, 1)])).alias("bin"))
+                   F.col("common").alias("sa"), F.col("dist").alias("da"), F.col("bits").alias("xb"),
+                   F.explode(F.array(*[F.col("bin") + i for i in (-1, 0, 1)])).alias("bin"))
     near = F.abs(F.col("da") - F.col("db")) <= reach + 1e-9
-    alike = 100 * F.least("ma", "mb") >= p.percent * F.greatest("ma", "mb")
+    alike = (100 + p.percent) * F.least("sa", "sb") >= p.percent * (F.col("ma") + F.col("mb"))
     once = F.col("cb") | (F.col("a") < F.col("b"))
-    return (x.join(y, ["bucket", "bin"]).where((F.col("la") != F.col("lb")) & near & alike & once)
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    may = _unlike("xb", "yb", p.longs) <= p.most_unlike
+    by_common = (x.join(y, ["bucket", "bin"]).where((F.col("la") != F.col("lb")) & near & alike & once & may)
+                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    nodes = materialize(labelled.select("node", "label", "n", "bits").distinct(), "open_nodes")
+    holders = rare.where(F.col("c") > 1).join(nodes.select("node", "label", "n"), "node")
+    u = holders.select("g", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("ma"))
+    v = holders.select("g", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("mb"))
+    sized = 100 * F.least("ma", "mb") >= p.percent * F.greatest("ma", "mb")
+    by_rare = u.join(v, "g").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & sized).select("a", "b").distinct()
+    by_rare = (by_rare.join(nodes.select(F.col("node").alias("a"), F.col("bits").alias("xb")), "a")
+               .join(nodes.select(F.col("node").alias("b"), F.col("bits").alias("yb")), "b").where(may).select("a", "b"))
+    return by_common.union(by_rare).distinct()
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: NearDup = NearDup()) -> DataFrame:
-    """(__id, __th, n, component): one row per document row; the component is its smallest id."""
+    """(__id, __th, n, component): one row per document row; the component is its smallest id.
+
+    The result is written; the tables on the way to it are removed.
+    """
+    mark = scratch_count(docs.sparkSession)
     signed = materialize(sign(docs, id_col, text_col, p), "signatures")
     classes = materialize(
         signed.where(F.col("n") > 0).groupBy("k1", "k2", "n")
-        .agg(F.min(F.struct("__id", "__th")).alias("member"), F.first("bands").alias("bands"))
+        .agg(F.min(F.struct("__id", "__th")).alias("member"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
         .withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = classes.select("node", F.explode("bands").alias("bucket"))
-    centres = banded.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")) \
-        .where(F.col("centre") != F.col("last")).select("bucket", "centre")
-    rows = materialize(banded.join(centres, "bucket").where(F.col("node") != F.col("centre")), "bucket_rows")
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    members = materialize(banded.join(sizes, "bucket"), "bucket_members")
+    company = members.groupBy("node").agg(F.sum("size").alias("company"))
+    centres = members.join(company, "node").groupBy("bucket").agg(
+        F.max_by("node", F.struct("company", -F.col("node"))).alias("centre"))
+    rows = materialize(members.select("bucket", "node").join(centres, "bucket")
+                       .where(F.col("node") != F.col("centre")), "bucket_rows")
     pairs = materialize(rows.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "star_pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = materialize(_texts(docs, id_col, text_col, classes, nodes), "candidate_texts", "zstd")
+    texts = materialize(_texts(docs, id_col, text_col, classes, nodes), "candidate_texts")
     tested = materialize(_verify(pairs, texts, p), "tested_pairs")
     links = _links(tested, p)
     labels = connected_components(links)
-    rest = materialize(_cross_pairs(rows, tested, labels, p), "cross_pairs")
+    rest = materialize(_cross_pairs(rows, tested, labels, classes, texts, p), "cross_pairs")
     more = materialize(_links(_verify(rest, texts, p), p), "cross_links")
     if more.limit(1).count():
         labels = connected_components(links.union(more))
@@ -231,7 +314,9 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Ne
         .select("k1", "k2", "n", F.coalesce("component", "least").alias("component"))
     found = signed.where(F.col("n") > 0).join(key, ["k1", "k2", "n"]).select("__id", "__th", "n", "component")
     alone = signed.where(F.col("n") == 0).select("__id", "__th", "n", F.col("__id").alias("component"))
-    return found.union(alone)
+    out = materialize(found.union(alone), "components")
+    release_scratch(docs.sparkSession, since=mark, keep=1)
+    return out
 
 
 def near_dup_report(docs: DataFrame, p: NearDup = NearDup(words=2)) -> DataFrame:
@@ -245,8 +330,10 @@ def near_dup_report(docs: DataFrame, p: NearDup = NearDup(words=2)) -> DataFrame
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          p: NearDup = NearDup()) -> DataFrame:
     """The rows whose id is the smallest of its group, with their columns unchanged."""
+    mark = scratch_count(docs.sparkSession)
     gone = materialize(group(docs, id_col, text_col, p).where(F.col("__id") != F.col("component"))
                        .select("__id", "__th").distinct(), "near_duplicates")
+    release_scratch(docs.sparkSession, since=mark, keep=1)
     keyed = docs.withColumns(dict(zip(("__id", "__th"), row_key(id_col, text_of(text_col)))))
     return keyed.join(gone, ["__id", "__th"], "left_anti").drop("__id", "__th")
 

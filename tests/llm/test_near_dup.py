@@ -65,14 +65,14 @@ def chains(hard_texts):
     return rows
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_against_brute_force(make_docs, chains, k):
-    docs = make_docs(chains)
+@pytest.mark.parametrize("k, rare", [(2, 16), (5, 16), (2, 1)])
+def test_against_brute_force(make_docs, chains, k, rare):
+    docs, p = make_docs(chains), S.NearDup(words=k, rare=rare)
     want = brute(chains, k)
-    got = [tuple(r) for r in S.near_dup_report(docs, S.NearDup(words=k)).collect()]
+    got = [tuple(r) for r in S.near_dup_report(docs, p).collect()]
     assert order(got) == order(want)
     assert sum(not w[3] for w in want) > 20
-    kept = S.drop_near_duplicates(docs, p=S.NearDup(words=k))
+    kept = S.drop_near_duplicates(docs, p=p)
     assert kept.columns == docs.columns
     assert order([(r.doc_id, r.text) for r in kept.collect()]) == order(
         [(r[0], r[1]) for r, w in zip(chains, want) if w[3]])
@@ -124,3 +124,19 @@ def test_components(spark):
     got = connected_components(spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect()
     assert {r.node: r.label for r in got} == want and len(got) == len(want)
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_bits_tell_links_from_shared_passages():
+    """Two bits a component: pairs at the limit stay under it, pairs at half similarity mostly do not."""
+    p, rnd = S.NearDup(), np.random.default_rng(4)
+    m = p.bands * p.rows
+    near, far = [], []
+    for n in (4, 40, 400, 1500):
+        for out, similarity in ((near, 0.8), (far, 0.4)):
+            for _ in range(30):
+                both = int(round(2 * n * similarity / (1 + similarity)))
+                a = rnd.integers(0, 2 ** 63, n).astype(np.uint64)
+                b = np.concatenate([a[:both], rnd.integers(0, 2 ** 63, n - both).astype(np.uint64)])
+                sig = S.signatures(np.concatenate([a, b]), np.repeat([0, 1], n), 2, m) & np.uint64(3)
+                out.append(int((sig[0] != sig[1]).sum()))
+    assert max(near) <= p.most_unlike and np.mean(np.array(far) > p.most_unlike) > 0.9
