@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release_scratch, scratch_count
 from .textcols import alnum_words, ascii_lower, let, row_key, text_of, upto
 
 WIDTH = 10
@@ -123,9 +123,11 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         text_col: str = "text", max_share: float = 0.0) -> DataFrame:
     """The rows whose share of hit words is at most ``max_share`` (0: no hit at all)."""
+    mark = scratch_count(docs.sparkSession)
     found = find_hits(docs, benchmark, id_col, text_col)
     dirty = materialize(found.where((F.col("n_hit") > 0) & (F.col("n_hit") > max_share * F.col("n_words")))
                         .select("__id", "__th").distinct(), "contaminated")
+    release_scratch(docs.sparkSession, since=mark, keep=1)
     keyed = docs.withColumns(dict(zip(("__id", "__th"), row_key(id_col, text_of(text_col)))))
     return keyed.join(dirty, ["__id", "__th"], "left_anti").drop("__id", "__th")
 

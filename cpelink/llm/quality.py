@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release_scratch, scratch_count
 from .textcols import SPACES, let, row_key, space_words, text_of, upto
 
 # Frequent function words of each language.
@@ -188,8 +188,10 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
               limits: Limits = Limits()) -> DataFrame:
     """The documents that pass, with their columns unchanged."""
+    mark = scratch_count(docs.sparkSession)
     bad = materialize(judge(docs, id_col, text_col, lang_col, limits).where(~F.col("kept"))
                       .select("__id", "__th").distinct(), "rejected")
+    release_scratch(docs.sparkSession, since=mark, keep=1)
     keyed = docs.withColumns(dict(zip(("__id", "__th"), row_key(id_col, text_of(text_col)))))
     return keyed.join(bad, ["__id", "__th"], "left_anti").drop("__id", "__th")
 
