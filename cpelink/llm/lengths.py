@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import materialize, ship_package
 from .textcols import text_of
 from .tokens import MERGES, RANKS, encoder
 
-BLOCK = 4096
+BLOCK = 256
 
 
 def length_histogram(docs: DataFrame, text_col: str = "text", ranks: str = RANKS, merges: str = MERGES) -> DataFrame:
@@ -44,6 +44,8 @@ def length_histogram(docs: DataFrame, text_col: str = "text", ranks: str = RANKS
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """The histogram with what lies at each length and above, and what a limit of that length keeps.
 
+    Reads ``hist`` twice: hand it over written, or the texts are encoded twice.
+
     docs_from, tokens_from: documents and tokens of length >= this one;
     truncated_total: tokens left if every document is cut to this length;
     fit_share: share of documents of at most this length.
@@ -91,4 +93,4 @@ def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def token_histogram_report(docs: DataFrame) -> DataFrame:
-    return suffix_sums(length_histogram(docs))
+    return suffix_sums(materialize(length_histogram(docs), "length_histogram"))

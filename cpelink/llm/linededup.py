@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release_scratch, scratch_count
 from .textcols import SPACES, ascii_lower, let, row_key, text_of, upto
 
 MIN_CHARS = 20
@@ -33,7 +33,8 @@ def _lines(text: Column) -> Column:
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(__id, __th, drop): the line positions each row loses; rows without any are absent."""
+    """(__id, __th, __drop): the line positions each row loses; rows without any are absent."""
+    mark = scratch_count(docs.sparkSession)
     text = text_of(text_col)
     key = ascii_lower(F.btrim(F.col("line"), F.lit(SPACES)))
     held = (docs.select(*row_key(id_col, text), F.posexplode(_lines(text)).alias("pos", "line"))
@@ -43,9 +44,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     frequent = (held.select("key", "__id").distinct().groupBy("key")
                 .agg(F.count(F.lit(1)).alias("n"), F.max("__id").alias("keeper"))
                 .where(F.col("n") >= min_docs).select("key", "keeper"))
+    # written, so that its size is known: broadcast if small, else a join whose large keys AQE can split
+    frequent = materialize(frequent, "frequent_lines")
     drops = (held.join(frequent, "key").where(F.col("__id") != F.col("keeper"))
-             .groupBy("__id", "__th").agg(F.array_sort(F.collect_set("pos")).alias("drop")))
-    return materialize(drops, "line_drops")
+             .groupBy("__id", "__th").agg(F.array_sort(F.collect_set("pos")).alias("__drop")))
+    out = materialize(drops, "line_drops")
+    release_scratch(docs.sparkSession, since=mark, keep=1)
+    return out
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -58,12 +63,12 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = keyed.join(drops, ["__id", "__th"], "left")
     n_lines = F.size(_lines(text))
     kept = let(_lines(text), lambda lines: F.array_join(F.transform(
-        F.array_except(upto(F.size(lines)), F.col("drop")), lambda i: lines[i]), "\n"))
+        F.array_except(upto(F.size(lines)), F.col("__drop")), lambda i: lines[i]), "\n"))
     return joined.withColumns({
         "__n_lines": n_lines.cast("long"),
-        "__n_dropped": F.coalesce(F.size("drop"), F.lit(0)).cast("long"),
-        text_col: F.when(F.col("drop").isNull(), text).otherwise(kept),
-    }).drop("__id", "__th", "drop")
+        "__n_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("long"),
+        text_col: F.when(F.col("__drop").isNull(), text).otherwise(kept),
+    }).drop("__id", "__th", "__drop")
 
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:
