@@ -64,7 +64,7 @@ class NearDup:
     bands: int = 40
     rows: int = 5
     #: Holders up to which a shingle counts as rare among possible partners.
-    rare: int = 16
+    rare: int = 64
     #: Shingles whose signatures are computed together.
     batch: int = 50_000
 
