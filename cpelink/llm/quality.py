@@ -3,19 +3,23 @@
 Every document is reduced in one native pass to base counts, a histogram of
 character classes and a histogram of its language's common words. The reference
 of a language is the mean histogram of all its documents with enough words
-(every document weighs the same, so a few long ones cannot set it); languages
-without a word list, and a null language, use the references of all documents.
+(every document weighs the same, so a few long ones cannot set it). Languages
+without a word list have a reference of character classes only, from
+``min_documents`` documents on.
 A document is kept unless a base rule fails or the Jensen-Shannon distance of
 either histogram to its reference, or their sum, is over its limit. Short texts
 have noisy histograms, so a limit widens with 1 / sqrt(words), and texts under
 ``min_words`` words are left to the base rule.
 
 Only one small row per document is written between the two steps; the reference
-table has one row per listed language and one for the rest.
-
-Defined cases: a null text has no words and fails the base rule; a null or
-unknown language is judged by the overall reference and by character classes
-only; repeated rows are judged alike; an empty table gives an empty result.
+table has one row per language.
+
+Defined cases: a null text has no words and fails the base rule; an unlisted
+language is judged by the character classes of its own documents, or by the base
+rule alone where they are too few; null and '' count as one such language; repeated
+rows are judged alike; an empty table gives an empty result. The SQL twin judges
+unlisted languages by the mean of all documents, so it holds for tables whose
+languages are all listed.
 """
 
 from __future__ import annotations
@@ -47,6 +51,8 @@ class Limits:
     """Limits of the rules; distances are Jensen-Shannon distances in 0..1."""
     min_words: int = 50
     max_repeat_percent: int = 50
+    #: Documents of at least ``min_words`` words that make the reference of an unlisted language.
+    min_documents: int = 30
     #: A limit is (level, noise): the distance must not be over level + noise / sqrt(words).
     class_distance: tuple[float, float] = (0.22, 0.5)
     word_distance: tuple[float, float] = (0.13, 2.2)
@@ -84,7 +90,7 @@ def _count_of(text: Column, others: str) -> Column:
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: base counts and the two histograms."""
     text = text_of(text_col)
-    lang = F.when(F.col(lang_col).isin(list(COMMON_WORDS)), F.col(lang_col)).otherwise(F.lit(REST))
+    lang = F.coalesce(F.col(lang_col), F.lit(""))
     base = docs.select(*row_key(id_col, text), F.col(id_col).alias("id"), lang.alias("lang"), text.alias("t"))
 
     def common_counts(w: Column, listed: list[str]) -> Column:
@@ -129,43 +135,29 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
-def references(measured: DataFrame, min_words: int) -> DataFrame:
-    """(lang, ref_classes, ref_common): mean shares per listed language, and overall as ``*``."""
-    n_class, n_common = 7, {k: len(v) + 1 for k, v in COMMON_WORDS.items()}
-    longest = max(n_common.values())
+def references(measured: DataFrame, min_words: int, min_documents: int) -> DataFrame:
+    """(lang, ref_classes, ref_common): mean shares per language; no words for unlisted ones."""
+    n_class, longest = 7, max(map(len, COMMON_WORDS.values())) + 1
     used = measured.where(F.col("n_words") >= min_words).select(
         "lang", _shares(F.col("classes")).alias("p"), _shares(F.col("common")).alias("c"))
     per = used.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.get("p", F.lit(i))) for i in range(n_class)]).alias("p"),
         F.array(*[F.sum(F.get("c", F.lit(i))) for i in range(longest)]).alias("c"))
-    whole = per.groupBy(F.lit(REST).alias("lang")).agg(
-        F.sum("n").alias("n"), F.array(*[F.sum(F.get("p", F.lit(i))) for i in range(n_class)]).alias("p"),
-        F.lit(None).cast("array<double>").alias("c"))
+    listed = F.col("lang").isin(list(COMMON_WORDS))
     mean = lambda c: F.transform(c, lambda x: x / F.col("n"))
-    return per.where(F.col("lang") != REST).unionByName(whole).select(
-        "lang", mean(F.col("p")).alias("ref_classes"), mean(F.col("c")).alias("ref_common"))
+    return per.where(listed | (F.col("n") >= min_documents)).select(
+        "lang", mean(F.col("p")).alias("ref_classes"), F.when(listed, mean(F.col("c"))).alias("ref_common"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           limits: Limits = Limits()) -> DataFrame:
     """(__id, __th, id, counts, class_distance, word_distance, base_failed, kept): one row per document."""
     measured = materialize(measure(docs, id_col, text_col, lang_col), "quality_counts")
-    refs = materialize(references(measured, limits.min_words), "quality_references")
-    rows = {r["lang"]: r for r in refs.limit(len(COMMON_WORDS) + 1).collect()}  # one per listed language, one overall
-
-    def literal(values) -> Column:
-        return F.array(*[F.lit(float(v)) for v in values]) if values else F.lit(None).cast("array<double>")
-
-    ref_classes, ref_common = F.lit(None).cast("array<double>"), F.lit(None).cast("array<double>")
-    if REST in rows:
-        ref_classes = literal(rows[REST]["ref_classes"])
-    for name, r in rows.items():
-        if name != REST:
-            ref_classes = F.when(F.col("lang") == name, literal(r["ref_classes"])).otherwise(ref_classes)
-            ref_common = F.when(F.col("lang") == name, literal(r["ref_common"][:len(COMMON_WORDS[name]) + 1])) \
-                .otherwise(ref_common)
+    refs = materialize(references(measured, limits.min_words, limits.min_documents), "quality_references")
+    ref_common = F.slice("ref_common", F.lit(1), F.size("common"))
+    measured = measured.join(refs, "lang", "left")
     scored = measured.withColumns({
-        "class_distance": distance(_shares(F.col("classes")), ref_classes),
+        "class_distance": distance(_shares(F.col("classes")), F.col("ref_classes")),
         "word_distance": distance(_shares(F.col("common")), ref_common),
         "base_failed": (F.col("n_words") < limits.min_words)
         | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))})
@@ -175,7 +167,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for found, (level, noise) in ((by_chars, limits.class_distance), (by_words, limits.word_distance),
                                   (by_chars + by_words, limits.both)):
         far = far | (found > level + noise / root)
-    return scored.withColumn("kept", ~F.col("base_failed") & ~far)
+    return scored.drop("ref_classes", "ref_common").withColumn("kept", ~F.col("base_failed") & ~far)
 
 
 def quality_report(docs: DataFrame) -> DataFrame:

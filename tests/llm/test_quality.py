@@ -78,3 +78,15 @@ def test_distance(spark):
 
 def test_empty_table(make_docs):
     assert Q.quality_report(make_docs([])).collect() == []
+
+
+def test_unlisted_language_has_its_own_reference(make_docs):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("аеиоулнрстдм") for _ in range(rnd.randint(3, 9)))
+    rows = [(k, prose(rnd, "en", 150), "en") for k in range(300)]
+    rows += [(1000 + k, " ".join(word() for _ in range(150)), "ru") for k in range(50)]
+    rows += [(2000 + k, " ".join(word() for _ in range(150)), lang) for k, lang in enumerate(["uk", None, ""])]
+    rows += [(3000, " ".join(str(rnd.randrange(10 ** 6)) for _ in range(150)), "ru")]
+    kept = {r.doc_id: r.kept for r in Q.quality_report(make_docs(rows)).collect()}
+    assert all(kept[k] for k in kept if k < 3000) and len(kept) == len(rows)
+    assert not kept[3000]
