@@ -5,12 +5,15 @@ the public 50k byte-level vocabulary that the ``public_tokenizers`` package of
 the node names. Texts are encoded with the rank form of the vocabulary, which
 gives the same ids as its ``tokenizers`` form at about four times the speed;
 texts with an extremely long run without a break go to the ``tokenizers`` form,
-whose merge step does not grow with the square of the run.
+whose merge step does not grow with the square of the run. The added tokens of the
+``tokenizers`` form, such as ``<|endoftext|>``, are matched inside texts as there:
+the text around them is encoded piece by piece.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from functools import lru_cache
@@ -51,7 +54,14 @@ class Encoder:
         self._fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table,
                                        special_tokens={})
         self._merges, self._slow = merges, None
-        size = max(table.values()) + 2
+        with open(_path(merges), encoding="utf-8") as f:
+            added = [t for t in json.load(f).get("added_tokens", ()) if t["content"]]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that depend on the text beside them are not supported")
+        self._added = {t["content"]: t["id"] for t in added}
+        longest_first = sorted(self._added, key=len, reverse=True)
+        self._split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
+        size = max([*table.values(), *self._added.values()]) + 2
         self.ends_sentence = np.zeros(size, bool)   # . ! ? at the end, quotes and brackets aside
         self.ends_line = np.zeros(size, bool)
         self.starts_space = np.zeros(size, bool)
@@ -61,13 +71,20 @@ class Encoder:
             self.starts_space[i] = piece[:1].isspace()
 
     def ids(self, text: str) -> np.ndarray:
+        if not any(x in text for x in self._added):
+            return self._plain(text)
+        pieces = [np.array([self._added[x]], np.uint32) if k % 2 else self._plain(x)
+                  for k, x in enumerate(self._split.split(text))]
+        return np.concatenate(pieces)
+
+    def _plain(self, text: str) -> np.ndarray:
+        """Ids of a text without added tokens."""
         if not has_long_run(text):
             return np.asarray(self._fast.encode_to_numpy(text), dtype=np.uint32)
         if self._slow is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
             self._slow = Tokenizer.from_file(_path(self._merges))
-            self._slow.encode_special_tokens = True
         return np.asarray(self._slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 

@@ -26,6 +26,18 @@ def test_encoder_equals_tokenizers(reference, hard_texts):
         assert enc.ids(t).tolist() == reference(t)
 
 
+def test_added_tokens_inside_texts(reference, make_docs):
+    eot, enc = "<|endoftext|>", T.encoder()
+    texts = [f"end of one.{eot}Next", eot, eot * 3, f" {eot} ", f"a  {eot}  b\n\n{eot}\n", f"<|endoftext{eot}|>", f"{eot[:-1]} >",
+             f"don't{eot}'s", "a" * 9000 + eot + "é" * 4000, f"{eot}" + " " * 4000 + f"x{eot}", eot.upper()]
+    for t in texts:
+        assert enc.ids(t).tolist() == reference(t)
+    assert enc.ids(texts[0]).tolist() == [437, 286, 530, 13, 50256, 10019]
+    docs = [(k, t, "en") for k, t in enumerate(texts)]
+    check(K.pack(make_docs(docs).coalesce(1)).collect(), docs, reference)
+    assert {r.length for r in L.token_histogram_report(make_docs(docs)).collect()} == {len(reference(t)) for t in texts}
+
+
 def check(rows, docs, reference, p=K.Packing()):
     want = defaultdict(int)
     for i, t, _ in docs:
