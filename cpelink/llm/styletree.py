@@ -6,17 +6,25 @@ are the host's style tree; a node of it is a path. A node's content importance
 follows from how its texts spread over the pages: for a text on n of m pages the
 entropy to the base m is ln n / ln m, and a node's importance is one minus the
 mean entropy of its occurrences, so menus and notices that repeat come near 0 and
-articles near 1. Its presentation importance is the same measure over the element
-kinds themselves: kinds that HTML or common class names set aside for menus,
-headers, footers, side columns, notices, adverts, forms and comments carry none.
-Nodes of hosts with few pages use the tree of all hosts together. A branch goes if
-its kind carries no presentation importance or if the importance of its content
-stays under ``min_importance``. A page with an article or main element is reduced
-to that branch, whose inner branches are left to their kind alone: copies of an
-article must not erase it.
-
-Only (host, path, text hash) counts are grouped, with map-side sums, so one host
-with a third of all pages costs each task few rows; the blocks of a page stay in
+articles near 1. Pages with equal main text count once, so copies of an article do
+not speak against it.
+
+Kinds that HTML sets aside for menus, headers, footers, side columns, forms and the
+like always go. Names of class, id and role attributes that point to such parts are
+a prior only: such a branch goes unless its importance, measured as a whole, reaches
+``named_importance``. That is the mean of its content importance and its presentation
+importance, which is the same measure over the element kinds (tag and class) below
+the branch; paragraphs, headings, list items and cells are judged by content alone.
+A name says nothing where it tells what an element has ("has-sidebar"), on the
+outermost article or main element, and above the only such elements of a page.
+
+Nodes of hosts with few pages use the tree of all hosts together. Any other node goes
+if the importance of its content stays under ``min_importance``. A page with an
+article or main element is reduced to that branch; nodes inside it go alike, but not
+where they hold half of the branch's text or more: that is a copy, not a notice.
+
+Only distinct (host, page signature, node, hash) rows and their counts are grouped,
+so one host with a third of all pages is spread over all tasks; the blocks of a page stay in
 one row and meet the list of unimportant paths of their host in a join that AQE
 splits where a host is large.
 
@@ -52,6 +60,10 @@ ASIDE_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb b
                         "cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices "
                         "popup promo promoted related reply replies respond share sharing sidebar signup social sponsor "
                         "sponsored subscribe toolbar widget widgets complementary contentinfo search".split())
+# Words before such a word that make it tell what an element has, not what it is.
+HAVING = frozenset("has have with without no hide show".split())
+# Kinds that hold text rather than parts.
+TEXT_KINDS = tuple("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main "
                             "nav ol p pre section table ul li".split()),
              "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")),
@@ -71,6 +83,8 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 @dataclass(frozen=True)
 class StyleTree:
     min_importance: float = 0.35
+    #: From here on a branch stays although its name points beside the main text.
+    named_importance: float = 0.7
     #: A host's own tree is used from this many pages on.
     min_pages: int = 20
 
@@ -80,15 +94,22 @@ def _names(attributes: str) -> str:
     return ".".join(_WORD.findall(" ".join(found).lower()))
 
 
-def _set_aside(tag: str, names: str, in_main: bool) -> bool:
-    return tag in DROPPED or (tag == "header" and not in_main) or \
-        (bool(names) and tag not in ("html", "body") and not ASIDE_WORDS.isdisjoint(names.split(".")))
+def _named_aside(tag: str, names: str) -> bool:
+    if not names or tag in ("html", "body"):
+        return False
+    words = names.split(".")
+    return any(w in ASIDE_WORDS and not (k and words[k - 1] in HAVING) for k, w in enumerate(words))
 
 
-def blocks(page: str | None) -> list[tuple[str, bool, bool, str]]:
-    """(path, inside article or main, set aside by kind, text) of each block with text, in page order."""
-    out: list[tuple[str, bool, bool, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, in main, set aside
+def blocks(page: str | None) -> list[tuple[str, bool, bool, str, str]]:
+    """(path, inside article or main, set aside, text, branch) of each block with text, in page order.
+
+    ``branch``: path of the outermost element that is set aside by its name; empty
+    where none is, or where the kind alone sets the block aside.
+    """
+    out: list[tuple[str, bool, bool, str, str, str]] = []
+    # tag, path, in main, set aside by kind, branch named above article and main, branch named inside them
+    stack: list[tuple[str, str, bool, bool, str, str]] = [("", "", False, False, "", "")]
     text: list[str] = []
     at = stack[0]
 
@@ -97,7 +118,15 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool, str]]:
             joined = " ".join(_SPACE.sub(" ", html.unescape("".join(text))).split(" ")).strip()
             text.clear()
             if joined:
-                out.append((at[1], at[2], at[3], joined))
+                out.append((at[1], at[2], at[3], joined, at[4], at[5]))
+
+    def finished() -> list[tuple[str, bool, bool, str, str]]:
+        free = any(main and not (kind or upper or inner) for _, main, kind, _, upper, inner in out)
+        done = []
+        for path, main, kind, joined, upper, inner in out:
+            branch = "" if kind else inner if main and not free else upper or inner
+            done.append((path, main, kind or bool(branch), joined, branch))
+        return done
 
     def leave(k: int) -> None:
         if any(x[0] not in INLINE for x in stack[k:]):
@@ -135,25 +164,32 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool, str]]:
                         leave(k)
             if tag in VOID:
                 continue
-            _, path, in_main, aside = stack[-1]
+            _, path, in_main, aside, upper, inner = stack[-1]
             names = _names(attributes)
-            if tag in INLINE and not (names and _set_aside(tag, names, in_main)):
-                stack.append((tag, path, in_main, aside))
+            named = _named_aside(tag, names) and (in_main or tag not in MAIN)
+            if tag in INLINE and not named:
+                stack.append((tag, path, in_main, aside, upper, inner))
             else:
                 if tag in INLINE:
                     flush()
                     tag = f"{tag}*"
                 step = f"{path}>{tag}.{names}" if names else f"{path}>{tag}"
-                stack.append((tag, step, in_main or tag in MAIN, aside or _set_aside(tag.rstrip("*"), names, in_main)))
+                if named and in_main:
+                    inner = inner or step
+                elif named:
+                    upper = upper or step
+                stack.append((tag, step, in_main or tag in MAIN,
+                              aside or tag in DROPPED or (tag == "header" and not in_main), upper, inner))
             if tag in RAW and not attributes.rstrip().endswith("/"):
                 end = _RAW_END[tag].search(page, pos)
                 pos = end.start() if end else len(page)
     flush()
-    return out
+    return finished()
 
 
-PARSED = "id long, url string, host string, blocks array<struct<path:string,main:boolean,aside:boolean,text:string>>"
-_BLOCK = pa.struct([("path", pa.string()), ("main", pa.bool_()), ("aside", pa.bool_()), ("text", pa.string())])
+PARSED = "id long, url string, host string, blocks array<struct<path:string,main:boolean,aside:boolean,text:string,branch:string>>"
+_BLOCK = pa.struct([("path", pa.string()), ("main", pa.bool_()), ("aside", pa.bool_()), ("text", pa.string()),
+                    ("branch", pa.string())])
 _HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]*)")
 
 
@@ -164,58 +200,97 @@ def parse_pages(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hosts = [(m.group(1).lower() if u and (m := _HOST.match(u)) else "") for u in b.column(1).to_pylist()]
-            found = [[dict(zip(("path", "main", "aside", "text"), x)) for x in blocks(p.as_py())] for p in b.column(2)]
+            found = [[dict(zip(_BLOCK.names, x)) for x in blocks(p.as_py())] for p in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.string()), pa.array(hosts, pa.string()),
                                               pa.array(found, pa.list_(_BLOCK))], names=["id", "url", "host", "blocks"])
 
     return pages.select(F.col(id_col).cast("long").alias("id"), F.col("url"), F.col("html")).mapInArrow(run, PARSED)
 
 
+def _by_kind(b: Column) -> Column:
+    """Whether the kind of an element alone sets a block aside."""
+    return b["aside"] & (b["branch"] == "")
+
+
 def importance(parsed: DataFrame, p: StyleTree = StyleTree()) -> DataFrame:
-    """(host, path, beside, pages, importance): the nodes of each host's style tree.
+    """(host, path, named, pages, importance): the nodes of each host's style tree.
 
-    ``beside``: outside article and main and not set aside by kind, so that only
-    its content speaks for it. Hosts of fewer than ``min_pages`` pages take the
-    importance of the path over all hosts; too few pages in all give 1.
+    ``named``: a branch that its name sets aside, judged as a whole. Pages with an
+    article or main element count by that branch only. Hosts of fewer than
+    ``min_pages`` pages take the importance of the node over all hosts; too few pages
+    in all give 1, or 0 to a named branch.
     """
-    seen = (parsed.select("host", F.explode("blocks").alias("b"))
-            .select("host", "b.path", (~F.col("b.main") & ~F.col("b.aside")).alias("beside"),
-                    F.xxhash64("b.text").alias("text"))
-            .groupBy("host", "path", "beside", "text").agg(F.count(F.lit(1)).alias("n")))
+    has_main = F.exists("blocks", lambda b: b["main"] & ~b["aside"])
+    asked = F.filter("blocks", lambda b: ~_by_kind(b) & (b["main"] | ~has_main))
+    own_text = F.transform(F.filter("asked", lambda b: ~b["aside"]), lambda b: b["text"])
+    all_text = F.transform("asked", lambda b: b["text"])
+    pages = (parsed.select("host", asked.alias("asked"))
+             .select("host", F.xxhash64(F.when(F.size(own_text) > 0, own_text).otherwise(all_text)).alias("page"),
+                     F.explode("asked").alias("b")))
+    named = F.col("b.branch") != ""
+    node = F.when(named, F.col("b.branch")).otherwise(F.col("b.path"))
+    below = F.when(named, F.xxhash64(F.substring("b.path", F.char_length("b.branch") + 1, F.char_length("b.path"))))
+    # what is counted: 0 the page itself, 1 a text, 2 an element kind below a named branch
+    items = F.array(F.struct(F.lit(0).alias("what"), F.lit(0).cast("long").alias("item")),
+                    F.struct(F.lit(1).alias("what"), F.xxhash64("b.text").alias("item")),
+                    F.struct(F.lit(2).alias("what"), below.alias("item")))
+    seen = (pages.select("host", "page", node.alias("path"), named.alias("named"), F.explode(items).alias("x"))
+            .select("host", "page", "path", "named", "x.what", "x.item").where(F.col("item").isNotNull()).distinct()
+            .groupBy("host", "path", "named", "what", "item").agg(F.count(F.lit(1)).alias("n")))
     seen = materialize(seen, "style_counts")
-    pages = materialize(parsed.groupBy("host").agg(F.count(F.lit(1)).alias("m")), "host_pages")
-    total = pages.agg(F.sum("m")).first()[0] or 0
+    sizes = materialize(pages.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("m")),
+                        "host_pages")
+    total = sizes.agg(F.sum("m")).first()[0] or 0
+
+    def nodes(counts: DataFrame, keys: list[str], of: str) -> DataFrame:
+        """The mean of n ln n / n over the occurrences of a node's texts and element kinds."""
+        mean = lambda k: F.sum(F.when(F.col("what") == k, F.col("n") * F.log("n"))) / F.sum(
+            F.when(F.col("what") == k, F.col("n")))
+        return counts.groupBy(*keys).agg(mean(1).alias(f"{of}_texts"), mean(2).alias(f"{of}_kinds"))
 
-    def nodes(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
-        """The mean of n ln n / n over the occurrences of a node's texts."""
-        return counts.groupBy(*keys).agg((F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias(name))
+    tag = F.regexp_extract("path", r">([^>.*]*)[^>]*$", 1)
 
-    def value(mean: str, m: Column) -> Column:
-        # a text that stands several times on its pages cannot pass the entropy of all pages
-        return F.greatest(F.lit(0.0), 1.0 - F.col(mean) / F.log(F.greatest(m, F.lit(2))))
+    def value(of: str, m: Column) -> Column:
+        one = lambda c: F.greatest(F.lit(0.0), 1.0 - F.col(c) / F.log(F.greatest(m, F.lit(2))))
+        texts = one(f"{of}_texts")
+        return F.when(F.col("named") & ~tag.isin(*TEXT_KINDS), (texts + one(f"{of}_kinds")) / 2).otherwise(texts)
 
-    own = nodes(seen, ["host", "path", "beside"], "own").join(pages, "host")
-    whole = nodes(seen.groupBy("path", "text").agg(F.sum("n").alias("n")), ["path"], "whole")
+    own = nodes(seen, ["host", "path", "named"], "own").join(sizes, "host")
+    whole = nodes(seen.groupBy("path", "named", "what", "item").agg(F.sum("n").alias("n")), ["path", "named"], "whole")
     judged = (F.when(F.col("m") >= p.min_pages, value("own", F.col("m")))
-              .when(F.lit(total >= p.min_pages), value("whole", F.lit(total))).otherwise(F.lit(1.0)))
-    return own.join(whole, "path").select("host", "path", "beside", F.col("m").alias("pages"), judged.alias("importance"))
+              .when(F.lit(total >= p.min_pages), value("whole", F.lit(total)))
+              .otherwise(F.when(F.col("named"), 0.0).otherwise(1.0)))
+    return own.join(whole, ["path", "named"]).select("host", "path", "named", F.col("m").alias("pages"),
+                                                     judged.alias("importance"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", p: StyleTree = StyleTree()) -> DataFrame:
-    """(id, url, host, text): the main text of each page, its blocks joined by line feeds in page order.
-
-    A page with an article or main element is reduced to it; on other pages the
-    importance of the branches decides.
-    """
+    """(id, url, host, text): the main text of each page, its blocks joined by line feeds in page order."""
     parsed = materialize(parse_pages(pages, id_col), "page_blocks", "zstd")
-    poor = (importance(parsed, p).where(F.col("beside") & (F.col("importance") < p.min_importance))
-            .groupBy("host").agg(F.collect_set("path").alias("poor")))
-    listed = parsed.join(materialize(poor, "poor_paths"), "host", "left")
-    poor_path = F.coalesce("poor", F.array().cast("array<string>"))
-    has_main = F.exists("blocks", lambda b: b["main"] & ~b["aside"])
-    kept = F.filter("blocks", lambda b: ~b["aside"] & F.when(has_main, b["main"])
-                    .otherwise(~F.array_contains(poor_path, b["path"])))
-    return listed.select("id", "url", "host", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
+    poor = ~F.col("named") & (F.col("importance") < p.min_importance)
+    rich = F.col("named") & (F.col("importance") >= p.named_importance)
+    judged = importance(parsed, p).where(poor | rich).groupBy("host").agg(
+        F.collect_set(F.when(poor, F.col("path"))).alias("poor"), F.collect_set(F.when(rich, F.col("path"))).alias("rich"))
+    none = F.array().cast("array<string>")
+    listed = parsed.join(materialize(judged, "judged_paths"), "host", "left").withColumns(
+        {"poor": F.coalesce("poor", none), "rich": F.coalesce("rich", none)})
+
+    def beside(b: Column) -> Column:
+        return b["aside"] & ~F.array_contains(F.col("rich"), b["branch"])
+
+    def repeats(b: Column) -> Column:
+        return ~b["aside"] & F.array_contains(F.col("poor"), b["path"])
+
+    def chars(found: Column) -> Column:
+        return F.aggregate(found, F.lit(0).cast("long"), lambda n, b: n + F.char_length(b["text"]))
+
+    has_main = F.exists("blocks", lambda b: b["main"] & ~beside(b))
+    asked = listed.select("id", "url", "host", "poor", "rich", has_main.alias("has_main"), F.filter(
+        "blocks", lambda b: ~beside(b) & (b["main"] | ~has_main)).alias("asked"))
+    repeated = F.filter("asked", repeats)
+    copy = F.col("has_main") & (2 * chars(repeated) >= chars(F.col("asked")))
+    kept = F.when(copy, F.col("asked")).otherwise(F.filter("asked", lambda b: ~repeats(b)))
+    return asked.select("id", "url", "host", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
 
 
 def extraction_report(pages: DataFrame) -> DataFrame:

@@ -59,5 +59,36 @@ def test_copied_articles_stay(spark):
     assert {r.text for r in S.extraction_report(table(spark, rows)).collect()} == {"The very same text"}
 
 
+def test_names_are_a_prior(spark):
+    """Names that tell what a container has, or that stand on unique text, do not erase the main text."""
+    story = "<h1>Head {i}</h1><p>Story {i} on its own and at some length</p>"
+    pages = ["<body><div class='content has-sidebar'><article>" + story + "</article></div>",
+             "<body><div class='layout sidebar'><article>" + story + "</article></div>",
+             "<body><main class='with-sidebar'>" + story + "</main>", "<body><article class='has-comments'>" + story + "</article>",
+             "<body><main class='sidebar-right'>" + story + "</main>",
+             "<body><article><h1 class='page-header'>Head {i}</h1><p class=notice>Story {i} on its own and at some length</p>"
+             "<div class=comments><p>reader {i}</p></div></article>"]
+    rows = [(100 * k + i, f"https://h{k}.example/{i}", h.format(i=100 * k + i)) for k, h in enumerate(pages) for i in range(30)]
+    got = {r.page_id: r.text for r in S.extraction_report(table(spark, rows)).collect()}
+    assert got == {i: f"Head {i}\nStory {i} on its own and at some length" for i in got} and len(got) == len(rows)
+
+
+def test_presentation_importance(spark):
+    """Of two branches of the same name and with unique texts, the one of varied elements stays."""
+    kinds = ["ul><li", "table><tr><td", "blockquote", "pre", "dl><dd", "section><h2", "h3", "div class=x1", "div class=x2", "p"]
+    rows = [(i, f"https://a.example/{i}", f"<body><div class=widget><{kinds[i % 10]}>Varied {i}</div>") for i in range(40)]
+    rows += [(100 + i, f"https://b.example/{i}", f"<body><div class=widget><p>Same {i}</p></div><p>Own {i}</p>") for i in range(40)]
+    got = {r.page_id: r.text for r in S.extraction_report(table(spark, rows)).collect()}
+    assert got == {i: f"Varied {i}" if i < 100 else f"Own {i - 100}" for i in got} and len(got) == 80
+
+
+def test_repeated_notice_inside_the_article_goes(spark):
+    page = "<body><article><p>Story {i} on its own and at some length</p><div class=x9>All rights are ours</div></article>"
+    rows = [(i, f"https://n.example/{i}", page.format(i=i)) for i in range(30)]
+    rows += [(100 + i, f"https://n.example/c{i}", page.format(i="copied")) for i in range(30)]
+    got = {r.page_id: r.text for r in S.extraction_report(table(spark, rows)).collect()}
+    assert got == {i: f"Story {i if i < 100 else 'copied'} on its own and at some length" for i in got} and len(got) == 60
+
+
 def test_empty(spark):
     assert S.extraction_report(table(spark, [])).collect() == []
