@@ -18,7 +18,9 @@ the branch; paragraphs, headings, list items and cells are judged by content alo
 A name says nothing where it tells what an element has ("has-sidebar"), on the
 outermost article or main element, and above the only such elements of a page.
 
-Nodes of hosts with few pages use the tree of all hosts together. Any other node goes
+The entropy is taken over the host's pages that have the node, from two pages on, and
+blended with that over all pages of all hosts that have it: with m pages of its own, a
+host's importance weighs (m - 1) / m. Any other node goes
 if the importance of its content stays under ``min_importance``. A page with an
 article or main element is reduced to that branch; nodes inside it go alike, but not
 where they hold half of the branch's text or more: that is a copy, not a notice.
@@ -85,8 +87,6 @@ class StyleTree:
     min_importance: float = 0.35
     #: From here on a branch stays although its name points beside the main text.
     named_importance: float = 0.7
-    #: A host's own tree is used from this many pages on.
-    min_pages: int = 20
 
 
 def _names(attributes: str) -> str:
@@ -216,9 +216,9 @@ def importance(parsed: DataFrame, p: StyleTree = StyleTree()) -> DataFrame:
     """(host, path, named, pages, importance): the nodes of each host's style tree.
 
     ``named``: a branch that its name sets aside, judged as a whole. Pages with an
-    article or main element count by that branch only. Hosts of fewer than
-    ``min_pages`` pages take the importance of the node over all hosts; too few pages
-    in all give 1, or 0 to a named branch.
+    article or main element count by that branch only. ``pages`` are the host's pages
+    with the node, pages of equal text once. A node on one page of all hosts has the
+    importance 1, or 0 if it is named.
     """
     has_main = F.exists("blocks", lambda b: b["main"] & ~b["aside"])
     asked = F.filter("blocks", lambda b: ~_by_kind(b) & (b["main"] | ~has_main))
@@ -238,29 +238,27 @@ def importance(parsed: DataFrame, p: StyleTree = StyleTree()) -> DataFrame:
             .select("host", "page", "path", "named", "x.what", "x.item").where(F.col("item").isNotNull()).distinct()
             .groupBy("host", "path", "named", "what", "item").agg(F.count(F.lit(1)).alias("n")))
     seen = materialize(seen, "style_counts")
-    sizes = materialize(pages.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("m")),
-                        "host_pages")
-    total = sizes.agg(F.sum("m")).first()[0] or 0
-
     def nodes(counts: DataFrame, keys: list[str], of: str) -> DataFrame:
         """The mean of n ln n / n over the occurrences of a node's texts and element kinds."""
         mean = lambda k: F.sum(F.when(F.col("what") == k, F.col("n") * F.log("n"))) / F.sum(
             F.when(F.col("what") == k, F.col("n")))
-        return counts.groupBy(*keys).agg(mean(1).alias(f"{of}_texts"), mean(2).alias(f"{of}_kinds"))
+        return counts.groupBy(*keys).agg(mean(1).alias(f"{of}_texts"), mean(2).alias(f"{of}_kinds"),
+                                         F.sum(F.when(F.col("what") == 0, F.col("n"))).alias(f"{of}_pages"))
 
     tag = F.regexp_extract("path", r">([^>.*]*)[^>]*$", 1)
 
-    def value(of: str, m: Column) -> Column:
-        one = lambda c: F.greatest(F.lit(0.0), 1.0 - F.col(c) / F.log(F.greatest(m, F.lit(2))))
+    def value(of: str) -> Column:
+        m = F.greatest(F.col(f"{of}_pages"), F.lit(2))
+        one = lambda c: F.greatest(F.lit(0.0), 1.0 - F.col(c) / F.log(m))
         texts = one(f"{of}_texts")
         return F.when(F.col("named") & ~tag.isin(*TEXT_KINDS), (texts + one(f"{of}_kinds")) / 2).otherwise(texts)
 
-    own = nodes(seen, ["host", "path", "named"], "own").join(sizes, "host")
+    own = nodes(seen, ["host", "path", "named"], "own")
     whole = nodes(seen.groupBy("path", "named", "what", "item").agg(F.sum("n").alias("n")), ["path", "named"], "whole")
-    judged = (F.when(F.col("m") >= p.min_pages, value("own", F.col("m")))
-              .when(F.lit(total >= p.min_pages), value("whole", F.lit(total)))
-              .otherwise(F.when(F.col("named"), 0.0).otherwise(1.0)))
-    return own.join(whole, ["path", "named"]).select("host", "path", "named", F.col("m").alias("pages"),
+    weight = (F.col("own_pages") - 1) / F.col("own_pages")
+    judged = (F.when(F.col("whole_pages") > 1, weight * value("own") + (1.0 - weight) * value("whole"))
+              .when(F.col("named"), 0.0).otherwise(1.0))
+    return own.join(whole, ["path", "named"]).select("host", "path", "named", F.col("own_pages").alias("pages"),
                                                      judged.alias("importance"))
 
 

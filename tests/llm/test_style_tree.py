@@ -90,5 +90,21 @@ def test_repeated_notice_inside_the_article_goes(spark):
     assert got == {i: f"Story {i if i < 100 else 'copied'} on its own and at some length" for i in got} and len(got) == 60
 
 
+def test_small_hosts_are_judged_by_their_own_pages(spark):
+    page = "<body><div class=x1><p>Menu of host {h}</p></div><div class=x2><p>Story {i} on its own</p></div></body>"
+    rows = [(10 * h + i, f"https://s{h}.example/{i}", page.format(h=h, i=10 * h + i)) for h in range(40) for i in range(4)]
+    alone = [(1000 + i, "https://few.example/", f"<body><div class=y{{}}><p>Notice</p></div><b>Text {i}</b>") for i in range(3)]
+    for table_rows in (rows, rows + alone, alone):
+        got = {r.page_id: r.text for r in S.extraction_report(table(spark, table_rows)).collect()}
+        assert got == {i: f"Story {i} on its own" if i < 1000 else f"Text {i - 1000}" for i in got}
+        assert len(got) == len(table_rows)
+
+
+def test_one_page_and_copies_stay_whole(spark):
+    page = "<body><div class=x1><p>Menu</p></div><div class=x2><p>Story on its own</p></div></body>"
+    rows = [(i, "https://one.example/", page) for i in range(5)]
+    assert {r.text for r in S.extraction_report(table(spark, rows)).collect()} == {"Menu\nStory on its own"}
+
+
 def test_empty(spark):
     assert S.extraction_report(table(spark, [])).collect() == []
