@@ -11,6 +11,13 @@ moves over optional regions, and a bounded self-loop for replaceable ones. All
 templates share one start table keyed by the first word, so a text is scanned
 once and an automaton runs only where its first word stands.
 
+Labels that end in ``-license`` stand for the whole wording of a license, from the
+optional title and copyright line to the last word of the disclaimer; a text that
+changes, adds or drops a mandatory word does not get them. All other labels stand
+for a notice or for the opening words of a license (``mit-text``, ``gpl-text``) and
+say nothing about what follows. Wording in quotation marks may have straight or
+curly ones throughout.
+
 Defined cases: a null or empty text has no words and no labels; repeated rows are
 scanned each; overlapping places all count; an empty table gives an empty result.
 """
@@ -38,7 +45,51 @@ def words_of(text: str | None) -> list[bytes]:
 # The phrases of the contract and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-# Wording of public licenses and notices, marked up.
+_COPYRIGHT = ("<<beginOptional>>copyright <<var;max=30>> <<beginOptional>>all rights reserved<<endOptional>><<endOptional>> ")
+
+# Whole wording of public licenses, marked up.
+WHOLE = (
+    ("mit-license", """<<beginOptional>>mit license <<beginOptional>>mit<<endOptional>><<endOptional>> """ + _COPYRIGHT + """
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>>
+shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;max=8>> BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("bsd-license", """<<beginOptional>>bsd <<var;max=3>> license<<endOptional>> """ + _COPYRIGHT + """
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+<<var;max=1>> Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer.
+<<var;max=1>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+following disclaimer in the documentation and/or other materials provided with the distribution.
+<<beginOptional>><<var;max=1>> All advertising materials mentioning features or use of this software must display the
+following acknowledgement: This product includes software developed by <<var;max=16>><<endOptional>>
+<<beginOptional>><<var;max=1>> Neither the name of <<var;max=12>> nor the names of <<beginOptional>>its<<endOptional>>
+contributors may be used to endorse or promote products derived from this software without specific prior written
+permission.<<endOptional>>
+THIS SOFTWARE IS PROVIDED BY <<var;max=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+<<var;max=12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING,
+BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE."""),
+    ("isc-license", """<<beginOptional>>isc license<<endOptional>> """ + _COPYRIGHT + """
+Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or
+without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND <<var;max=8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;max=8>> BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
+THIS SOFTWARE."""),
+)
+
+# Notices and opening words, marked up, and the whole licenses with straight and with curly quotation marks.
 TEMPLATES = (
     ("mit-notice", "<<beginOptional>>released<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> "
                    "mit license"),
@@ -55,12 +106,14 @@ TEMPLATES = (
                      "<<beginOptional>>creative commons<<endOptional>> cc by <<beginOptional>>nc<<endOptional>> "
                      "<<beginOptional>>sa<<endOptional>> <<beginOptional>>nd<<endOptional>> "
                      "<<beginOptional>><<var;max=1>> 0<<endOptional>>"),
-    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided "
-                 "that the following conditions are met"),
-    ("isc-text", "permission to use copy modify and or distribute this <<var;max=6>> for any purpose with or without fee "
-                 "is hereby granted"),
+    ("bsd-notice", "redistribution and use in source and binary forms with or without modification are permitted provided "
+                   "that the following conditions are met"),
+    ("isc-notice", "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this <<var;max=6>> for "
+                   "any purpose with or without fee is hereby granted"),
     ("mpl-notice", "subject to the terms of the mozilla public license v <<beginOptional>>2 0<<endOptional>>"),
     ("all-rights-reserved", "<<beginOptional>>copyright <<var;max=8>><<endOptional>> all rights reserved"),
+    *WHOLE,
+    *((label, re.sub('"([^"]*)"', r"“\1”", markup)) for label, markup in WHOLE),
 )
 
 

@@ -50,6 +50,94 @@ def test_templates():
     assert found[12] == {"mit-text"} and found[13] == set()  # 13 words do not fit a region of 12
 
 
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2020-2024 Some Body <some@body.example>
+Copyright (c) 2025 Other Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """Copyright (c) 2020, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+ISC = """ISC License
+
+Copyright (c) 2020 Some Body
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+"""
+
+
+@pytest.mark.parametrize("label, text", [("mit-license", MIT), ("bsd-license", BSD), ("isc-license", ISC)])
+def test_whole_wording_of_licenses(label, text):
+    whole = lambda t: {x for x in labels(t) if x.endswith("-license")}
+    curly = re.sub('"([^"]*)"', r"“\1”", text)
+    two_clauses = re.sub(r"3\. Neither.*?permission\.", "", text, flags=re.S)
+    bare = text[text.index("Permission is" if label[0] == "m" else "Redistribution and" if label[0] == "b" else "Permission to"):]
+    for t in (text, curly, two_clauses, bare, "Before. " + text + " After.", text.replace("Some Body", "Ann, Bob and Eve")):
+        assert whole(t) == {label}
+    n = len(M.words_of(text))
+    assert M.scan_words(M.words_of(text))[3] >= n - 1  # "The" of a title is not part of the wording
+    last, words = text.rstrip().rindex("\n\n"), ("EVENT", "LIABLE", "SOFTWARE")
+    for w in words:
+        at = text.index(w, last)
+        assert whole(text[:at] + "OTHER" + text[at + len(w):]) == set()
+    assert whole(text[:last]) == set()
+    for w in ("hereby granted", "are permitted"):
+        assert whole(text.replace(w, w + " on weekdays")) == (set() if w in text else {label})
+
+
 def expand(markup):
     """Every wording of a small template, replaceable regions filled with 0 to max words ``z``."""
     parts = re.split(r"(<<[^<>]*>>)", markup)
