@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, lengths, license_markup, linededup, packing, quality, styletree, superminhash, warc
+from . import chat, decontam, lengths, license_markup, linededup, packing, periodic, quality, styletree, superminhash, warc
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,7 @@ QUERIES: dict[str, Builder] = {
     "op8_quality_divergence": lambda s, d: quality.quality_report(table(s, d, "documents")),
     "op9_token_histogram": lambda s, d: lengths.token_histogram_report(table(s, d, "documents")),
     "op10_chat_format": lambda s, d: chat.chat_report(table(s, d, "conversations")),
+    "op11_periodic_runs": lambda s, d: periodic.run_report(table(s, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {
@@ -35,4 +36,5 @@ ORACLES: dict[str, str] = {
     "op7_warc_transactions": warc.ORACLE,
     "op8_quality_divergence": quality.ORACLE,
     "op10_chat_format": chat.ORACLE,
+    "op11_periodic_runs": periodic.ORACLE,
 }
