@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, lengths, license_markup, linededup, packing, periodic, quality, styletree, superminhash, warc
+from . import chat, decontam, lengths, license_markup, linededup, packing, periodic, quality, styletree, superminhash, warc, whitening
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,7 @@ QUERIES: dict[str, Builder] = {
     "op9_token_histogram": lambda s, d: lengths.token_histogram_report(table(s, d, "documents")),
     "op10_chat_format": lambda s, d: chat.chat_report(table(s, d, "conversations")),
     "op11_periodic_runs": lambda s, d: periodic.run_report(table(s, d, "documents")),
+    "op12_embedding_whitening": lambda s, d: whitening.whitening_report(table(s, d, "embeddings")),
 }
 
 ORACLES: dict[str, str] = {
