@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, lengths, license_markup, linededup, packing, periodic, quality, styletree, superminhash, warc, whitening
+from . import chat, decontam, language_id, lengths, license_markup, linededup, packing, periodic, quality, styletree, superminhash, warc, whitening
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,7 @@ QUERIES: dict[str, Builder] = {
     "op10_chat_format": lambda s, d: chat.chat_report(table(s, d, "conversations")),
     "op11_periodic_runs": lambda s, d: periodic.run_report(table(s, d, "documents")),
     "op12_embedding_whitening": lambda s, d: whitening.whitening_report(table(s, d, "embeddings")),
+    "op13_language_id": lambda s, d: language_id.language_report(table(s, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {
