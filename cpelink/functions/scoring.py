@@ -6,195 +6,248 @@ Scores are defined on insert/delete similarity: ``ratio(a, b)`` is
 The token variants work on ``proc``-essed strings (non-word chars -> blank,
 lower-case, trimmed). ``weighted`` combines them like the usual "WRatio".
 
-The scores that a query asks for come from one Arrow-batched pandas UDF so each
-pair crosses the JVM/Python boundary once and no other score is computed. The
-per-pair kernel is a small helper: a bit-parallel LCS on Python integers.
+Spark prepares the strings: processed, sorted by token, split into shared and
+own tokens, all with built-in expressions. One Arrow-batched pandas UDF then
+computes the scores that a query asks for, a whole batch at once and without a
+loop over pairs: every comparison of the batch (two strings, whole or partial)
+is numbered once, the distinct ones go through a bit-parallel LCS in numpy
+whose lanes are the pairs. A character of the shorter string is a bit, of a few
+64-bit words where it is long; a step takes one character of the longer string,
+in all pairs, and for ``partial`` in all windows of it, at the same time.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from functools import cached_property, lru_cache
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
+from . import normalize as N
 
 SCORE_FIELDS = [
     "ratio", "partial", "token_set", "ptl_token_set",
     "token_sort", "ptl_token_sort", "weighted",
 ]
-RATIO_SCHEMA = T.StructType([T.StructField(f, T.IntegerType()) for f in ("ratio", "partial")])
-
-# letters, digits and the underscore of any script; the same class as normalize.proc and the SQL twin
-_NON_WORD = re.compile(r"\W", re.UNICODE)
-
-
-def intr(x: float) -> int:
-    return int(math.floor(x + 0.5))
-
-
-@lru_cache(maxsize=1 << 16)
-def lcs_len(a: str, b: str) -> int:
-    """Length of the longest common subsequence (bit-parallel, O(|a|*|b|/w))."""
-    if not a or not b:
-        return 0
-    if len(a) > len(b):
-        a, b = b, a
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        masks[ch] = masks.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    v = full
-    for ch in b:
-        u = v & masks.get(ch, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(a) - bin(v).count("1")
-
-
-def ratio(a: str, b: str) -> int:
-    if not a or not b:
-        return 0
-    if a == b:
-        return 100
-    return intr(100 * (2.0 * lcs_len(a, b) / (len(a) + len(b))))
-
-
-def partial_ratio(a: str, b: str) -> int:
-    if not a or not b:
-        return 0
-    if a == b:
-        return 100
-    s, l = (a, b) if len(a) <= len(b) else (b, a)
-    n = len(s)
-    if s in l:
-        return 100
-    best = 0
-    for i in range(len(l) - n + 1):
-        best = max(best, lcs_len(s, l[i:i + n]))
-        if best == n:
-            break
-    return intr(100 * (2.0 * best / (n + n)))
-
 
-def proc(s: str) -> str:
-    return _NON_WORD.sub(" ", s).lower().strip()
-
-
-def _sorted_tokens(p: str) -> str:
-    return " ".join(sorted(p.split())).strip()
-
-
-class PairScores:
-    """The scores of one pair; each is computed when asked for, on shared intermediate strings."""
-
-    def __init__(self, a: str, b: str):
-        self.a, self.b = a, b
-
-    @cached_property
-    def processed(self) -> tuple[str, str]:
-        return proc(self.a), proc(self.b)
-
-    @cached_property
-    def ordered(self) -> tuple[str, str]:
-        p1, p2 = self.processed
-        return _sorted_tokens(p1), _sorted_tokens(p2)
-
-    @cached_property
-    def sets(self) -> tuple[str, str, str]:
-        """Shared tokens; shared and only the first's; shared and only the second's."""
-        p1, p2 = self.processed
-        t1, t2 = set(p1.split()), set(p2.split())
-        both = " ".join(sorted(t1 & t2))
-        return both, f"{both} {' '.join(sorted(t1 - t2))}".strip(), f"{both} {' '.join(sorted(t2 - t1))}".strip()
-
-    def _over_sets(self, f) -> int:
-        if not all(self.processed):
-            return 0
-        both, c12, c21 = self.sets
-        return max(f(both, c12), f(both, c21), f(c12, c21))
-
-    @cached_property
-    def ratio(self) -> int:
-        return ratio(self.a, self.b)
-
-    @cached_property
-    def partial(self) -> int:
-        return partial_ratio(self.a, self.b)
-
-    @cached_property
-    def token_set(self) -> int:
-        return self._over_sets(ratio)
-
-    @cached_property
-    def ptl_token_set(self) -> int:
-        if all(self.processed) and self.sets[0]:
-            return 100  # the shared tokens stand in either string
-        return self._over_sets(partial_ratio)
-
-    @cached_property
-    def token_sort(self) -> int:
-        return ratio(*self.ordered)
-
-    @cached_property
-    def ptl_token_sort(self) -> int:
-        return partial_ratio(*self.ordered)
-
-    @cached_property
-    def weighted(self) -> int:
-        p1, p2 = self.processed
-        if not p1 or not p2:
-            return 0
-        base, same = ratio(p1, p2), p1 == p2
-        longer = float(max(len(p1), len(p2))) / min(len(p1), len(p2))
-        if longer < 1.5:
-            return intr(max(base, self.token_sort * 0.95, (100 if same else self.token_set) * 0.95))
-        scale = 0.6 if longer > 8 else 0.9
-        return intr(max(base, partial_ratio(p1, p2) * scale, self.ptl_token_sort * 0.95 * scale,
-                        (100 if same else self.ptl_token_set) * 0.95 * scale))
-
-
-def all_scores(a, b) -> tuple:
-    """All scores of a pair in the order of SCORE_FIELDS; nulls for a null side."""
-    if a is None or b is None:
-        return (None,) * len(SCORE_FIELDS)
-    s = PairScores(a, b)
-    return tuple(getattr(s, f) for f in SCORE_FIELDS)
-
-
-def token_set(a: str, b: str) -> int:
-    return PairScores(a, b).token_set
-
-
-def partial_token_set(a: str, b: str) -> int:
-    return PairScores(a, b).ptl_token_set
-
-
-def token_sort(a: str, b: str) -> int:
-    return PairScores(a, b).token_sort
-
-
-def partial_token_sort(a: str, b: str) -> int:
-    return PairScores(a, b).ptl_token_sort
-
-
-def weighted(a: str, b: str) -> int:
-    return PairScores(a, b).weighted
+#: Prepared strings that a score needs beside the pair itself.
+_NEEDS = {
+    "ratio": (), "partial": (), "token_set": ("sets",), "ptl_token_set": ("sets",), "token_sort": ("sorted",),
+    "ptl_token_sort": ("sorted",), "weighted": ("processed", "sorted", "sets"),
+}
+#: Characters compared at a time; bounds the memory of a batch.
+_CELLS = 1 << 22
+
+
+# --- the kernel ---------------------------------------------------------------------
+
+def _codes(strings: np.ndarray, sizes: np.ndarray, padding: int) -> np.ndarray:
+    """Code points, one row a string, with ``padding`` beyond its end."""
+    width = max(int(sizes.max(initial=0)), 1)
+    out = strings.astype(f"U{width}").view(np.uint32).reshape(len(strings), width).copy()
+    out[np.arange(width) >= sizes[:, None]] = padding
+    return out
+
+
+def _matches(short: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """(position of long, word, pair): a bit for each position of ``short`` that holds the same character."""
+    pairs, n = short.shape
+    words = -(-n // 64)
+    bits = np.packbits(long[:, :, None] == short[:, None, :], axis=2, bitorder="little")
+    whole = np.zeros((pairs, long.shape[1], words * 8), np.uint8)
+    whole[:, :, :bits.shape[2]] = bits
+    return np.ascontiguousarray(whole.view("<u8").transpose(1, 2, 0))
+
+
+def _advance(v: np.ndarray, match: np.ndarray) -> None:
+    """One step of the bit-parallel LCS; ``v`` is (word, ...), its cleared bits count the subsequence."""
+    u = v & match
+    total = v + u
+    carry = total < u
+    for w in range(1, len(v)):
+        with_carry = total[w] + carry[w - 1]
+        carry[w] |= with_carry < total[w]
+        total[w] = with_carry
+    v -= u
+    v |= total
+
+
+def _cleared(v: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(~v).sum(axis=0, dtype=np.int64)
+
+
+def _whole(match: np.ndarray) -> np.ndarray:
+    """LCS of each pair."""
+    v = np.full(match.shape[1:], ~np.uint64(0))
+    for m in match:
+        _advance(v, m)
+    return _cleared(v)
+
+
+def _windowed(match: np.ndarray, n: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Best LCS of each pair's shorter string (``n`` characters) with a window as long of the longer (``size``)."""
+    windows = int((size - n).max()) + 1
+    v = np.full((match.shape[1], windows, match.shape[2]), ~np.uint64(0))
+    for k in range(int(n.max())):
+        m = match[k:k + windows].transpose(1, 0, 2)
+        if len(match) < k + windows:    # windows that begin too late for this step are no windows of their pair
+            m = np.concatenate((m, np.zeros((m.shape[0], k + windows - len(match), m.shape[2]), m.dtype)), axis=1)
+        _advance(v, np.where(k < n, m, np.uint64(0)))
+    best = _cleared(v)
+    best[np.arange(windows)[:, None] > size - n] = 0
+    return best.max(axis=0)
+
+
+def _parts(n: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs in groups of like lengths, none with more than ``_CELLS`` cells unless it is a single pair."""
+    order = np.lexsort((size, -(-n // 8)))
+    begin = 0
+    while begin < len(order):
+        end, widest, longest = begin, 0, 0
+        while end < len(order):
+            # look ahead in steps that double: the bound must hold for the group's largest lengths
+            ahead = min(len(order), begin + max(1, 2 * (end - begin)))
+            w = max(widest, int(n[order[end:ahead]].max()))
+            g = max(longest, int(size[order[end:ahead]].max()))
+            if end > begin and ((ahead - begin) * w * g > _CELLS or w > 2 * widest + 8 or g > 2 * longest + 16):
+                break
+            end, widest, longest = ahead, w, g
+        yield order[begin:end]
+        begin = end
+
+
+def lcs_lengths(a: np.ndarray, b: np.ndarray, partial: bool) -> np.ndarray:
+    """LCS lengths of pairs of non-empty strings; with ``partial`` the best over windows of the longer string."""
+    size_a, size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    swap = size_a > size_b
+    short, long = np.where(swap, b, a), np.where(swap, a, b)
+    n, size = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
+    out = np.zeros(len(a), np.int64)
+    for some in _parts(n, size):
+        match = _matches(_codes(short[some], n[some], 0x110000), _codes(long[some], size[some], 0x110001))
+        out[some] = _windowed(match, n[some], size[some]) if partial else _whole(match)
+    return out
+
+
+def _percent(twice: np.ndarray, total: np.ndarray) -> np.ndarray:
+    return np.floor(100 * (twice / total) + 0.5).astype(np.int64)
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    return np.floor(x + 0.5).astype(np.int64)
+
+
+class _Batch:
+    """The comparisons of a batch: the distinct pairs of strings of a request are compared once, and only where it needs them."""
+
+    def __init__(self, strings: dict[str, pd.Series]):
+        names = list(strings)
+        codes, values = pd.factorize(pd.concat([strings[k] for k in names], ignore_index=True).fillna(""))
+        self.values = np.asarray(values, object)
+        self.code = dict(zip(names, codes.reshape(len(names), -1)))
+        self.size = np.fromiter(map(len, self.values), np.int64, len(self.values))
+        self.done: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _compare(self, x: str, y: str, partial: bool, where: np.ndarray | None) -> np.ndarray:
+        """Scores of two columns' strings, right where ``where`` holds; what was compared before is not compared again."""
+        a, b = self.code[x], self.code[y]
+        some = (a != b) & (self.size[a] > 0) & (self.size[b] > 0)
+        if (x, y, partial) not in self.done:
+            self.done[x, y, partial] = np.where((a == b) & (self.size[a] > 0), 100, 0), ~some
+        out, known = self.done[x, y, partial]
+        todo = ~known if where is None else where & ~known
+        if todo.any():
+            pairs, back = np.unique(np.minimum(a, b)[todo] * len(self.values) + np.maximum(a, b)[todo], return_inverse=True)
+            i, j = pairs // len(self.values), pairs % len(self.values)
+            lcs = lcs_lengths(self.values[i], self.values[j], partial)
+            n, m = self.size[i], self.size[j]
+            shorter = np.minimum(n, m)
+            out[todo] = (_percent(2.0 * lcs, shorter + shorter) if partial else _percent(2.0 * lcs, n + m))[back]
+            known |= todo
+        return out
+
+    def ratio(self, x: str, y: str, where: np.ndarray | None = None) -> np.ndarray:
+        return self._compare(x, y, False, where)
+
+    def partial(self, x: str, y: str, where: np.ndarray | None = None) -> np.ndarray:
+        return self._compare(x, y, True, where)
+
+    def over_sets(self, compare, where: np.ndarray | None = None) -> np.ndarray:
+        """Best of shared tokens, shared and the first's own, shared and the second's own; 0 where a side has no token."""
+        best = np.maximum(np.maximum(compare("both", "first", where), compare("both", "second", where)),
+                          compare("first", "second", where))
+        return np.where((self.size[self.code["p1"]] > 0) & (self.size[self.code["p2"]] > 0), best, 0)
+
+    def token_set(self, where: np.ndarray | None = None) -> np.ndarray:
+        return self.over_sets(self.ratio, where)
+
+    def ptl_token_set(self, where: np.ndarray | None = None) -> np.ndarray:
+        shared = self.size[self.code["both"]] > 0           # they stand in either string
+        open_ = ~shared if where is None else where & ~shared
+        return np.where(shared, 100, self.over_sets(self.partial, open_))
+
+    def weighted(self) -> np.ndarray:
+        n1, n2 = self.size[self.code["p1"]], self.size[self.code["p2"]]
+        some = (n1 > 0) & (n2 > 0)
+        base, same = self.ratio("p1", "p2"), self.code["p1"] == self.code["p2"]
+        longer = np.maximum(n1, n2) / np.maximum(np.minimum(n1, n2), 1)
+        near, far = some & (longer < 1.5), some & (longer >= 1.5)
+        whole = np.maximum(self.ratio("o1", "o2", near) * 0.95, np.where(same, 100, self.token_set(near)) * 0.95)
+        scale = np.where(longer > 8, 0.6, 0.9)
+        part = np.maximum(np.maximum(self.partial("p1", "p2", far) * scale, self.partial("o1", "o2", far) * 0.95 * scale),
+                          np.where(same, 100, self.ptl_token_set(far)) * 0.95 * scale)
+        return np.where(some, _rounded(np.maximum(base, np.where(longer < 1.5, whole, part))), 0)
+
+    def score(self, field: str) -> np.ndarray:
+        if field in ("ratio", "partial"):
+            return getattr(self, field)("a", "b")
+        if field in ("token_sort", "ptl_token_sort"):
+            return (self.ratio if field == "token_sort" else self.partial)("o1", "o2")
+        return getattr(self, field)()
+
+
+def batch_scores(strings: dict[str, pd.Series], fields: tuple[str, ...]) -> pd.DataFrame:
+    """The named scores of a batch of prepared pairs; null where a or b is."""
+    missing = np.asarray(strings["a"].isna() | strings["b"].isna())
+    if not len(missing):
+        return pd.DataFrame({f: pd.array([], "Int32") for f in fields})
+    batch = _Batch(strings)
+    return pd.DataFrame({f: pd.arrays.IntegerArray(batch.score(f).astype(np.int32), missing) for f in fields})
+
+
+# --- columns --------------------------------------------------------------------------
+
+def _prepared(a: Column, b: Column, fields: tuple[str, ...]) -> dict[str, Column]:
+    """The strings that the scores compare, by built-in expressions."""
+    needs = {x for f in fields for x in _NEEDS[f]}
+    out = {"a": a, "b": b}
+    p1, p2 = N.proc(a), N.proc(b)
+    if needs & {"processed", "sets"}:
+        out |= {"p1": p1, "p2": p2}
+    t1, t2 = (F.filter(F.split(p, " "), lambda t: t != "") for p in (p1, p2))
+    if "sorted" in needs:
+        out |= {"o1": F.array_join(F.array_sort(t1), " "), "o2": F.array_join(F.array_sort(t2), " ")}
+    if "sets" in needs:
+        both = F.array_join(F.array_sort(F.array_intersect(t1, t2)), " ")
+        first, second = (F.trim(F.concat_ws(" ", both, F.array_join(F.array_sort(F.array_except(x, y)), " ")))
+                         for x, y in ((t1, t2), (t2, t1)))
+        out |= {"both": both, "first": first, "second": second}
+    return out
 
 
 @lru_cache(maxsize=None)
-def _pair_scores_udf(fields: tuple[str, ...]):
-    """A UDF that computes the named scores only."""
+def _pair_scores_udf(fields: tuple[str, ...], names: tuple[str, ...]):
+    """A UDF that computes the named scores only, from the prepared strings."""
     schema = T.StructType([T.StructField(f, T.IntegerType()) for f in fields])
 
     @F.pandas_udf(schema)
-    def udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        found = [None if x is None or y is None else PairScores(x, y) for x, y in zip(a, b)]
-        return pd.DataFrame({f: pd.array([None if s is None else getattr(s, f) for s in found], "Int32") for f in fields})
+    def udf(strings: pd.DataFrame) -> pd.DataFrame:
+        return batch_scores({k: strings[k] for k in names}, fields)
 
     # Scores are pure functions, but they are declared non-deterministic so the
     # optimizer never pushes a filter on a score below the de-duplication of
@@ -202,27 +255,17 @@ def _pair_scores_udf(fields: tuple[str, ...]):
     return udf.asNondeterministic()
 
 
-@F.pandas_udf(RATIO_SCHEMA)
-def _pair_ratio_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    rows = [(None, None) if x is None or y is None else (ratio(x, y), partial_ratio(x, y))
-            for x, y in zip(a, b)]
-    return pd.DataFrame(rows, columns=["ratio", "partial"]).astype("Int32")
-
-
-_pair_ratio_udf = _pair_ratio_udf.asNondeterministic()
-
-
 def pair_scores(a, b, fields: list[str] | None = None) -> Column:
     """struct of the named scores, all of SCORE_FIELDS by default."""
     ship_package()
-    udf = _pair_scores_udf(tuple(fields or SCORE_FIELDS))
-    return udf(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
+    fields = tuple(fields or SCORE_FIELDS)
+    strings = _prepared(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b, fields)
+    return _pair_scores_udf(fields, tuple(strings))(F.struct(*[c.alias(k) for k, c in strings.items()]))
 
 
 def pair_ratio(a, b) -> Column:
     """struct<ratio, partial> only (for version strings)."""
-    ship_package()
-    return _pair_ratio_udf(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
+    return pair_scores(a, b, ["ratio", "partial"])
 
 
 def version_gate(release, version) -> Column:

@@ -1,9 +1,9 @@
 import random
 
+import pair_scores as S
 from pyspark.sql import functions as F
 
 from cpelink import constants as K
-from cpelink.functions import scoring as S
 from cpelink.operators import candidates as CA
 from cpelink.plans import inputs as I
 
