@@ -49,9 +49,9 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
-        conf_dir = tempfile.mkdtemp(prefix="cpelink-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-        spark.sparkContext.setCheckpointDir(conf_dir)
+        # the setting itself cannot be changed in a running session; the context remembers the folder
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cpelink-ckpt-"))
+        conf_dir = spark.sparkContext.getCheckpointDir()
     return conf_dir
 
 

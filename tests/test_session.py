@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -33,3 +35,17 @@ class _Unset:
 def test_unset_shared_folder_is_an_error_on_a_cluster():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         S.shared_dir(_Unset)
+
+
+def test_local_master_without_the_setting_gets_a_folder(tmp_path):
+    """In a process whose Spark reads no defaults."""
+    code = ("from cpelink.session import local_session, materialize, release_scratch, shared_dir\n"
+            "s = local_session(1)\n"
+            "assert s.conf.get('spark.checkpoint.dir', None) is None\n"
+            "assert materialize(s.range(5), 'x').count() == 5 and shared_dir(s) == shared_dir(s)\n"
+            "assert release_scratch(s) == 1\n"
+            "print('fine')\n")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root}
+    ran = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert ran.stdout.strip().endswith("fine"), ran.stderr[-2000:]
