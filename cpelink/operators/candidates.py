@@ -10,16 +10,13 @@ are *implied* by the gates, so no qualifying pair is lost:
   in 200. Pairs come from (a) an equi-join on shared tokens, (b) a containment
   join blocked on the globally rarest q-gram of the contained string and (c) an
   equi-join of long strings on pieces that the differences cannot all touch.
-* software stage -- pairs must share the vendor. Versioned pairs must pass
-  the version gate, which implies that one version string contains the other
-  and their lengths are close; the join key is the version itself or one of
-  its near-full-length substrings. Pairs where either side has no version
-  ('-') are not gated on versions; their title gate (a fuzzy 70-point
-  threshold) is judged on distinct (display name, title) strings of the
-  vendor and only passing combinations are expanded to product x catalogue
-  pairs. (An exact q-gram bound exists -- with at most d = 0.61 m indels a
-  piece of length ~m/(d+1) survives -- but such 1-2 character pieces block
-  almost nothing, so it is not used.)
+* software stage -- pairs must share the vendor. Versions are compared as
+  distinct strings: short ones meet on the version itself or one of its
+  near-full-length substrings, long ones on pieces that the few edits the gate
+  allows cannot all touch. The title gate (a fuzzy 70-point threshold on token
+  sets) is judged on distinct token-set strings of a vendor through inverted
+  indexes (``title_gate``); only passing combinations are expanded to
+  product x catalogue pairs.
 """
 
 from __future__ import annotations
@@ -31,21 +28,12 @@ from .. import constants as K
 from ..functions import normalize as N
 from ..functions import scoring as S
 from ..session import materialize
+from . import title_gate as G
+from .title_gate import score_partitions
 
 Q = 3
 
 
-def score_partitions(df: DataFrame) -> int:
-    """Partition count for a Python-scored stage.
-
-    Scoring is CPU-bound while the rows are small, so runtime coalescing
-    would squeeze the work into a few tasks; an explicit count keeps every
-    core busy (at least the shuffle partition count).
-    """
-    spark = df.sparkSession
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 # --- shared helpers ---------------------------------------------------------
 
 def _grams(s: Column, q: Column) -> Column:
@@ -55,46 +43,13 @@ def _grams(s: Column, q: Column) -> Column:
         F.transform(F.sequence(F.lit(1), n - q + 1), lambda p: F.substr(s, p, q)))
 
 
-def containment_pairs(small: DataFrame, large: DataFrame, key: str = "t") -> DataFrame:
-    """Pairs (small.id, large.id) where ``small.t`` is a substring of ``large.t``.
-
-    ``small`` / ``large`` have columns (id, t). Each small string probes with
-    one q-gram -- its globally rarest (q = 3, or the whole string when
-    shorter) -- against the distinct q-grams of the large strings. Any string
-    containing ``t`` contains that gram, so the blocking is exact; the final
-    ``contains`` check removes false hits.
-    """
-    small = small.where(F.char_length(key) > 0)
-    large = large.where(F.char_length(key) > 0)
-    s_q = F.least(F.lit(Q), F.char_length(key))
-    probes = small.select("id", key, s_q.alias("q"), F.explode(_grams(F.col(key), s_q)).alias("g"))
-    # q-grams (q = 1..3) present in each large string
-    lg = large.select(
-        "id", key,
-        F.explode(F.flatten(F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(Q), F.char_length(key))),
-            lambda q: F.transform(_grams(F.col(key), q), lambda g: F.struct(q.alias("q"), g.alias("g")))
-        ))).alias("qg"),
-    ).select("id", key, F.col("qg.q").alias("q"), F.col("qg.g").alias("g"))
-    freq = lg.groupBy("q", "g").agg(F.count("*").alias("df"))
-    rarest = (
-        probes.join(freq, ["q", "g"], "left")
-        .withColumn("df", F.coalesce("df", F.lit(0)))
-        .groupBy("id", key)
-        .agg(F.min_by(F.struct("q", "g"), F.struct("df", "g")).alias("pick"))
-        .select("id", key, F.col("pick.q").alias("q"), F.col("pick.g").alias("g"))
-    )
-    hits = rarest.alias("s").join(lg.alias("l"), ["q", "g"], "inner")
-    return hits.where(F.col(f"l.{key}").contains(F.col(f"s.{key}"))).select(
-        F.col("s.id").alias("small_id"), F.col("l.id").alias("large_id"))
-
-
 def containment_both(a: DataFrame, b: DataFrame, key: str = "t") -> DataFrame:
     """Pairs (a_id, b_id) where one side's string is a substring of the other's.
 
     One pass serves both directions: the q-grams of both sides are exploded
     once, counted per side, and every string probes the *other* side with its
-    rarest gram there (same exact blocking as :func:`containment_pairs`).
+    rarest gram there. Any string containing ``t`` contains that gram, so the
+    blocking is exact; the final ``contains`` check removes false hits.
     """
     strs = (a.select(F.lit(0).alias("side"), "id", key)
             .unionByName(b.select(F.lit(1).alias("side"), "id", key))
@@ -281,42 +236,88 @@ def _close_lengths(n: Column) -> Column:
                     lambda L: (L < n) & (F.floor(F.lit(100.0) * (F.lit(2.0) * L / (L + n)) + 0.5) >= K.VERSION_RATIO_GATE))
 
 
+#: Versions from this length on meet by grams; shorter ones by themselves and their substrings.
+LONG_VERSION = 32
+
+
 def _version_keys(v: Column) -> Column:
-    """The version itself (role 0) and its substrings of close length (role 1)."""
+    """Of a version below ``LONG_VERSION`` itself (role 0); of any its substrings of close length below it (role 1)."""
     n = F.char_length(v)
     subs = F.flatten(F.transform(
-        _close_lengths(n),
+        F.filter(_close_lengths(n), lambda L: L < LONG_VERSION),
         lambda L: F.transform(F.sequence(F.lit(1), n - L + 1), lambda p: F.substr(v, p, L))))
-    return F.concat(
-        F.array(F.struct(v.alias("k"), F.lit(0).alias("role"))),
-        F.transform(F.array_distinct(subs), lambda s: F.struct(s.alias("k"), F.lit(1).alias("role"))),
-    )
-
+    whole = F.when(n < LONG_VERSION, F.array(F.struct(v.alias("k"), F.lit(0).alias("role")))) \
+        .otherwise(F.array().cast("array<struct<k:string,role:int>>"))
+    return F.concat(whole, F.transform(F.array_distinct(subs), lambda s: F.struct(s.alias("k"), F.lit(1).alias("role"))))
+
+
+def _rel_scores(release: Column, version: Column) -> list[Column]:
+    """Release scores of a pair that the gate lets through without an edit: equal, contained, or one side has no version."""
+    n, m = (F.char_length(x) for x in (release, version))
+    none = F.lit(K.NO_VERSION)
+    dash = F.when(release == none, version.contains(K.NO_VERSION)).otherwise(release.contains(K.NO_VERSION)).cast("int")
+    common = F.when((release == none) | (version == none), dash).otherwise(F.least(n, m))
+    ratio = F.floor(F.lit(100.0) * (F.lit(2.0) * common / (n + m)) + 0.5).cast("int")
+    partial = F.floor(F.lit(100.0) * (F.lit(2.0) * common / (2 * F.least(n, m))) + 0.5).cast("int")
+    empty = F.least(n, m) == 0
+    return [F.when(empty, 0).when(release == version, 100).otherwise(x).alias(k)
+            for k, x in (("rel_ratio", ratio), ("rel_partial", partial))]
+
+
+def _met_by_grams(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(vendor_X, s, l): versions of ``LONG_VERSION`` characters and more, of close length, that could pass the gate.
+
+    The shorter one, of n characters, stands in the longer one but for n // 200
+    characters on each side (the partial score is rounded). Of 2 (n // 200) + 1
+    equal pieces of it one is untouched, so that piece's first ``LONG_GRAM``
+    characters, or the piece if shorter, stand in the longer version.
+    """
+    n = F.char_length("v")
+    pieces = 2 * F.floor(n / LONG).cast("int") + 1
+    probes = F.array_distinct(F.transform(F.sequence(F.lit(0), pieces - 1), lambda k: F.substr(
+        F.col("v"), F.floor(k * n / pieces).cast("int") + 1, F.lit(LONG_GRAM))))
+    s = short.select("vendor_X", F.col("v").alias("s"), F.explode(probes).alias("g"))
+    g = long.select("vendor_X", F.col("v").alias("l"), F.explode(_grams(F.col("v"), F.lit(LONG_GRAM))).alias("g"))
+    a, b = F.char_length("s"), F.char_length("l")
+    close = F.floor(F.lit(100.0) * (F.lit(2.0) * a / (a + b)) + 0.5) >= K.VERSION_RATIO_GATE
+    return s.join(g, ["vendor_X", "g"]).where((a <= b) & close).select("vendor_X", "s", "l").distinct()
 
-def _with_release(cpe: DataFrame) -> DataFrame:
-    return cpe.withColumn("rel_tmp", N.java_release("vendor_X", "software_X", "cpe23", "release_X"))
 
+def version_pairs(products: DataFrame, c: DataFrame) -> DataFrame:
+    """(vendor_X, Version0, rel_tmp, rel_ratio, rel_partial): the distinct versions of a vendor that pass the gate together.
 
-def _versioned_pairs(products: DataFrame, c: DataFrame) -> DataFrame:
-    """Both sides versioned: join on (vendor, version key), then the exact gate."""
+    Both sides have a version. Versions below ``LONG_VERSION`` characters pass only
+    if one contains the other; from 200 characters on an edit may remain, and such
+    pairs are scored.
+    """
     nv = F.lit(K.NO_VERSION)
-    pv = products.where(F.col("Version0") != nv).select(
-        "*", F.explode(_version_keys(F.col("Version0"))).alias("vk"))
-    cv = c.where(F.col("rel_tmp") != nv).select(
-        "*", F.explode(_version_keys(F.col("rel_tmp"))).alias("vk"))
-    pairs = (
-        pv.alias("p").join(cv.alias("c"), (F.col("p.vendor_X") == F.col("c.vendor_X"))
-                           & (F.col("p.vk.k") == F.col("c.vk.k"))
-                           & ((F.col("p.vk.role") + F.col("c.vk.role")) < 2))
-        .select("p.vendor_X", "p.DisplayName0", "p.Version0", "c.software_X", "c.release_X",
-                "c.rel_tmp", "c.title_X", "c.cpe23", "c.cpe_name")
-    )
-    return pairs.where(S.version_gate("rel_tmp", "Version0"))
+    pv = products.where(F.col("Version0") != nv).select("vendor_X", F.col("Version0").alias("v")).distinct()
+    cv = c.where(F.col("rel_tmp") != nv).select("vendor_X", F.col("rel_tmp").alias("v")).distinct()
+    keyed_p = pv.select("vendor_X", F.col("v").alias("Version0"), F.explode(_version_keys(F.col("v"))).alias("p"))
+    keyed_c = cv.select("vendor_X", F.col("v").alias("rel_tmp"), F.explode(_version_keys(F.col("v"))).alias("c"))
+    short = keyed_p.withColumn("k", F.col("p.k")).join(keyed_c.withColumn("k", F.col("c.k")), ["vendor_X", "k"]) \
+        .where((F.col("p.role") + F.col("c.role")) < 2).select("vendor_X", "Version0", "rel_tmp")
+    contained = S.version_gate("rel_tmp", "Version0")
+    native = short.where(contained).select("vendor_X", "Version0", "rel_tmp", *_rel_scores(F.col("rel_tmp"), F.col("Version0")))
+
+    lp, lc = (x.where(F.char_length("v") >= LONG_VERSION) for x in (pv, cv))
+    met = (_met_by_grams(lp, lc).select("vendor_X", F.col("s").alias("Version0"), F.col("l").alias("rel_tmp"))
+           .union(_met_by_grams(lc, lp).select("vendor_X", F.col("l").alias("Version0"), F.col("s").alias("rel_tmp"))).distinct())
+    scored = met.select("*", S.pair_ratio("rel_tmp", "Version0").alias("r")) \
+        .where((F.col("r.ratio") >= K.VERSION_RATIO_GATE) & (F.col("r.partial") == 100)) \
+        .select("vendor_X", "Version0", "rel_tmp", F.col("r.ratio").alias("rel_ratio"), F.col("r.partial").alias("rel_partial"))
+    return native.unionByName(scored)
+
+
+def _with_release(cpe: DataFrame) -> DataFrame:
+    return cpe.withColumn("rel_tmp", N.java_release("vendor_X", "software_X", "cpe23", "release_X"))
 
 
 def versioned_pairs(products: DataFrame, cpe: DataFrame) -> DataFrame:
     """(product, CPE row) pairs of one vendor, both with a version, that pass the version gate."""
-    return _versioned_pairs(products, _with_release(cpe))
+    c = _with_release(cpe)
+    return products.join(version_pairs(products, c), ["vendor_X", "Version0"]).join(c, ["vendor_X", "rel_tmp"]) \
+        .select("vendor_X", "DisplayName0", "Version0", "software_X", "release_X", "rel_tmp", "title_X", "cpe23", "cpe_name")
 
 
 def ungated_counts(products: DataFrame, cpe: DataFrame) -> DataFrame:
@@ -336,72 +337,57 @@ def software_candidates(products: DataFrame, cpe: DataFrame) -> DataFrame:
     The title gate and the title scores depend only on (vendor, catalogue
     title, display name), the release scores only on (release, version). So:
 
-    1. versioned pairs come from the blocked version join;
-    2. the (vendor, display name, title) combinations to judge are those of
-       step 1 plus, for unversioned products, every distinct title of the
-       vendor and, for unversioned catalogue rows, every distinct display
-       name of the vendor -- distinct strings, not product x catalogue rows;
-    3. of the distinct (title, display name) string pairs those with a shared
-       token pass the title gate natively, the others get the gate's score; the
-       remaining scores are computed once for each pair that passes;
+    1. versioned pairs come from the distinct versions of a vendor that pass together;
+    2. the title gate depends only on the two sets of tokens: the distinct token
+       strings that it is judged on are those of versioned pairs and, where a side
+       has no version, those that meet in the inverted indexes of ``title_gate``;
+    3. the scores are computed once for each distinct (title, display name) pair that passes;
     4. only passing combinations are expanded back to product x catalogue
-       pairs, so the product x catalogue explosion is output-sized.
+       pairs, so the product x catalogue explosion is output-sized; release
+       scores come with the version pairs or from a built-in expression.
     """
     nv = F.lit(K.NO_VERSION)
-    products = materialize(pair_skip_rules(products), "products")
-    c = materialize(_with_release(cpe).where(F.col("title_X").isNotNull()), "catalogue")
-    p1 = materialize(_versioned_pairs(products, c), "versioned_pairs")
-
-    disp_u = products.where(F.col("Version0") == nv).select("vendor_X", "DisplayName0").distinct()
-    disp_v = products.where(F.col("Version0") != nv).select("vendor_X", "DisplayName0").distinct()
-    titles_all = c.select("vendor_X", "title_X").distinct()
-    titles_dash = c.where(F.col("rel_tmp") == nv).select("vendor_X", "title_X").distinct()
-    combos = (p1.select("vendor_X", "DisplayName0", "title_X")
-              .unionByName(disp_u.join(titles_all, "vendor_X"))
-              .unionByName(disp_v.join(titles_dash, "vendor_X"))
-              .distinct()
-              .withColumn("ta", N.strip_vendor("title_X", "vendor_X"))
-              .withColumn("tb", N.strip_vendor("DisplayName0", "vendor_X")))
-    combos = materialize(combos, "title_combos")
-
-    # a shared token alone scores 100: those pairs pass natively, the others get the gate's score only
-    def tokens(c: str) -> Column:
-        return F.filter(F.split(N.proc(c), " "), lambda t: t != "")
-
-    strings = combos.select("ta", "tb").distinct()
-    strings = strings.repartition(score_partitions(strings), "ta", "tb") \
-        .withColumn("shared", F.arrays_overlap(tokens("ta"), tokens("tb")))
-    gated = strings.where(~F.col("shared")).select(
-        "ta", "tb", S.pair_scores(F.col("ta"), F.col("tb"), ["ptl_token_set"])["ptl_token_set"].alias("gate")) \
-        .where(F.col("gate") >= K.TITLE_GATE).select("ta", "tb")
-    through = materialize(strings.where("shared").select("ta", "tb").union(gated), "gated_titles")
-    through = through.repartition(score_partitions(through), "ta", "tb")
-    t_scored = through.select("ta", "tb", S.pair_scores(
+    stripped = N.strip_vendor("DisplayName0", "vendor_X")
+    prod = materialize(pair_skip_rules(products).select(
+        "vendor_X", "DisplayName0", "Version0", stripped.alias("tb"), N.sorted_token_string(stripped).alias("cb")), "products")
+    stripped = N.strip_vendor("title_X", "vendor_X")
+    cat = materialize(_with_release(cpe).where(F.col("title_X").isNotNull()).select(
+        "vendor_X", "software_X", "release_X", "rel_tmp", "title_X", "cpe_name", stripped.alias("ta"),
+        N.sorted_token_string(stripped).alias("ca")), "catalogue")
+    versions = materialize(version_pairs(prod, cat), "version_pairs")
+
+    displays = prod.groupBy("vendor_X", "cb").agg(F.bool_or(F.col("Version0") == nv).alias("open"))
+    titles = cat.groupBy("vendor_X", "ca").agg(F.bool_or(F.col("rel_tmp") == nv).alias("open"))
+    given = (prod.select("vendor_X", "Version0", "cb").distinct().join(versions, ["vendor_X", "Version0"])
+             .join(cat.select("vendor_X", "rel_tmp", "ca").distinct(), ["vendor_X", "rel_tmp"])
+             .select("vendor_X", "ca", "cb").distinct())
+    through = materialize(G.passing_titles(titles, displays, given), "passing_tokens")
+
+    strings = materialize(
+        through.join(cat.select("vendor_X", "ca", "ta").distinct(), ["vendor_X", "ca"])
+        .join(prod.select("vendor_X", "cb", "tb").distinct(), ["vendor_X", "cb"]).select("vendor_X", "ta", "tb"), "passing_strings")
+    distinct = strings.select("ta", "tb").distinct()
+    distinct = distinct.repartition(score_partitions(distinct), "ta", "tb")
+    scored = distinct.select("ta", "tb", S.pair_scores(
         F.col("ta"), F.col("tb"), ["ratio", "partial", "ptl_token_set", "token_sort", "weighted"]).alias("s"))
-    passing = materialize(combos.join(t_scored, ["ta", "tb"]).select(
-        "vendor_X", "DisplayName0", "title_X", "s"), "passing_titles")
-
-    prod = products.select("vendor_X", "DisplayName0", "Version0")
-    cat = c.select("vendor_X", "software_X", "release_X", "rel_tmp", "title_X", "cpe23", "cpe_name")
-    e1 = p1.join(passing, ["vendor_X", "DisplayName0", "title_X"])
-    e2a = prod.where(F.col("Version0") == nv).join(passing, ["vendor_X", "DisplayName0"]) \
-        .join(cat, ["vendor_X", "title_X"])
-    e2b = prod.where(F.col("Version0") != nv).join(passing, ["vendor_X", "DisplayName0"]) \
-        .join(cat.where(F.col("rel_tmp") == nv), ["vendor_X", "title_X"])
-    pairs = e1.unionByName(e2a).unionByName(e2b)
-
-    vers = pairs.select("rel_tmp", "Version0").distinct()
-    v_scored = vers.select("rel_tmp", "Version0", S.pair_ratio(F.col("rel_tmp"), F.col("Version0")).alias("r"))
-    scored = pairs.join(v_scored, ["rel_tmp", "Version0"])
-    return scored.select(
+    passing = materialize(strings.join(scored, ["ta", "tb"]), "passing_titles")
+
+    met = prod.drop("cb").join(passing, ["vendor_X", "tb"])
+    rows = cat.drop("ca")
+    versioned = met.where(F.col("Version0") != nv)
+    e1 = versioned.join(versions, ["vendor_X", "Version0"]).join(rows, ["vendor_X", "rel_tmp", "ta"])
+    scores = _rel_scores(F.col("rel_tmp"), F.col("Version0"))
+    e2a = met.where(F.col("Version0") == nv).join(rows, ["vendor_X", "ta"]).select("*", *scores)
+    e2b = versioned.join(rows.where(F.col("rel_tmp") == nv), ["vendor_X", "ta"]).select("*", *scores)
+    return e1.unionByName(e2a).unionByName(e2b).select(
         "vendor_X", "software_X", "title_X", "DisplayName0", "release_X", "Version0",
         F.col("s.ratio").alias("fz_ratio"),
         F.col("s.partial").alias("fz_ptl_ratio"),
         F.col("s.ptl_token_set").alias("fz_tok_set_ratio"),
         F.col("s.token_sort").alias("fz_ptl_tok_sort_ratio"),
         F.col("s.weighted").alias("fz_uwratio"),
-        F.col("r.ratio").alias("fz_rel_ratio"),
-        F.col("r.partial").alias("fz_rel_ptl_ratio"),
+        F.col("rel_ratio").alias("fz_rel_ratio"),
+        F.col("rel_partial").alias("fz_rel_ptl_ratio"),
         F.col("cpe_name").alias("t_cve_name"),
         F.char_length("title_X").alias("titlX_len"),
         F.char_length("DisplayName0").alias("DsplyNm0_len"),

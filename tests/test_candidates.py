@@ -8,17 +8,6 @@ from cpelink.operators import candidates as CA
 from cpelink.plans import inputs as I
 
 
-def test_containment_pairs_brute_force(spark):
-    random.seed(11)
-    strs = ["".join(random.choice("abc ") for _ in range(random.randint(1, 8))).strip() or "a"
-            for _ in range(120)]
-    small = spark.createDataFrame(list(enumerate(strs[:60])), "id int, t string")
-    large = spark.createDataFrame(list(enumerate(strs[60:])), "id int, t string")
-    got = {(r.small_id, r.large_id) for r in CA.containment_pairs(small, large).collect()}
-    exp = {(i, j) for i, a in enumerate(strs[:60]) for j, b in enumerate(strs[60:]) if a in b}
-    assert got == exp
-
-
 def test_vendor_gate_brute_force(spark):
     pubs = ["adobe_systems_inc", "brand1_inc", "brand11_inc", "brand2_inc", "mozilla_foundation",
             "the_document_foundation", "o'reilly_media", "acme_corp", "foundation_x", "x_y"]
@@ -111,3 +100,60 @@ def test_containment_both_brute_force(spark):
     got = {(r.a_id, r.b_id) for r in CA.containment_both(da, db).collect()}
     exp = {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x in y or y in x}
     assert got == exp
+
+
+def _version_gate(r, v):
+    return S.ratio(r, v) >= 90 and S.partial_ratio(r, v) == 100
+
+
+def test_version_pairs_of_any_length(spark):
+    """Versions of one to 600 characters with none, one or a few edits: no pair that the gate lets through is lost."""
+    rnd = random.Random(8)
+    draw = lambda n: "".join(rnd.choice("0123456789.") for _ in range(n))
+    releases, versions = [], []
+    for n in [1, 2, 3, 5, 9, 20, 28, 31, 32, 33, 40, 60, 150, 199, 200, 201, 260, 399, 400, 401, 600] * 2:
+        base = draw(n)
+        releases.append(base)
+        k, j = rnd.randrange(n), rnd.randrange(n)
+        versions += [base, base[:k] + "x" + base[k + 1:], base[:k] + base[k + 1:], base[:k] + "y" + base[k:], base + draw(n // 9),
+                     draw(n // 12) + base, base[:-(n // 10) or None], (base[:k] + "z" + base[k + 1:])[:j] + "q" + base[j + 1:],
+                     base[:k] + "x" + base[k + 1:] + draw(n // 15)]
+    versions = [v for v in dict.fromkeys(versions) if v]
+    products = spark.createDataFrame([("v", "d", x) for x in versions] + [("v", "d", "-")], "vendor_X string, DisplayName0 string, Version0 string")
+    cat = spark.createDataFrame([("v", x) for x in releases] + [("v", "-"), ("w", versions[0])], "vendor_X string, rel_tmp string")
+    got = [tuple(r) for r in CA.version_pairs(products, cat).collect()]
+    exp = {("v", v, r, S.ratio(r, v), S.partial_ratio(r, v)) for v in versions for r in releases if _version_gate(r, v)}
+    assert len(got) == len(set(got)) and set(got) == exp
+    long = [e for e in exp if len(e[1]) >= 200 and e[1] not in e[2] and e[2] not in e[1]]
+    assert len(long) > 10 and any(len(e[1]) > 400 for e in long)
+
+
+def test_title_gate_brute_force(spark, monkeypatch):
+    """Inverted indexes against every pair, with hot keys split; open flags respected."""
+    monkeypatch.setattr(CA.G, "SPLIT_PAIRS", 40)
+    rnd = random.Random(6)
+    words = ["ring", "rings", "plate", "plates", "hot", "hott", "cold", "gold", "x", "straße", "中文", "bolt", "colt"]
+    titles = sorted({" ".join(sorted(set(rnd.choices(words, k=rnd.randint(0, 3))))) for _ in range(70)})
+    shows = sorted({" ".join(sorted(set(rnd.choices(words, k=rnd.randint(0, 4))))) for _ in range(70)})
+    t = [(v, x, rnd.random() < 0.4) for v in ("a", "b") for x in titles if rnd.random() < 0.8]
+    d = [(v, x, rnd.random() < 0.4) for v in ("a", "b") for x in shows if rnd.random() < 0.8]
+    given = {(v, x, y) for v, x, _ in t for w, y, _ in d if v == w and rnd.random() < 0.05}
+    got = [tuple(r) for r in CA.G.passing_titles(
+        spark.createDataFrame(t, "vendor_X string, ca string, open boolean"),
+        spark.createDataFrame(d, "vendor_X string, cb string, open boolean"),
+        spark.createDataFrame(sorted(given), "vendor_X string, ca string, cb string")).collect()]
+    exp = {(v, x, y) for v, x, xo in t for w, y, yo in d
+           if v == w and (xo or yo or (v, x, y) in given) and S.partial_token_set(x, y) >= K.TITLE_GATE}
+    assert len(got) == len(set(got))
+    assert exp <= set(got)
+    # pairs judged in one vendor are known to pass in another
+    assert all(S.partial_token_set(x, y) >= K.TITLE_GATE for _, x, y in set(got) - exp)
+    assert any(not set(x.split()) & set(y.split()) for _, x, y in exp)
+
+
+def test_elements_are_a_bag(spark):
+    for text in ("", "aab", "  ring ring", "中文中文", "x" * 30):
+        e = spark.createDataFrame([(text,)], "c string").select(CA.G.elements("c").alias("e")).first().e
+        assert len(set(e)) == len(e) == len(text) and sorted(x[10:] for x in e) == sorted(text)
+    ns = spark.range(1, 300).select("id", CA.G.least_common(F.col("id").cast("int")).alias("m")).collect()
+    assert all(r.m == min(m for m in range(r.id + 1) if S.intr(100 * (2.0 * m / (2 * r.id))) >= K.TITLE_GATE) for r in ns)

@@ -1,12 +1,11 @@
 import random
 
+import numpy as np
+import pair_scores as P
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-import numpy as np
-import pair_scores as P
-
 from cpelink.functions import scoring as S
 
 
