@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def _lit_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once a row, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def norm_name(c) -> Column:
     """Blank -> underscore, lower-case."""
     return F.lower(F.translate(_col(c), " ", "_"))

@@ -46,12 +46,20 @@ _CELLS = 1 << 22
 
 # --- the kernel ---------------------------------------------------------------------
 
-def _codes(strings: np.ndarray, sizes: np.ndarray, padding: int) -> np.ndarray:
-    """Code points, one row a string, with ``padding`` beyond its end."""
+def _codes(strings: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Code points, one row a string; what lies beyond its end means nothing."""
     width = max(int(sizes.max(initial=0)), 1)
-    out = strings.astype(f"U{width}").view(np.uint32).reshape(len(strings), width).copy()
-    out[np.arange(width) >= sizes[:, None]] = padding
-    return out
+    return strings.astype(f"U{width}").view(np.uint32).reshape(len(strings), width)
+
+
+def _padded(short: np.ndarray, n: np.ndarray, long: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both sides' codes, in single bytes where they fit, with paddings that match nothing."""
+    narrow = max(int(short.max(initial=0)), int(long.max(initial=0))) < 254
+    kind, pads = (np.uint8, (254, 255)) if narrow else (np.uint32, (0x110000, 0x110001))
+    short, long = short.astype(kind), long.astype(kind)
+    for codes, sizes, pad in ((short, n, pads[0]), (long, size, pads[1])):
+        codes[np.arange(codes.shape[1]) >= sizes[:, None]] = pad
+    return short, long
 
 
 def _matches(short: np.ndarray, long: np.ndarray) -> np.ndarray:
@@ -129,7 +137,7 @@ def lcs_lengths(a: np.ndarray, b: np.ndarray, partial: bool) -> np.ndarray:
     n, size = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
     out = np.zeros(len(a), np.int64)
     for some in _parts(n, size):
-        match = _matches(_codes(short[some], n[some], 0x110000), _codes(long[some], size[some], 0x110001))
+        match = _matches(*_padded(_codes(short[some], n[some]), n[some], _codes(long[some], size[some]), size[some]))
         out[some] = _windowed(match, n[some], size[some]) if partial else _whole(match)
     return out
 
@@ -222,22 +230,30 @@ def batch_scores(strings: dict[str, pd.Series], fields: tuple[str, ...]) -> pd.D
 
 # --- columns --------------------------------------------------------------------------
 
-def _prepared(a: Column, b: Column, fields: tuple[str, ...]) -> dict[str, Column]:
-    """The strings that the scores compare, by built-in expressions."""
+def _prepared(a: Column, b: Column, fields: tuple[str, ...]) -> tuple[Column, tuple[str, ...]]:
+    """A struct of the strings that the scores compare, by built-in expressions, and its field names."""
     needs = {x for f in fields for x in _NEEDS[f]}
-    out = {"a": a, "b": b}
-    p1, p2 = N.proc(a), N.proc(b)
-    if needs & {"processed", "sets"}:
-        out |= {"p1": p1, "p2": p2}
-    t1, t2 = (F.filter(F.split(p, " "), lambda t: t != "") for p in (p1, p2))
-    if "sorted" in needs:
-        out |= {"o1": F.array_join(F.array_sort(t1), " "), "o2": F.array_join(F.array_sort(t2), " ")}
-    if "sets" in needs:
-        both = F.array_join(F.array_sort(F.array_intersect(t1, t2)), " ")
-        first, second = (F.trim(F.concat_ws(" ", both, F.array_join(F.array_sort(F.array_except(x, y)), " ")))
-                         for x, y in ((t1, t2), (t2, t1)))
-        out |= {"both": both, "first": first, "second": second}
-    return out
+    if not needs:
+        return F.struct(a.alias("a"), b.alias("b")), ("a", "b")
+
+    def joined(tokens: Column) -> Column:
+        return F.array_join(F.sort_array(tokens), " ")
+
+    def strings(p: Column) -> Column:
+        t1, t2 = (F.array_remove(F.split(p[k], " "), "") for k in ("p1", "p2"))
+        out = {"a": a, "b": b, "p1": p["p1"], "p2": p["p2"]}
+        if "sorted" in needs:
+            out |= {"o1": joined(t1), "o2": joined(t2)}
+        if "sets" in needs:
+            both = joined(F.array_intersect(t1, t2))
+            out |= {"both": both} | {k: F.trim(F.concat(both, F.lit(" "), joined(F.array_except(x, y))))
+                                     for k, x, y in (("first", t1, t2), ("second", t2, t1))}
+        return F.struct(*[c.alias(k) for k, c in out.items()])
+
+    # the processed strings are bound to a variable, so that their patterns run once a row
+    whole = N.let(F.struct(N.proc(a).alias("p1"), N.proc(b).alias("p2")), strings)
+    names = ["a", "b", "p1", "p2", *(["o1", "o2"] if "sorted" in needs else []), *(["both", "first", "second"] if "sets" in needs else [])]
+    return whole, tuple(names)
 
 
 @lru_cache(maxsize=None)
@@ -259,8 +275,8 @@ def pair_scores(a, b, fields: list[str] | None = None) -> Column:
     """struct of the named scores, all of SCORE_FIELDS by default."""
     ship_package()
     fields = tuple(fields or SCORE_FIELDS)
-    strings = _prepared(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b, fields)
-    return _pair_scores_udf(fields, tuple(strings))(F.struct(*[c.alias(k) for k, c in strings.items()]))
+    strings, names = _prepared(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b, fields)
+    return _pair_scores_udf(fields, names)(strings)
 
 
 def pair_ratio(a, b) -> Column:

@@ -315,7 +315,7 @@ def _with_release(cpe: DataFrame) -> DataFrame:
 
 def versioned_pairs(products: DataFrame, cpe: DataFrame) -> DataFrame:
     """(product, CPE row) pairs of one vendor, both with a version, that pass the version gate."""
-    c = _with_release(cpe)
+    products, c = materialize(products, "versioned_products"), materialize(_with_release(cpe), "versioned_catalogue")
     return products.join(version_pairs(products, c), ["vendor_X", "Version0"]).join(c, ["vendor_X", "rel_tmp"]) \
         .select("vendor_X", "DisplayName0", "Version0", "software_X", "release_X", "rel_tmp", "title_X", "cpe23", "cpe_name")
 
@@ -358,16 +358,17 @@ def software_candidates(products: DataFrame, cpe: DataFrame) -> DataFrame:
 
     displays = prod.groupBy("vendor_X", "cb").agg(F.bool_or(F.col("Version0") == nv).alias("open"))
     titles = cat.groupBy("vendor_X", "ca").agg(F.bool_or(F.col("rel_tmp") == nv).alias("open"))
+    parts = score_partitions(prod)
     given = (prod.select("vendor_X", "Version0", "cb").distinct().join(versions, ["vendor_X", "Version0"])
+             .repartition(parts, "vendor_X", "cb", "rel_tmp")
              .join(cat.select("vendor_X", "rel_tmp", "ca").distinct(), ["vendor_X", "rel_tmp"])
              .select("vendor_X", "ca", "cb").distinct())
     through = materialize(G.passing_titles(titles, displays, given), "passing_tokens")
 
-    strings = materialize(
-        through.join(cat.select("vendor_X", "ca", "ta").distinct(), ["vendor_X", "ca"])
-        .join(prod.select("vendor_X", "cb", "tb").distinct(), ["vendor_X", "cb"]).select("vendor_X", "ta", "tb"), "passing_strings")
+    strings = (through.join(cat.select("vendor_X", "ca", "ta").distinct(), ["vendor_X", "ca"])
+               .join(prod.select("vendor_X", "cb", "tb").distinct(), ["vendor_X", "cb"]).select("vendor_X", "ta", "tb"))
     distinct = strings.select("ta", "tb").distinct()
-    distinct = distinct.repartition(score_partitions(distinct), "ta", "tb")
+    distinct = distinct.repartition(parts, "ta", "tb")
     scored = distinct.select("ta", "tb", S.pair_scores(
         F.col("ta"), F.col("tb"), ["ratio", "partial", "ptl_token_set", "token_sort", "weighted"]).alias("s"))
     passing = materialize(strings.join(scored, ["ta", "tb"]), "passing_titles")
