@@ -42,6 +42,8 @@ END_ID = 1
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 _SEQUENCES_PER_PARTITION_BITS = 40
+#: Ids looked at together for cuts, and ids of texts held to be used again.
+_CHUNK_IDS, _KNOWN_IDS = 1 << 17, 1 << 21
 
 
 @dataclass(frozen=True)
@@ -53,21 +55,27 @@ class Packing:
     block_windows: int = 256
 
 
-def cut_candidates(ids: np.ndarray, enc, p: Packing) -> tuple[np.ndarray, np.ndarray]:
-    """Positions after which one document (with its end id) may be cut, and their costs."""
-    body = ids[:-1]
-    ends = enc.ends_line[body].copy()
-    if len(body) > 1:
-        ends[:-1] |= enc.ends_sentence[body[:-1]] & enc.starts_space[body[1:]]
-    at = np.flatnonzero(ends) + 1
-    bounds = np.concatenate(([0], at, [len(ids)]))
-    long = np.flatnonzero(np.diff(bounds) > p.max_sentence)
-    hard = [np.arange(bounds[k] + p.max_sentence, bounds[k + 1], p.max_sentence) for k in long]
-    pos = np.concatenate([at[at < len(ids)], *hard, [len(ids)]])
-    cost = np.concatenate([np.full((at < len(ids)).sum(), p.sentence_cost),
-                           np.full(sum(map(len, hard)), p.hard_cost), [0.0]])
+def cut_candidates(flat: np.ndarray, ends: np.ndarray, enc, p: Packing) -> tuple[np.ndarray, np.ndarray]:
+    """Positions after which documents laid end to end, each with its end id, may be cut, and their costs.
+
+    ``ends`` are the positions behind the documents' end ids.
+    """
+    last = ends - 1
+    space = enc.starts_space[flat]
+    space[last] = False
+    cut = enc.ends_line[flat]
+    cut[:-1] |= enc.ends_sentence[flat[:-1]] & space[1:]
+    cut[last] = False
+    at = np.flatnonzero(cut) + 1
+    bounds = np.sort(np.concatenate(([0], at, ends)))
+    steps = (np.diff(bounds) - 1) // p.max_sentence      # hard cuts inside each stretch without another
+    each = np.repeat(np.arange(len(steps)), steps)
+    nth = np.arange(len(each)) - np.repeat(np.cumsum(steps) - steps, steps) + 1
+    hard = bounds[:-1][each] + nth * p.max_sentence
+    pos = np.concatenate((at, hard, ends))
+    cost = np.repeat([p.sentence_cost, p.hard_cost, 0.0], (len(at), len(hard), len(ends)))
     order = np.argsort(pos, kind="stable")
-    return pos[order].astype(np.int64), cost[order]
+    return pos[order], cost[order]
 
 
 def best_cuts(pos: list[int], cost: list[float], size: int, final: bool) -> list[int]:
@@ -154,15 +162,40 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", packin
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
+    def encoded(batches: Iterator[pa.RecordBatch], enc) -> Iterator[tuple]:
+        """(id, ids with the end id, cut positions, cut costs) of each document; a text met again lately is not encoded again."""
+        end, known, held = np.array([END_ID], np.uint32), {}, 0
+        for b in batches:
+            keys, texts = b.column(0).to_pylist(), b.column(1)
+            k = 0
+            while k < len(keys):
+                some, size, begin = [], 0, k
+                while k < len(keys) and size < _CHUNK_IDS:
+                    text = texts[k].as_py() or ""
+                    ids = known.get(text)
+                    if ids is None:
+                        if held > _KNOWN_IDS:
+                            known, held = {}, 0
+                        ids = known[text] = enc.ids(text)
+                        held += len(ids)
+                    some += [ids, end]
+                    size += len(ids) + 1
+                    k += 1
+                flat = np.concatenate(some)
+                ends = np.cumsum([len(x) + 1 for x in some[::2]])
+                pos, cost = cut_candidates(flat, ends, enc, packing)
+                to = np.searchsorted(pos, ends, side="right")
+                lo = at = 0
+                for key, stop, hi in zip(keys[begin:k], ends.tolist(), to.tolist()):
+                    yield key, flat[lo:stop], pos[at:hi] - lo, cost[at:hi]
+                    lo, at = stop, hi
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks, merges)
         block = _Block(TaskContext.get().partitionId() << _SEQUENCES_PER_PARTITION_BITS, packing)
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.append(enc.ids(text.as_py() or ""), np.uint32(END_ID))
-                block.add(doc_id, ids, *cut_candidates(ids, enc, packing))
-                if block.held >= packing.block_windows * packing.size:
-                    yield batch(block.emit(final=False))
+        for doc in encoded(batches, encoder(ranks, merges)):
+            block.add(*doc)
+            if block.held >= packing.block_windows * packing.size:
+                yield batch(block.emit(final=False))
         if block.docs:
             yield batch(block.emit(final=True))
 

@@ -22,6 +22,9 @@ import numpy as np
 
 RANKS = "byte_bpe_50k.tiktoken"
 MERGES = "byte_bpe_50k.json"
+#: The vocabulary's rule for pieces, and the same rule without backtracking (fixed values).
+_RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_QUICK_RULE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 _STEP = 1500
 _LONG_RUN = re.compile(r"\S{3000}|\s{3000}")
 
@@ -51,7 +54,8 @@ class Encoder:
         import tiktoken
         with open(_path(ranks), "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self._fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table,
+        rule = public_tokenizers.PATTERN
+        self._fast = tiktoken.Encoding("ranks", pat_str=_QUICK_RULE if rule == _RULE else rule, mergeable_ranks=table,
                                        special_tokens={})
         self._merges, self._slow = merges, None
         with open(_path(merges), encoding="utf-8") as f:

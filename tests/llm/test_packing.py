@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -26,6 +27,40 @@ def test_encoder_equals_tokenizers(reference, hard_texts):
         assert enc.ids(t).tolist() == reference(t)
 
 
+def test_quick_rule_equals_the_vocabularys(reference):
+    """White space of all kinds and lengths before letters, digits, marks and the end; contractions."""
+    assert P.PATTERN == T._RULE
+    rnd, enc = random.Random(2), T.encoder()
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "a", "Ü", "中", "1", "٣", ".", "'", "'s", "'ll", "'re", "'d", "'S", "_", "\u0301", "😀"]
+    for _ in range(4000):
+        t = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14)))
+        assert enc.ids(t).tolist() == reference(t), repr(t)
+
+
+def test_cuts_of_documents_laid_end_to_end():
+    """As when each document is looked at alone."""
+    enc, rnd, p = T.encoder(), random.Random(3), K.Packing(max_sentence=5)
+    words = ["one", " two", ". ", ".", "\n", "!\n\n", " Three", '"', " x"]
+    docs = [enc.ids("".join(rnd.choice(words) for _ in range(rnd.randint(0, 60)))) for _ in range(80)]
+    whole = [np.append(d, np.uint32(K.END_ID)) for d in docs]
+    pos, cost = K.cut_candidates(np.concatenate(whole), np.cumsum([len(d) for d in whole]), enc, p)
+    got, at = dict(zip(pos.tolist(), cost.tolist())), 0
+    assert len(got) == len(pos) and (np.diff(pos) > 0).all()
+    want = {}
+    for d in whole:
+        body, stops = d[:-1], {}
+        for k in range(len(body)):
+            if enc.ends_line[body[k]] or (k + 1 < len(body) and enc.ends_sentence[body[k]] and enc.starts_space[body[k + 1]]):
+                stops[k + 1] = p.sentence_cost
+        bounds = [0, *sorted(stops), len(d)]
+        for a, b in zip(bounds, bounds[1:]):
+            stops |= {x: p.hard_cost for x in range(a + p.max_sentence, b, p.max_sentence)}
+        stops[len(d)] = 0.0
+        want |= {at + k: c for k, c in stops.items()}
+        at += len(d)
+    assert got == want
+
+
 def test_added_tokens_inside_texts(reference, make_docs):
     eot, enc = "<|endoftext|>", T.encoder()
     texts = [f"end of one.{eot}Next", eot, eot * 3, f" {eot} ", f"a  {eot}  b\n\n{eot}\n", f"<|endoftext{eot}|>", f"{eot[:-1]} >",
