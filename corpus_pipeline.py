@@ -4,6 +4,13 @@ Each stage takes what its predecessor kept. All but the last return the columns
 ``documents``; the last returns packed pieces. ``run`` writes each stage as Parquet
 below the shared folder and reads it back, so a lost executor repeats at most its
 part of one stage, and drops the stage's intermediate tables once it is written.
+
+Defined cases: a null or empty text fails the quality rules, as does one of fewer than
+50 words; a null id is a document like others, in near-dedup smaller than them; rows
+that repeat an id are judged by their own text, equal rows alike (near-dedup keeps
+all rows of the id that stands for a group if their texts are equal); very long texts
+are whole in every stage; an empty table gives an empty result; columns beside those
+of ``documents``, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -26,13 +33,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three documents share stay in one; ``n_chars`` follows the text."""
-    kept = linededup.drop_lines(docs).drop("__n_lines", "__n_dropped")
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    row = F.col("row").withField("n_chars", F.char_length("row.text").cast("long"))
+    return linededup.drop_lines(docs).select(row.alias("row")).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    return superminhash.drop_near_duplicates(docs)
+    """One document of each group of near duplicates (the operator's two-word shingles, similarity 0.8)."""
+    return superminhash.drop_near_duplicates(docs, p=superminhash.NearDup(words=2))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

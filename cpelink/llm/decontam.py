@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, release_scratch, scratch_count
-from .textcols import alnum_words, ascii_lower, let, row_key, text_of, upto
+from .textcols import alnum_words, ascii_lower, let, row_key, text_of, upto, without
 
 WIDTH = 10
 #: Distinct benchmark windows that may become a literal set in the plan (about 8 bytes each).
@@ -128,8 +128,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     dirty = materialize(found.where((F.col("n_hit") > 0) & (F.col("n_hit") > max_share * F.col("n_words")))
                         .select("__id", "__th").distinct(), "contaminated")
     release_scratch(docs.sparkSession, since=mark, keep=1)
-    keyed = docs.withColumns(dict(zip(("__id", "__th"), row_key(id_col, text_of(text_col)))))
-    return keyed.join(dirty, ["__id", "__th"], "left_anti").drop("__id", "__th")
+    return without(docs, dirty, id_col, text_col)
 
 
 ORACLE = r"""

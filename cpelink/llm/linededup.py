@@ -12,7 +12,9 @@ drop, and is shuffled only if that list is too large for a measured broadcast.
 Defined cases: a null or empty text is one empty line; a null id counts as a
 document smaller than all others; rows that repeat an id are one document, each
 keeping its own lines; an empty table gives an empty result; a text whose lines
-all go becomes the empty text. Other columns pass through untouched.
+all go becomes the empty text; a very long text becomes as many rows as it has lines,
+and is whole in one row only where its lines are joined. Other columns pass through
+untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, release_scratch, scratch_count
-from .textcols import SPACES, ascii_lower, let, row_key, text_of, upto
+from .textcols import SPACES, ascii_lower, carried, let, row_key, text_of, upto
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -55,26 +57,20 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The rows with ``text_col`` reduced to the kept lines, and two counts:
-    ``__n_lines`` before dropping and ``__n_dropped``."""
+    """(row, n_lines, n_dropped): each row, ``text_col`` reduced to the kept lines, as a struct, the lines it had and lost."""
     drops = repeated_lines(docs, id_col, text_col, min_chars, min_docs)
-    text = text_of(text_col)
-    keyed = docs.withColumns(dict(zip(("__id", "__th"), row_key(id_col, text))))
-    joined = keyed.join(drops, ["__id", "__th"], "left")
-    n_lines = F.size(_lines(text))
+    text = text_of(F.col("__row")[text_col])
+    joined = carried(docs, id_col, text_col).join(drops, ["__id", "__th"], "left")
     kept = let(_lines(text), lambda lines: F.array_join(F.transform(
         F.array_except(upto(F.size(lines)), F.col("__drop")), lambda i: lines[i]), "\n"))
-    return joined.withColumns({
-        "__n_lines": n_lines.cast("long"),
-        "__n_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("long"),
-        text_col: F.when(F.col("__drop").isNull(), text).otherwise(kept),
-    }).drop("__id", "__th", "__drop")
+    new = F.when(F.col("__drop").isNull(), text).otherwise(kept)
+    return joined.select(F.col("__row").withField(f"`{text_col}`", new).alias("row"), F.size(_lines(text)).cast("long").alias("n_lines"),
+                         F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:
     return drop_lines(docs.select("doc_id", "text")).select(
-        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
-        F.sha2("text", 256).alias("kept_sha256"))
+        "row.doc_id", "n_lines", "n_dropped", F.sha2("row.text", 256).alias("kept_sha256"))
 
 
 ORACLE = r"""

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, release_scratch, scratch_count
-from .textcols import SPACES, let, row_key, space_words, text_of, upto
+from .textcols import SPACES, let, row_key, space_words, text_of, upto, without
 
 # Frequent function words of each language.
 COMMON_WORDS = {
@@ -184,8 +184,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     bad = materialize(judge(docs, id_col, text_col, lang_col, limits).where(~F.col("kept"))
                       .select("__id", "__th").distinct(), "rejected")
     release_scratch(docs.sparkSession, since=mark, keep=1)
-    keyed = docs.withColumns(dict(zip(("__id", "__th"), row_key(id_col, text_of(text_col)))))
-    return keyed.join(bad, ["__id", "__th"], "left_anti").drop("__id", "__th")
+    return without(docs, bad, id_col, text_col)
 
 
 def _oracle(limits: Limits = Limits()) -> str:

@@ -21,12 +21,15 @@ pairs are compared too, except those that cannot link:
   cannot be in an intersection, and with too many of them a member has no partner.
   Pairs that share a rare shingle (at most ``rare`` holders) come from an equi-join
   on it, at most ``rare`` rows each; any other pair intersects in its common
-  shingles only, which the edits of a near copy soon leave too few of;
+  shingles only, which the edits of a near copy soon leave too few of. More closely:
+  of the centre's shingles it has at most those that neither side lacks, counted by bit
+  maps of what each lacks, and beyond them at most the frequent ones that either has;
 - Jaccard distance is a metric, so two members whose distances to the centre
   differ by more than the limit are further apart than it;
 - two bits of each signature component must agree about as often as at the limit
   (6.5 standard deviations of slack, a miss in 1e9), which keeps texts that merely
   share a passage from being compared one by one.
+A pair that shares several buckets is taken in the first of them.
 All other candidates of the bands are verified, with no cap on buckets or partners.
 
 With 40 bands of 5 a pair at similarity 0.8 fails to share a bucket with
@@ -36,7 +39,8 @@ Defined cases: a null or empty text, or one of white space only, has an empty se
 and is linked with nothing; a text of fewer words than a shingle is one shingle of
 all its words; a null id sorts below all others and is returned as null; rows
 that repeat an id are documents of their own for linking; an empty table gives an
-empty result. Other columns pass through ``drop_near_duplicates``.
+empty result; a very long text is one set of all its shingles. Other columns, whatever
+their names, pass through ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -51,9 +55,10 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, release_scratch, scratch_count, ship_package
 from .components import connected_components
-from .textcols import NULL_ID, ascii_lower, let, row_key, space_words, text_of, upto
+from .textcols import NULL_ID, ascii_lower, let, row_key, space_words, text_of, upto, without
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+_LOST_LONGS = 4    # 64-bit words of the map of what a text lacks of a centre
 _LEVEL_SHIFT = 48  # a value: level above, random fraction below
 
 
@@ -234,12 +239,32 @@ def _rare_shingles(nodes: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
     return materialize(each.join(materialize(counts, "rare_counts"), "g").select("node", "g", "c"), "rare_shingles")
 
 
+def _against_centres(rows: DataFrame, rare: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
+    """(centre, node, lost, frequent): a bit map of the centre's shingles that the node lacks, and how many frequent ones it has beyond the centre's."""
+    held = rare.groupBy("node").agg(F.collect_set("g").alias("held"))
+    pairs = rows.select("centre", "node").distinct()
+    both = (pairs.join(texts.select(F.col("node").alias("centre"), F.col("text").alias("tc")), "centre").join(texts, "node")
+            .join(held, "node", "left"))
+
+    def bits(lost: Column) -> Column:
+        def word(i: int) -> Column:
+            own = F.filter(lost, lambda g: F.floor(F.pmod(g, F.lit(64 * _LOST_LONGS)) / 64) == i)
+            return F.aggregate(own, F.lit(0).cast("long"), lambda acc, g: acc.bitwiseOR(
+                F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(g, F.lit(64)).cast("int"))))
+        return F.array(*[word(i) for i in range(_LOST_LONGS)])
+
+    found = let(shingle_set(F.col("tc"), p.words), lambda c: let(shingle_set(F.col("text"), p.words), lambda x: F.struct(
+        bits(F.array_except(c, x)).alias("lost"),
+        F.size(F.array_except(F.array_except(x, c), F.coalesce("held", F.array().cast("array<long>")))).cast("long").alias("frequent"))))
+    return both.select("centre", "node", found.alias("f")).select("centre", "node", "f.lost", "f.frequent")
+
+
 def _cross_pairs(rows: DataFrame, tested: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame,
                  p: NearDup) -> DataFrame:
     """Pairs that share a bucket, lie in different components and could link; none of them holds the centre."""
     reach = 1.0 - p.percent / 100.0
     union = F.col("na") + F.col("nb") - F.col("inter")
-    from_centre = tested.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.col("nb").alias("n"),
+    from_centre = tested.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.col("na").alias("nc"), F.col("nb").alias("n"),
                                 (1.0 - F.col("inter") / union).alias("dist"))
     labelled = (rows.join(from_centre, ["centre", "node"]).join(labels, "node", "left")
                 .withColumn("label", F.coalesce("label", "node")))
@@ -252,20 +277,27 @@ def _cross_pairs(rows: DataFrame, tested: DataFrame, labels: DataFrame, classes:
     labelled = labelled.join(materialize(held, "rare_held"), "node", "left").na.fill(0, ["rare", "own"]) \
         .where(100 * (F.col("n") - F.col("own")) >= p.percent * F.col("n")) \
         .withColumn("common", F.col("n") - F.col("rare"))
-    labelled = materialize(_crowded(labelled).join(classes.select("node", "bits"), "node"), "open_rows")
+    labelled = materialize(_crowded(labelled).join(classes.select("node", "bits", "bands"), "node"), "open_rows")
+    labelled = materialize(labelled.join(_against_centres(labelled, rare, texts, p), ["centre", "node"]), "compared_rows")
     odd = labelled.where(F.col("label") != F.col("core"))
     y = labelled.select(
         "bucket", "bin", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("mb"),
         F.col("common").alias("sb"), F.col("dist").alias("db"), (F.col("label") == F.col("core")).alias("cb"),
-        F.col("bits").alias("yb"))
+        F.col("bits").alias("yb"), F.col("bands").alias("yl"), F.col("lost").alias("my"), F.col("frequent").alias("fy"))
     x = odd.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("ma"),
-                   F.col("common").alias("sa"), F.col("dist").alias("da"), F.col("bits").alias("xb"),
+                   F.col("common").alias("sa"), F.col("dist").alias("da"), F.col("bits").alias("xb"), F.col("bands").alias("xl"),
+                   F.col("nc"), F.col("lost").alias("mx"), F.col("frequent").alias("fx"),
                    F.explode(F.array(*[F.col("bin") + i for i in (-1, 0, 1)])).alias("bin"))
     near = F.abs(F.col("da") - F.col("db")) <= reach + 1e-9
     alike = (100 + p.percent) * F.least("sa", "sb") >= p.percent * (F.col("ma") + F.col("mb"))
     once = F.col("cb") | (F.col("a") < F.col("b"))
     may = _unlike("xb", "yb", p.longs) <= p.most_unlike
-    by_common = (x.join(y, ["bucket", "bin"]).where((F.col("la") != F.col("lb")) & near & alike & once & may)
+    lost = [F.bit_count(F.get("mx", F.lit(i)).bitwiseOR(F.get("my", F.lit(i)))) for i in range(_LOST_LONGS)]
+    most = F.col("nc") - sum(lost[1:], lost[0]) + F.least("fx", "fy")
+    shared = (100 + p.percent) * most >= p.percent * (F.col("ma") + F.col("mb"))
+    # a pair meets in every bucket that it shares; it could link only if it passes in all of them, so it is taken in the first
+    first = F.get(F.array_intersect("xl", "yl"), F.lit(0)) == F.col("bucket")
+    by_common = (x.join(y, ["bucket", "bin"]).where((F.col("la") != F.col("lb")) & near & alike & once & may & shared & first)
                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     nodes = materialize(labelled.select("node", "label", "n", "bits").distinct(), "open_nodes")
     holders = rare.where(F.col("c") > 1).join(nodes.select("node", "label", "n"), "node")
@@ -334,8 +366,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = materialize(group(docs, id_col, text_col, p).where(F.col("__id") != F.col("component"))
                        .select("__id", "__th").distinct(), "near_duplicates")
     release_scratch(docs.sparkSession, since=mark, keep=1)
-    keyed = docs.withColumns(dict(zip(("__id", "__th"), row_key(id_col, text_of(text_col)))))
-    return keyed.join(gone, ["__id", "__th"], "left_anti").drop("__id", "__th")
+    return without(docs, gone, id_col, text_col)
 
 
 ORACLE = r"""

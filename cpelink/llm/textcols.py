@@ -62,5 +62,11 @@ def row_key(id_col: str, text: Column) -> tuple[Column, Column]:
             F.xxhash64(text).alias("__th"))
 
 
-def one_per_key(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates(["__id", "__th"])
+def carried(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__row, __id, __th): whole rows with their keys; a struct keeps the rows' columns apart whatever their names."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *row_key(id_col, text_of(text_col)))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows whose key is not in ``gone`` (__id, __th), with their columns unchanged."""
+    return carried(docs, id_col, text_col).join(gone, ["__id", "__th"], "left_anti").select("__row.*")

@@ -33,8 +33,8 @@ def test_report_and_texts(make_docs, hard_texts):
     got = [tuple(r) for r in L.line_dedup_report(docs).collect()]
     assert order(got) == order([(*w[:3], hashlib.sha256(w[3].encode()).hexdigest()) for w in want])
     full = L.drop_lines(docs)
-    assert [c for c in full.columns if not c.startswith("__")] == docs.columns
-    assert order([(r.doc_id, r.text) for r in full.collect()]) == order([(w[0], w[3]) for w in want])
+    assert full.select("row.*").columns == docs.columns
+    assert order([(r.row.doc_id, r.row.text) for r in full.collect()]) == order([(w[0], w[3]) for w in want])
     assert sum(w[2] for w in want) > 0
 
 

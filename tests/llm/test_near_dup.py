@@ -78,6 +78,31 @@ def test_against_brute_force(make_docs, chains, k, rare):
         [(r[0], r[1]) for r, w in zip(chains, want) if w[3]])
 
 
+@pytest.mark.parametrize("edits", [(8, 14), (2, 14)])
+def test_one_large_group_of_near_copies(make_docs, monkeypatch, edits):
+    """Copies of one text with many edits each: few pairs are left to compare, no link is lost."""
+    rnd, sent = random.Random(11), {}
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    base, rows = [word() for _ in range(200)], []
+    for k in range(500):
+        w = list(base)
+        for at in rnd.sample(range(200), rnd.randint(*edits)):
+            w[at] = word()
+        rows.append((k, " ".join(w), "en"))
+    real = S.materialize
+
+    def counted(df, name="stage", *more):
+        out = real(df, name, *more)
+        if name == "cross_pairs":
+            sent[name] = out.count()
+        return out
+
+    monkeypatch.setattr(S, "materialize", counted)
+    got = [tuple(r) for r in S.near_dup_report(make_docs(rows), S.NearDup(words=2)).collect()]
+    assert order(got) == order(brute(rows, 2))
+    assert sent["cross_pairs"] <= 4 * len(rows)
+
+
 def test_empty_table(make_docs):
     assert S.near_dup_report(make_docs([])).collect() == []
     blank = S.near_dup_report(make_docs([(1, None, "en"), (2, "", "en"), (2, " ", "en")])).collect()
