@@ -52,3 +52,17 @@ def hosts_with_vulns(hosts: DataFrame, software: DataFrame, match: DataFrame,
     vp = vulnerable_products(match, worst)
     inv_vuln = inv.join(vp, ["DisplayName0", "Version0"], "inner")
     return hosts.join(inv_vuln, "ResourceID", "inner")
+
+
+def hosts_with_vulns_bucketed(hosts: DataFrame, light: DataFrame, heavy: DataFrame, match: DataFrame,
+                              worst: DataFrame) -> DataFrame:
+    """``hosts_with_vulns`` over an inventory stage bucketed by (DisplayName0, Version0).
+
+    The bucketed part is not shuffled for the product join, however many reports
+    are made of it; the few most installed products, kept beside it, are joined
+    apart, where the planner may split them.
+    """
+    vp = vulnerable_products(match, worst)
+    keys = ["DisplayName0", "Version0"]
+    met = light.join(vp, keys, "inner").unionByName(heavy.join(vp, keys, "inner"))
+    return hosts.join(met, "ResourceID", "inner")

@@ -17,6 +17,8 @@ from ..operators import clean as C
 from ..operators import enrich as E
 from ..operators import reports as R
 from ..operators import rollup as RU
+from ..session import scratch_path
+from ..sources import files as SRC
 from . import inputs as I
 from .fixtures import fixture
 
@@ -303,6 +305,20 @@ def _profile(s, d):
     return R.profile_distinct(I.vulns(s, d).select(*_PROFILE_COLS))
 
 
+@register("profile_sketches", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count({c}) AS non_null, (SELECT count(*) FROM vulns) AS n_rows, true AS close FROM vulns"
+    for c in _PROFILE_COLS))
+def _profile_sketches(s, d):
+    """Profiles kept with two stage tables, merged; the estimates lie within 3 % of the exact distinct counts."""
+    base, v = scratch_path(s, "profiled"), I.vulns(s, d).select(*_PROFILE_COLS, "arch_X")
+    for name, part in (("x64", v.where("arch_X")), ("x86", v.where("NOT arch_X"))):
+        SRC.save_stage(part.select(*_PROFILE_COLS), base, name, profile=True)
+    merged = R.sketch_counts(R.merge_sketches(SRC.load_profiles(s, base, ["x64", "x86"])))
+    exact = R.profile_distinct(v.select(*_PROFILE_COLS)).select("column_name", F.col("n_distinct").alias("exact"))
+    close = F.abs(F.col("n_distinct") - F.col("exact")) <= 0.03 * F.col("exact")
+    return merged.join(exact, "column_name").select("column_name", "non_null", "n_rows", close.alias("close"))
+
+
 # --- 2.9 de-duplication ------------------------------------------------------------
 
 @register("dedup_pairs", """SELECT vendor_X, software_X, title_X, DisplayName0, release_X, Version0, match, t_cve_name FROM (

@@ -11,12 +11,14 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from ..operators import clean as C
 from ..operators import enrich as E
 from ..operators import reports as R
-from ..session import scratch_path
+from ..operators import rollup as RU
+from ..session import materialize, scratch_path
 from ..sources import files as S
 from . import catalog as CAT
 from . import inputs as I
@@ -137,6 +139,52 @@ def _save_stage(s, d):
     return S.load_stage(s, base, "add_rem", inv.schema)
 
 
+@register("host_with_vuln_bucketed", "SELECT * FROM vulns")
+def _bucketed(s, d):
+    """The host x vulnerability table from an inventory stage bucketed by product."""
+    base = scratch_path(s, "bucketed")
+    S.save_bucketed(C.inv_drop_unused(I.inventory(s, d)), base, "add_rem", ["DisplayName0", "Version0"], 16)
+    return RU.hosts_with_vulns_bucketed(I.enriched_hosts(s, d), *S.load_bucketed(s, base, "add_rem"),
+                                        I.labelled_software_match(s, d), I.worst(s, d))
+
+
+_WIDE, _CAST = "more fields than the header", "not a bigint: ResourceID"
+
+
+@register("scan_rejects", f"""SELECT source, reason, count(*) AS n FROM (
+ SELECT 'software' AS source, CASE WHEN ResourceID % 97 = 3 THEN '{_WIDE}' WHEN ResourceID % 101 = 5 THEN '{_CAST}'
+  ELSE 'kept' END AS reason FROM f_inventory
+ UNION ALL SELECT 'entry', CASE WHEN CAST(split_part(cve_id, '-', 3) AS INT) % 89 = 7 THEN 'malformed entry' ELSE 'kept' END
+  FROM f_cve) r GROUP BY source, reason""")
+def _scan_rejects(s, d):
+    """Dumps and feeds with broken rows among them: what is kept and what is rejected add up to what was written."""
+    cols = ["ResourceID", "DisplayName0", "Publisher0", "Version0"]
+    rid = F.col("ResourceID")
+    cells = [F.when(rid % 101 == 5, F.concat(F.lit("x"), rid.cast("string"))).otherwise(rid.cast("string")),
+             *[F.coalesce(c, F.lit("")) for c in cols[1:]]]
+    line = F.concat(F.concat_ws("|", *cells), F.when(rid % 97 == 3, "|surplus").otherwise(""))
+    dump = S.write_lines(fixture(s, d, "f_inventory").select(line.alias("value")), scratch_path(s, "broken_dump"), "|".join(cols))
+    wanted = T.StructType([f for f in S.SOFTWARE_SCHEMA.fields if f.name in cols])
+    kept, bad = S.split_dump(s, dump, wanted, encoding="UTF-8")
+
+    cve = F.col("cve_id")
+    broken = F.split_part(cve, F.lit("-"), F.lit(3)).cast("int") % 89 == 7
+    entry = F.concat(F.lit('<entry id="'), cve, F.lit('"><vuln:cve-id>'), cve,
+                     F.when(broken, "</entry>").otherwise("</vuln:cve-id></entry>"))
+    feed = S.write_lines(fixture(s, d, "f_cve").select(entry.alias("value")), scratch_path(s, "broken_feed"),
+                         "<?xml version='1.0' encoding='UTF-8'?>\n" + S.NVD_ROOT[0], S.NVD_ROOT[1])
+    fine, malformed = S.split_xml(s, feed, "entry", S.CVE_XML_SCHEMA)
+
+    base, out = scratch_path(s, "quarantine"), None
+    for source, good, rejected in (("software", kept, bad), ("entry", fine, malformed)):
+        S.save_stage(rejected, base, source)
+        rows = (S.load_stage(s, base, source, rejected.schema).select("reason")
+                .union(good.select(F.lit("kept").alias("reason")))).groupBy("reason").agg(F.count("*").alias("n"))
+        rows = rows.select(F.lit(source).alias("source"), "reason", "n")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 @register("export_raw_csv", "SELECT * FROM vulns")
 def _export_raw_csv(s, d):
     v = I.vulns(s, d)
@@ -148,9 +196,9 @@ def _export_raw_csv(s, d):
 @register("export_json_reports", " UNION ALL ".join([
     CAT.TOP_REPORT_SQL, CAT.SITE_REPORT_SQL, CAT.CUSTOM_REPORTS_SQL]))
 def _export_json(s, d):
-    """All report files, written and read back."""
-    v = I.vulns(s, d)
-    made = {"top25_sft_high": R.top_high(v), "site_by_criticality": R.top_sites(v)} | E.custom_reports(v)
+    """All report files from one pass over the host x vulnerability table, written and read back."""
+    cube = materialize(R.count_cube(I.vulns(s, d), "Region_A"), "report_counts")
+    made = R.run_reports(cube)
     paths = S.export_json_reports(made, scratch_path(s, "reports"))
     return E.report_rows({k: s.read.schema(made[k].schema).json(p) for k, p in paths.items()})
 

@@ -8,6 +8,9 @@ tasks in parallel.
 
 from __future__ import annotations
 
+import csv
+import hashlib
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import clean as C
+from ..operators import reports as R
+from ..session import materialize
 
 SEP = "|"
 RAW = "_raw_row"
@@ -83,58 +88,135 @@ def _typed(schema: T.StructType) -> list:
     return [clean(f) for f in schema.fields]
 
 
-def _header(reader, path: str, comment: str | None) -> list[str]:
-    """Column names of a dump in file order: its first line that is not a comment."""
-    for row in reader.option("header", False).csv(path).head(8):  # a look at the first lines only
-        names = [(v or "").strip("\ufeff\u0000\r\n ") for v in row]
-        if any(names) and not (comment and names[0].startswith(comment)):
-            return [n.strip('"') for n in names]
-    raise ValueError(f"no header line in {path}")
+def _files(spark: SparkSession, path: str) -> list[tuple[object, str]]:
+    """(file system, file) of a file, folder or pattern, as Spark's readers would list it."""
+    conf, Path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(conf)
+    found = []
+    for status in fs.globStatus(Path(path)) or ():
+        found += fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+    visible = (x for x in found if not x.isDirectory() and x.getPath().getName()[0] not in "._")
+    return [(fs, x.getPath().toString()) for x in visible if x.getLen()]
+
+
+def _header(spark: SparkSession, fs, file: str, sep: str, comment: str | None, encoding: str) -> tuple[str, ...]:
+    """Column names of a dump in file order: its first line that is not a comment. Reads no more of the file than it must."""
+    size = 1 << 16
+    while True:
+        stream = fs.open(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file))
+        try:
+            head = bytes(stream.readNBytes(size))
+        finally:
+            stream.close()
+        whole = len(head) < size
+        lines = head[:len(head) // 2 * 2 if encoding.startswith("UTF-16") else None].decode(encoding, "replace").split("\n")
+        for line in lines if whole else lines[:-1]:
+            line = line.strip("\ufeff\u0000\r\n ")
+            if line and not (comment and line.lstrip('"').startswith(comment)):
+                names = next(csv.reader([line.replace("\u0000", "")], delimiter=sep))
+                return tuple(n.strip().strip('"') for n in names)
+        if whole:
+            raise ValueError(f"no header line in {file}")
+        size *= 4
+
+
+def _raw_dump(spark: SparkSession, path: str, schema: T.StructType, sep: str, comment: str | None,
+              encoding: str) -> DataFrame:
+    """The wanted columns of a dump as strings, with ``__wide`` for rows of more fields than their header, the raw
+    row of rows of another width, and their file."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for fs, file in _files(spark, path):
+        groups.setdefault(_header(spark, fs, file, sep, comment, encoding), []).append(file)
+    if not groups:
+        raise ValueError(f"no header line in {path}")
+    wanted, out = [f.name for f in schema.fields], None
+    for names, files in groups.items():
+        missing = [n for n in wanted if n not in names]
+        if missing:
+            raise ValueError(f"{files[0]} lacks the columns {missing}; it has {list(names)}")
+        # the first column of a name counts; a second one, and unnamed ones, get names of their own
+        slots = [n if n and n not in names[:i] else f"__column_{i}" for i, n in enumerate(names)]
+        full = T.StructType([T.StructField(n, T.StringType()) for n in [*slots, RAW]])
+        # without column pruning every query sees the whole row and its width
+        reader = (spark.read.option("sep", sep).option("quote", '"').option("encoding", encoding).option("lineSep", "\n")
+                  .option("mode", "PERMISSIVE").schema(full).option("header", True)
+                  .option("columnNameOfCorruptRecord", RAW).option("columnPruning", False))
+        if comment:
+            reader = reader.option("comment", comment)
+        # the raw row is there only if its width is not the header's
+        unquoted = F.regexp_replace(RAW, '"[^"]*"', "")
+        width = F.char_length(unquoted) - F.char_length(F.replace(unquoted, F.lit(sep), F.lit(""))) + 1
+        part = reader.csv(files).select(*wanted, RAW, F.coalesce(width > len(names), F.lit(False)).alias("__wide"),
+                                        F.input_file_name().alias("__file"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _is_header(schema: T.StructType) -> "F.Column":
+    """A header preceded by a comment line is read as data (the first line is the one skipped as header, and a
+    byte-order mark hides its '#'): rows that repeat the column names."""
+    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
+    repeats = F.lit(bool(texts))
+    for n in texts:
+        repeats = repeats & F.coalesce(F.col(n) == F.lit(n), F.lit(False))
+    return repeats
 
 
 def read_dump(spark: SparkSession, path: str, schema: T.StructType, sep: str = SEP,
               comment: str | None = None, encoding: str = "UTF-16LE") -> DataFrame:
-    """Delimited dump with a header line; columns are taken by name.
+    """Delimited dump, a file or a folder of files with a header line each; columns are taken by name.
 
-    The header is read first and gives the width and order of the file, so a
-    dump may hold more columns than ``schema`` and in any order; a column that
+    The header of every file is read first and gives its width and order, so
+    dumps may hold more columns than ``schema``, in any order, and a folder files
+    of several layouts: files of one header go through one reader. A column that
     is missing is an error. Short rows are padded with nulls. Rows with more
-    fields than the header are dropped, whether or not the surplus is empty
-    (quoted separators do not count).
+    fields than their header are dropped, whether or not the surplus is empty
+    (quoted separators do not count), and a value that is not of its column's
+    type is null; ``split_dump`` returns such rows.
 
     ``UTF-16LE`` with ``lineSep='\\n'`` keeps the file splittable (plain
     ``UTF-16`` needs the unsplittable multi-line reader).
     """
-    plain = (spark.read.option("sep", sep).option("quote", '"').option("encoding", encoding).option("lineSep", "\n")
-             .option("mode", "PERMISSIVE"))
-    names = _header(plain, path, comment)
-    missing = [f.name for f in schema.fields if f.name not in names]
-    if missing:
-        raise ValueError(f"{path} lacks the columns {missing}; it has {names}")
-    # the first column of a name counts; a second one, and unnamed ones, get names of their own
-    slots = [n if n and n not in names[:i] else f"__column_{i}" for i, n in enumerate(names)]
-    full = T.StructType([T.StructField(n, T.StringType()) for n in [*slots, RAW]])
-    # without column pruning every query sees the whole row and its width
-    reader = (plain.schema(full).option("header", True).option("columnNameOfCorruptRecord", RAW)
-              .option("columnPruning", False))
-    if comment:
-        reader = reader.option("comment", comment)
-    df = reader.csv(path)
-    # the raw row is there only if its width is not the header's
-    unquoted = F.regexp_replace(RAW, '"[^"]*"', "")
-    width = F.char_length(unquoted) - F.char_length(F.replace(unquoted, F.lit(sep), F.lit(""))) + 1
-    df = df.where(F.col(RAW).isNull() | (width <= len(names)))
-    df = df.select(*_typed(schema))
-    # A header preceded by a comment line is read as data (the first line is
-    # the one skipped as header, and a byte-order mark hides its '#'): drop rows
-    # that repeat the column names.
-    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
-    if texts:
-        is_header = F.lit(True)
-        for n in texts:
-            is_header = is_header & F.coalesce(F.col(n) == F.lit(n), F.lit(False))
-        df = df.where(~is_header)
-    return df
+    rows = _raw_dump(spark, path, schema, sep, comment, encoding).where(~F.col("__wide")).select(*_typed(schema))
+    return rows.where(~_is_header(schema))
+
+
+REJECTS_SCHEMA = "file string, reason string, row string"
+
+
+def split_dump(spark: SparkSession, path: str, schema: T.StructType, sep: str = SEP, comment: str | None = None,
+               encoding: str = "UTF-16LE") -> tuple[DataFrame, DataFrame]:
+    """(kept, rejected): a dump's rows that fit its header and ``schema``, and all others with file and reason.
+
+    Every data row is in one of the two; write the second with ``save_stage``.
+    """
+    raw = _raw_dump(spark, path, schema, sep, comment, encoding)
+    typed = {f.name: c for f, c in zip(schema.fields, _typed(schema))}
+    reason = F.when(F.col("__wide"), F.lit("more fields than the header"))
+    for f in schema.fields:
+        if not isinstance(f.dataType, T.StringType):
+            text = F.trim(F.translate(F.col(f.name), "\u0000\r", ""))
+            reason = reason.when((text != "") & typed[f.name].isNull(), F.lit(f"not a {f.dataType.simpleString()}: {f.name}"))
+    judged = raw.withColumn("__reason", reason)
+    good = judged.where(F.col("__reason").isNull()).select(*typed.values())
+    row = F.coalesce(RAW, F.concat_ws(sep, *[F.coalesce(F.col(f.name), F.lit("")) for f in schema.fields]))
+    bad = judged.where(F.col("__reason").isNotNull() & ~_is_header(schema)).select(
+        F.col("__file").alias("file"), F.col("__reason").alias("reason"), row.alias("row"))
+    return good.where(~_is_header(schema)), bad
+
+
+def split_xml(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(kept, rejected): the elements ``tag`` that are well-formed and fit ``schema``, and the others.
+
+    The parsed elements are written once; both tables read that copy.
+    """
+    full = T.StructType([*schema.fields, T.StructField(RAW, T.StringType())])
+    read = (_xml(spark, tag, full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RAW).load(path)
+            .withColumn("__file", F.input_file_name()))
+    read = materialize(read, f"parsed_{tag}")
+    bad = read.where(F.col(RAW).isNotNull()).select(
+        F.col("__file").alias("file"), F.lit(f"malformed {tag}").alias("reason"), F.col(RAW).alias("row"))
+    return read.where(F.col(RAW).isNull()).select(*[f"`{f.name}`" for f in schema.fields]), bad
 
 
 def scan_hosts(spark: SparkSession, path: str) -> DataFrame:
@@ -150,15 +232,22 @@ def scan_ad_group(spark: SparkSession, path: str) -> DataFrame:
     return read_dump(spark, path, AD_GROUP_SCHEMA, sep=",", comment="#")
 
 
+def _xml(spark: SparkSession, tag: str, schema: T.StructType):
+    """A reader of the elements ``tag``, each parsed alone: a malformed one loses nothing but itself.
+
+    (The other parser reads a file in one go and gives up at the first error.)
+    """
+    return spark.read.format("xml").option("rowTag", tag).option("useLegacyXMLParser", "true").schema(schema)
+
+
 def scan_cpe_xml(spark: SparkSession, path: str) -> DataFrame:
     """CPE dictionary, one row per ``cpe-item``."""
-    return spark.read.format("xml").option("rowTag", "cpe-item").schema(CPE_XML_SCHEMA).load(path)
+    return _xml(spark, "cpe-item", CPE_XML_SCHEMA).load(path)
 
 
 def scan_cve_xml(spark: SparkSession, directory: str, prefix: str = "nvdcve-2.0-") -> DataFrame:
     """All yearly feed files of a directory in one multi-file scan, one row per ``entry``."""
-    return (spark.read.format("xml").option("rowTag", "entry").schema(CVE_XML_SCHEMA)
-            .load(os.path.join(directory, f"{prefix}*.xml")))
+    return _xml(spark, "entry", CVE_XML_SCHEMA).load(os.path.join(directory, f"{prefix}*.xml"))
 
 
 def scan_labels(spark: SparkSession, path: str, keys: list[str], features: list[str],
@@ -177,16 +266,73 @@ def scan_stop_words(spark: SparkSession, path: str) -> list[str]:
     return [r.word for r in rows]
 
 
-def save_stage(df: DataFrame, directory: str, name: str, partition_by: list[str] | None = None) -> str:
-    """Persist one stage table as Parquet (overwrite)."""
+def save_stage(df: DataFrame, directory: str, name: str, partition_by: list[str] | None = None,
+               profile: bool = False) -> str:
+    """Persist one stage table as Parquet (overwrite); with ``profile`` also its columns' mergeable profile."""
     path = os.path.join(directory, name)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    if profile:
+        R.distinct_sketches(load_stage(df.sparkSession, directory, name, df.schema)) \
+            .write.mode("overwrite").parquet(os.path.join(directory, "_profiles", name))
     return path
 
 
+def load_profiles(spark: SparkSession, directory: str, names: list[str]) -> DataFrame:
+    """The profiles kept with stage tables, one row per table and column."""
+    return spark.read.parquet(*[os.path.join(directory, "_profiles", n) for n in names])
+
+
+def save_bucketed(df: DataFrame, directory: str, name: str, keys: list[str], buckets: int) -> str:
+    """Persist a stage table so that joins and aggregations on ``keys`` need no shuffle of it.
+
+    Rows of keys that alone would fill a bucket (fewer than ``buckets`` such keys
+    can exist) and rows with a null key, which no join meets, go to a part of
+    their own without buckets, whose joins the planner is free to split.
+    """
+    spark, path = df.sparkSession, os.path.join(directory, name)
+    counts = df.where(_no_null(keys)).groupBy(*keys).agg(F.count("*").alias("__n"))
+    limit = counts.agg(F.sum("__n").alias("s")).first().s or 0
+    heavy = counts.where(F.col("__n") * buckets > limit).select(*keys)      # at most ``buckets`` rows
+    heavy.write.mode("overwrite").parquet(os.path.join(path, "heavy_keys"))
+    heavy = F.broadcast(spark.read.schema(heavy.schema).parquet(os.path.join(path, "heavy_keys")).withColumn("__heavy", F.lit(True)))
+    marked = df.join(heavy, keys, "left").withColumn("__heavy", F.coalesce("__heavy", ~_no_null(keys))).select(*df.columns, "__heavy")
+    marked.where("__heavy").drop("__heavy").write.mode("overwrite").parquet(os.path.join(path, "heavy"))
+    light = _bucket_table(os.path.join(path, "light"))
+    spark.sql(f"DROP TABLE IF EXISTS {light}")
+    (marked.where("NOT __heavy").drop("__heavy").repartition(buckets, *keys).write.mode("overwrite").format("parquet")
+     .bucketBy(buckets, *keys).sortBy(*keys).option("path", os.path.join(path, "light")).saveAsTable(light))
+    layout = spark.createDataFrame([(keys, buckets, df.schema.json())], "keys array<string>, buckets int, schema string")
+    layout.coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "layout"))
+    return path
+
+
+def load_bucketed(spark: SparkSession, directory: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(light, heavy): the bucketed part of a stage table and the rows beside it."""
+    path = os.path.join(directory, name)
+    layout = spark.read.parquet(os.path.join(path, "layout")).first()
+    schema = T.StructType.fromJson(json.loads(layout.schema))
+    light, keys = _bucket_table(os.path.join(path, "light")), ", ".join(f"`{k}`" for k in layout["keys"])
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {light} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) "
+              f"INTO {layout.buckets} BUCKETS LOCATION '{os.path.join(path, 'light')}'")
+    return spark.table(light).select(schema.names), spark.read.schema(schema).parquet(os.path.join(path, "heavy"))
+
+
+def _no_null(keys: list[str]) -> "F.Column":
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).isNotNull()
+    return out
+
+
+def _bucket_table(path: str) -> str:
+    """A catalogue name for a bucketed folder; the catalogue only remembers its layout."""
+    return "cpelink_" + hashlib.md5(path.encode()).hexdigest()
+
+
 def load_stage(spark: SparkSession, directory: str, name: str, schema: T.StructType | None = None) -> DataFrame:
     """A stage table; its schema keeps the types of columns that it is partitioned by (and their order)."""
     path = os.path.join(directory, name)
@@ -236,15 +382,19 @@ NVD_ROOT = ('<nvd xmlns="http://scap.nist.gov/schema/feed/vulnerability/2.0" '
 
 def _write_xml_lines(lines: DataFrame, path: str, root: tuple[str, str]) -> str:
     """Write one XML document per partition: declaration and root around the row lines."""
-    import pandas as pd
+    return write_lines(lines, path, "<?xml version='1.0' encoding='UTF-8'?>\n" + root[0], root[1])
 
-    head = "<?xml version='1.0' encoding='UTF-8'?>\n" + root[0]
+
+def write_lines(lines: DataFrame, path: str, head: str, tail: str | None = None) -> str:
+    """Write one text file per partition: the lines between a head and a tail."""
+    import pandas as pd
 
     def wrap(batches):
         yield pd.DataFrame({"value": [head]})
         for b in batches:
             yield b
-        yield pd.DataFrame({"value": [root[1]]})
+        if tail is not None:
+            yield pd.DataFrame({"value": [tail]})
 
     lines.mapInPandas(wrap, "value string").write.mode("overwrite").text(path)
     return path

@@ -127,7 +127,7 @@ CVE_DOC = """<?xml version='1.0' encoding='UTF-8'?>
 <nvd xmlns="http://scap.nist.gov/schema/feed/vulnerability/2.0" xmlns:vuln="http://scap.nist.gov/schema/vulnerability/0.4" xmlns:cvss="http://scap.nist.gov/schema/cvss-v2/0.2">
 <entry id="CVE-1"><vuln:vulnerable-software-list><vuln:product>cpe:/a:acme:widget:1.0</vuln:product><vuln:product>cpe:/o:acme:os:3</vuln:product></vuln:vulnerable-software-list>
 <vuln:cve-id>CVE-1</vuln:cve-id><vuln:last-modified-datetime>2017-01-01T00:00:00</vuln:last-modified-datetime>
-<vuln:cvss><cvss:base_metrics><cvss:score>9.3</cvss:score><cvss:access-vector>NETWORK</cvss:access-vector><cvss:access-complexity>MEDIUM</cvss:access-complexity></cvss:base_metrics></vuln:cvss></entry>
+<vuln:cvss><cvss:base_metrics><cvss:score>8.7</cvss:score><cvss:access-vector>NETWORK</cvss:access-vector><cvss:access-complexity>LOW</cvss:access-complexity></cvss:base_metrics></vuln:cvss></entry>
 <entry id="CVE-2"><vuln:vulnerable-software-list><vuln:product>cpe:/a:acme:widget:1.0</vuln:product></vuln:vulnerable-software-list>
 <vuln:cve-id>CVE-2</vuln:cve-id><vuln:last-modified-datetime>2017-01-01T00:00:00</vuln:last-modified-datetime></entry>
 <entry id="CVE-3"><vuln:cve-id>CVE-3</vuln:cve-id><vuln:last-modified-datetime>2017-01-01T00:00:00</vuln:last-modified-datetime>
@@ -170,3 +170,96 @@ def test_ad_group_unquoted_header(spark):
     _write_utf16(p, ["#TYPE x", "distinguishedName", "CN=b,OU=x,DC=y", '"CN=c,OU=x,DC=y"', "plain"])
     assert sorted(r.distinguishedName for r in S.scan_ad_group(spark, p).collect()) == [
         "CN=c,OU=x,DC=y", "plain"]
+
+
+def test_folder_of_unlike_layouts(spark):
+    """Files of one folder with their columns in other orders, other columns and any number of comment lines."""
+    d = _tmp()
+    for k, lines in enumerate([
+            ["publisher0,vendor_X,match,a", "acme_inc,acme,1,5"], ["vendor_X,a,publisher0,match", "beta,6,beta_inc,0"],
+            ["x,match,publisher0,vendor_X,a", '"1,2",1,"gamma, inc",gamma,7', "1,1,delta,delta,8,9"],
+            ["match,a,vendor_X,publisher0", "oops,1,eps,eps_inc"]]):
+        with open(os.path.join(d, f"{k}.csv"), "w") as f:
+            f.write("\n".join(lines) + "\n")
+    rows = sorted(tuple(r) for r in S.scan_labels(spark, d, ["publisher0", "vendor_X"], ["a"]).collect() if r.publisher0 != "eps_inc")
+    assert rows == [("acme_inc", "acme", 1, 5), ("beta_inc", "beta", 0, 6), ("gamma, inc", "gamma", 1, 7)]
+    p = os.path.join(_tmp(), "vip.csv")
+    _write_utf16(p, ["#" + "x" * 40] * 3000 + ['"distinguishedName","other"', '"CN=a","b"', '"CN=c","d"'])
+    got = [r.distinguishedName for r in S.scan_ad_group(spark, p).collect()]
+    assert got == ["CN=a", "CN=c"]
+    with pytest.raises(ValueError, match="no header line"):
+        S.scan_ad_group(spark, os.path.join(_tmp(), "none*"))
+
+
+def test_rejects_hold_what_is_not_kept(spark):
+    d = _tmp()
+    p = os.path.join(d, "hosts.csv")
+    _write_utf16(p, ["ResourceID|Active0|AD_Site_Name0|Distinguished_Name0|Resource_Domain_OR_Workgr0", "1|1|s|dn|w", "x2|1|s|dn|w",
+                     "3|yes|s|dn|w", "4|1|s|dn|w|more", "5||s", '6|1|"a|b"|dn|w'])
+    good, bad = S.split_dump(spark, p, S.HOSTS_SCHEMA)
+    assert sorted(r.ResourceID for r in good.collect()) == [1, 5, 6]
+    found = sorted((r.reason, r.row.split("|")[0]) for r in bad.collect())
+    assert found == [("more fields than the header", "4"), ("not a bigint: ResourceID", "x2"), ("not a int: Active0", "3")]
+    assert all(r.file.endswith("hosts.csv") for r in bad.collect())
+
+
+def test_malformed_entry_loses_only_itself(spark):
+    d = _tmp()
+    broken = CVE_DOC.replace("<vuln:cve-id>CVE-2</vuln:cve-id>", "<vuln:cve-id>CVE-2</wrong>")
+    with open(os.path.join(d, "nvdcve-2.0-2017.xml"), "w") as f:
+        f.write(broken)
+    assert {r._id for r in S.scan_cve_xml(spark, d).where("_id IS NOT NULL").select("_id").collect()} == {"CVE-1", "CVE-3", "CVE-4"}
+    good, bad = S.split_xml(spark, d, "entry", S.CVE_XML_SCHEMA)
+    assert sorted(r["_id"] for r in good.collect()) == ["CVE-1", "CVE-3", "CVE-4"]
+    rows = bad.collect()
+    assert len(rows) == 1 and rows[0].reason == "malformed entry" and "CVE-2" in rows[0].row
+
+
+def test_bucketed_stage_is_not_shuffled(spark):
+    """Joins of the bucketed part by its keys, again and again; hot and null keys beside it; read in any session."""
+    d, keys = _tmp(), ["DisplayName0", "Version0"]
+    rows = [("hot", "1", k) for k in range(500)] + [(f"p{k % 90}", str(k % 3), k) for k in range(400)] + [("p1", None, k) for k in range(9)]
+    df = spark.createDataFrame(rows, "DisplayName0 string, Version0 string, ResourceID long")
+    S.save_bucketed(df, d, "inv", keys, 4)
+    light, heavy = S.load_bucketed(spark, d, "inv")
+    assert sorted(map(tuple, light.union(heavy).collect()), key=str) == sorted(rows, key=str)
+    assert {r.DisplayName0 for r in heavy.where("Version0 IS NOT NULL").collect()} == {"hot"}
+    vp = spark.createDataFrame([(f"p{k}", "1", k) for k in range(0, 90, 2)], "DisplayName0 string, Version0 string, m int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = light.join(vp, keys)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == sum(n.startswith("p") and v == "1" and int(n[1:]) % 2 == 0 for n, v, _ in rows)
+        assert plan.count("Exchange hashpartitioning") == 1 and "SelectedBucketsCount: 4 out of 4" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    spark.sql(f"DROP TABLE {S._bucket_table(os.path.join(d, 'inv', 'light'))}")
+    assert sum(x.count() for x in S.load_bucketed(spark, d, "inv")) == len(rows)
+    S.save_bucketed(df.limit(10), d, "inv", keys, 4)
+    assert sum(x.count() for x in S.load_bucketed(spark, d, "inv")) == 10
+
+
+def test_profiles_and_reports_from_one_pass(spark):
+    from cpelink.operators import enrich as E
+    from cpelink.operators import reports as R
+    empty = spark.createDataFrame([], "a int, b string")
+    assert sorted(map(tuple, R.profile_distinct(empty).collect())) == [("a", 0, 0, 0), ("b", 0, 0, 0)]
+    df = spark.createDataFrame([(k % 7, f"x{k % 1000}" if k % 3 else None) for k in range(6000)], "a int, b string")
+    exact = {r.column_name: tuple(r)[1:] for r in R.profile_distinct(df).collect()}
+    assert exact == {"a": (6000, 7, 6000), "b": (4000, 1000, 6000)}
+    halves = [R.distinct_sketches(df.where(w)) for w in ("a < 3", "a >= 3")]
+    near = {r.column_name: tuple(r)[1:] for r in R.sketch_counts(R.merge_sketches(halves[0].union(halves[1]))).collect()}
+    assert near["a"] == exact["a"] and near["b"][0] == 4000 and abs(near["b"][1] - 1000) < 30
+    v = spark.createDataFrame(
+        [(f"s{k % 4}" if k % 5 else None, ["server", "desktop", None][k % 3], "vip" if k % 7 == 0 else None,
+          ["High", "Low", "Medium"][k % 11 % 3], f"c{k % 13}", f"Region_{'AB'[k % 2]}") for k in range(700)],
+        "Site_X string, HostFn_X string, VIP_X string, crit_X_cat string, t_cve_name string, Region_X string")
+    plain = {"top25_sft_high": R.top_high(v), "site_by_criticality": R.top_sites(v)} | E.custom_reports(v)
+    cube = R.count_cube(v, "Region_A")
+    assert cube.count() < 200
+    made = R.run_reports(cube)
+    assert list(made) == list(plain)
+    for name, want in plain.items():
+        assert made[name].columns == want.columns
+        assert sorted(map(tuple, made[name].collect()), key=str) == sorted(map(tuple, want.collect()), key=str), name
