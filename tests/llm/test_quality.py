@@ -90,3 +90,51 @@ def test_unlisted_language_has_its_own_reference(make_docs):
     kept = {r.doc_id: r.kept for r in Q.quality_report(make_docs(rows)).collect()}
     assert all(kept[k] for k in kept if k < 3000) and len(kept) == len(rows)
     assert not kept[3000]
+
+
+@pytest.mark.parametrize("junk", ["copies", "digits", "capitals"])
+def test_a_third_of_junk_moves_no_verdict(make_docs, junk):
+    rnd = random.Random(21)
+    clean = [(k, prose(rnd, "en", rnd.randint(60, 300)), "en") for k in range(400)]
+    made = {"copies": lambda: "### $$$ %% " * 100, "digits": lambda: " ".join(str(rnd.randrange(10 ** 6)) for _ in range(150)),
+            "capitals": lambda: prose(rnd, "en", 150).upper() + "!!"}[junk]
+    before = {r.doc_id for r in Q.quality_report(make_docs(clean)).collect() if r.kept}
+    after = {r.doc_id for r in Q.quality_report(make_docs(clean + [(1000 + k, made(), "en") for k in range(200)])).collect() if r.kept}
+    assert len(before) >= 0.97 * len(clean)
+    assert len(before & after) >= 0.97 * len(before)
+    assert not any(i >= 1000 for i in after)
+
+
+def test_no_step_in_the_number_of_documents(make_docs):
+    """A page of digits among n Cyrillic ones: its weighted distance grows with n without a jump."""
+    rnd, seen = random.Random(5), []
+    word = lambda: "".join(rnd.choice("аеиоулнрстдм") for _ in range(rnd.randint(3, 9)))
+    digits = " ".join(str(rnd.randrange(10 ** 6)) for _ in range(150))
+    texts = [" ".join(word() for _ in range(150)) for _ in range(31)]
+    for n in (1, 4, 29, 30, 31):
+        rows = [(k, t, "ru") for k, t in enumerate(texts[:n])] + [(99, digits, "ru")]
+        got = {r.doc_id: r for r in Q.quality_report(make_docs(rows)).collect()}
+        assert all(got[k].kept for k in range(n))
+        seen.append(got[99].kept)
+    assert seen == sorted(seen, reverse=True) and len(set(seen[2:])) == 1
+
+
+def test_nothing_to_compare_with_is_null(make_docs):
+    rows = [(1, "few words", "xx"), (2, "buy now today " * 90, "yy"), (3, None, None)]
+    got = {r.doc_id: r for r in Q.quality_report(make_docs(rows)).collect()}
+    assert all(got[k].class_distance is None and got[k].word_distance is None and not got[k].kept for k in (1, 2, 3))
+
+
+def test_twin_on_listed_unlisted_and_missing_languages(make_docs, corpus):
+    import duckdb
+    rnd = random.Random(3)
+    rows = corpus + [(4000 + k, prose(rnd, "en", 80), ["xx", None, "", "uk"][k % 4]) for k in range(60)]
+    rows = [r for r in rows if r[0] is not None]
+    docs = make_docs(rows)
+    got = docs.sparkSession.createDataFrame(Q.quality_report(docs).collect()).toPandas()
+    documents = docs.select("doc_id", "text", "lang", "source", "n_chars").toPandas()
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = con.sql(Q.ORACLE).df()
+    key = lambda df: sorted(tuple(None if x != x else x for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    assert [tuple(map(str, r)) for r in key(got)] == [tuple(map(str, r)) for r in key(want)]
