@@ -17,9 +17,12 @@ identifiers, also over one further record, into one nested row per capture.
 Records that answer to no capture in the archives keep a row with a null capture.
 
 Defined cases: a null html is an empty payload; rows equal in page_id, url and
-payload are one capture, returned once; a null id sorts below all others; null
-and empty urls read back as empty; carriage returns and line feeds in a url are
-percent-encoded; an empty table gives an empty result.
+payload are captures of their own, numbered in their record ids, each returned; of equal
+payloads all rows of the largest page_id (of several urls, the last) are responses;
+a null id sorts below all others; null and empty urls read back as empty; carriage
+returns and line feeds in a url are percent-encoded; a very long payload is one record,
+held whole by the task that reads it; an empty table gives an empty result; columns
+beside page_id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -61,24 +64,48 @@ def _fields(pairs: list[tuple[str, Column | str]]) -> Column:
     return F.concat(*[F.coalesce(x, F.lit("")) for x in lines])
 
 
+#: Rows of a repeated row that one task writes.
+_COPIES = 4096
+
+
+def _numbered(base: DataFrame) -> DataFrame:
+    """Rows with ``nth``, which tells rows apart that are equal in page_id, url and payload: 0, 1, ...
+
+    Only the keys that occur more than once are looked up. Their rows are reduced to one with a count, map-side, and
+    laid out again in blocks of copies, so that no task holds all copies of a row.
+    """
+    keys = ["who", "same"]
+    repeats = materialize(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "repeated_pages")
+    once = base.join(repeats.select(*keys), keys, "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    rest = [c for c in base.columns if c not in keys]
+    one = (base.join(repeats.select(*keys), keys, "left_semi").groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest])
+           .join(repeats, keys))
+    blocks = one.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _COPIES))))
+    blocks = blocks.repartition(base.sparkSession.sparkContext.defaultParallelism, *keys, "block")
+    last = F.least(F.col("n"), (F.col("block") + 1) * _COPIES) - 1
+    again = blocks.withColumn("nth", F.explode(F.sequence(F.col("block") * _COPIES, last)))
+    return once.unionByName(again.select(*once.columns))
+
+
 def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, archive: Archive = Archive()) -> str:
-    """Writes one transaction per (page_id, url, html) row below ``path``."""
+    """Writes one transaction per row below ``path``."""
     url = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     payload = F.coalesce("html", F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), payload.alias("payload"),
                         F.octet_length(payload).cast("long").alias("bytes"), F.sha2(payload, 256).alias("same"),
                         F.struct(F.coalesce("page_id", F.lit(NULL_ID)).cast("long").alias("id"),
                                  url.alias("url")).alias("who"))
+    base = _numbered(base)
     shared = (base.where(F.col("bytes") >= min_revisit).groupBy("same")
               .agg(F.max("who").alias("first"), F.min("who").alias("last"))
               .where(F.col("first") != F.col("last")).select("same", "first"))
     shared = materialize(shared, "shared_payloads")
     joined = base.join(shared, "same", "left")
-    key = (F.col("page_id"), F.col("url"), F.col("same"))
+    key = (F.col("page_id"), F.col("url"), F.col("same"), F.when(F.col("nth") > 0, F.col("nth")))
     capture = _record_id("capture", *key)
     first_id = F.when(F.col("first.id") != NULL_ID, F.col("first.id"))
     revisits = F.col("first").isNotNull() & (F.col("first") != F.col("who"))
-    refers = F.when(revisits, _record_id("capture", first_id, F.col("first.url"), F.col("same")))
+    refers = F.when(revisits, _record_id("capture", first_id, F.col("first.url"), F.col("same"), F.lit(None)))
     digest = F.concat(F.lit("sha1:"), F.sha1("payload"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
                     F.col("bytes").cast("string"), F.lit(BETWEEN))
@@ -206,10 +233,11 @@ def warc_report(pages: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH p AS (SELECT DISTINCT page_id, url, coalesce(html, '') AS html FROM pages),
-f AS (SELECT html, max(page_id) AS top FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, {'k': coalesce(page_id, -9223372036854775808),
+                  'u': replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A')} AS who FROM pages),
+f AS (SELECT html, max(who) AS top FROM p WHERE strlen(html) >= 1000 GROUP BY html)
 SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
-       CASE WHEN top > page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN top > page_id THEN top END AS refers_to
+       CASE WHEN top > who THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top > who THEN nullif(top.k, -9223372036854775808) END AS refers_to
 FROM p LEFT JOIN f USING (html)
 """

@@ -22,7 +22,6 @@ def table(spark, rows):
 
 
 def brute(rows):
-    rows = set(rows)
     key = lambda r: (-2 ** 63 if r[0] is None else r[0], r[1] or "")
     out = []
     for r in rows:
@@ -39,12 +38,30 @@ def test_report(spark):
     assert got == brute(PAGES)
 
 
+def test_one_row_for_each_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(W, "_COPIES", 7)
+    rows = PAGES[:3] + [(9, "http://b/9", BIG)] * 50 + [(1, "http://a/1", BIG)] * 30 + [(5, None, None), (5, "", "")] * 9
+    got = sorted([tuple(r) for r in W.warc_report(table(spark, rows)).collect()], key=str)
+    assert got == brute(rows) and len(got) == len(rows)
+
+
+def test_twin(spark):
+    import duckdb
+    pages = table(spark, PAGES + [(9, "http://b/9", BIG)] * 3).select("page_id", "url", "html").toPandas()
+    con = duckdb.connect()
+    con.register("pages", pages)
+    want = [tuple(None if x != x else x for x in r) for r in con.sql(
+        "SELECT page_id, payload_bytes, payload_digest, record_type, refers_to FROM (" + W.ORACLE + ")").fetchall()]
+    got = [tuple(r) for r in W.warc_report(table(spark, PAGES + [(9, "http://b/9", BIG)] * 3)).collect()]
+    assert sorted(got, key=str) == sorted(((None if a is None else int(a), b, c, d, e) for a, b, c, d, e in want), key=str)
+
+
 def test_nested_rows_and_payloads(spark):
     path = W.write_archives(table(spark, PAGES).coalesce(3), scratch_path(spark, "warc-test"))
     recs = W.read_archives(spark, path).cache()
     assert {r.kind: r["count"] for r in recs.groupBy("kind").count().collect()}["request"] == len(PAGES)
     rows = W.assemble(recs).collect()
-    assert len(rows) == len(set(PAGES))
+    assert len(rows) == len(PAGES)
     for r in rows:
         assert r.capture.record_id == r.capture_id and r.request is not None and r.metadata
         assert r.request.url == r.capture.url and "\n" not in r.request.url
