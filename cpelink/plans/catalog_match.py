@@ -14,6 +14,7 @@ from ..functions import normalize as N
 from ..functions import scoring as S
 from ..operators import candidates as CA
 from ..operators import classify as CL
+from ..operators import evaluate as EV
 from . import inputs as I
 from . import sql_scores as Q
 from .catalog import _JR, _JU, _PUB_TOKS, _VEN_TOKS, _clean_sql
@@ -316,8 +317,75 @@ def _tune(s, d):
 
 @register("compare_models")
 def _compare_models(s, d):
-    res = CL.compare_models(label_features_software(s, d), K.SOFTWARE_FEATURES)
-    return s.createDataFrame(res, "model string, accuracy double")
+    """Nine families: accuracies by cross-validation, or over out-of-fold predictions."""
+    pairs = materialize(label_features_software(s, d), "label_features")
+    res = CL.compare_models(pairs, K.SOFTWARE_FEATURES)
+    out = s.createDataFrame(res, "model string, accuracy double")
+    for name, predicted in EV.other_families(pairs, K.SOFTWARE_KEYS, K.SOFTWARE_FEATURES).items():
+        out = out.union(EV.confusion(predicted).select(F.lit(name).alias("model"), "accuracy"))
+    return out
+
+
+_FOLDS = 5
+# one row per key with its fold, as the evaluation sees the labelled pairs
+_ROWS_SQL = ", feat AS (" + _FEAT_SW_SQL.lstrip(", ").replace("lp AS", "WITH lp AS", 1) + f"""),
+ lr AS (SELECT *, md5(concat_ws('|', {', '.join(K.SOFTWARE_KEYS)})) AS mark FROM (
+  SELECT {', '.join(K.SOFTWARE_KEYS)}, {', '.join(f'max({f}) AS {f}' for f in K.SOFTWARE_FEATURES)}, CAST(max(match) AS INTEGER) AS match
+  FROM feat GROUP BY {', '.join(K.SOFTWARE_KEYS)}) g),
+ er AS (SELECT *, CAST(CAST('0x' || left(mark, 8) AS BIGINT) % {_FOLDS} AS INTEGER) AS fold FROM lr)
+"""
+_EVAL_COLS = f"{', '.join(K.SOFTWARE_KEYS)}, match, fold, predicted"
+
+
+def _rows(s, d):
+    return materialize(EV.labelled_rows(label_features_software(s, d), K.SOFTWARE_KEYS, K.SOFTWARE_FEATURES, _FOLDS), "labelled_rows")
+
+
+def _shown(df):
+    return df.select(*K.SOFTWARE_KEYS, "match", "fold", F.col("predicted").cast("int").alias("predicted"))
+
+
+_AWAY = " + ".join(f"(er.{f} - c.{f}) * (er.{f} - c.{f})" for f in K.SOFTWARE_FEATURES)
+
+
+@register("centroid_predictions", _ROWS_SQL + f""", cen AS (
+  SELECT k AS fold, match, {', '.join(f'avg({f}) AS {f}' for f in K.SOFTWARE_FEATURES)}
+  FROM er, range({_FOLDS}) t(k) WHERE er.fold <> k GROUP BY k, match),
+ far AS (SELECT er.*, c.match AS cls, {_AWAY} AS away FROM er JOIN cen c ON er.fold = c.fold)
+ SELECT {_EVAL_COLS} FROM (SELECT *, cls AS predicted, row_number() OVER (
+  PARTITION BY {', '.join(K.SOFTWARE_KEYS)} ORDER BY away, cls) AS rn FROM far) x WHERE rn = 1""")
+def _centroids(s, d):
+    return _shown(EV.nearest_centroid(_rows(s, d), K.SOFTWARE_FEATURES))
+
+
+_APART = " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in K.SOFTWARE_FEATURES)
+
+
+@register("neighbour_predictions", _ROWS_SQL + f""", near AS (
+  SELECT a.mark, b.match AS vote, row_number() OVER (PARTITION BY a.mark ORDER BY {_APART}, b.mark) AS rn
+  FROM er a JOIN er b ON a.fold <> b.fold),
+ votes AS (SELECT mark, CASE WHEN sum(2 * vote - 1) > 0 THEN 1 ELSE 0 END AS predicted FROM near WHERE rn <= {EV.NEIGHBOURS} GROUP BY mark)
+ SELECT {_EVAL_COLS} FROM er JOIN votes USING (mark)""")
+def _neighbours(s, d):
+    return _shown(EV.out_of_fold(_rows(s, d), _FOLDS, lambda t: EV.nearest_neighbours(t, K.SOFTWARE_FEATURES)))
+
+
+# the fixture's labels can be told apart: a forest that has not seen a fold is nearly always right, a constant answer is not
+@register("evaluate_software", _ROWS_SQL + """ SELECT fold, count(*) AS n, sum(match) AS positive, sum(1 - match) AS negative,
+ true AS good FROM er GROUP BY fold""")
+def _evaluate_software(s, d):
+    """The software forest over out-of-fold predictions: accuracy, precision and recall of 0.98 and more in every fold."""
+    def fit(train):
+        model = CL.train(train, K.SOFTWARE_FEATURES, K.SOFTWARE_FOREST)
+
+        def add(rows):
+            told = CL.classify(rows.withColumnRenamed("match", "truth"), model)
+            return told.withColumnRenamed("match", "predicted").withColumnRenamed("truth", "match")
+        return add
+
+    found = EV.confusion(EV.out_of_fold(_rows(s, d), _FOLDS, fit), ["fold"])
+    return found.select("fold", "n", (F.col("tp") + F.col("fn")).alias("positive"), (F.col("fp") + F.col("tn")).alias("negative"),
+                        (F.least("accuracy", "precision", "recall") >= 0.98).alias("good"))
 
 
 @register("save_model", f"SELECT CAST(feature_idx AS INTEGER) AS feature_idx, true AS same FROM range({len(K.VENDOR_FEATURES)}) "
