@@ -159,7 +159,8 @@ def references(measured: DataFrame, limits: Limits) -> DataFrame:
     half = bins.withColumn("below", F.sum("n").over(own.orderBy("bin"))).withColumn("all", F.sum("n").over(own)) \
         .where(2 * F.col("below") >= F.col("all")).groupBy("lang", "i").agg(F.min("bin").alias("bin"))
     medians = half.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "bin"))).alias("m"))
-    medians = medians.select("lang", _shares(F.transform("m", lambda x: 2 * x["bin"] + 1)).alias("m"))
+    # written, so that its size is known and the texts of a frequent language are not dealt to one task
+    medians = materialize(medians.select("lang", _shares(F.transform("m", lambda x: 2 * x["bin"] + 1)).alias("m")), "quality_medians")
     normal = used.join(medians, "lang").where(~_too_far(distance(F.col("p"), F.col("m")), limits.class_distance))
     per = normal.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.get("p", F.lit(i))) for i in range(n_class)]).alias("p"),
