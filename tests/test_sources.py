@@ -263,3 +263,19 @@ def test_profiles_and_reports_from_one_pass(spark):
     for name, want in plain.items():
         assert made[name].columns == want.columns
         assert sorted(map(tuple, made[name].collect()), key=str) == sorted(map(tuple, want.collect()), key=str), name
+
+
+def _files_of(d, ending):
+    return [os.path.join(r, f) for r, _, names in os.walk(d) for f in names if f.endswith(ending)]
+
+
+def test_raw_export_is_small_and_its_files_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(S, "EXPORT_FILE_ROWS", 400)
+    df = spark.range(0, 1000, 1, 1).selectExpr("id DIV 20 AS host", "concat('CN=host', id DIV 20, ',OU=HQ Desktop') AS dn", "id % 20 AS vendor")
+    d, plain = _tmp(), _tmp()
+    S.export_raw_csv(df, d)
+    S.export_raw_csv(df, plain, compression="none")
+    files = _files_of(d, ".csv.gz")
+    assert len(files) == 3 and sum(map(os.path.getsize, files)) * 5 < sum(map(os.path.getsize, _files_of(plain, ".csv")))
+    back = [spark.read.schema(df.schema).option("header", True).option("sep", S.SEP).csv(x) for x in (d, plain)]
+    assert all(sorted(map(tuple, b.collect())) == sorted(map(tuple, df.collect())) for b in back)
