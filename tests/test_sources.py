@@ -279,3 +279,12 @@ def test_raw_export_is_small_and_its_files_are_bounded(spark, monkeypatch):
     assert len(files) == 3 and sum(map(os.path.getsize, files)) * 5 < sum(map(os.path.getsize, _files_of(plain, ".csv")))
     back = [spark.read.schema(df.schema).option("header", True).option("sep", S.SEP).csv(x) for x in (d, plain)]
     assert all(sorted(map(tuple, b.collect())) == sorted(map(tuple, df.collect())) for b in back)
+
+
+def test_large_feeds_are_written_as_several_documents(spark, monkeypatch):
+    monkeypatch.setattr(S, "DOCUMENT_ROWS", 10)
+    d = _tmp()
+    shape = spark.createDataFrame([(f"CVE-{k}", f"CVE-{k}", "2017", (["p"],), None) for k in range(35)], S.CVE_XML_SCHEMA).coalesce(1)
+    S.write_cve_xml(shape, os.path.join(d, "nvdcve-2.0-2017.xml"))
+    assert len(_files_of(d, ".txt")) == 4
+    assert sorted(r._id for r in S.scan_cve_xml(spark, d).collect()) == sorted(f"CVE-{k}" for k in range(35))
