@@ -12,6 +12,7 @@ import csv
 import hashlib
 import json
 import os
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -266,14 +267,33 @@ def scan_stop_words(spark: SparkSession, path: str) -> list[str]:
     return [r.word for r in rows]
 
 
+#: Files that a task writing a partitioned stage keeps open, and the bytes of rows that each may hold.
+OPEN_FILES, PARTITION_BLOCK = 64, 16 << 20
+
+
+@contextmanager
+def _open_files(spark: SparkSession):
+    """A task of a partitioned write keeps a file open for each of its first ``OPEN_FILES`` values and
+    sorts only the rows of further ones, instead of all its rows."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(OPEN_FILES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def save_stage(df: DataFrame, directory: str, name: str, partition_by: list[str] | None = None,
                profile: bool = False) -> str:
     """Persist one stage table as Parquet (overwrite); with ``profile`` also its columns' mergeable profile."""
     path = os.path.join(directory, name)
     w = df.write.mode("overwrite")
     if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+        with _open_files(df.sparkSession):
+            w.partitionBy(*partition_by).option("parquet.block.size", PARTITION_BLOCK).parquet(path)
+    else:
+        w.parquet(path)
     if profile:
         R.distinct_sketches(load_stage(df.sparkSession, directory, name, df.schema)) \
             .write.mode("overwrite").parquet(os.path.join(directory, "_profiles", name))

@@ -288,3 +288,21 @@ def test_large_feeds_are_written_as_several_documents(spark, monkeypatch):
     S.write_cve_xml(shape, os.path.join(d, "nvdcve-2.0-2017.xml"))
     assert len(_files_of(d, ".txt")) == 4
     assert sorted(r._id for r in S.scan_cve_xml(spark, d).collect()) == sorted(f"CVE-{k}" for k in range(35))
+
+
+def test_partitioned_stage_is_written_without_sorting_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(S, "OPEN_FILES", 3)
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before, seen = spark.conf.get(key), []
+    df = spark.range(0, 600, 1, 2).selectExpr("id", "nullif(concat('s', id % 6), 's5') AS site")     # more values than open files
+    write, d = S._open_files, _tmp()
+
+    def watched(session):
+        seen.append(session)
+        return write(session)
+
+    monkeypatch.setattr(S, "_open_files", watched)
+    S.save_stage(df, d, "t", ["site"])
+    back = S.load_stage(spark, d, "t", df.schema)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    assert seen and spark.conf.get(key) == before
