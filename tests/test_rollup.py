@@ -1,5 +1,7 @@
 """The host x vulnerability table: rows are multiplied by the last join, whose result is not shuffled."""
 
+import pytest
+
 from cpelink.operators import rollup as RU
 from cpelink.sources import files as S
 
@@ -44,3 +46,35 @@ def test_rows_are_not_shuffled_once_multiplied(spark):
             RU.LISTED_PRODUCTS = old
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert got.count() == 2 * 3 + 2 * 3 + 1
+
+
+def _folded(spark):
+    hosts = spark.createDataFrame([(1, "s1", "vip"), (2, "s2", None), (3, None, None)], "ResourceID long, Site_X string, VIP_X string")
+    inv = spark.createDataFrame(
+        [(1, "a", "1", "p", True), (1, "a", "1", "p", True), (2, "a", "1", "q", False), (2, "b", "2", "p", None), (3, "b", "2", "p", True),
+         (3, "c", None, "p", True), (9, "a", "1", "p", True), (2, "none", "1", "p", True)],
+        "ResourceID long, DisplayName0 string, Version0 string, Publisher0 string, arch_X boolean")
+    match = spark.createDataFrame([(f"v{k}", n, v, f"c{k}{n}") for k in range(5) for n, v in (("a", "1"), ("c", None))]
+                                  + [("v0", "b", "2", "c0b"), ("v0", "b", "2", "c0b"), ("v1", "b", "2", "no_cve")],
+                                  "vendor_X string, DisplayName0 string, Version0 string, t_cve_name string")
+    worst = spark.createDataFrame([(f"c{k}{n}", float(k), "High" if k < 3 else None) for k in range(5) for n in "abc"],
+                                  "cpe_prod string, cvss_score double, crit_X_cat string")
+    return hosts, inv, match, worst
+
+
+@pytest.mark.parametrize("listed", [100_000, 0])
+def test_folded_table_stands_for_the_whole(spark, monkeypatch, listed):
+    from collections import Counter
+    from cpelink.operators import reports as R
+    monkeypatch.setattr(RU, "LISTED_PRODUCTS", listed)
+    tables = _folded(spark)
+    whole = RU.hosts_with_vulns(*tables)
+    items, products = RU.folded_hosts_with_vulns(*tables)
+    assert items.count() == 5 and whole.count() == 19           # an item is one row, whatever its products
+    assert Counter(map(tuple, RU.unfold(items, products).select(whole.columns).collect())) == Counter(map(tuple, whole.collect()))
+    found = {r.t_cve_name: r[RU.TIMES] for r in RU.fold_products(items, products).where("DisplayName0 = 'a'").collect()}
+    assert found == {f"c{k}a": 3 for k in range(5)}
+    exact = {tuple(r) for r in R.profile_distinct(whole).collect()}
+    of_items = R.profile_distinct(items, times=RU.TIMES)
+    of_products = R.profile_distinct(RU.fold_products(items, products).drop(*RU.PRODUCT_KEYS), times=RU.TIMES)
+    assert {tuple(r) for r in of_items.union(of_products).collect()} == exact

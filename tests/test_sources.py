@@ -306,3 +306,13 @@ def test_partitioned_stage_is_written_without_sorting_its_rows(spark, monkeypatc
     back = S.load_stage(spark, d, "t", df.schema)
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
     assert seen and spark.conf.get(key) == before
+
+
+def test_sketches_meet_a_row_once(spark):
+    from cpelink.operators import reports as R
+    df = spark.createDataFrame([(k % 7, f"x{k % 50}" if k % 3 else None) for k in range(600)], "a int, b string")
+    made = R.distinct_sketches(df)
+    assert "Generate explode" not in made._jdf.queryExecution().optimizedPlan().toString().split("Aggregate", 1)[1]
+    near = {tuple(r) for r in R.sketch_counts(made).collect()}
+    assert near == {("a", 600, 7, 600), ("b", 400, 50, 600)}
+    assert R.distinct_sketches(df.where("a > 7")).count() == 0
