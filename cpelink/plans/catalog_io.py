@@ -197,7 +197,9 @@ def _export_raw_csv(s, d):
     CAT.TOP_REPORT_SQL, CAT.SITE_REPORT_SQL, CAT.CUSTOM_REPORTS_SQL]))
 def _export_json(s, d):
     """All report files from one pass over the host x vulnerability table, written and read back."""
-    cube = materialize(R.count_cube(I.vulns(s, d), "Region_A"), "report_counts")
+    items, products = I.folded_vulns(s, d)
+    vulns = RU.count_folded(items, products, ["Site_X", "HostFn_X", "VIP_X", "Region_X"])
+    cube = materialize(R.count_cube(vulns, "Region_A", RU.TIMES), "report_counts")
     made = R.run_reports(cube)
     paths = S.export_json_reports(made, scratch_path(s, "reports"))
     return E.report_rows({k: s.read.schema(made[k].schema).json(p) for k, p in paths.items()})

@@ -78,3 +78,16 @@ def test_folded_table_stands_for_the_whole(spark, monkeypatch, listed):
     of_items = R.profile_distinct(items, times=RU.TIMES)
     of_products = R.profile_distinct(RU.fold_products(items, products).drop(*RU.PRODUCT_KEYS), times=RU.TIMES)
     assert {tuple(r) for r in of_items.union(of_products).collect()} == exact
+
+
+def test_cube_of_counts_equals_cube_of_rows(spark):
+    from collections import Counter
+    from pyspark.sql import functions as F
+    from cpelink.operators import reports as R
+    hosts, *tables = _folded(spark)
+    hosts = hosts.withColumns({"HostFn_X": F.lit("server"), "Region_X": F.when(F.col("ResourceID") == 1, F.lit("Region_A"))})
+    items, products = RU.folded_hosts_with_vulns(hosts, *tables)
+    counted = RU.count_folded(items, products, ["Site_X", "HostFn_X", "VIP_X", "Region_X"])
+    assert counted.count() == 14                                # the two equal items of host 1 are one count
+    plain = R.count_cube(RU.hosts_with_vulns(hosts, *tables), "Region_A")
+    assert Counter(map(tuple, R.count_cube(counted, "Region_A", RU.TIMES).collect())) == Counter(map(tuple, plain.collect()))
