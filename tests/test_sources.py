@@ -316,3 +316,16 @@ def test_sketches_meet_a_row_once(spark):
     near = {tuple(r) for r in R.sketch_counts(made).collect()}
     assert near == {("a", 600, 7, 600), ("b", 400, 50, 600)}
     assert R.distinct_sketches(df.where("a > 7")).count() == 0
+
+
+@pytest.mark.parametrize("rows, n", [(3000, 20), (3000, 3000), (15, 20), (0, 5)])
+def test_sample_is_ordered_by_a_column_under_a_bound(spark, rows, n):
+    import hashlib
+    from cpelink.operators import reports as R
+    data = [(k // 3 if k % 11 else None, f"n{k % 5}") for k in range(rows)]
+    made = R.sample_rows(spark.createDataFrame(data, "k long, name string"), n, ["k", "name"])
+    if rows == 3000 and n == 20:
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "Sort [__h" in plan and "<= " in plan
+    key = lambda r: (hashlib.md5("|".join(["42", *[str(x) for x in r if x is not None]]).encode()).hexdigest(), r[0] or -1, r[1])
+    assert list(map(tuple, made.collect())) == sorted(data, key=key)[:n]
