@@ -138,3 +138,20 @@ def test_twin_on_listed_unlisted_and_missing_languages(make_docs, corpus):
     want = con.sql(Q.ORACLE).df()
     key = lambda df: sorted(tuple(None if x != x else x for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
     assert [tuple(map(str, r)) for r in key(got)] == [tuple(map(str, r)) for r in key(want)]
+
+
+def test_kept_rows_meet_no_join_by_document(spark):
+    from cpelink.llm import quality
+    rows = [(k, f"word{k} " * 3 + " ".join(f"w{k}x{i}" for i in range(60)), "en", k % 4) for k in range(30)] + [(30, "short", "en", 0), (None, None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, w int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 200)
+    try:
+        kept = quality.keep_good(docs)
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert "__th" not in plan.split("Relation")[0]
+        told = {r.doc_id for r in quality.quality_report(docs).where("kept").collect()}
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect())) == sorted(r for r in rows if r[0] in told)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
