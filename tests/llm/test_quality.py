@@ -140,18 +140,28 @@ def test_twin_on_listed_unlisted_and_missing_languages(make_docs, corpus):
     assert [tuple(map(str, r)) for r in key(got)] == [tuple(map(str, r)) for r in key(want)]
 
 
-def test_kept_rows_meet_no_join_by_document(spark):
+def test_kept_rows_are_not_shuffled(spark):
     from cpelink.llm import quality
-    rows = [(k, f"word{k} " * 3 + " ".join(f"w{k}x{i}" for i in range(60)), "en", k % 4) for k in range(30)] + [(30, "short", "en", 0), (None, None, None, 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, w int")
+    long = " ".join(f"w{i}x" for i in range(60))
+    rows = [(k, f"{long} word{k}", "en", k % 4) for k in range(30)] + [(k, f"short {k}", "en", 0) for k in range(30, 4030)]
+    docs = spark.createDataFrame([*rows, (None, None, None, 1)], "doc_id long, text string, lang string, w int")
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 200)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 20_000)      # less than 4,000 rejected keys
     try:
         kept = quality.keep_good(docs)
-        plan = kept._jdf.queryExecution().optimizedPlan().toString()
-        assert "__th" not in plan.split("Relation")[0]
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
         told = {r.doc_id for r in quality.quality_report(docs).where("kept").collect()}
-        assert kept.columns == docs.columns
+        assert kept.columns == docs.columns and len(told) == 30
         assert sorted(map(tuple, kept.collect())) == sorted(r for r in rows if r[0] in told)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_one_row_of_two_languages_shares_the_worst_verdict(spark):
+    from cpelink.llm import quality
+    digits = [(200 + k, " ".join(str(1000 * k + i) for i in range(60)), "xx") for k in range(60)]
+    words = [(k, " ".join("abcdefghij"[(k * i) % 10] * 4 + chr(97 + (i + k) % 26) + chr(97 + i % 26) for i in range(60)), "yy") for k in range(1, 61)]
+    docs = spark.createDataFrame([*digits, *words, (205, digits[5][1], "yy")], "doc_id long, text string, lang string")
+    told = {(r.doc_id, r.kept) for r in quality.quality_report(docs).where("doc_id = 205").collect()}
+    assert told == {(205, True), (205, False)}
+    assert quality.keep_good(docs).where("doc_id = 205").count() == 0
