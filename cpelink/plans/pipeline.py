@@ -102,7 +102,7 @@ def run(spark: SparkSession, inp: Inputs, stage_dir: str,
         mark = fingerprint(inp, {
             "enrich": _name(enrich), "vendor_model": getattr(vendor_model, "uid", ""),
             "software_model": getattr(software_model, "uid", ""), "publisher_key": publisher_key,
-            "fill_version_on_join": fill_version_on_join, "version": version})
+            "fill_version_on_join": fill_version_on_join, "version": version, "sft_vuln": "nested"})
     stage = Stages(spark, stage_dir, mark)
     done = stage.done
     hosts = C.clean_hosts(inp.hosts)
@@ -132,8 +132,9 @@ def run(spark: SparkSession, inp: Inputs, stage_dir: str,
     smatch = stage(lambda: CL.software_match(scands, inp.software_labels, software_model),
                    "software_match")
 
-    vulns = stage(RU.hosts_with_vulns(hosts, software, smatch, worst, fill_version_on_join),
-                   "sft_vuln")
+    # an item's rows share its own columns and its host's: the stage table holds these once and the products in a list
+    vulns = RU.flatten(stage(RU.nested_hosts_with_vulns(hosts, software, smatch, worst, fill_version_on_join),
+                             "sft_vuln"))
     out = {
         "sft_vuln": vulns,
         "vendor_match": vmatch,

@@ -80,6 +80,36 @@ def test_folded_table_stands_for_the_whole(spark, monkeypatch, listed):
     assert {tuple(r) for r in of_items.union(of_products).collect()} == exact
 
 
+@pytest.mark.parametrize("listed, most", [(100_000, 1_000), (0, 1_000), (100_000, 2)])
+def test_nested_table_holds_every_row(spark, monkeypatch, tmp_path, listed, most):
+    from collections import Counter
+    monkeypatch.setattr(RU, "LISTED_PRODUCTS", listed)
+    monkeypatch.setattr(RU, "LIST_PRODUCTS", most)
+    for tables in (_tables(spark), _folded(spark)):
+        whole = RU.hosts_with_vulns(*tables)
+        nested = RU.nested_hosts_with_vulns(*tables)
+        S.save_stage(nested, str(tmp_path), "nested")
+        stored = S.load_stage(spark, str(tmp_path), "nested", nested.schema)
+        got = RU.flatten(stored)
+        assert got.columns == whole.columns and [f.dataType for f in got.schema] == [f.dataType for f in whole.schema]
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, whole.collect()))
+        entries = [len(r[RU.NESTED]) for r in stored.collect()]
+        assert sum(entries) == whole.count()                    # one entry for each row of the whole table
+        if most == 1_000:
+            assert len(entries) == 5                            # and one row for each installed item
+        else:
+            assert len(entries) > 5                             # a long list is dealt to several
+    filled = RU.flatten(RU.nested_hosts_with_vulns(*_no_version(tables), fill_version_on_join=True))
+    want = RU.hosts_with_vulns(*_no_version(tables), fill_version_on_join=True)
+    assert Counter(map(tuple, filled.collect())) == Counter(map(tuple, want.collect())) and filled.count() == 24
+
+
+def _no_version(tables):
+    """The tables with a match of an item without a version, as it stands in ``products_of``."""
+    hosts, inv, match, worst = tables
+    return hosts, inv, match.na.fill("-", ["Version0"]), worst
+
+
 def test_cube_of_counts_equals_cube_of_rows(spark):
     from collections import Counter
     from pyspark.sql import functions as F
