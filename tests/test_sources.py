@@ -281,6 +281,41 @@ def test_raw_export_is_small_and_its_files_are_bounded(spark, monkeypatch):
     assert all(sorted(map(tuple, b.collect())) == sorted(map(tuple, df.collect())) for b in back)
 
 
+def _small_tables(spark):
+    """Driver tables with six installed items (of a null title or version, on inactive or unknown hosts beside them)
+    and two titles of several vendors."""
+    d = _tmp()
+    parts = [(k, ["red nut", "red nut", "red nut", "blue, 'cup'", "blue, 'cup'", None][k % 6], f"Brand#{2 + k // 6 % 3}", "SMALL", 1, 1.0) for k in range(24)]
+    tables = {
+        "region": ([(0, "EUROPE")], "r_regionkey int, r_name string"),
+        "nation": ([(0, "FRANCE", 0), (1, "SPAIN", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": ([(1, "C|1", 0, 9500.0, "BUILDING"), (2, 'C"2', 1, 5.0, "MACHINERY"), (3, "C3", 1, -5.0, "BUILDING"), (4, None, 0, 7.0, None)],
+                     "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        "orders": ([(10, 1), (20, 2), (30, 3), (40, 4), (50, 9)], "o_orderkey long, o_custkey long"),
+        "lineitem": ([(o, p, n, "F") for o in (10, 20, 30, 40, 50) for n, p in ((1, 0), (1, 0), (2, 3), (6, 1), (7, 2), (3, 5))],
+                     "l_orderkey long, l_partkey long, l_linenumber int, l_linestatus string"),
+        "part": (parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(os.path.join(d, f"{name}.parquet"))
+    return d
+
+
+def test_reloaded_stage_holds_an_item_once(spark):
+    from collections import Counter
+    from cpelink.operators import rollup as RU
+    from cpelink.plans import inputs as I
+    from cpelink.plans.catalog import QUERIES
+    d = _small_tables(spark)
+    want, got = I.vulns(spark, d), QUERIES["load_stage"](spark, d)
+    assert got.columns == [c for c in want.columns if c != "Site_X"] + ["Site_X"]       # the folders' column last, as before
+    assert Counter(map(tuple, got.select(want.columns).collect())) == Counter(map(tuple, want.collect()))
+    base = got.inputFiles()[0].split("/Site_X=")[0]
+    assert base.endswith("/sft_vuln") and {f.split("/Site_X=")[1].split("/")[0] for f in got.inputFiles()} == {"FRANCE", "SPAIN"}
+    stored = spark.read.parquet(base)
+    assert stored.count() < want.count() == sum(len(r[RU.NESTED]) for r in stored.collect())
+
+
 def test_large_feeds_are_written_as_several_documents(spark, monkeypatch):
     monkeypatch.setattr(S, "DOCUMENT_ROWS", 10)
     d = _tmp()
