@@ -316,6 +316,55 @@ def test_reloaded_stage_holds_an_item_once(spark):
     assert stored.count() < want.count() == sum(len(r[RU.NESTED]) for r in stored.collect())
 
 
+_ODD = ["a", " b ", "", 'q"x', "p|q", "back\\", '\\"', "#c", "é", None, "tab\t", "'"]
+
+
+def _folded_odd(spark):
+    items = spark.createDataFrame([(i, _ODD[i % 12], _ODD[(i * 5 + 1) % 12], f"t{i % 3}" if i % 7 else _ODD[i % 12], "1.0", i % 2 == 0, 3) for i in range(60)],
+                                  "ResourceID long, Site_X string, Region_X string, DisplayName0 string, Version0 string, arch_X boolean, __times long")
+    products = spark.createDataFrame([(_ODD[i % 12], f"t{i % 3}" if i % 4 else _ODD[i % 12], "1.0", [1.5, None, 0.0, float("nan")][i % 4], _ODD[(i * 7 + 3) % 12])
+                                      for i in range(144)], "vendor_X string, DisplayName0 string, Version0 string, cvss_score double, crit_X_cat string")
+    return items, products
+
+
+def _lines_of(d):
+    import gzip
+    texts = [gzip.open(f, "rt", encoding="utf-8", newline="\n").read() for f in _files_of(d, ".gz")]
+    return [t.split("\n")[:-1] for t in texts if t]
+
+
+@pytest.mark.parametrize("listed, rows, record", [(100_000, 100, 20), (0, 100, 3), (100_000, 2_000_000, 1)])
+def test_folded_export_has_the_text_of_the_whole(spark, monkeypatch, listed, rows, record):
+    from collections import Counter
+    from cpelink.operators import rollup as RU
+    monkeypatch.setattr(RU, "LISTED_PRODUCTS", listed)
+    monkeypatch.setattr(S, "EXPORT_FILE_ROWS", rows)
+    monkeypatch.setattr(S, "EXPORT_RECORD_ROWS", record)
+    items, products = _folded_odd(spark)
+    whole = RU.unfold(items, products).select(*[c for c in items.columns if c != RU.TIMES], *RU.product_columns(products))
+    plain, d, none = _tmp(), _tmp(), _tmp()
+    S.export_raw_csv(whole, plain)
+    S.export_raw_csv(items, d, products=products)
+    want, got = _lines_of(plain), _lines_of(d)
+    assert {f[0] for f in got} == {"|".join(whole.columns)} and all(len(f) <= rows + 1 for f in got)
+    assert Counter(x for f in got for x in f[1:]) == Counter(x for f in want for x in f[1:]) and whole.count() > 1_000
+    assert sum(len(f) - 1 for f in got) == whole.count()
+    S.export_raw_csv(items.limit(0), none, products=products)
+    assert _lines_of(none) == [["|".join(whole.columns)]]       # no row: the header alone
+
+
+def test_raw_export_formats_an_item_once(spark, monkeypatch):
+    from collections import Counter
+    from cpelink.plans import inputs as I
+    from cpelink.plans.catalog import QUERIES
+    d, seen, export = _small_tables(spark), [], S.export_raw_csv
+    monkeypatch.setattr(S, "export_raw_csv", lambda df, *a, **k: (seen.append(df.count()), export(df, *a, **k))[1])
+    want, got = I.vulns(spark, d), QUERIES["export_raw_csv"](spark, d)
+    assert got.schema.names == want.columns and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    assert seen[0] < want.count()
+
+
 def test_large_feeds_are_written_as_several_documents(spark, monkeypatch):
     monkeypatch.setattr(S, "DOCUMENT_ROWS", 10)
     d = _tmp()
