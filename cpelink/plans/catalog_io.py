@@ -127,9 +127,10 @@ def _scan_stop_words(s, d):
 @register("load_stage", "SELECT * FROM vulns")
 def _load_stage(s, d):
     base = scratch_path(s, "stages")
-    S.save_stage(I.nested_vulns(s, d), base, "sft_vuln", partition_by=["Site_X"])
-    table = RU.flatten(S.load_stage(s, base, "sft_vuln"))
-    return table.select(*[c for c in table.columns if c != "Site_X"], "Site_X")     # last, as read from its folders
+    table, names = I.grouped_vulns(s, d, ["Site_X"])
+    S.save_stage(table, base, "sft_vuln", partition_by=["Site_X"])
+    rows = RU.flatten(S.load_stage(s, base, "sft_vuln"))
+    return rows.select(*[c for c in names if c != "Site_X"], "Site_X")      # last, as read from its folders
 
 
 @register("save_stage", "SELECT * FROM inv")

@@ -104,6 +104,29 @@ def test_nested_table_holds_every_row(spark, monkeypatch, tmp_path, listed, most
     assert Counter(map(tuple, filled.collect())) == Counter(map(tuple, want.collect())) and filled.count() == 24
 
 
+@pytest.mark.parametrize("listed, most, hosts_in_list", [(100_000, 1_000, 50_000), (0, 1_000, 50_000), (100_000, 2, 1)])
+@pytest.mark.parametrize("by", [["Site_X"], []])
+def test_grouped_table_stands_for_every_row(spark, monkeypatch, tmp_path, listed, most, hosts_in_list, by):
+    from collections import Counter
+    monkeypatch.setattr(RU, "LISTED_PRODUCTS", listed)
+    monkeypatch.setattr(RU, "LIST_PRODUCTS", most)
+    monkeypatch.setattr(RU, "LIST_HOSTS", hosts_in_list)
+    for hosts, *tables in (_tables(spark), _folded(spark)):
+        whole = RU.hosts_with_vulns(hosts, *tables)
+        grouped, names = RU.grouped_hosts_with_vulns(hosts, *tables, by)
+        S.save_stage(grouped, str(tmp_path), "grouped")
+        stored = S.load_stage(spark, str(tmp_path), "grouped", grouped.schema)
+        got = RU.flatten(stored).select(names)
+        assert names == whole.columns and [f.dataType for f in got.schema] == [f.dataType for f in whole.schema]
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, whole.collect()))
+        entries = [(len(r[RU.INSTALLED]), len(r[RU.NESTED])) for r in stored.collect()]
+        assert sum(i * p for i, p in entries) == whole.count()
+        if most == 1_000:
+            assert sum(i for i, _ in entries) == 5              # an entry for each installed item
+    none, names = RU.grouped_hosts_with_vulns(hosts.limit(0), *tables, by)
+    assert RU.flatten(none).select(names).count() == 0
+
+
 def _no_version(tables):
     """The tables with a match of an item without a version, as it stands in ``products_of``."""
     hosts, inv, match, worst = tables

@@ -282,7 +282,7 @@ def test_raw_export_is_small_and_its_files_are_bounded(spark, monkeypatch):
 
 
 def _small_tables(spark):
-    """Driver tables with six installed items (of a null title or version, on inactive or unknown hosts beside them)
+    """Driver tables with nine installed items (of a null title or version, on inactive or unknown hosts beside them)
     and two titles of several vendors."""
     d = _tmp()
     parts = [(k, ["red nut", "red nut", "red nut", "blue, 'cup'", "blue, 'cup'", None][k % 6], f"Brand#{2 + k // 6 % 3}", "SMALL", 1, 1.0) for k in range(24)]
@@ -301,7 +301,7 @@ def _small_tables(spark):
     return d
 
 
-def test_reloaded_stage_holds_an_item_once(spark):
+def test_reloaded_stage_holds_an_item_and_a_product_once(spark):
     from collections import Counter
     from cpelink.operators import rollup as RU
     from cpelink.plans import inputs as I
@@ -313,7 +313,8 @@ def test_reloaded_stage_holds_an_item_once(spark):
     base = got.inputFiles()[0].split("/Site_X=")[0]
     assert base.endswith("/sft_vuln") and {f.split("/Site_X=")[1].split("/")[0] for f in got.inputFiles()} == {"FRANCE", "SPAIN"}
     stored = spark.read.parquet(base)
-    assert stored.count() < want.count() == sum(len(r[RU.NESTED]) for r in stored.collect())
+    assert sum(len(r[RU.NESTED]) * len(r[RU.INSTALLED]) for r in stored.collect()) == want.count()
+    assert sum(len(r[RU.INSTALLED]) for r in stored.collect()) == 9 < want.count()
 
 
 _ODD = ["a", " b ", "", 'q"x', "p|q", "back\\", '\\"', "#c", "é", None, "tab\t", "'"]
